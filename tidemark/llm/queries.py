@@ -60,8 +60,8 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = made.withColumn("meta", F.when(~text, F.col("block")))
     return made.select(
         "page_id", "record_type", "record_id", "refers_to", "target_uri", "source_digest", "title",
-        F.when(text, F.substring("block_digest", 8, 64)).alias("text_sha256"), F.when(text, F.col("content_length")).alias("text_bytes"),
-        F.when(~text, links.cast("long")).alias("n_links"),
+        F.when(text, F.substring("block_digest", 8, 64)).otherwise("").alias("text_sha256"), F.when(text, F.col("content_length")).otherwise(-1).alias("text_bytes"),
+        F.when(~text, links.cast("long")).otherwise(-1).alias("n_links"),
     )
 
 
@@ -115,5 +115,5 @@ from c"""
 
 ORACLE_SQL: dict[str, str] = {
     "op4_quality": _QUALITY,
-    "op7_warc": f"select page_id, record_type, record_id, refers_to, target_uri, source_digest, title, text_sha256, text_bytes, case when record_type = 'metadata' then n_links end as n_links from ({warc.derivatives_sql()})",
+    "op7_warc": f"select page_id, record_type, record_id, refers_to, target_uri, source_digest, title, coalesce(text_sha256, '') as text_sha256, coalesce(text_bytes, -1) as text_bytes, case when record_type = 'metadata' then n_links else -1 end as n_links from ({warc.derivatives_sql()})",
 }
