@@ -6,7 +6,8 @@ compare what stands around equal pieces:
 
 1. Equal texts become one, with a weight. Each text is cut into segments: an anchor and all strings that choose it.
 2. Spark counts the anchors' pieces. Segments whose piece occurs once hold nothing that repeats. Of the others each
-   different segment is taken once, with the number of its occurrences.
+   different segment is taken once, with the number of its occurrences. Where all segments with a piece are equal,
+   so that nothing is left to compare, all their strings repeat.
 3. Segments with equal pieces meet in a block. A block's suffix array and Burrows-Wheeler transform are built, and
    breadth-first backward extension over its intervals derives the longest common prefixes by increasing value. It
    stops at ``LENGTH``: wherever it hasn't set a value by then, neighbours in the suffix array share that many bytes.
@@ -273,17 +274,19 @@ def deduplicated(docs: DataFrame, keep: bool = True) -> DataFrame:
     shared = keyed.select("text").mapInArrow(_grams, "kh long").groupBy("kh").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("kh")
     anchors = stored(keyed.mapInArrow(_anchors, _ANCHORS).join(shared, "kh", "left_semi"))
     one = F.min(F.struct("id", "h", "at", "meta")).alias("one")
-    kinds = stored(anchors.groupBy("kh", "sh").agg(F.count(F.lit(1)).alias("n"), one))
-    crowds = kinds.groupBy("kh").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > CROWD).select("kh")
+    kinds = anchors.groupBy("kh", "sh").agg(F.count(F.lit(1)).alias("n"), one)
+    kinds = stored(kinds.join(kinds.groupBy("kh").agg(F.count(F.lit(1)).alias("kinds")), "kh"))
 
     def from_texts(some: DataFrame) -> DataFrame:
         per_text = some.select("one.id", "one.h", F.array("kh", "sh", "n", F.col("one.at").cast("long"), F.col("one.meta").cast("long")).alias("w"))
         per_text = per_text.groupBy("id", "h").agg(F.flatten(F.collect_list("w")).alias("wanted"))
         return keyed.join(per_text, _KEY).select("text", "wanted")  # once for each row that repeats id and text
 
-    pieces = from_texts(kinds.join(crowds, "kh", "left_anti")).mapInArrow(_cut, "kh long, sh long, n long, piece binary")
+    pieces = from_texts(kinds.where(F.col("kinds").between(2, CROWD))).mapInArrow(_cut, "kh long, sh long, n long, piece binary")
     solved = pieces.repartition("kh").sortWithinPartitions("kh", "sh").mapInArrow(_solved, "kh long, sh long, marks array<int>")
-    crowded = kinds.join(crowds, "kh", "left_semi")
+    length = F.col("one.meta").bitwiseAND(F.lit(0xFFFF)) + LENGTH
+    solved = solved.unionByName(kinds.where("kinds = 1").select("kh", "sh", F.array(F.lit(0), length).alias("marks")))
+    crowded = kinds.where(F.col("kinds") > CROWD)
     if not crowded.isEmpty():
         strings = stored(from_texts(crowded).mapInArrow(_windows, "kh long, sh long, n long, start int, away int, hash long"))
         again = strings.groupBy("kh", "away", "hash").agg(F.sum("n").alias("total")).where("total > 1").drop("total")
