@@ -154,8 +154,11 @@ def _by_place(spans: Column) -> Column:
 def report(docs: DataFrame) -> DataFrame:
     """Counts of the base kinds, a digest of the base spans and all spans, for each row of ``docs`` (doc_id, text)."""
     rows = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    counts = [F.size(F.filter("base", lambda s, r=i: s["rank"] == r)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return rows.select("doc_id", *counts, F.sha2(_text(_by_place(F.col("base"))), 256).alias("base_sha256"), _text(_by_place(F.concat("base", "extra"))).alias("spans"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["rank"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+
+    return rows.select("doc_id", *map(count, KINDS), F.sha2(_text(_by_place(F.col("base"))), 256).alias("base_sha256"), _text(_by_place(F.concat("base", "extra"))).alias("spans"))
 
 
 def redacted(docs: DataFrame) -> DataFrame:

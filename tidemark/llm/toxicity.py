@@ -54,7 +54,9 @@ def trigram_counts(texts: DataFrame) -> np.ndarray:
                 c = _code[low[(low & 0xC0) != 0x80]]
                 c = np.concatenate(([0, 0], c, [0, 0]))
                 key = (c[:-2] * _SYMBOLS + c[1:-1]) * _SYMBOLS + c[2:]
-                total += np.bincount(key[(c[1:-1] > 0) | (c[2:] > 0)], minlength=len(total))
+                plain = (c[1:-1] > 0) | (c[2:] > 0)
+                plain &= (c[:-2] != c[1:-1]) | (c[1:-1] != c[2:])  # letters drawn out are the noise, not the language
+                total += np.bincount(key[plain], minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["gram", "n"])
 
