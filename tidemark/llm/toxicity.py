@@ -55,7 +55,9 @@ def trigram_counts(texts: DataFrame) -> np.ndarray:
                 c = np.concatenate(([0, 0], c, [0, 0]))
                 key = (c[:-2] * _SYMBOLS + c[1:-1]) * _SYMBOLS + c[2:]
                 plain = (c[1:-1] > 0) | (c[2:] > 0)
-                plain &= (c[:-2] != c[1:-1]) | (c[1:-1] != c[2:])  # letters drawn out are the noise, not the language
+                three = (c[:-2] == c[1:-1]) & (c[1:-1] == c[2:]) & (c[2:] > 0)
+                drawn = np.concatenate(([False, False], three, [False, False]))
+                plain &= ~(drawn[:-4] | drawn[1:-3] | drawn[2:-2] | drawn[3:-1] | drawn[4:])  # letters drawn out are the noise
                 total += np.bincount(key[plain], minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["gram", "n"])
