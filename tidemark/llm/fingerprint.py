@@ -76,7 +76,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(least)))
     rows = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), -1).otherwise(F.floor((F.col("doc_id").cast("decimal(20,0)") - F.lit(lo or 0)) / width)).cast("long"))
     tops = rows.groupBy("bucket").agg(F.max("key").alias("key"))
-    heads = rows.join(tops, ["bucket", "key"]).groupBy("bucket", "key").agg(F.max("text").alias("text"))
+    heads = rows.join(F.broadcast(tops), ["bucket", "key"])  # at most MOST_BUCKETS + 1 rows of two numbers
+    heads = heads.groupBy("bucket", "key").agg(F.max("text").alias("text"))
     down = Window.orderBy(F.col("bucket").desc())  # one row a bucket
     ids = tops.select("bucket", F.lead("bucket").over(down).alias("after"), F.max("bucket").over(Window.partitionBy(F.lit(1))).alias("top"))
     after = ids.select("bucket", F.coalesce("after", "top").alias("after"))
