@@ -57,7 +57,8 @@ def keep_intervals(segments: DataFrame, actions: DataFrame, by: By, key: str, po
     """Merged intervals of the segments whose resolved action is Keep; an action on an unknown segment is an error."""
     known = segments.select(key).distinct().withColumn("_known", F.lit(True))
     resolved = resolve_actions(actions, [key], policy).join(known, key, "left")
-    resolved = resolved.where(F.when(F.col("_known").isNull(), F.raise_error(F.concat(F.lit("unknown segment "), F.col(key).cast("string")))).otherwise(F.lit("ok")).isNotNull())
+    unknown = F.raise_error(F.concat(F.lit("unknown segment "), F.col(key).cast("string")))
+    resolved = resolved.withColumn("action", F.when(F.col("_known").isNull(), unknown).otherwise(F.col("action")))  # the filter below needs it
     kept = segments.join(resolved.where("action = 'Keep'").select(key), key, "left_semi")
     return merge_intervals(kept, by, gap=gap)
 

@@ -29,7 +29,7 @@ def srt(spark: SparkSession, path: str) -> DataFrame:
     blocks = files.select("file", F.posexplode(F.split("value", r"\n\s*\n")).alias("pos", "block"))
     times = [F.regexp_extract("block", rf"{_TIME}\s*-->\s*{_TIME}", i).try_cast("long") for i in range(1, 9)]
     at = lambda k: (((times[k] * 60 + times[k + 1]) * 60 + times[k + 2]) * 1000 + F.rpad(F.regexp_extract("block", rf"{_TIME}\s*-->\s*{_TIME}", k + 4), 3, "0").try_cast("long")) * 1000
-    text = F.trim(F.regexp_extract("block", r"(?s)-->[^\n]*\n(.*)$", 1))
+    text = F.regexp_replace(F.regexp_extract("block", r"(?s)-->[^\n]*\n(.*)$", 1), r"^\s+|\s+$", "")
     rows = blocks.where(F.col("block").rlike(rf"{_TIME}\s*-->\s*{_TIME}")).select("file", "pos", at(0).alias("s"), at(4).alias("e"), text.alias("text"))
     return rows.withColumn("index", F.row_number().over(Window.partitionBy("file").orderBy("pos"))).drop("pos")
 
