@@ -53,7 +53,8 @@ def trigram_counts(texts: DataFrame) -> np.ndarray:
                 low = T.lower_ascii(data)
                 c = _code[low[(low & 0xC0) != 0x80]]
                 c = np.concatenate(([0, 0], c, [0, 0]))
-                key = (c[:-2] * _SYMBOLS + c[1:-1]) * _SYMBOLS + c[2:]
+                before = np.where(c[1:-1] > 0, c[:-2], 0)  # a word starts alike whatever stands before it
+                key = (before * _SYMBOLS + c[1:-1]) * _SYMBOLS + c[2:]
                 plain = (c[1:-1] > 0) | (c[2:] > 0)
                 three = (c[:-2] == c[1:-1]) & (c[1:-1] == c[2:]) & (c[2:] > 0)
                 drawn = np.concatenate(([False, False], three, [False, False]))
