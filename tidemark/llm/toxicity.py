@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textops as T
-from tidemark.llm.common import blocks
+from tidemark.llm.common import blocks, stored
 
 #: Letters that a character may stand for in a disguised word (fixed values).
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
@@ -187,41 +187,44 @@ def _evidence(data: np.ndarray, offsets: np.ndarray, restorer: Restorer, keys: n
     return out
 
 
-def learn(corpus: DataFrame, labelled: DataFrame, most_rows: int = 40_000, most_features: int = 20_000, least_share: float = 0.01, seed: int = 11) -> Model:
-    """Fits on ``corpus`` (text; all rows) and ``labelled`` (doc_id, text, toxic).
+def sampled(labels: DataFrame, most_rows: int, seed: int) -> DataFrame:
+    """doc_id, toxic, copies: the labels of about ``most_rows`` ids at most, chosen by a seeded hash of the id."""
+    labels = labels.select("doc_id", F.col("toxic").cast("long").alias("toxic")).where("toxic in (0, 1) and doc_id is not null")
+    labels = labels.groupBy("doc_id", "toxic").agg(F.count(F.lit(1)).alias("copies"))
+    share = min(1.0, most_rows / max(1, labels.count()))
+    return labels.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
 
-    ``most_rows`` bounds the labelled rows that are used: a seeded share of them where there are more.
-    ``most_features`` bounds the weights that are kept: those of the most evidence. What less than ``least_share``
-    of the toxic documents have gets no weight: it is chance, or the words of one text and its copies.
+
+def learn(corpus: DataFrame, docs: DataFrame, labels: DataFrame, most_rows: int = 40_000, most_features: int = 20_000, least_share: float = 0.01, seed: int = 11) -> Model:
+    """Fits on ``corpus`` (text; all rows) and on those of ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic) name.
+
+    ``most_rows`` bounds the labels that are used: a seeded share of them where there are more. So they can be broadcast,
+    and no other text moves; the texts that they name are stored once. ``most_features`` bounds the weights that are
+    kept: those of the most evidence. What less than ``least_share`` of the toxic documents have gets no weight: it is
+    chance, or the words of one text and its copies.
     """
     trigrams = trigram_counts(corpus)
-    labelled = labelled.where("toxic is not null").select("doc_id", "text", F.col("toxic").cast("long").alias("toxic"))
-    classes = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    empty = Model(trigrams, np.empty(0, np.uint64), np.empty(0), 0.0, -100.0)
-    if not classes.get(0) or not classes.get(1):
-        return empty
-    share = min(1.0, most_rows / sum(classes.values()))
-    part = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)
-    labelled = labelled.where(part).select("text", "toxic")
+    few = F.broadcast(sampled(labels, most_rows, seed))  # three numbers a row, most_rows rows or so
+    labelled = stored(docs.select("doc_id", "text").join(few, "doc_id").select("text", "toxic", "copies"))
+    total = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.sum("copies").alias("n")).collect()}
+    if not total.get(0) or not total.get(1):
+        return Model(trigrams, np.empty(0, np.uint64), np.empty(0), 0.0, -100.0)
 
     def count(batches):
         restorer = Restorer(trigrams)
         for batch in batches:
-            toxic = batch.column(1).to_numpy(zero_copy_only=False)
+            toxic, copies = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
             for lo, _, data, offsets in blocks(batch.column(0)):
                 row, found = features(data, offsets, restorer)
                 keys = np.empty(found.size, [("row", np.int64), ("key", np.uint64)])
                 keys["row"], keys["key"] = np.repeat(row, found.shape[1]), found.ravel()
                 keys = np.unique(keys[keys["key"] != 0])
                 key, at = np.unique(keys["key"], return_inverse=True)
-                n1 = np.bincount(at, toxic[lo + keys["row"]], len(key)).astype(np.int64)
-                n = np.bincount(at, minlength=len(key))
+                at_row = lo + keys["row"]
+                n1 = np.bincount(at, (toxic * copies)[at_row], len(key)).astype(np.int64)
+                n = np.bincount(at, copies[at_row], len(key)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n1), pa.array(n - n1)], ["key", "n1", "n0"])
 
-    total = labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()
-    total = {r["toxic"]: r["n"] for r in total}
-    if not total.get(0) or not total.get(1):
-        return empty
     counts = labelled.mapInArrow(count, "key long, n1 long, n0 long").groupBy("key").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).where(F.col("n1") >= max(3, least_share * total[1]))
     odds = F.log((F.col("n1") + 0.5) / (total[1] + 1.0)) - F.log((F.col("n0") + 0.5) / (total[0] + 1.0))
     top = counts.withColumn("w", odds).where("w > 2.0").orderBy((-F.col("w") * F.col("n1")), "key").limit(most_features).collect()
@@ -233,9 +236,9 @@ def learn(corpus: DataFrame, labelled: DataFrame, most_rows: int = 40_000, most_
         restorer = Restorer(trigrams)
         for batch in batches:
             for lo, hi, data, offsets in blocks(batch.column(0)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.round(_evidence(data, offsets, restorer, keys, weights) * 4) / 4), batch.column(1).slice(lo, hi - lo)], ["s", "toxic"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.round(_evidence(data, offsets, restorer, keys, weights) * 4) / 4), batch.column(1).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo)], ["s", "toxic", "copies"])
 
-    bins = labelled.mapInArrow(histogram, "s double, toxic long").groupBy("s", "toxic").agg(F.count(F.lit(1)).alias("n")).orderBy("s", "toxic").collect()
+    bins = labelled.mapInArrow(histogram, "s double, toxic long, copies long").groupBy("s", "toxic").agg(F.sum("copies").alias("n")).orderBy("s", "toxic").collect()
     return Model(trigrams, keys, weights, *_logistic(np.array([[r["s"], r["toxic"], r["n"]] for r in bins], float)))
 
 
@@ -287,5 +290,4 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Model:
     """The model that the labels outside the held-out fifth give."""
-    learning = docs.where(~held_out())
-    return learn(docs, learning.join(labels.select("doc_id", "toxic"), "doc_id"))
+    return learn(docs, docs, labels.where(~held_out()))
