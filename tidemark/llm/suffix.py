@@ -189,28 +189,29 @@ def _anchors(batches):
 
 
 def _wanted(batch: pa.RecordBatch):
-    """(kh, sh, n, at, meta, bytes) of the segments that a joined batch (text, wanted) asks for."""
+    """(kh, sh, n, kinds, anchor's place, bytes) of the segments that a joined batch (text, wanted) asks for."""
     lists = batch.column(1)
-    flat = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, 5)
-    bounds = lists.offsets.to_numpy() // 5
+    flat = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, 6)
+    bounds = lists.offsets.to_numpy() // 6
     bounds = bounds - bounds[0]
     for i, text in enumerate(batch.column(0)):
         raw = text.as_buffer()
         view = memoryview(raw)
-        for kh, sh, n, at, meta in flat[bounds[i] : bounds[i + 1]].tolist():
-            yield kh, sh, n, meta >> 16, bytes(view[at : at + (meta & 0xFFFF) + LENGTH])
+        for kh, sh, n, kinds, at, meta in flat[bounds[i] : bounds[i + 1]].tolist():
+            yield kh, sh, n, kinds, meta >> 16, bytes(view[at : at + (meta & 0xFFFF) + LENGTH])
 
 
 def _cut(batches):
     for batch in batches:
         rows = list(_wanted(batch))
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.int64()), (4, pa.binary()))], ["kh", "sh", "n", "piece"])
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["kh", "sh", "n", "kinds", "anchor", "piece"])
 
 
 def _windows(batches):
-    """Every string of the wanted segments: kh, sh, n, start in the segment, distance to the anchor, hash."""
+    """Every string of segments (kh, sh, n, anchor, piece): kh, sh, n, start in the segment, distance to the anchor, hash."""
     for batch in batches:
-        for kh, sh, n, anchor, piece in _wanted(batch):
+        for kh, sh, n, anchor, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             data = np.frombuffer(piece, np.uint8)
             starts = np.arange(len(data) - LENGTH + 1)
             hashes = T.range_hashes(T.prefix_sums(data), starts, starts + LENGTH).view(np.int64)
@@ -272,23 +273,26 @@ def deduplicated(docs: DataFrame, keep: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and (if ``keep``) the kept bytes of each row of ``docs``."""
     keyed = _keyed(docs)
     shared = keyed.select("text").mapInArrow(_grams, "kh long").groupBy("kh").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("kh")
+    shared = stored(shared)  # so that a very common piece's rows can be split in the join
     anchors = stored(keyed.mapInArrow(_anchors, _ANCHORS).join(shared, "kh", "left_semi"))
     one = F.min(F.struct("id", "h", "at", "meta")).alias("one")
     kinds = anchors.groupBy("kh", "sh").agg(F.count(F.lit(1)).alias("n"), one)
     kinds = stored(kinds.join(kinds.groupBy("kh").agg(F.count(F.lit(1)).alias("kinds")), "kh"))
 
-    def from_texts(some: DataFrame) -> DataFrame:
-        per_text = some.select("one.id", "one.h", F.array("kh", "sh", "n", F.col("one.at").cast("long"), F.col("one.meta").cast("long")).alias("w"))
-        per_text = per_text.groupBy("id", "h").agg(F.flatten(F.collect_list("w")).alias("wanted"))
-        return keyed.join(per_text, _KEY).select("text", "wanted")  # once for each row that repeats id and text
+    # the bytes of one segment of each kind that has others to compare with: the texts move once for them
+    wanted = kinds.where("kinds > 1").select("one.id", "one.h", F.array("kh", "sh", "n", "kinds", F.col("one.at").cast("long"), F.col("one.meta").cast("long")).alias("w"))
+    wanted = wanted.groupBy("id", "h").agg(F.flatten(F.collect_list("w")).alias("wanted"))
+    cut = keyed.join(wanted, _KEY).select("text", "wanted").mapInArrow(_cut, "kh long, sh long, n long, kinds long, anchor int, piece binary")
+    cut = stored(cut)  # more than once for rows that repeat id and text
 
-    pieces = from_texts(kinds.where(F.col("kinds").between(2, CROWD))).mapInArrow(_cut, "kh long, sh long, n long, piece binary")
+    pieces = cut.where(F.col("kinds") <= CROWD).select("kh", "sh", "n", "piece")
     solved = pieces.repartition("kh").sortWithinPartitions("kh", "sh").mapInArrow(_solved, "kh long, sh long, marks array<int>")
     length = F.col("one.meta").bitwiseAND(F.lit(0xFFFF)) + LENGTH
     solved = solved.unionByName(kinds.where("kinds = 1").select("kh", "sh", F.array(F.lit(0), length).alias("marks")))
-    crowded = kinds.where(F.col("kinds") > CROWD)
+    crowded = cut.where(F.col("kinds") > CROWD)
     if not crowded.isEmpty():
-        strings = stored(from_texts(crowded).mapInArrow(_windows, "kh long, sh long, n long, start int, away int, hash long"))
+        crowded = crowded.dropDuplicates(["kh", "sh"]).select("kh", "sh", "n", "anchor", "piece")
+        strings = stored(crowded.mapInArrow(_windows, "kh long, sh long, n long, start int, away int, hash long"))
         again = strings.groupBy("kh", "away", "hash").agg(F.sum("n").alias("total")).where("total > 1").drop("total")
         marked = strings.join(again, ["kh", "away", "hash"], "left_semi").select("kh", "sh", F.array(F.col("start"), F.col("start") + LENGTH).alias("marks"))
         solved = solved.unionByName(marked)
