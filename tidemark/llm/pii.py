@@ -8,7 +8,7 @@
 4. Candidates behind a pattern of high confidence that has enough different seeds become spans as well.
 
 Positions are code points, end exclusive. Null texts count as empty. Repeated rows get equal results. A pattern never
-reaches over the text's start. Extra columns pass through ``redacted`` and are ignored elsewhere.
+reaches over the text's start. Extra columns, of any name, pass through ``redacted`` and are ignored by ``report``.
 """
 
 from __future__ import annotations
@@ -98,11 +98,15 @@ def with_seeds(docs: DataFrame) -> DataFrame:
     return docs.withColumn("base", F.sort_array(F.concat(*each)))
 
 
+def loose(text: Column) -> Column:
+    """Spans of the looser candidates of all kinds, as an array."""
+    return F.concat(*(found(text, k, LOOSE[k], LOOSE_GUARD[k], LOOSE_VALID[k], False) for k in KINDS))
+
+
 def _candidates(seeded: DataFrame) -> DataFrame:
     """doc_id, digest, start, end, rank, value, seed, patterns: seeds and looser candidates that don't overlap a seed, with what stands before."""
     text = F.coalesce("text", F.lit(""))
-    loose = F.concat(*(found(text, k, LOOSE[k], LOOSE_GUARD[k], LOOSE_VALID[k], False) for k in KINDS))
-    rows = seeded.select("doc_id", F.xxhash64("text").alias("digest"), "text", "base", loose.alias("loose")).where("size(base) + size(loose) > 0")
+    rows = seeded.select("doc_id", F.xxhash64("text").alias("digest"), "text", "base", loose(text).alias("loose")).where("size(base) + size(loose) > 0")
     free = F.filter("loose", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     rows = rows.select("doc_id", "digest", "text", F.explode(F.concat("base", free)).alias("span"))
     before = F.substring(F.col("text"), F.greatest(F.col("span.start") - CONTEXT + 1, F.lit(1)), F.least(F.col("span.start"), F.lit(CONTEXT)))
@@ -130,15 +134,22 @@ def confident_patterns(candidates: DataFrame, rounds: int = ROUNDS) -> DataFrame
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``base`` and ``extra``: seed spans, and spans that the believed patterns add."""
+    """``docs`` with ``base`` and ``extra``: seed spans, and spans that the believed patterns add.
+
+    Only rows that have a looser candidate can gain a span, so only they are joined and moved; the others stay where they are.
+    """
     seeded = with_seeds(docs)
     candidates = stored(_candidates(seeded))
     believed = confident_patterns(candidates)
     unseen = candidates.where("not seed").select("doc_id", "digest", F.struct("start", "end", "rank", "value", "seed").alias("span"), F.explode("patterns").alias("pattern"), "rank")
     new = unseen.join(believed, ["pattern", "rank"], "left_semi").groupBy("doc_id", "digest").agg(F.collect_set("span").alias("new"))
     new = new.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "new")
-    out = seeded.join(new, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_digest")), "left")
-    return out.withColumn("extra", F.sort_array(F.coalesce("new", F.array().cast(_SPAN)))).drop("_id", "_digest", "new")
+    may = F.size(loose(F.coalesce("text", F.lit("")))) > 0
+    some = with_seeds(docs.where(may)).withColumn("_own", F.xxhash64("text"))
+    some = some.join(new, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest")), "left")
+    none = F.array().cast(_SPAN)
+    some = some.withColumn("extra", F.sort_array(F.coalesce("new", none))).drop("_own", "_id", "_digest", "new")
+    return some.unionByName(with_seeds(docs.where(~may)).withColumn("extra", none))
 
 
 def _text(spans: Column) -> Column:
@@ -167,7 +178,8 @@ def redacted(docs: DataFrame) -> DataFrame:
     Other columns stay as they are, but for n_chars, where there is one.
     """
     columns = docs.columns
-    rows = with_spans(docs)
+    others = [c for c in columns if c not in ("doc_id", "text", "n_chars")]
+    rows = with_spans(docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *others).alias("others")))
     kinds = F.array(*(F.lit(f"<{k}>") for k in KINDS))
     ordered = _by_place(F.concat("base", "extra"))
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
@@ -178,5 +190,5 @@ def redacted(docs: DataFrame) -> DataFrame:
 
     masked = F.aggregate(ordered, start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
     rows = rows.withColumn("_masked", F.when(F.size("base") + F.size("extra") > 0, masked).otherwise(F.col("text")))
-    new = {"text": F.col("_masked"), "n_chars": F.length("_masked").cast("long")}
-    return rows.select(*(new[c].alias(c) if c in new else F.col(c) for c in columns))
+    new = {"doc_id": F.col("doc_id"), "text": F.col("_masked"), "n_chars": F.length("_masked").cast("long")}
+    return rows.select(*((new[c] if c in new else F.col("others")[c]).alias(c) for c in columns))
