@@ -10,7 +10,7 @@ A joint between a character that isn't a space and one that is falls between two
 whatever stands around it, so such joints agree at once; cuts prefer them. Others, in texts without spaces, are mended.
 
 Reuse is per task: encodings aren't shuffled, since the ids of a passage are larger than its text. Memory is bounded
-by ``CACHE`` chunks. Decoding turns the ids into text again, chunk by chunk with the same reuse.
+by ``CACHE`` chunks and by runs of texts of 256 KB. Decoding turns the ids into text again, chunk by chunk with the same reuse.
 
 A null text counts as empty: no tokens, empty decoded text.
 """
@@ -24,6 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ from tidemark.llm import textops as T
 
 #: A chunk ends where the low bits of the hash of the last WINDOW bytes are all 0: every 2 ** BITS bytes or so.
 WINDOW, BITS, LEAST, MOST = 32, 10, 256, 8192
-CACHE = 20_000
+CACHE = 8_000
 #: Characters that a joint's new encoding reaches to each side at first.
 REACH = 24
 ARROW = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "boolean": pa.bool_()}
@@ -212,29 +213,41 @@ class Codec:
         return [raw[p:q].decode("utf-8", "replace") for p, q in zip(at, at[1:], strict=False)]
 
 
-def groups(texts: list[str], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Bounds of runs of texts of about ``limit`` characters."""
+_codecs: dict[str, Codec] = {}
+
+
+def _codec(tokenizer: dict) -> Codec:
+    """One for each tokenizer in a worker, so that tasks after the first neither load it again nor hold it twice."""
+    key = repr(sorted(tokenizer.items()))
+    if key not in _codecs:
+        _codecs.clear()
+        _codecs[key] = Codec(**tokenizer)
+    return _codecs[key]
+
+
+def groups(sizes: list[int], limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts of about ``limit`` bytes; a longer text is a run of its own or ends one."""
     lo = size = 0
-    for i, x in enumerate(texts):
-        size += len(x)
+    for i, n in enumerate(sizes):
+        size += n
         if size >= limit:
             yield lo, i + 1
             lo, size = i + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
+    if lo < len(sizes):
+        yield lo, len(sizes)
 
 
 def coded(docs: DataFrame, tokenizer: dict, schema: str, row: Callable) -> DataFrame:
     """``row(doc_id, text, ids, decoded)`` for each row of ``docs`` (doc_id, text); ``tokenizer``: what Codec takes."""
 
     def run(batches):
-        codec = Codec(**tokenizer)
+        codec = _codec(tokenizer)
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for lo, hi in groups(texts):
-                ids = codec.encode(texts[lo:hi])
-                rows = [row(*x) for x in zip(keys[lo:hi], texts[lo:hi], ids, codec.decode(ids), strict=True)]
+            for lo, hi in groups(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()):
+                part = batch.slice(lo, hi - lo)
+                texts = [x or "" for x in part.column(1).to_pylist()]
+                ids = codec.encode(texts)
+                rows = [row(*x) for x in zip(part.column(0).to_pylist(), texts, ids, codec.decode(ids), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     names = [f.split()[0] for f in schema.split(", ")]
