@@ -117,12 +117,14 @@ def mixed(docs: DataFrame, tree: Node, budget: int | float, domain: Column, max_
     ended = spark.createDataFrame([(tuple(r["leaf"]), r["end"]["bucket"], r["end"]["left"]) for r in ends], "leaf struct<domain:string,_lang:string,_source:string>, end long, left long")
 
     rows = rows.join(F.broadcast(ended), "leaf", "left")
-    full = rows.where("whole > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - 1)).alias("epoch"))
-    part = rows.where("end is not null").withColumn("epoch", F.col("whole")).select("*", *_place(F.col("epoch"), seed, F.col("buckets")))
-    inside = part.where("bucket < end").drop("bucket", "u")
+    placed = rows.select("*", *_place(F.col("whole"), seed, F.col("buckets")))
+    none = F.array().cast("array<long>")
+    before = F.when(F.col("whole") > 0, F.sequence(F.lit(0).cast("long"), F.col("whole") - 1)).otherwise(none)
+    ending = F.when(F.col("bucket") < F.col("end"), F.array("whole")).otherwise(none)
+    inside = placed.select("*", F.explode(F.concat(before, ending)).alias("epoch")).drop("bucket", "u")
     order = Window.partitionBy("leaf").orderBy("u", "doc_id", "text")
-    edge = part.where("bucket = end").withColumn("sum", F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0))).where("sum <= left").drop("bucket", "u", "sum")
-    out = full.unionByName(inside).unionByName(edge)
+    edge = placed.where("bucket = end").withColumn("epoch", F.col("whole")).withColumn("sum", F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0))).where("sum <= left").drop("bucket", "u", "sum")
+    out = inside.unionByName(edge)
     return out.drop("leaf", "whole", "rest", "buckets", "end", "left", "_lang", "_source")
 
 
