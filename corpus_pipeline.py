@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, minhash, mixing, pii, toxicity
 from tidemark.llm.common import documents, stored
@@ -31,8 +32,9 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the token budget buys by target weights; one that is needed for two epochs comes twice."""
-    columns = docs.columns
-    return mixing.mixed(docs, mixing_tree(docs), BUDGET, domain()).select(columns)
+    aside = {c: f"own_{i}_{c}" for i, c in enumerate(docs.columns) if c.lower() in mixing.ADDED}
+    mixed = mixing.mixed(docs.withColumnsRenamed(aside), mixing_tree(docs), BUDGET, domain())
+    return mixed.select(*(F.col(aside.get(c, c)).alias(c) for c in docs.columns))
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

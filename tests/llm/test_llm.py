@@ -302,6 +302,19 @@ def test_mixing_equals_brute_force(spark):
     assert mixing.mixed(docs.limit(0), tree, 10, F.substring("source", 1, 1)).count() == 0
 
 
+def test_mixing_keeps_columns_of_clashing_names(spark):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    names = ("leaf", "whole", "rest", "bucket", "buckets", "end", "left", "sum", "u", "_lang", "_source", "mix_leaf", "n_tokens", "domain", "epoch")
+    wide = docs.select("*", *(F.lit(n).alias(n) for n in names))
+    got, plain = P.mix_sources(spark, wide, ""), P.mix_sources(spark, docs, "")
+    assert got.columns == wide.columns and plain.columns == docs.columns
+    rows = got.collect()
+    assert all(r[n] == n for r in rows for n in names)
+    assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in plain.collect())
+
+
 def test_warc_records(spark):
     pages = spark.createDataFrame([(1, "http://a/", "<html><head><title>T &amp; U</title></head><body><p>One <a href='x'>two</a></p><script>no</script><!-- no -->&lt;b&gt;</body></html>", "extra"), (None, None, None, None)], "page_id long, url string, html string, block string")
     made_ = warc.derivatives(warc.responses(pages)).collect()

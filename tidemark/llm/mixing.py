@@ -11,6 +11,7 @@ bucket a leaf's budget ends; only the rows of that bucket are summed one by one.
 Nulls and edge cases: null domain, language or source count as ''. Leaves that the tree lacks get nothing, and so do
 texts without words. A document that is larger than what remains of its leaf's budget ends the prefix. Repeated rows are
 documents of their own, ordered by id, then text. Without documents or budget nothing is selected.
+Extra columns stay, whatever their names; only those called domain, epoch or n_tokens give way to the operator's own.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEVELS = ("domain", "lang", "source")
+#: The columns that the result has besides the documents' own.
+ADDED = ("domain", "epoch", "n_tokens")
 #: Rows that a bucket of a leaf's order should have at most, and the most buckets there are.
 BUCKET_ROWS, MOST_BUCKETS = 5_000, 1 << 20
 
@@ -80,52 +83,46 @@ def _in(node: Node, path: tuple) -> bool:
     return not node.children
 
 
-def _place(epoch: Column, seed: int, buckets: Column) -> list[Column]:
-    """The bucket and the order in it of a document in an epoch."""
-    u = F.xxhash64(F.lit(seed), epoch, F.col("doc_id"))
-    return [F.pmod(F.shiftrightunsigned(u, 20), buckets).alias("bucket"), u.alias("u")]
-
-
 def mixed(docs: DataFrame, tree: Node, budget: int | float, domain: Column, max_epochs: int = 2, seed: int = 17) -> DataFrame:
     """The selected rows of ``docs`` (doc_id, text, lang, source, ...), with epoch, n_tokens and domain.
 
     ``budget``: tokens, or as a float the share of all tokens of the tree's leaves. What comes to the driver is one row
     a leaf, so as many as the table has sources in a language and domain.
     """
-    if "n_tokens" in docs.columns or "domain" in docs.columns or "epoch" in docs.columns:
-        docs = docs.drop("n_tokens", "domain", "epoch")
-    clear = {x: F.coalesce(F.col(x), F.lit("")).alias(f"_{x}") for x in ("lang", "source")}
-    rows = docs.select("*", F.coalesce(domain, F.lit("")).alias("domain"), *clear.values(), n_tokens(F.col("text")).alias("n_tokens"))
-    leaf = F.struct("domain", "_lang", "_source").alias("leaf")
-    totals = rows.groupBy("domain", "_lang", "_source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).collect()
-    have = {(r[0], r[1], r[2]): r["tokens"] for r in totals if r["tokens"] and _in(tree, (r[0], r[1], r[2]))}
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in ADDED))
+    own = "mix_"
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own += "_"
+    lang_, source_, leaf, whole, rest, buckets, bucket, order, end, left = (own + x for x in ("lang", "source", "leaf", "whole", "rest", "buckets", "bucket", "order", "end", "left"))
+    clear = [F.coalesce(F.col(x), F.lit("")).alias(y) for x, y in (("lang", lang_), ("source", source_))]
+    rows = docs.select("*", F.coalesce(domain, F.lit("")).alias("domain"), *clear, n_tokens(F.col("text")).alias("n_tokens"))
+    totals = rows.groupBy("domain", lang_, source_).agg(F.sum("n_tokens"), F.count(F.lit(1))).collect()
+    have = {(d, x, s): tokens for d, x, s, tokens, _ in totals if tokens and _in(tree, (d, x, s))}
     if isinstance(budget, float):
         budget = int(budget * sum(have.values()))
     shares = leaf_budgets(tree, {k: v * max_epochs for k, v in have.items()}, budget) if have else {}
-    counts = {(r[0], r[1], r[2]): r["n"] for r in totals}
+    counts = {(d, x, s): n for d, x, s, _, n in totals}
     plan = [(k, shares[k] // have[k], shares[k] % have[k], min(MOST_BUCKETS, 1 + counts[k] // BUCKET_ROWS)) for k in have if shares.get(k)]
     spark = docs.sparkSession
-    planned = spark.createDataFrame(plan, "leaf struct<domain:string,_lang:string,_source:string>, whole long, rest long, buckets long")
-    rows = rows.where("n_tokens > 0").withColumn("leaf", leaf).join(F.broadcast(planned), "leaf")  # one row a leaf
+    planned = spark.createDataFrame(plan, f"{leaf} struct<domain:string,{lang_}:string,{source_}:string>, {whole} long, {rest} long, {buckets} long")
+    rows = rows.where("n_tokens > 0").withColumn(leaf, F.struct("domain", lang_, source_)).join(F.broadcast(planned), leaf)  # one row a leaf
+    hashed = F.xxhash64(F.lit(seed), F.col(whole), F.col("doc_id"))
+    place = (F.pmod(F.shiftrightunsigned(hashed, 20), F.col(buckets)).alias(bucket), hashed.alias(order))
 
     # where in its last epoch each leaf's budget ends: before which bucket, and with what left for that one
-    last = rows.select("leaf", "whole", "rest", "n_tokens", *_place(F.col("whole"), seed, F.col("buckets")))
-    upto = Window.partitionBy("leaf").orderBy("bucket")
-    sums = last.groupBy("leaf", "rest", "bucket").agg(F.sum("n_tokens").alias("tokens")).withColumn("sum", F.sum("tokens").over(upto))
-    ends = sums.where("sum > rest").groupBy("leaf").agg(F.min(F.struct("bucket", (F.col("rest") - F.col("sum") + F.col("tokens")).alias("left"))).alias("end"))
-    ends = ends.collect()
-    ended = spark.createDataFrame([(tuple(r["leaf"]), r["end"]["bucket"], r["end"]["left"]) for r in ends], "leaf struct<domain:string,_lang:string,_source:string>, end long, left long")
-
-    rows = rows.join(F.broadcast(ended), "leaf", "left")
-    placed = rows.select("*", *_place(F.col("whole"), seed, F.col("buckets")))
+    upto = Window.partitionBy(leaf).orderBy(bucket)
+    sums = rows.select(leaf, rest, "n_tokens", *place).groupBy(leaf, rest, bucket).agg(F.sum("n_tokens").alias("tokens")).withColumn("sum", F.sum("tokens").over(upto))
+    ends = sums.where(F.col("sum") > F.col(rest)).groupBy(leaf).agg(F.min(F.struct(bucket, F.col(rest) - F.col("sum") + F.col("tokens"))).alias("end")).collect()
+    ended = spark.createDataFrame([(tuple(r[leaf]), r["end"][0], r["end"][1]) for r in ends], f"{leaf} struct<domain:string,{lang_}:string,{source_}:string>, {end} long, {left} long")
+
+    placed = rows.join(F.broadcast(ended), leaf, "left").select("*", *place)
     none = F.array().cast("array<long>")
-    before = F.when(F.col("whole") > 0, F.sequence(F.lit(0).cast("long"), F.col("whole") - 1)).otherwise(none)
-    ending = F.when(F.col("bucket") < F.col("end"), F.array("whole")).otherwise(none)
-    inside = placed.select("*", F.explode(F.concat(before, ending)).alias("epoch")).drop("bucket", "u")
-    order = Window.partitionBy("leaf").orderBy("u", "doc_id", "text")
-    edge = placed.where("bucket = end").withColumn("epoch", F.col("whole")).withColumn("sum", F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0))).where("sum <= left").drop("bucket", "u", "sum")
-    out = inside.unionByName(edge)
-    return out.drop("leaf", "whole", "rest", "buckets", "end", "left", "_lang", "_source")
+    before = F.when(F.col(whole) > 0, F.sequence(F.lit(0).cast("long"), F.col(whole) - 1)).otherwise(none)
+    ending = F.when(F.col(bucket) < F.col(end), F.array(whole)).otherwise(none)
+    inside = placed.select("*", F.explode(F.concat(before, ending)).alias("epoch"))
+    sofar = Window.partitionBy(leaf).orderBy(order, "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)
+    edge = placed.where(F.col(bucket) == F.col(end)).withColumn("epoch", F.col(whole)).withColumn(own, F.sum("n_tokens").over(sofar)).where(F.col(own) <= F.col(left)).drop(own)
+    return inside.unionByName(edge).drop(leaf, whole, rest, buckets, bucket, order, end, left, lang_, source_)
 
 
 def default_tree(spark_rows: list[tuple[str, str, str]], domains: dict[str, float], langs: dict[str, float]) -> Node:
