@@ -79,6 +79,26 @@ def test_alignment_is_increasing():
     assert folds.monotonic_path(np.eye(4, dtype=np.float32), 0.5, 0.015, 0.01, 20) == [(i, i) for i in range(4)]
 
 
+def test_partition_covers_all_orders(spark, tmp_path):
+    import itertools
+    import random
+
+    rnd = random.Random(12)
+    orders = [(1 + 97 * i, rnd.choice([1, 2, 3, 4, 5, 5, 5]), rnd.randint(1, 900) / 4) for i in range(40)] + [(9000, 6, 2.0)]
+    pd.DataFrame(orders, columns=["o_orderkey", "o_custkey", "o_totalprice"]).to_parquet(tmp_path / "orders.parquet")
+    got = {(r["title"], r["pos"]): r["part"] for r in catalog.QUERIES["partition_dp"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(orders)
+    for title in {c for _, c, _ in orders}:
+        clips = sorted((k, d) for k, c, d in orders if c == title)
+        n, parts = len(clips), min(4, len(clips))
+        want = sum(d for _, d in clips) / parts
+        loss = lambda cuts: sum((sum(d for _, d in clips[a:b]) / want - 1) ** 2 for a, b in zip((0, *cuts), (*cuts, n), strict=True))
+        found = [got[title, k] for k, _ in clips]
+        assert found == sorted(found) and set(found) == set(range(1, parts + 1))
+        cuts = tuple(i for i in range(1, n) if found[i] != found[i - 1])
+        assert loss(cuts) == pytest.approx(min(map(loss, itertools.combinations(range(1, n), parts - 1))))
+
+
 def test_readers_and_writers(spark, tmp_path):
     (tmp_path / "a.srt").write_text("1\n00:00:01,000 --> 00:00:02,500\nOne\nline\n\nbroken\n\n2\n00:00:03,000 --> 00:00:03,400\nTwo\n", encoding="utf-8")
     cues = readers.srt(spark, str(tmp_path / "a.srt"))

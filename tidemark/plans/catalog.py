@@ -439,7 +439,7 @@ def monotonic_align(t):
 
 @query()
 def partition_dp(t):
-    clips = t.orders.where("o_orderkey < 400").select((F.col("o_orderkey") % 5).alias("title"), F.col("o_orderkey").alias("pos"), F.col("o_totalprice").alias("dur"))
+    clips = t.orders.select(F.col("o_custkey").alias("title"), F.col("o_orderkey").alias("pos"), F.col("o_totalprice").alias("dur"))
     return folds.partition_clips(clips, 4, 1.0)
 
 
