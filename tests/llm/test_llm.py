@@ -229,6 +229,29 @@ def test_toxicity_restores_and_separates(spark):
     assert all(0 <= r["score"] <= 1 for r in got) and all(r["score"] < 0.5 for r in got if r["doc_id"] >= 1000)
 
 
+def test_toxicity_decodes_any_length_in_any_company():
+    words = ["you", "are", "such", "garden", "window", "music", "stupid", "weather"]
+    counts = np.zeros((28, 28, 28), np.int64)
+    for w in words:
+        c = [0, *(ord(x) - 96 for x in w), 0, 0]
+        for a, b, d in zip([0, *c], c, c[1:], strict=False):
+            counts[a, b, d] += 500 * bool(b or d)
+    restorer = toxicity.Restorer(counts)
+
+    def found(*texts):
+        raw = [t.encode() for t in texts]
+        row, hashes = toxicity.features(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in raw]))), restorer)
+        return [set(hashes[row == i, 0].tolist()) for i in range(len(texts))]
+
+    stupid = found("stupid")[0]
+    spaced = " ".join("youaresuchstupidgardenwindowmusicweather" * 3)
+    hidden = [spaced, "st" + "u" * 90 + "pid", "s t u p 1 d", "5 t u p 1 d", "5.t.u.p.i.d", "s t u p ! d", "-".join("youaresuchstupidgardenwindowmusicweather")]
+    for t in hidden:
+        assert stupid <= found(t)[0], t
+        assert found(t, "I am", t, "a b", t)[::2] == [found(t)[0]] * 3
+    assert found("3 1 0 4", "hello!!", "a | b")[0] == set() and found("hello!!")[0] == found("hello")[0]
+
+
 def test_toxicity_without_labels(spark, empty):
     model = toxicity.fitted(empty, spark.createDataFrame([], "doc_id long, toxic int"))
     assert spark.createDataFrame([("some words",)], "text string").select(toxicity.score(model)).first()[0] < 0.5

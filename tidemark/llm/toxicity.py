@@ -2,7 +2,8 @@
 
 1. A character trigram model is counted over all given texts (its table has at most 28 ** 3 entries).
 2. Words that look disguised - digits or signs among letters, letters drawn out or spaced out - become lattices: each
-   character may be itself, a letter it resembles, or nothing. A Viterbi search finds the likeliest plain word.
+   character may be itself, a letter it resembles, or nothing; in long words and in letters spaced out, a new word may
+   begin at any letter. A Viterbi search finds the likeliest plain words, whatever the length.
 3. Words and word beginnings of the restored text get weights: the log odds of labelled documents that have them.
    The weights of a text's five heaviest words are summed and turned into a probability by logistic regression.
 
@@ -28,8 +29,9 @@ from tidemark.llm.common import blocks, stored
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
 #: Characters that may stand between the letters of a disguised word.
 SEPARATORS = ".-_*~'`^"
-#: Costs, in nats, of a letter for a look-alike, of dropping a separator and of dropping a repeated letter.
-SWAP, DROP, SHRINK = 0.4, 0.2, 0.3
+#: Costs, in nats, of a letter for a look-alike, of dropping a separator, of dropping a repeated letter, of a new word.
+SWAP, DROP, SHRINK, BREAK = 0.4, 0.2, 0.3, 1.0
+#: LONGEST: bytes beyond which a disguised word can be several words.
 LONGEST, SPACED, HEAVIEST = 40, 4, 5
 BEGINNINGS = (4, 5, 6)
 _SYMBOLS = 28  # blank, a-z, any other letter
@@ -38,6 +40,10 @@ _letter = np.zeros(256, bool)
 _letter[97:123] = _letter[0x80:] = True
 _edge = np.zeros(256, bool)
 _edge[[ord(c) for c in LOOKALIKES if c not in "!|+"]] = True
+_like = _letter.copy()  # letters and what stands for them
+_like[[ord(c) for c in LOOKALIKES]] = True
+_stop = ~_like  # what no disguise is made of
+_stop[[ord(c) for c in SEPARATORS]] = False
 _code = np.zeros(256, np.int64)
 _code[97:123] = np.arange(1, 27)
 _code[0xC0:] = 27
@@ -78,7 +84,7 @@ class Restorer:
         bi = n.sum(0) + 2 * uni / uni.sum()
         tri = n + 4 * bi / bi.sum(1, keepdims=True)
         self.logs = np.log(tri / tri.sum(2, keepdims=True)).tolist()
-        self.kept: dict[str, str] = {}
+        self.kept: dict[tuple[str, bool], str] = {}
 
     def options(self, word: str, i: int) -> list[tuple[str, float]]:
         c = word[i]
@@ -88,30 +94,46 @@ class Restorer:
         found = [(x, SWAP) for x in LOOKALIKES.get(c, "")]
         return found + [("", DROP if c in SEPARATORS else 3.0)]
 
-    def restore(self, word: str) -> str:
-        if word in self.kept:
-            return self.kept[word]
+    def restore(self, word: str, several: bool = False) -> str:
+        """The likeliest plain word; ``several``: words, with blanks between them."""
+        if (word, several) in self.kept:
+            return self.kept[word, several]
         logs = self.logs
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}  # score, and (what came before, letters)
         for i in range(len(word)):
-            after: dict[tuple[int, int], tuple[float, str]] = {}
+            after: dict[tuple[int, int], tuple[float, tuple]] = {}
+            options = self.options(word, i)
             for (p, q), (score, out) in states.items():
-                for x, cost in self.options(word, i):
+                for x, cost in options:
                     if x:
                         r = ord(x) - 96 if "a" <= x <= "z" else 27
-                        key, new = (q, r), (score - cost + logs[p][q][r], out + x)
+                        made = [((q, r), (score - cost + logs[p][q][r], (out, x)))]
+                        if several and q:
+                            made.append(((0, r), (score - cost - BREAK + logs[p][q][0] + logs[0][0][r], (out, " " + x))))
                     else:
-                        key, new = (p, q), (score - cost - 1.5, out)
-                    if key not in after or new[0] > after[key][0]:
-                        after[key] = new
+                        made = [((p, q), (score - cost - 1.5, out))]
+                    for key, new in made:
+                        if key not in after or new[0] > after[key][0]:
+                            after[key] = new
             states = after
-        best = max(states.items(), key=lambda s: (s[1][0] + logs[s[0][0]][s[0][1]][0], s[1][1]))[1][1]
-        if len(self.kept) > 200_000:
-            self.kept.clear()
-        self.kept[word] = best
+        ends = [(score + logs[p][q][0], out) for (p, q), (score, out) in states.items()]
+        most = max(score for score, _ in ends)
+        best = max(_spelt(out) for score, out in ends if score == most)
+        if len(word) <= LONGEST:
+            if len(self.kept) > 200_000:
+                self.kept.clear()
+            self.kept[word, several] = best
         return best
 
 
+def _spelt(out: tuple) -> str:
+    letters = []
+    while out:
+        out, x = out
+        letters.append(x)
+    return "".join(reversed(letters))
+
+
 def features(data: np.ndarray, offsets: np.ndarray, restorer: Restorer) -> tuple[np.ndarray, np.ndarray]:
     """The row of each word of the restored text, and the hashes of the word and of its beginnings (0: too short)."""
     low = T.lower_ascii(data)
@@ -122,29 +144,46 @@ def features(data: np.ndarray, offsets: np.ndarray, restorer: Restorer) -> tuple
         return np.empty(0, np.int64), np.empty((0, 1 + len(BEGINNINGS)), np.uint64)
     i, j = np.searchsorted(letters, start), np.searchsorted(letters, end)
     has = j > i
+    sign = ~has & (end - start == 1)  # look-alikes that are words by themselves
+    sign[sign] = _like[low[start[sign]]]
+    alone, alone_row = start[sign], row[sign]
     start, end, row, i, j = start[has], end[has], row[has], i[has], j[has]
     first, last = letters[i], letters[j - 1] + 1
     drawn = np.zeros(len(low) + 1, np.int64)
     if len(low) > 2:
         drawn[3:] = (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2]) & _letter[low[2:]]
     drawn = np.cumsum(drawn)
-    disguised = (j - i < last - first) | (drawn[last] > drawn[np.minimum(first + 2, last)])
-    before, behind = first - start, end - last
-    lead = (before > 0) & (before <= 2) & _edge[low[first - (before > 0)]]
-    tail = (behind > 0) & (behind <= 2) & _edge[low[np.minimum(last, len(low) - 1)]]
-    disguised = (disguised | lead | tail) & (end - start <= LONGEST) & (last - first > 1)
+    # from the first to the last letter or look-alike that only letters, look-alikes and separators part from a letter
+    ends = np.flatnonzero(_letter[low] | _edge[low])
+    stops = np.concatenate(([-1], np.flatnonzero(_stop[low]), [len(low)]))
+    p = ends[np.searchsorted(ends, np.maximum(start, stops[np.searchsorted(stops, first) - 1] + 1))]
+    q = ends[np.searchsorted(ends, np.minimum(end, stops[np.searchsorted(stops, last)])) - 1] + 1
+    disguised = (j - i < q - p) | (drawn[last] > drawn[np.minimum(first + 2, last)])
+    disguised &= q - p > 1
     prefix = T.prefix_sums(low)
     rows, found = [row[~disguised]], [_hashes(prefix, first[~disguised], last[~disguised])]
     extra: list[tuple[int, str]] = []
+
+    def restored(r: int, raw: np.ndarray, several: bool) -> None:
+        extra.extend((r, x) for x in restorer.restore(raw.tobytes().decode("utf-8", "replace"), several).split(" "))
+
     for k in np.flatnonzero(disguised):
-        p, q = (start[k] if lead[k] else first[k]), (end[k] if tail[k] else last[k])
-        extra.append((row[k], restorer.restore(low[p:q].tobytes().decode("utf-8", "replace"))))
-    single = last - first == 1
+        restored(row[k], low[p[k] : q[k]], q[k] - p[k] > LONGEST)
+    single = q - p == 1
     if single.any():  # letters spaced out
-        run = np.flatnonzero(np.diff(np.concatenate(([0], single.astype(np.int8), [0]))))
-        for p, q in zip(run[::2], run[1::2], strict=True):
-            if q - p >= SPACED and q - p <= LONGEST and row[p] == row[q - 1]:
-                extra.append((row[p], restorer.restore(low[first[p:q]].tobytes().decode("utf-8", "replace"))))
+        at = np.concatenate((first, alone))
+        order = np.argsort(at)
+        at, row, single, letter = at[order], np.concatenate((row, alone_row))[order], np.concatenate((single, np.ones(len(alone), bool)))[order], _letter[low[at[order]]]
+        solid = letter | _edge[low[at]]
+        first_of = np.concatenate(([True], row[1:] != row[:-1]))  # runs end with their text
+        cuts = np.flatnonzero(first_of | np.concatenate(([True], single[1:] != single[:-1])))
+        for a, b in zip(cuts, np.concatenate((cuts[1:], [len(at)])), strict=True):
+            if b - a < SPACED or not single[a] or not letter[a:b].any():
+                continue
+            inner = a + np.flatnonzero(solid[a:b])
+            run = at[inner[0] : inner[-1] + 1]
+            if len(run) >= SPACED:
+                restored(row[a], low[run], True)
     extra = [(r, x) for r, x in extra if x]
     if extra:
         joined = np.frombuffer("".join(x for _, x in extra).encode(), np.uint8)
