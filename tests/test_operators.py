@@ -69,6 +69,13 @@ def test_frames_become_one_cue(spark):
     assert [(r["s"], r["e"], r["text"]) for r in got] == [(0, SEC, "你好")]
 
 
+def test_frame_merge_compares_whole_texts(spark, tmp_path):
+    turns = [(1, 0, "Same start here, then a quiet walk by the river"), (1, 1, "Same start here. NOTHING ELSE IS LIKE IT AT ALL!"), (2, 0, "A long line of words that hardly changes"), (2, 1, "A long line of words that hardly changes.")]
+    pd.DataFrame(turns, columns=["conv_id", "turn", "text"]).to_parquet(tmp_path / "conversations.parquet")
+    got = catalog.QUERIES["frame_merge"](spark, str(tmp_path))
+    assert rows(got, "conv_id", "s", "text") == [(1, 0, turns[0][2]), (1, 333_333, turns[1][2]), (2, 0, turns[3][2])]
+
+
 def test_alignment_is_increasing():
     import numpy as np
 
