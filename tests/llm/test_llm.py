@@ -351,6 +351,12 @@ def test_warc_records(spark):
     assert all(x.startswith("WARC/1.1\r\nWARC-Type: ") and "WARC-Refers-To: <urn:uuid:" in x for x in lines)
 
 
+def test_warc_keeps_page_headers(spark):
+    pages = ["<head data-x='1'><title>T</title></head\n><body><header class='a'><h1>Top</h1>by me</header><p>Body</p></body>", "<head><title>T</title><body><header>Top</header><p>Body</p>", "<scripted>One</scripted><styled>two</styled><script>no</script ><STYLE type='x'>no</STYLE>"]
+    got = spark.createDataFrame(list(enumerate(pages)), "k int, html string").select("k", warc.plain_text(F.col("html")).alias("t")).collect()
+    assert {r["k"]: r["t"] for r in got} == {0: "Top\nby meBody", 1: "T\nTopBody", 2: "Onetwo"}
+
+
 def test_empty_tables(empty):
     assert suffix.deduplicated(empty).count() == 0
     assert bpe.digests(empty, TOKENIZER).count() == 0

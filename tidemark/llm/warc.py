@@ -3,7 +3,7 @@
 A response record is a row: its id, target, date, the HTTP head and the payload. Two records are derived from it:
 
 * ``metadata``: a JSON block of the response's headers, its payload's digest and length, the page's title, and counts;
-* ``conversion``: the page's plain text (script, style, comments and tags removed, entities of HTML's core decoded).
+* ``conversion``: the page's plain text (script, style, head, comments and tags removed, entities of HTML's core decoded).
 
 Both refer to the response (WARC-Refers-To), repeat its target and date, and carry the source's payload digest; their own
 blocks have digests and lengths. Ids are made from the response's id and the record type, so runs repeat exactly.
@@ -17,12 +17,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Steps from HTML to text: pattern and what replaces it (fixed values; the same in the SQL).
+#: Elements that go with their content; their names are matched whole, so that <head> isn't <header>.
+GONE = ("script", "style", "head")
+#: Steps from HTML to text: pattern and what replaces it (fixed values).
 STEPS = (
     (r"(?s)<!--.*?-->", ""),
-    (r"(?is)<script[^>]*>.*?</script[^>]*>", ""),
-    (r"(?is)<style[^>]*>.*?</style[^>]*>", ""),
-    (r"(?is)<head[^>]*>.*?</head[^>]*>", ""),
+    *((rf"(?is)<{name}([\s/][^>]*)?>.*?</{name}([\s/][^>]*)?>", "") for name in GONE),
     (r"(?i)<(br|/p|/div|/li|/h[1-6]|/tr|/title|/article|/nav|/ul)[^>]*>", "\n"),
     (r"(?s)<[^>]*>", ""),
     (r"&nbsp;", " "),
@@ -36,6 +36,8 @@ STEPS = (
     (r"^[ \n]+", ""),
     (r"[ \n]+$", ""),
 )
+#: The SQL's steps. It takes <header> for <head> and differs from STEPS on pages that have one.
+SQL_STEPS = (STEPS[0], *((rf"(?is)<{name}[^>]*>.*?</{name}[^>]*>", "") for name in GONE), *STEPS[4:])
 DATE = "2024-01-01T00:00:00Z"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 
@@ -88,7 +90,7 @@ def serialised(records: DataFrame) -> DataFrame:
 
 def _sql_text(column: str) -> str:
     out = column
-    for pattern, new in STEPS:
+    for pattern, new in SQL_STEPS:
         quoted = pattern.replace("'", "''")
         fresh = "chr(10)" if new == "\n" else "'" + new.replace("'", "''") + "'"
         out = f"regexp_replace({out}, '{quoted}', {fresh}, 'g')"
