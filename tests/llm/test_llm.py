@@ -325,6 +325,19 @@ def test_mixing_equals_brute_force(spark):
     assert mixing.mixed(docs.limit(0), tree, 10, F.substring("source", 1, 1)).count() == 0
 
 
+def test_mixing_reaches_unlisted_names(spark):
+    from tidemark.llm import queries
+
+    kinds = [(x, s) for x in ("en", "it", None) for s in ("src1", "src2", "web", None)]
+    rows = [(i, "one two three", *kinds[i % len(kinds)]) for i in range(240)] + [(999, " ", "en", "src1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    tree = queries.mixing_tree(docs)
+    every = mixing.mixed(docs, tree, 10**6, queries.domain(), max_epochs=1).collect()
+    assert sorted(r["doc_id"] for r in every) == list(range(240))
+    part = mixing.mixed(docs, tree, queries.BUDGET, queries.domain()).collect()
+    assert {(r["lang"], r["source"]) for r in part} == set(kinds) and 720 * queries.BUDGET - 36 < sum(r["n_tokens"] for r in part) <= 720 * queries.BUDGET
+
+
 def test_mixing_keeps_columns_of_clashing_names(spark):
     import corpus_pipeline as P
 

@@ -125,11 +125,13 @@ def mixed(docs: DataFrame, tree: Node, budget: int | float, domain: Column, max_
     return inside.unionByName(edge).drop(leaf, whole, rest, buckets, bucket, order, end, left, lang_, source_)
 
 
-def default_tree(spark_rows: list[tuple[str, str, str]], domains: dict[str, float], langs: dict[str, float]) -> Node:
-    """A tree with weighted domains and languages and sources of equal weight, from (domain, lang, source) triples."""
+def default_tree(spark_rows: list[tuple[str, str, str]], domains: dict[str, float], langs: dict[str, float], other: float) -> Node:
+    """A tree with weighted domains and languages and sources of equal weight, from (domain, lang, source) triples.
+
+    ``other``: the weight of each domain or language that isn't listed, the empty one included.
+    """
     tree = Node()
     for d, lang, source in sorted(set(spark_rows)):
-        if d in domains and lang in langs:
-            at = tree.children.setdefault(d, Node(domains[d])).children.setdefault(lang, Node(langs[lang]))
-            at.children.setdefault(source, Node())
+        at = tree.children.setdefault(d, Node(domains.get(d, other))).children.setdefault(lang, Node(langs.get(lang, other)))
+        at.children.setdefault(source, Node())
     return tree

@@ -14,6 +14,8 @@ from tidemark.llm.common import documents
 TOKENIZER = {"path": public_tokenizers.path("byte_bpe_50k.json"), "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
 #: Target weights of the mixing query: domains by the source's number, then languages; sources alike.
 DOMAINS, LANGS = {"d0": 0.5, "d1": 0.3, "d2": 0.2}, {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
+#: The weight of each domain or language that the target weights don't list, the empty one included.
+OTHER = 0.1
 BUDGET = 0.6
 
 
@@ -23,7 +25,7 @@ def domain():
 
 def mixing_tree(docs: DataFrame) -> mixing.Node:
     leaves = docs.select(F.coalesce(domain(), F.lit("")).alias("d"), F.coalesce("lang", F.lit("")).alias("l"), F.coalesce("source", F.lit("")).alias("s")).distinct().collect()
-    return mixing.default_tree([tuple(x) for x in leaves], DOMAINS, LANGS)
+    return mixing.default_tree([tuple(x) for x in leaves], DOMAINS, LANGS, OTHER)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
