@@ -270,6 +270,23 @@ def test_language_on_held_out_texts(spark):
     assert language.identify(docs, {}).first()["lang_pred"] == "und"
 
 
+def test_language_letters_have_codes_of_their_own(spark):
+    twin = str.maketrans({c: chr(ord(c) + 511) for c in "абвгдежзик"})
+    base = ["абв где жзи", "где абв зик", "киз вба едг"]
+    assert all(c.translate(twin).isalpha() for c in "абвгдежзик")
+    rows = [(i, t.translate(twin) if k else t, "yy" if k else "xx") for i, (t, k) in enumerate((t, k) for t in base * 5 for k in (0, 1))]
+    docs = spark.createDataFrame([*rows, (97, "𝒳𝒴 𠀀𠀁 𠀂", "zz"), (98, "😀🎉 12 ?! 🚀", "zz"), (99, "😀🎉 12", None)], "doc_id long, text string, lang string")
+    got = ids(language.identify(docs, language.learn(docs)).collect())
+    assert [got[i]["lang_pred"] for i, *_ in rows] == [x for *_, x in rows] and all(got[i]["score"] > 0 for i, *_ in rows)
+    assert got[97]["lang_pred"] == "zz" and [(got[i]["lang_pred"], got[i]["score"]) for i in (98, 99)] == [("und", 0.0)] * 2
+    many = "".join(chr(c) for c in range(0x4E00, 0x9FA5)) + "".join(chr(c) for c in range(0x20000, 0x2A000))
+    texts = [many, *["ab"] * 9000]
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts])))
+    row, gram, n, has = language.gram_counts(data, offsets)
+    assert has.all() and (n[row == 0] == 1).all() and len(np.unique(gram[row == 0])) == (row == 0).sum() == 3 * len(many) + 1
+    assert gram[row == 9000].tolist() == language.gram_counts(data[-2:], np.array([0, 2]))[1].tolist()
+
+
 def test_fingerprints(odd):
     rows, docs = odd
     got = ids(fingerprint.fingerprints(docs).collect())

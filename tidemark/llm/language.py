@@ -21,17 +21,16 @@ from tidemark.llm.common import blocks
 
 #: N-grams in a language's profile, and n-grams of a text that are compared.
 PROFILE, OWN = 400, 150
-_CODE = 9  # bits of a character's code in an n-gram
+_CODE = 18  # bits of a character's code in an n-gram: all letters are below U+40000
 
 
 def _letter_table() -> np.ndarray:
-    """Code of each UTF-16 unit: 0 for what isn't a letter, else the lower-case letter's, folded to 1..511."""
-    table = np.zeros(1 << 16, np.int64)
-    for unit in range(1 << 16):
-        c = chr(unit)
+    """Code of each character: 0 for what isn't a letter, else the lower-case letter's code point."""
+    table = np.zeros(1 << _CODE, np.int64)
+    for point in range(1 << _CODE):
+        c = chr(point)
         if c.isalpha():
-            low = c.lower()
-            table[unit] = 1 + ord(low[0]) % 511
+            table[point] = ord(c.lower()[0])
     return table
 
 
@@ -39,39 +38,63 @@ _letters: list[np.ndarray] = []
 
 
 def letter_codes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Code of every character and the byte at which it starts; letters beyond the basic plane count as one."""
+    """Code of every character and the byte at which it starts."""
     if not _letters:
         _letters.append(_letter_table())
     at = np.flatnonzero((data & 0xC0) != 0x80)
     lead = data[at].astype(np.int64)
     padded = np.concatenate((data, np.zeros(3, np.uint8))).astype(np.int64)
     one, two = padded[at + 1] & 63, padded[at + 2] & 63
-    unit = np.where(lead < 0x80, lead, np.where(lead < 0xE0, (lead & 31) << 6 | one, (lead & 15) << 12 | one << 6 | two))
-    return np.where(lead >= 0xF0, 511, _letters[0][np.minimum(unit, 0xFFFF)]), at
+    point = np.where(lead < 0x80, lead, np.where(lead < 0xE0, (lead & 31) << 6 | one, (lead & 15) << 12 | one << 6 | two))
+    far = np.flatnonzero(lead >= 0xF0)
+    point[far] = (lead[far] & 7) << 18 | one[far] << 12 | two[far] << 6 | padded[at[far] + 3] & 63
+    return np.where(point < 1 << _CODE, _letters[0][np.minimum(point, (1 << _CODE) - 1)], 0), at
 
 
-def gram_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys row << 32 | gram of all n-grams of the rows, unsorted, and which rows have a letter."""
+def gram_counts(data: np.ndarray, offsets: np.ndarray, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Group, n-gram and count, sorted by group and n-gram, and which rows have a letter. ``group``: of each row; itself if none."""
     codes, at = letter_codes(data)
     row = np.searchsorted(offsets, at, "right") - 1
     n = len(codes)
-    code = np.concatenate((codes, [0, 0, 0]))
-    owner = np.concatenate((row, [-1, -1, -1]))
     has = np.zeros(len(offsets) - 1, bool)
     has[row[codes > 0]] = True
-    found = []
+    # the block's letters by number, in order, so that group and n-gram share one key
+    seen = np.zeros(1 << _CODE, bool)
+    seen[codes] = seen[0] = True
+    letters = np.flatnonzero(seen)
+    number = np.zeros(1 << _CODE, np.int64)
+    number[letters] = np.arange(len(letters))
+    codes = number[codes]
+    bits = max(1, int(len(letters) - 1).bit_length())
+    code = np.concatenate((codes, [0, 0, 0]))
+    owner = np.concatenate((row, [-1, -1, -1]))
     previous = np.concatenate(([0], codes))[:-1]
     previous[1:][row[1:] != row[:-1]] = 0
-    follows = [np.where(owner[k : n + k] == row, code[k : n + k], 0) for k in range(3)]
-    a, b, c = follows
-    high = row << 32
+    a, b, c = (np.where(owner[k : n + k] == row, code[k : n + k], 0) for k in range(3))
+    kind = 3 * bits
     letter = a > 0
-    found.append((high | a)[letter])
-    found.append((high | 1 << 29 | a << _CODE | b)[letter])
-    found.append((high | 1 << 29 | a)[letter & (previous == 0)])  # blank before a word
-    found.append((high | 2 << 29 | a << 2 * _CODE | b << _CODE | c)[letter & (b > 0)])
-    found.append((high | 2 << 29 | a << _CODE | b)[letter & (previous == 0)])
-    return np.concatenate(found), has
+    begins = letter & (previous == 0)
+    parts = [
+        (letter, a),
+        (letter, 1 << kind | a << bits | b),
+        (begins, 1 << kind | a),  # blank before a word
+        (letter & (b > 0), 2 << kind | a << 2 * bits | b << bits | c),
+        (begins, 2 << kind | a << bits | b),
+    ]
+    mine = row if group is None else group[row]
+    gram, high = np.concatenate([g[w] for w, g in parts]), np.concatenate([mine[w] for w, _ in parts])
+    width, names = kind + 2, None
+    if width + int(high.max(initial=0)).bit_length() > 62:  # very many letters: the n-grams by number
+        names, gram = np.unique(gram, return_inverse=True)
+        width = max(1, int(len(names)).bit_length())
+    keys, count = _counted(high << width | gram)
+    gram = keys & (1 << width) - 1
+    gram = gram if names is None else names[gram]
+    one = (1 << bits) - 1
+    wide = gram >> kind << 3 * _CODE
+    for k in range(3):
+        wide |= letters[gram >> k * bits & one] << k * _CODE
+    return keys >> width, wide, count, has
 
 
 def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,12 +114,11 @@ def learn(docs: DataFrame, profile: int = PROFILE) -> dict[str, np.ndarray]:
         for batch in batches:
             langs = np.array(batch.column(1).to_pylist(), object)
             for lo, hi, data, offsets in blocks(batch.column(0)):
-                keys, _ = gram_keys(data, offsets)
                 names, number = np.unique(langs[lo:hi].astype(str), return_inverse=True)
-                grams, n = _counted(number[keys >> 32] << 32 | keys & 0xFFFFFFFF)
+                group, grams, n, _ = gram_counts(data, offsets, number)
                 for i, name in enumerate(names):
-                    mine = grams >> 32 == i
-                    new = pd.Series(n[mine], grams[mine] & 0xFFFFFFFF)
+                    mine = group == i
+                    new = pd.Series(n[mine], grams[mine])
                     total[name] = total[name].add(new, fill_value=0) if name in total else new
         for name, n in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(n)), pa.array(n.index.to_numpy(np.int64)), pa.array(n.to_numpy().astype(np.int64))], ["lang", "gram", "n"])
@@ -119,9 +141,7 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], own: int = OWN) -
         for batch in batches:
             for lo, hi, data, offsets in blocks(batch.column(1)):
                 rows = hi - lo
-                keys, has = gram_keys(data, offsets)
-                grams, n = _counted(keys)
-                row, gram = grams >> 32, grams & 0xFFFFFFFF
+                row, gram, n, has = gram_counts(data, offsets)
                 order = np.argsort(row << 40 | (1 << 40) - 1 - n, kind="stable")
                 row, gram = row[order], gram[order]
                 place = np.arange(len(row)) - np.searchsorted(row, np.arange(rows))[row]
