@@ -7,7 +7,8 @@ digits, corrected for those equal by chance.
 
 Nulls and edge cases: null counts as empty; a text without words has the empty fingerprint, which is like itself (1)
 and unlike all others (0); fewer than five words give one shingle. "Next" follows descending doc_id, null ids last, ties
-by descending text; after the last comes the first. A single row is its own next. Extra columns are ignored.
+by the texts' descending hash; after the last comes the first. A single row is its own next. An empty table gives an
+empty one. Ids must be numbers. Extra columns are ignored. Rows that repeat id and text stay in one cell.
 """
 
 from __future__ import annotations
@@ -15,12 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import let
+from tidemark.llm.common import let, stored
 
 BINS, BITS, SIZE = 128, 4, 5
 _SHIFT = 64 - 7
-#: Rows to a bucket of neighbouring ids, and the most buckets there are.
-BUCKET_ROWS, MOST_BUCKETS = 2048, 8192
+#: Bytes of text that a cell of neighbouring ids, and a task, should have at most.
+CELL_BYTES = 16 << 20
 
 
 def shingles(text: Column) -> Column:
@@ -65,34 +66,64 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), (F.size(a) == F.size(b)).cast("double")).otherwise(F.greatest(F.lit(0.0), (same - chance) / (1 - chance)))
 
 
+def _placed(rows: DataFrame, cut: DataFrame) -> DataFrame:
+    """``rows`` (key, h, cell, ...) with the cells that ``cut`` names cut evenly between their ends."""
+    wide = lambda c: F.col(c).cast("decimal(20,0)")
+    part = F.floor((F.when(F.col("by_h"), wide("h")).otherwise(wide("key")) - wide("lo")) / F.col("step"))
+    rows = rows.join(F.broadcast(cut), "cell", "left")  # a row for each cell of more than CELL_BYTES
+    return rows.withColumn("cell", F.when(F.col("step").isNotNull(), F.concat_ws("/", "cell", part.cast("string"))).otherwise(F.col("cell"))).drop("by_h", "lo", "step")
+
+
+def _cuts(ids: DataFrame) -> list[DataFrame]:
+    """How to cut the range of (key, h) into cells of at most CELL_BYTES: level by level, each cell that is larger is
+    cut evenly between its own least and greatest key, or hash where all keys are equal. So neither gaps nor outliers
+    nor repeated ids gather rows, and levels are few. A cell is a stretch of the order; only equal rows can't be cut."""
+    levels: list[DataFrame] = []
+    now = ids.withColumn("cell", F.lit(""))
+    while True:
+        ends = now.groupBy("cell").agg(F.sum("size").alias("size"), *(f(c).alias(n) for c, lo, hi in (("key", "a", "b"), ("h", "c", "d")) for f, n in ((F.min, lo), (F.max, hi))))
+        ends = ends.where((F.col("size") > CELL_BYTES) & ((F.col("a") < F.col("b")) | (F.col("c") < F.col("d"))))
+        span = F.when(F.col("a") < F.col("b"), F.col("b").cast("decimal(20,0)") - F.col("a").cast("decimal(20,0)")).otherwise(F.col("d").cast("decimal(20,0)") - F.col("c").cast("decimal(20,0)"))
+        parts = 2 * F.ceil(F.col("size") / CELL_BYTES)
+        cut = stored(ends.select("cell", (F.col("a") == F.col("b")).alias("by_h"), F.when(F.col("a") < F.col("b"), F.col("a")).otherwise(F.col("c")).alias("lo"), (F.floor(span / parts) + 1).cast("decimal(20,0)").alias("step")))
+        if cut.isEmpty():
+            return levels
+        levels.append(cut)
+        now = _placed(now, cut)
+
+
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, bucket, key, ghost: all rows in buckets of neighbouring ids, each with a ghost of the row that
-    comes after it; so a window inside a bucket sees every row's next, and no task sees all ids."""
-    least = -(1 << 63)
+    """doc_id, text, cell, key, h, ghost: all rows in cells of neighbouring ids, each with a ghost of the row that
+    comes after it; so a window inside a cell sees every row's next, and no task sees all ids."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    lo, hi, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    buckets = max(1, min(MOST_BUCKETS, n // BUCKET_ROWS))
-    width = max(1, ((hi - lo) // buckets + 1) if lo is not None else 1)
-    rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(least)))
-    rows = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), -1).otherwise(F.floor((F.col("doc_id").cast("decimal(20,0)") - F.lit(lo or 0)) / width)).cast("long"))
-    tops = rows.groupBy("bucket").agg(F.max("key").alias("key"))
-    heads = rows.join(F.broadcast(tops), ["bucket", "key"])  # at most MOST_BUCKETS + 1 rows of two numbers
-    heads = heads.groupBy("bucket", "key").agg(F.max("text").alias("text"))
-    down = Window.orderBy(F.col("bucket").desc())  # one row a bucket
-    ids = tops.select("bucket", F.lead("bucket").over(down).alias("after"), F.max("bucket").over(Window.partitionBy(F.lit(1))).alias("top"))
-    after = ids.select("bucket", F.coalesce("after", "top").alias("after"))
-    ghosts = after.join(heads.withColumnRenamed("bucket", "after").drop("key"), "after").select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(least).alias("key"), "bucket", F.lit(True).alias("ghost"))
-    return rows.withColumn("ghost", F.lit(False)).unionByName(ghosts)
+    rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("h", F.xxhash64("text"))
+    ids = stored(rows.select("key", "h", F.octet_length("text").cast("long").alias("size")))
+    levels = _cuts(ids)
+    tasks = max(1, (ids.agg(F.sum("size")).first()[0] or 0) // CELL_BYTES)
+
+    def placed(df: DataFrame) -> DataFrame:
+        df = df.withColumn("cell", F.lit(""))
+        for cut in levels:
+            df = _placed(df, cut)
+        return df
+
+    tops = stored(placed(ids.select("key", "h")).groupBy("cell").agg(F.max(F.struct("key", "h")).alias("top")))
+    down = Window.orderBy(F.col("top").desc())  # one row a cell
+    after = tops.select("cell", F.coalesce(F.lead("top").over(down), F.max("top").over(Window.partitionBy(F.lit(1)))).alias("top"))
+    heads = rows.select("key", "h", "text").join(F.broadcast(tops.select("top.key", "top.h")), ["key", "h"])  # one pair of numbers a cell
+    heads = heads.groupBy("key", "h").agg(F.first("text").alias("text")).select(F.struct("key", "h").alias("top"), "text")
+    ghosts = after.join(heads, "top").select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(-(1 << 63)).alias("key"), F.lit(-(1 << 63)).alias("h"), "cell", F.lit(True).alias("ghost"))
+    return placed(rows).withColumn("ghost", F.lit(False)).unionByName(ghosts).repartition(tasks, "cell")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of all texts and of their edited texts, and how like the edited and the next text's they are."""
-    order = Window.partitionBy("bucket").orderBy("ghost", F.col("key").desc(), F.col("text").desc())
+    order = Window.partitionBy("cell").orderBy("ghost", F.col("key").desc(), F.col("h").desc())
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     rows = with_next(docs).withColumn("following", F.lead("text").over(order))
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.coalesce("following", F.lit("")), F.lit(1), third))
-    rows = rows.select("doc_id", "bucket", "key", "ghost", "text", n.cast("long").alias("n_chars"), edited.alias("edited"))
-    rows = rows.select("doc_id", "bucket", "key", "ghost", "text", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digits(F.col("text")).alias("own"), digits(F.col("edited")).alias("other"))
+    rows = rows.select("doc_id", "cell", "key", "h", "ghost", "text", n.cast("long").alias("n_chars"), edited.alias("edited"))
+    rows = rows.select("doc_id", "cell", "key", "h", "ghost", "text", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digits(F.col("text")).alias("own"), digits(F.col("edited")).alias("other"))
     rows = rows.withColumn("next", F.lead("own").over(order)).where(~F.col("ghost"))
     return rows.select("doc_id", "n_chars", "edited_sha256", packed(F.col("own")).alias("fingerprint"), packed(F.col("other")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"))
