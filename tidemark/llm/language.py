@@ -6,21 +6,23 @@ The language with the least total wins. N-grams are taken from lower-cased words
 
 A text that is null or has no letter is ``und`` with score 0. A text whose n-grams are in no profile gets the first
 language in order, with score 0. If there is nothing to learn from, every text is ``und``. Ties go to the
-alphabetically first language. Repeated rows are judged alike; extra columns are ignored.
+alphabetically first language. Very long texts are counted whole, in a block of their own. Ids must be numbers. Repeated
+rows are judged alike, empty tables give empty ones; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import blocks
 
 #: N-grams in a language's profile, and n-grams of a text that are compared.
 PROFILE, OWN = 400, 150
+#: N-grams that wait until they are merged into a task's counts of a language.
+MERGE = 500_000
 _CODE = 18  # bits of a character's code in an n-gram: all letters are below U+40000
 
 
@@ -106,11 +108,19 @@ def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def learn(docs: DataFrame, profile: int = PROFILE) -> dict[str, np.ndarray]:
     """Each language's grams in order of rank, from all rows of ``docs`` (text, lang).
 
-    Counts are summed per partition, then by Spark; what comes to the driver is ``profile`` grams a language.
+    Counts are summed per partition, then by Spark. The rank limit goes below the shuffle (WindowGroupLimit): a task
+    sends its best ``profile`` grams of each language, and as many a language come to the driver.
     """
 
     def count(batches):
-        total: dict[str, pd.Series] = {}
+        total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def summed(name: str) -> None:
+            parts = held.pop(name) + ([total[name]] if name in total else [])
+            grams, at = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+            total[name] = grams, np.bincount(at, np.concatenate([n for _, n in parts]), len(grams)).astype(np.int64)
+
         for batch in batches:
             langs = np.array(batch.column(1).to_pylist(), object)
             for lo, hi, data, offsets in blocks(batch.column(0)):
@@ -118,14 +128,20 @@ def learn(docs: DataFrame, profile: int = PROFILE) -> dict[str, np.ndarray]:
                 group, grams, n, _ = gram_counts(data, offsets, number)
                 for i, name in enumerate(names):
                     mine = group == i
-                    new = pd.Series(n[mine], grams[mine])
-                    total[name] = total[name].add(new, fill_value=0) if name in total else new
-        for name, n in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(n)), pa.array(n.index.to_numpy(np.int64)), pa.array(n.to_numpy().astype(np.int64))], ["lang", "gram", "n"])
+                    held.setdefault(name, []).append((grams[mine], n[mine]))
+                    if sum(len(g) for g, _ in held[name]) > MERGE:
+                        summed(name)
+        for name in list(held):
+            summed(name)
+        for name, (grams, n) in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(n)), pa.array(grams), pa.array(n)], ["lang", "gram", "n"])
 
     counts = docs.where("lang is not null and text is not null").select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = counts.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "gram"))), 1, profile)["gram"].alias("grams"))
-    return {r["lang"]: np.array(r["grams"], np.int64) for r in top.orderBy("lang").collect()}
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram"))
+    found: dict[str, list[int]] = {}
+    for lang, gram in counts.withColumn("rank", rank).where(F.col("rank") <= profile).orderBy("lang", "rank").select("lang", "gram").collect():
+        found.setdefault(lang, []).append(gram)
+    return {x: np.array(grams, np.int64) for x, grams in found.items()}
 
 
 def identify(docs: DataFrame, profiles: dict[str, np.ndarray], own: int = OWN) -> DataFrame:
