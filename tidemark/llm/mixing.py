@@ -5,27 +5,33 @@ weight, but no child gets more than its subtree can give (its tokens times the m
 its siblings first, and only what all of them can't take is missing further up. A leaf with more than one epoch's budget
 gives all documents once an epoch; of the last epoch it gives the prefix of a seeded order that the budget pays for.
 
-The order inside a leaf is that of a hash of seed, epoch and document, dealt into buckets. Bucket sums tell in which
-bucket a leaf's budget ends; only the rows of that bucket are summed one by one. So no task sees a whole leaf.
+The order inside a leaf is that of a hash of seed, epoch, id and text, dealt into buckets. Bucket sums tell in which
+bucket a leaf's budget ends; only the hashes of that bucket are summed one by one. So no task sees a whole leaf. All this
+runs on a stored table of leaves, hashes and token counts; the texts are read once to count and once to select, and
+are never moved.
 
 Nulls and edge cases: null domain, language or source count as ''. Leaves that the tree lacks get nothing, and so do
-texts without words. A document that is larger than what remains of its leaf's budget ends the prefix. Repeated rows are
-documents of their own, ordered by id, then text. Without documents or budget nothing is selected.
+texts without words. A document that is larger than what remains of its leaf's budget ends the prefix. Rows that repeat
+id and text share their hash and count as one document of their joint size: they are all selected, or none. Rows that
+repeat an id with another text, or have none, are documents of their own. Without documents or budget nothing is selected.
 Extra columns stay, whatever their names; only those called domain, epoch or n_tokens give way to the operator's own.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import stored
+
 LEVELS = ("domain", "lang", "source")
 #: The columns that the result has besides the documents' own.
 ADDED = ("domain", "epoch", "n_tokens")
-#: Rows that a bucket of a leaf's order should have at most, and the most buckets there are.
-BUCKET_ROWS, MOST_BUCKETS = 5_000, 1 << 20
+#: Rows that a bucket of a leaf's order should have at most.
+BUCKET_ROWS = 1_000
 
 
 @dataclass
@@ -39,39 +45,47 @@ def n_tokens(text: Column) -> Column:
 
 
 def split_budget(budget: int, children: list[tuple[float, int]]) -> list[int]:
-    """Shares of whole tokens by weight, none above its capacity: shortages go to the siblings that have room."""
+    """Shares of whole tokens by weight, none above its capacity: shortages go to the siblings that have room.
+
+    Children fill in ascending order of capacity per weight, so one pass finds those that are full. The rest is rounded
+    by largest remainders, the first of equal ones first.
+    """
     shares = [0] * len(children)
-    open_ = [i for i, (w, c) in enumerate(children) if w > 0 and c > 0]
-    left = min(budget, sum(children[i][1] for i in open_))
-    while open_ and left > 0:
-        total = sum(children[i][0] for i in open_)
-        full = [i for i in open_ if children[i][1] <= left * children[i][0] / total]
-        if not full:
-            exact = [left * children[i][0] / total for i in open_]
-            floors = [int(x) for x in exact]
-            rest = left - sum(floors)
-            by_rest = sorted(range(len(open_)), key=lambda k: (floors[k] - exact[k], k))
-            for k in by_rest[:rest]:
-                floors[k] += 1
-            for i, x in zip(open_, floors, strict=True):
-                shares[i] = x
-            break
-        for i in full:
-            shares[i] = children[i][1]
-            left -= shares[i]
-        open_ = [i for i in open_ if i not in full]
+    queue = sorted((i for i, (w, c) in enumerate(children) if w > 0 and c > 0), key=lambda i: children[i][1] / children[i][0])
+    left, total = min(budget, sum(children[i][1] for i in queue)), sum(children[i][0] for i in queue)
+    full = 0
+    while full < len(queue) and children[queue[full]][1] * total <= left * children[queue[full]][0]:
+        weight, shares[queue[full]] = children[queue[full]]
+        left, total, full = left - shares[queue[full]], total - weight, full + 1
+    rest = sorted(queue[full:])
+    total = sum(children[i][0] for i in rest)
+    exact = {i: left * children[i][0] / total for i in rest}
+    for i in rest:
+        shares[i] = int(exact[i])
+    spare = left - sum(shares[i] for i in rest)
+    for i in sorted(rest, key=lambda i: shares[i] - exact[i])[:spare]:
+        shares[i] += 1
     return shares
 
 
-def leaf_budgets(tree: Node, capacity: dict[tuple, int], budget: int, path: tuple = ()) -> dict[tuple, int]:
-    """The budget of every leaf below a node; ``capacity``: of the leaves, by path."""
-    if not tree.children:
-        return {path: min(budget, capacity.get(path, 0))}
-    names = sorted(tree.children)
-    below = [sum(c for p, c in capacity.items() if p[: len(path) + 1] == (*path, n) and _in(tree.children[n], p[len(path) + 1 :])) for n in names]
+def leaf_budgets(tree: Node, capacity: dict[tuple, int], budget: int) -> dict[tuple, int]:
+    """The budget of every leaf of the tree; ``capacity``: of the leaves, by path. Work is linear in leaves and levels."""
+    below: dict[tuple, int] = {}
+    for path, room in capacity.items():
+        if _in(tree, path):
+            for k in range(len(path) + 1):
+                below[path[:k]] = below.get(path[:k], 0) + room
     out: dict[tuple, int] = {}
-    for n, share in zip(names, split_budget(budget, [(tree.children[n].weight, c) for n, c in zip(names, below, strict=True)]), strict=True):
-        out |= leaf_budgets(tree.children[n], capacity, share, (*path, n))
+
+    def down(node: Node, path: tuple, share: int) -> None:
+        if not node.children:
+            out[path] = min(share, capacity.get(path, 0))
+            return
+        names = sorted(node.children)
+        for name, part in zip(names, split_budget(share, [(node.children[n].weight, below.get((*path, n), 0)) for n in names]), strict=True):
+            down(node.children[name], (*path, name), part)
+
+    down(tree, (), budget)
     return out
 
 
@@ -83,46 +97,56 @@ def _in(node: Node, path: tuple) -> bool:
     return not node.children
 
 
-def mixed(docs: DataFrame, tree: Node, budget: int | float, domain: Column, max_epochs: int = 2, seed: int = 17) -> DataFrame:
+def mixed(docs: DataFrame, tree: Node | Callable[[list[tuple]], Node], budget: int | float, domain: Column, max_epochs: int = 2, seed: int = 17) -> DataFrame:
     """The selected rows of ``docs`` (doc_id, text, lang, source, ...), with epoch, n_tokens and domain.
 
-    ``budget``: tokens, or as a float the share of all tokens of the tree's leaves. What comes to the driver is one row
-    a leaf, so as many as the table has sources in a language and domain.
+    ``tree``: of domains, languages and sources, or what makes it from the leaves that there are. ``budget``: tokens, or
+    as a float the share of all tokens of the tree's leaves. What comes to the driver is one row a leaf, so as many as
+    the table has sources in a language and domain; it is broadcast back.
     """
     docs = docs.drop(*(c for c in docs.columns if c.lower() in ADDED))
     own = "mix_"
     while any(c.lower().startswith(own) for c in docs.columns):
         own += "_"
-    lang_, source_, leaf, whole, rest, buckets, bucket, order, end, left = (own + x for x in ("lang", "source", "leaf", "whole", "rest", "buckets", "bucket", "order", "end", "left"))
-    clear = [F.coalesce(F.col(x), F.lit("")).alias(y) for x, y in (("lang", lang_), ("source", source_))]
-    rows = docs.select("*", F.coalesce(domain, F.lit("")).alias("domain"), *clear, n_tokens(F.col("text")).alias("n_tokens"))
-    totals = rows.groupBy("domain", lang_, source_).agg(F.sum("n_tokens"), F.count(F.lit(1))).collect()
-    have = {(d, x, s): tokens for d, x, s, tokens, _ in totals if tokens and _in(tree, (d, x, s))}
+    leaf, ident, plan_, tokens, whole, rest, buckets, bucket, order, end, cut = (own + x for x in ("leaf", "ident", "plan", "tokens", "whole", "rest", "buckets", "bucket", "order", "end", "cut"))
+    path = F.struct(F.coalesce(domain, F.lit("")).alias("domain"), F.coalesce(F.col("lang"), F.lit("")).alias("lang"), F.coalesce(F.col("source"), F.lit("")).alias("source"))
+    rows = docs.select("*", path.alias(leaf), F.xxhash64("doc_id", "text").alias(ident))
+    sizes = stored(rows.select(leaf, ident, n_tokens(F.col("text")).alias(tokens)))
+
+    totals = {tuple(r[0]): (r[1] or 0, r[2]) for r in sizes.groupBy(leaf).agg(F.sum(tokens), F.count(F.lit(1))).collect()}
+    tree = tree if isinstance(tree, Node) else tree(list(totals))
+    have = {k: t for k, (t, _) in totals.items() if t and _in(tree, k)}
     if isinstance(budget, float):
         budget = int(budget * sum(have.values()))
     shares = leaf_budgets(tree, {k: v * max_epochs for k, v in have.items()}, budget) if have else {}
-    counts = {(d, x, s): n for d, x, s, _, n in totals}
-    plan = [(k, shares[k] // have[k], shares[k] % have[k], min(MOST_BUCKETS, 1 + counts[k] // BUCKET_ROWS)) for k in have if shares.get(k)]
-    spark = docs.sparkSession
-    planned = spark.createDataFrame(plan, f"{leaf} struct<domain:string,{lang_}:string,{source_}:string>, {whole} long, {rest} long, {buckets} long")
-    rows = rows.where("n_tokens > 0").withColumn(leaf, F.struct("domain", lang_, source_)).join(F.broadcast(planned), leaf)  # one row a leaf
-    hashed = F.xxhash64(F.lit(seed), F.col(whole), F.col("doc_id"))
-    place = (F.pmod(F.shiftrightunsigned(hashed, 20), F.col(buckets)).alias(bucket), hashed.alias(order))
-
-    # where in its last epoch each leaf's budget ends: before which bucket, and with what left for that one
+    plan = [(k, shares[k] // have[k], shares[k] % have[k], 1 + totals[k][1] // BUCKET_ROWS) for k in have if shares.get(k)]
+    spark, kind = docs.sparkSession, f"{leaf} struct<domain:string,lang:string,source:string>"
+    planned = F.broadcast(spark.createDataFrame(plan, f"{kind}, {whole} long, {rest} long, {buckets} long"))  # one row a leaf
+
+    def placed(df: DataFrame) -> DataFrame:
+        hashed = F.xxhash64(F.lit(seed), F.col(whole), F.col(ident))
+        return df.join(planned, leaf).select("*", F.pmod(F.shiftrightunsigned(hashed, 20), F.col(buckets)).alias(bucket), hashed.alias(order))
+
+    # where in its last epoch each leaf's budget ends: in which bucket, and after which hash there
+    dealt = placed(sizes.where(F.col(tokens) > 0))
     upto = Window.partitionBy(leaf).orderBy(bucket)
-    sums = rows.select(leaf, rest, "n_tokens", *place).groupBy(leaf, rest, bucket).agg(F.sum("n_tokens").alias("tokens")).withColumn("sum", F.sum("tokens").over(upto))
-    ends = sums.where(F.col("sum") > F.col(rest)).groupBy(leaf).agg(F.min(F.struct(bucket, F.col(rest) - F.col("sum") + F.col("tokens"))).alias("end")).collect()
-    ended = spark.createDataFrame([(tuple(r[leaf]), r["end"][0], r["end"][1]) for r in ends], f"{leaf} struct<domain:string,{lang_}:string,{source_}:string>, {end} long, {left} long")
+    sums = dealt.groupBy(leaf, rest, bucket).agg(F.sum(tokens).alias("n")).withColumn("sum", F.sum("n").over(upto))
+    ends = sums.where(F.col("sum") > F.col(rest)).groupBy(leaf).agg(F.min(F.struct(F.col(bucket).alias("at"), (F.col(rest) - F.col("sum") + F.col("n")).alias("left"))).alias(end))
+    ended = [(tuple(r[0]), r[1]["at"], r[1]["left"]) for r in ends.collect()]
+    ended = F.broadcast(spark.createDataFrame(ended, f"{kind}, {end} long, left long"))  # one row a leaf
+    edge = dealt.join(ended, leaf).where(F.col(bucket) == F.col(end)).groupBy(leaf, end, "left", order).agg(F.sum(tokens).alias("n"))
+    sofar = F.sum("n").over(Window.partitionBy(leaf).orderBy(order))
+    last = edge.withColumn("sum", sofar).where(F.col("sum") <= F.col("left")).groupBy(leaf).agg(F.max(order).alias(cut))
+    last = [(tuple(r[0]), r[1]) for r in last.collect()]
+    cuts = ended.select(leaf, end).join(spark.createDataFrame(last, f"{kind}, {cut} long"), leaf, "left")
 
-    placed = rows.join(F.broadcast(ended), leaf, "left").select("*", *place)
     none = F.array().cast("array<long>")
     before = F.when(F.col(whole) > 0, F.sequence(F.lit(0).cast("long"), F.col(whole) - 1)).otherwise(none)
-    ending = F.when(F.col(bucket) < F.col(end), F.array(whole)).otherwise(none)
-    inside = placed.select("*", F.explode(F.concat(before, ending)).alias("epoch"))
-    sofar = Window.partitionBy(leaf).orderBy(order, "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)
-    edge = placed.where(F.col(bucket) == F.col(end)).withColumn("epoch", F.col(whole)).withColumn(own, F.sum("n_tokens").over(sofar)).where(F.col(own) <= F.col(left)).drop(own)
-    return inside.unionByName(edge).drop(leaf, whole, rest, buckets, bucket, order, end, left, lang_, source_)
+    inside = (F.col(bucket) < F.col(end)) | ((F.col(bucket) == F.col(end)) & (F.col(order) <= F.col(cut)))
+    epochs = F.concat(before, F.when(inside, F.array(whole)).otherwise(none))
+    solid = rows.where(F.col("text").rlike("[^\\x20\\t-\\r]"))  # stops at the first word
+    chosen = placed(solid).join(F.broadcast(cuts), leaf, "left").withColumn("epoch", F.explode(epochs))
+    return chosen.select(*docs.columns, F.col(leaf)["domain"].alias("domain"), "epoch", n_tokens(F.col("text")).alias("n_tokens"))
 
 
 def default_tree(spark_rows: list[tuple[str, str, str]], domains: dict[str, float], langs: dict[str, float], other: float) -> Node:

@@ -23,9 +23,14 @@ def domain():
     return F.concat(F.lit("d"), F.pmod(F.regexp_extract("source", "([0-9]+)$", 1).try_cast("int"), F.lit(3)).cast("string"))
 
 
+def weighted(leaves: list[tuple]) -> mixing.Node:
+    """The tree of the leaves that a table has, by the target weights."""
+    return mixing.default_tree(leaves, DOMAINS, LANGS, OTHER)
+
+
 def mixing_tree(docs: DataFrame) -> mixing.Node:
     leaves = docs.select(F.coalesce(domain(), F.lit("")).alias("d"), F.coalesce("lang", F.lit("")).alias("l"), F.coalesce("source", F.lit("")).alias("s")).distinct().collect()
-    return mixing.default_tree([tuple(x) for x in leaves], DOMAINS, LANGS, OTHER)
+    return weighted([tuple(x) for x in leaves])
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +86,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    rows = mixing.mixed(docs.select("doc_id", "text", "lang", "source"), mixing_tree(docs), BUDGET, domain())
+    rows = mixing.mixed(docs.select("doc_id", "text", "lang", "source"), weighted, BUDGET, domain())
     return rows.select("doc_id", "domain", "lang", "source", "epoch", "n_tokens")
 
 
