@@ -4,11 +4,14 @@
 2. Looser candidates of each kind (obfuscated addresses, numbers without a plus, card numbers that fail the check, ...)
    and the seeds stand behind lexical patterns: the word before them, and the two words before them.
 3. On the graph of patterns and instances, a pattern's confidence is the mean score of the instances behind it, for
-   one kind, and an instance's score is the chance that one of its patterns is right; seeds have score 1. ``ROUNDS`` rounds.
+   one kind, and an instance's score is the chance that one of its patterns is right; seeds have score 1. Instances
+   whose score is high count as seeds of the next round's patterns, so that a context which only unseen identifiers
+   have is found through them. ``ROUNDS`` rounds.
 4. Candidates behind a pattern of high confidence that has enough different seeds become spans as well.
 
 Positions are code points, end exclusive. Null texts count as empty. Repeated rows get equal results. A pattern never
-reaches over the text's start. Extra columns, of any name, pass through ``redacted`` and are ignored by ``report``.
+reaches over the text's start. An empty table gives an empty one; very long texts are searched whole. Equal scores need no
+order: patterns and instances are judged by thresholds. Ids must be numbers in ``report``. Extra columns, of any name, pass through ``redacted`` and are ignored by ``report``.
 """
 
 from __future__ import annotations
@@ -119,18 +122,21 @@ def _candidates(seeded: DataFrame) -> DataFrame:
 
 
 def confident_patterns(candidates: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, rank) of the believed patterns: the graph of patterns and instances, scored in rounds."""
-    edges = candidates.select(F.explode("patterns").alias("pattern"), "rank", "value", "seed").groupBy("pattern", "rank", "value").agg(F.max("seed").alias("seed"))
-    seeds = edges.groupBy("pattern").agg(F.sum(F.col("seed").cast("int")).alias("seeds")).where(F.col("seeds") >= SEEDS).select("pattern")
-    edges = stored(edges.join(seeds, "pattern", "left_semi"))
+    """(pattern, rank) of the believed patterns: the graph of patterns and instances, scored in rounds.
+
+    A pattern's confidence for a kind: the summed scores of its instances of that kind over the number of all its
+    instances plus one. A pattern supports its instances once SEEDS of them are seeds or have a score of SURE.
+    """
+    edges = stored(candidates.select(F.explode("patterns").alias("pattern"), "rank", "value", "seed").groupBy("pattern", "rank", "value").agg(F.max("seed").alias("seed")))
     everything = edges.groupBy("pattern").agg(F.countDistinct("value").alias("all"))
-    scores = edges.select("rank", "value", F.when(F.col("seed"), 1.0).otherwise(0.0).alias("score")).groupBy("rank", "value").agg(F.max("score").alias("score"))
+    scores = edges.groupBy("rank", "value").agg(F.when(F.max("seed"), 1.0).otherwise(0.0).alias("score"))
     for _ in range(rounds):
-        sums = edges.join(scores, ["rank", "value"]).groupBy("pattern", "rank").agg(F.sum("score").alias("right"), F.sum(F.col("seed").cast("int")).alias("seeds"))
+        sums = edges.join(scores, ["rank", "value"]).groupBy("pattern", "rank").agg(F.sum("score").alias("right"), F.sum((F.col("score") >= SURE).cast("int")).alias("seeds"))
+        sums = sums.where(F.col("seeds") >= SEEDS)
         confidence = stored(sums.join(everything, "pattern").select("pattern", "rank", "seeds", (F.col("right") / (F.col("all") + 1)).alias("confidence")))
         doubt = F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))
-        scores = edges.join(confidence, ["pattern", "rank"]).groupBy("rank", "value").agg(F.when(F.max("seed"), 1.0).otherwise(1 - doubt).alias("score"))
-    return confidence.where((F.col("confidence") >= SURE) & (F.col("seeds") >= SEEDS)).select("pattern", "rank")
+        scores = edges.join(confidence, ["pattern", "rank"], "left").groupBy("rank", "value").agg(F.when(F.max("seed"), 1.0).otherwise(F.coalesce(1 - doubt, F.lit(0.0))).alias("score"))
+    return confidence.where(F.col("confidence") >= SURE).select("pattern", "rank")
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
