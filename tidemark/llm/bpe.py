@@ -9,10 +9,15 @@ stretch is widened until both ends agree, at most to both neighbouring chunks wh
 A joint between a character that isn't a space and one that is falls between two pre-tokens of a byte-level BPE
 whatever stands around it, so such joints agree at once; cuts prefer them. Others, in texts without spaces, are mended.
 
-Reuse is per task: encodings aren't shuffled, since the ids of a passage are larger than its text. Memory is bounded
-by ``CACHE`` chunks and by runs of texts of 256 KB. Decoding turns the ids into text again, chunk by chunk with the same reuse.
-
-A null text counts as empty: no tokens, empty decoded text.
+Documents that share chunks meet: each is dealt by the least hash of its chunks (a MinHash of its set of them), so
+copies and documents with many common chunks come to one task, where a shared chunk is encoded once and then found in the
+task's cache, which drops what was used longest ago. Encodings themselves aren't shuffled: the ids of a passage are no
+smaller than its text. A hash that many documents have (a text that is copied very often) is dealt over several tasks
+by document; a seeded sample tells which, and sets only where rows go. Memory is bounded by ``CACHE`` chunks and by runs of
+texts of 256 KB; a longer text is encoded alone. Decoding maps the ids to bytes.
+
+A null text counts as empty: no tokens, empty decoded text. Repeated rows get equal results. An empty table gives an
+empty one. Ids must be numbers. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,12 +33,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from tidemark.llm import textops as T
+from tidemark.llm.common import stored, utf8_rows
 
 #: A chunk ends where the low bits of the hash of the last WINDOW bytes are all 0: every 2 ** BITS bytes or so.
 WINDOW, BITS, LEAST, MOST = 32, 10, 256, 8192
 CACHE = 8_000
+#: Bytes of text to a task, and of the sample that looks for hashes with more than that.
+TASK_BYTES, SAMPLE_BYTES = 32 << 20, 64 << 20
 #: Characters that a joint's new encoding reaches to each side at first.
 REACH = 24
 ARROW = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "boolean": pa.bool_()}
@@ -40,14 +50,19 @@ ARROW = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.in
 
 def cuts(text: str) -> list[int]:
     """Character positions at which the text is cut, its end included, its start not."""
-    if not text.isascii():
-        raw = np.frombuffer(text.encode(), np.uint8)
-        char_of = np.cumsum((raw & 0xC0) != 0x80) - 1  # of each byte
-    else:
-        raw, char_of = np.frombuffer(text.encode(), np.uint8), None
+    raw = np.frombuffer(text.encode(), np.uint8)
+    out = byte_cuts(raw)
+    if len(raw) == len(text):
+        return out
+    char_of = np.cumsum((raw & 0xC0) != 0x80) - 1  # of each byte
+    return [int(char_of[x]) if x < len(raw) else len(text) for x in out]
+
+
+def byte_cuts(raw: np.ndarray) -> list[int]:
+    """The same positions in bytes."""
     n = len(raw)
     if n <= LEAST:
-        return [len(text)]
+        return [n]
     prefix = T.prefix_sums(raw)
     hashes = (prefix[WINDOW:] - prefix[:-WINDOW]) * T.inverse_powers(n + 1)[: n - WINDOW + 1]
     marks = np.flatnonzero((hashes >> np.uint64(40)) & np.uint64((1 << BITS) - 1) == 0) + WINDOW
@@ -74,7 +89,15 @@ def cuts(text: str) -> list[int]:
         out.append(end)
         at = end
     out.append(n)
-    return out if char_of is None else [int(char_of[x]) if x < n else len(text) for x in out]
+    return out
+
+
+def least_chunk(raw: np.ndarray) -> int:
+    """The least hash of a text's chunks."""
+    if not len(raw):
+        return 0
+    ends = np.array(byte_cuts(raw))
+    return int(T.range_hashes(T.prefix_sums(raw), np.concatenate(([0], ends[:-1])), ends).min())
 
 
 def _byte_of() -> dict[str, int]:
@@ -105,7 +128,8 @@ class Codec:
 
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks, "rb"))}
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-        self.kept: dict[str, np.ndarray] = {}
+        self.kept: OrderedDict[str, np.ndarray] = OrderedDict()
+        self.agreed: OrderedDict[str, bool] = OrderedDict()
         self.cache, self.asked, self.encoded, self.mended = cache, 0, 0, 0
         byte_of = _byte_of()
         names = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -128,14 +152,18 @@ class Codec:
         return [np.array(self.fast.encode_ordinary(x) if q else next(slow).ids, np.uint32) for x, q in zip(texts, quick, strict=True)]
 
     def chunks(self, wanted: list[str]) -> dict[str, np.ndarray]:
-        """Encodings of the chunks; each is made once and kept while there is room."""
+        """Encodings of the chunks; each is made once and kept until ``cache`` others have been used since."""
         self.asked += len(wanted)
-        if len(self.kept) > self.cache:
-            self.kept.clear()
-        new = [x for x in dict.fromkeys(wanted) if x not in self.kept]
+        distinct = dict.fromkeys(wanted)
+        new = [x for x in distinct if x not in self.kept]
         self.encoded += len(new)
+        for x in distinct:
+            if x in self.kept:
+                self.kept.move_to_end(x)
         self.kept.update(zip(new, self.ids(new), strict=True))
-        return self.kept
+        found = {x: self.kept[x] for x in distinct}
+        _trim(self.kept, self.cache)
+        return found
 
     def joint(self, left: str, right: str) -> tuple[int, np.ndarray, int] | None:
         """(tokens of the left to keep, new tokens, tokens of the right to skip), or None if the whole chunks don't agree."""
@@ -197,10 +225,12 @@ class Codec:
         while q < min(len(right), 64) and not (right[q].isspace() and not right[q - 1].isspace()):
             q += 1
         key = f"{left[p:]}\x00{right[:q]}"
-        if key not in self.kept:
+        if key not in self.agreed:
             whole, one, two = self.ids([left[p:] + right[:q], left[p:], right[:q]])
-            self.kept[key] = np.array([np.array_equal(whole, np.concatenate((one, two)))])
-        return bool(self.kept[key][0])
+            self.agreed[key] = np.array_equal(whole, np.concatenate((one, two)))
+            _trim(self.agreed, self.cache)
+        self.agreed.move_to_end(key)
+        return self.agreed[key]
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         """The text of each row of ids; bytes that form no character become U+FFFD."""
@@ -213,6 +243,11 @@ class Codec:
         return [raw[p:q].decode("utf-8", "replace") for p, q in zip(at, at[1:], strict=False)]
 
 
+def _trim(kept: OrderedDict, most: int) -> None:
+    while len(kept) > most:
+        kept.popitem(last=False)
+
+
 _codecs: dict[str, Codec] = {}
 
 
@@ -237,6 +272,26 @@ def groups(sizes: list[int], limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
         yield lo, len(sizes)
 
 
+@F.arrow_udf(LongType())
+def _least_chunks(texts: pa.Array) -> pa.Array:
+    data, offsets = utf8_rows(texts)
+    return pa.array(np.array([least_chunk(data[p:q]) for p, q in zip(offsets, offsets[1:], strict=False)], np.uint64).view(np.int64))
+
+
+def gathered(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) dealt to tasks of about TASK_BYTES so that rows which share chunks meet."""
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    total = docs.agg(F.sum(size)).first()[0] or 0
+    tasks = max(1, -(-total // TASK_BYTES))
+    share = min(1.0, SAMPLE_BYTES / max(1, total))
+    some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(share * 1_000_000)).select(_least_chunks("text").alias("least"), size.alias("size"))
+    hot = some.groupBy("least").agg((F.sum("size") / (share * TASK_BYTES)).cast("int").alias("spread")).where("spread > 0")
+    hot = F.broadcast(stored(hot))  # at most a row for each TASK_BYTES of the table
+    dealt = docs.withColumn("least", _least_chunks("text")).join(hot, "least", "left")
+    salt = F.when(F.col("spread").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), 2 * F.col("spread")))
+    return dealt.withColumn("salt", salt).repartition(tasks, "least", "salt").select("doc_id", "text")
+
+
 def coded(docs: DataFrame, tokenizer: dict, schema: str, row: Callable) -> DataFrame:
     """``row(doc_id, text, ids, decoded)`` for each row of ``docs`` (doc_id, text); ``tokenizer``: what Codec takes."""
 
@@ -252,7 +307,7 @@ def coded(docs: DataFrame, tokenizer: dict, schema: str, row: Callable) -> DataF
 
     names = [f.split()[0] for f in schema.split(", ")]
     types = [ARROW[f.split()[1]] for f in schema.split(", ")]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return gathered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, tokenizer: dict) -> DataFrame:
