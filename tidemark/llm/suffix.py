@@ -14,9 +14,13 @@ compare what stands around equal pieces:
 4. Strings in such runs, or in segments that occur more than once, are marked; the marks return to the texts.
 
 Blocks hold ``BLOCK`` bytes or so. A piece with more than ``CROWD`` different segments isn't put into one block: its strings
-are counted by Spark, by piece, distance and hash, so that no group is ever gathered. Nothing is capped.
+are dealt by their distance to the anchor, in halves, and by the bytes that all strings of a half have around it. Equal
+strings stay together, groups get smaller, and the same expansion runs on them; what is still crowded is halved again, to
+one distance at last, where all strings of a group are equal. So no group is ever gathered, and nothing is capped.
 
 Null texts count as empty. Rows with a null or repeated id are texts of their own. Texts shorter than ``LENGTH`` keep all.
+Very long texts are cut into segments in a block of their own. An empty table gives an empty one. Ids must be numbers.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,8 +37,8 @@ from tidemark.llm.common import blocks, stored
 
 LENGTH, GRAM = 200, 64
 BLOCK = 1 << 20
-#: A piece with more different segments than this is counted string by string.
-CROWD = 8000
+#: A group with more different segments than this is dealt by finer pieces.
+CROWD = 2000
 _REACH = LENGTH - GRAM + 1  # pieces in a string
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -208,15 +212,46 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["kh", "sh", "n", "kinds", "anchor", "piece"])
 
 
-def _windows(batches):
-    """Every string of segments (kh, sh, n, anchor, piece): kh, sh, n, start in the segment, distance to the anchor, hash."""
+_PART = "kh long, sh long, off int, g long, b long, n long, lo int, hi int, anchor int, piece binary"
+
+
+def _halved(batches):
+    """Both halves of the distances lo..hi of each part (kh, sh, off, g, n, lo, hi, anchor, piece), as parts of new groups."""
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    names = [f.split()[0] for f in _PART.split(", ")]
     for batch in batches:
-        for kh, sh, n, anchor, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            data = np.frombuffer(piece, np.uint8)
-            starts = np.arange(len(data) - LENGTH + 1)
-            hashes = T.range_hashes(T.prefix_sums(data), starts, starts + LENGTH).view(np.int64)
-            k = len(starts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, kh)), pa.array(np.full(k, sh)), pa.array(np.full(k, n)), pa.array(starts.astype(np.int32)), pa.array((anchor - starts).astype(np.int32)), pa.array(hashes)], ["kh", "sh", "n", "start", "away", "hash"])
+        out = []
+        for kh, sh, off, g, n, lo, hi, anchor, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            prefix = T.prefix_sums(np.frombuffer(piece, np.uint8))
+            mid, strings = (lo + hi) // 2, len(piece) - LENGTH + 1
+            for p, q in ((lo, mid), (mid + 1, hi)):
+                first, last = max(0, anchor - q), min(strings - 1, anchor - p)
+                if first > last or p > q:
+                    continue
+                ends = np.array([[anchor - p, anchor - q + LENGTH], [first, last + LENGTH]])  # what all strings of the half share, and the part
+                core, own = T.range_hashes(prefix, ends[:, 0], ends[:, 1])
+                group = T.mix(core + np.array([g], np.int64).view(np.uint64) * np.uint64(3) + np.uint64(p << 8 | q))
+                own = own ^ T.mix(np.array([anchor - first + 1], np.uint64))
+                out.append((kh, sh, off + first, int(group.view(np.int64)[0]), int(own.view(np.int64)[0]), n, p, q, anchor - first, piece[first : last + LENGTH]))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names)
+
+
+def _uncrowded(crowded: DataFrame) -> DataFrame:
+    """kh, sh, marks of segments (kh, sh, n, anchor, piece) of crowded pieces: by halves of distances until no group is crowded."""
+    now = crowded.dropDuplicates(["kh", "sh"]).select("kh", "sh", F.lit(0).alias("off"), F.col("kh").alias("g"), "n", F.lit(0).alias("lo"), F.lit(LENGTH - GRAM).alias("hi"), "anchor", "piece")
+    found = None
+    while True:
+        parts = stored(now.mapInArrow(_halved, _PART))
+        kinds = parts.groupBy("g", "b").agg(F.sum("n").alias("n"), F.first("piece").alias("piece"))
+        groups = stored(parts.select("g", "b").distinct().groupBy("g").agg(F.count(F.lit(1)).alias("kinds")))
+        few = kinds.join(groups.where(F.col("kinds") <= CROWD), "g", "left_semi").select(F.col("g").alias("kh"), F.col("b").alias("sh"), "n", "piece")
+        marks = _expanded(few).select(F.col("kh").alias("g"), F.col("sh").alias("b"), "marks")
+        marks = parts.select("kh", "sh", "off", "g", "b").join(marks, ["g", "b"]).select("kh", "sh", F.transform("marks", lambda m: m + F.col("off")).alias("marks"))
+        found = marks if found is None else found.unionByName(marks)
+        many = groups.where(F.col("kinds") > CROWD)
+        if many.isEmpty():
+            return found
+        now = parts.join(many, "g", "left_semi").select("kh", "sh", "off", "g", "n", "lo", "hi", "anchor", "piece")
 
 
 def _solved(batches):
@@ -242,6 +277,11 @@ def _solved(batches):
     yield from flush(held)
 
 
+def _expanded(pieces: DataFrame) -> DataFrame:
+    """kh, sh, marks from whole groups of (kh, sh, n, piece), by interval expansion in blocks."""
+    return pieces.repartition("kh").sortWithinPartitions("kh", "sh").mapInArrow(_solved, "kh long, sh long, marks array<int>")
+
+
 def _kept(keep: bool):
     def run(batches):
         for batch in batches:
@@ -285,17 +325,12 @@ def deduplicated(docs: DataFrame, keep: bool = True) -> DataFrame:
     cut = keyed.join(wanted, _KEY).select("text", "wanted").mapInArrow(_cut, "kh long, sh long, n long, kinds long, anchor int, piece binary")
     cut = stored(cut)  # more than once for rows that repeat id and text
 
-    pieces = cut.where(F.col("kinds") <= CROWD).select("kh", "sh", "n", "piece")
-    solved = pieces.repartition("kh").sortWithinPartitions("kh", "sh").mapInArrow(_solved, "kh long, sh long, marks array<int>")
+    solved = _expanded(cut.where(F.col("kinds") <= CROWD).select("kh", "sh", "n", "piece"))
     length = F.col("one.meta").bitwiseAND(F.lit(0xFFFF)) + LENGTH
     solved = solved.unionByName(kinds.where("kinds = 1").select("kh", "sh", F.array(F.lit(0), length).alias("marks")))
     crowded = cut.where(F.col("kinds") > CROWD)
     if not crowded.isEmpty():
-        crowded = crowded.dropDuplicates(["kh", "sh"]).select("kh", "sh", "n", "anchor", "piece")
-        strings = stored(crowded.mapInArrow(_windows, "kh long, sh long, n long, start int, away int, hash long"))
-        again = strings.groupBy("kh", "away", "hash").agg(F.sum("n").alias("total")).where("total > 1").drop("total")
-        marked = strings.join(again, ["kh", "away", "hash"], "left_semi").select("kh", "sh", F.array(F.col("start"), F.col("start") + LENGTH).alias("marks"))
-        solved = solved.unionByName(marked)
+        solved = solved.unionByName(_uncrowded(crowded))
     marks = anchors.join(solved, ["kh", "sh"]).select("id", "h", F.transform("marks", lambda m: m + F.col("at")).alias("marks"))
     marks = marks.groupBy("id", "h").agg(F.flatten(F.collect_list("marks")).alias("marks"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), F.xxhash64("text").alias("h"), "text")
