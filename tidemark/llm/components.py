@@ -7,16 +7,6 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import spent, stored
 
-#: Parts into which a node's links are dealt where they meet their minimum, so that a hub isn't one task's work.
-SALTS = 8
-
-
-def _to_least(links: DataFrame, low: DataFrame) -> DataFrame:
-    """``links`` (u, v) with ``low``'s minimum m of each u; each u's links are dealt over SALTS keys."""
-    salted = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return links.withColumn("salt", F.pmod(F.hash("v"), F.lit(SALTS))).join(salted, ["u", "salt"])
-
-
 def _state(links: DataFrame) -> tuple:
     """A count and two sums of hashes: equal for equal sets of links."""
     h = F.xxhash64("u", "v")
@@ -28,16 +18,17 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round links every node's larger neighbours, then its smaller ones, to its smallest neighbour. Every round
     is stored in the shared folder and the one before it deleted; rounds grow with the logarithm of the longest chain.
-    No group is ever gathered: only its minimum is, by partial aggregation. No links give an empty table.
+    No group is ever gathered: only its minimum is, by partial aggregation. A hub's links meet its one minimum in a join
+    that adaptive execution splits when they are many. No links give an empty table.
     """
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = _state(now)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = _to_least(both.where("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = _to_least(large, low).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct()
+        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct()
         after = stored(small)
         spent(now)
         before, state, now = state, _state(after), after

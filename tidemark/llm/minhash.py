@@ -5,11 +5,11 @@
    ``BITS`` bits are kept, packed into longs, and estimate similarity by bit counts, corrected for chance agreement.
 3. Round one compares each bucket member with one only: the member whose minima are the most common, so likely the
    original. So a bucket whose members already hang together costs one pair a member.
-4. Round two takes the members of buckets that round one left in different components. Two of them can only reach the
-   threshold if they share one of their rarest shingles (the prefix that a text's set must have in common with any text
-   like it), so they meet at those, not in their buckets: texts of one template, which share minima but are not alike,
-   aren't compared pair by pair. A shingle that many prefixes have is dealt in blocks of ``BLOCK`` members, so that no
-   task gets more than a block against a block. No candidate pair between components stays untested.
+4. Round two compares the members of a bucket that round one left in different components; those with too many shingles
+   that no other such text has can be linked with nothing and go first, so texts of one template, which share minima but
+   are not alike, aren't compared. A bucket is dealt in blocks of ``BLOCK`` members, each pair of blocks on its own, so
+   that no task gets a whole one. No candidate pair between components stays untested; members that differ in common
+   shingles only are compared pair by pair, so that case costs the square of a bucket's members.
 5. Pairs whose estimate or set sizes allow the threshold are confirmed on the whole sets; links give components.
 
 With 5 rows and 32 bands a pair of similarity 0.85 shares no bucket with probability 7e-9.
@@ -27,17 +27,17 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textops as T
-from tidemark.llm.common import blocks, spent, stored
+from tidemark.llm.common import blocks, stored
 from tidemark.llm.components import components
 
 SIZE, ROWS, BANDS, BITS = 5, 5, 32, 2
 #: The estimate may lie this far below the threshold: over four standard deviations at 160 minima and two bits.
 MARGIN = 0.16
-#: Members of a shingle's group that one task compares with as many others.
+#: Members of a bucket that one task compares with as many others.
 BLOCK = 512
 
 _rng = np.random.RandomState(20240229)
@@ -149,28 +149,6 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return found.where(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)).select("a", "b").distinct()
 
 
-def _by_rare_shingles(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of ``nodes`` (node, component) of different components that share a shingle of their prefixes.
-
-    A set of n has a prefix of n - ceil(n * percent / 100) + 1 shingles, rarest among ``nodes`` first. Sets as alike as
-    ``percent`` share at least that percentage of each, so the first shingle that they share lies in both prefixes.
-    """
-    mine = sets.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").withColumn("one", F.xxhash64("shingles"))
-    shingles = stored(mine.dropDuplicates(["doc_id", "one"]).select(F.col("doc_id").alias("node"), "one", F.explode("shingles").alias("shingle")))
-    known = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("k"))
-    own = Window.partitionBy("node", "one")  # one text's set
-    ranked = shingles.join(known, "shingle").withColumn("r", F.row_number().over(own.orderBy("k", "shingle"))).withColumn("n", F.count(F.lit(1)).over(own))
-    prefix = stored(ranked.where((F.col("k") > 1) & (F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).join(nodes, "node").select("shingle", "node", "component", "k"))
-    spent(shingles)
-    # blocks of a shingle's members: each meets the blocks up to its own, and its own
-    blocks_of = F.ceil(F.col("k") / BLOCK).cast("int")
-    dealt = prefix.withColumn("block", F.pmod(F.xxhash64("node"), blocks_of).cast("int"))
-    left = dealt.select("shingle", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("j"))
-    right = dealt.select("shingle", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("block").alias("j"), F.explode(F.sequence(F.col("block"), blocks_of - 1)).alias("i"))
-    pairs = left.join(right, ["shingle", "i", "j"]).where("cx <> cy")
-    return stored(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-
-
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): n_shingles, component_id, kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -197,11 +175,25 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     first = components(linked)
 
     # round two: what the first left apart in a bucket
+    def apart(rows: DataFrame) -> DataFrame:
+        split = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("open")).where("lo < hi")
+        return rows.drop("open").join(split.select("bucket", "open"), "bucket")
+
     placed = hits.select("bucket", "node").join(first, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    open_ = stored(placed.join(split, "bucket", "left_semi").select("node", "component").distinct())
-    rest = _by_rare_shingles(open_, sets, percent)
-    rest = rest.join(b, "b").join(a, "a").where(_may_link("a", "b", percent)).select("a", "b")
+    open_ = stored(apart(placed))
+    shingles = sets.join(open_.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", F.explode("shingles").alias("shingle"))
+    alone = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.min("doc_id").alias("node")).where("k = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    shared = attrs.join(alone, "node", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone").where(100 * F.col("shared") >= percent * F.col("n"))
+    open_ = stored(apart(open_.join(shared, "node")).join(nodes.select("node", "n", "bands"), ["node", "n"]))
+    blocks_of = F.ceil(F.col("open") / BLOCK).cast("int")
+    dealt = open_.withColumn("block", F.pmod(F.xxhash64("node"), blocks_of).cast("int"))
+    left, right = (dealt.select("bucket", "block", blocks_of.alias("blocks"), *(F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "n", "sig", "shared", "bands"))) for x in "ab")
+    left = left.select("*", F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("j")).drop("block", "blocks")
+    right = right.select("*", F.col("block").alias("j"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("i")).drop("block", "blocks")
+    once = F.col("bucket") == F.array_min(F.array_intersect("bands_a", "bands_b"))
+    enough = (100 + percent) * F.least("shared_a", "shared_b") >= percent * (F.col("n_a") + F.col("n_b"))
+    rest = left.join(right, ["bucket", "i", "j"]).where((F.col("component_a") != F.col("component_b")) & enough & _may_link("a", "b", percent) & once)
+    rest = rest.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
     more = stored(confirmed(stored(rest.join(star, ["a", "b"], "left_anti")), sets, percent))
     final = first if more.isEmpty() else components(linked.unionByName(more))
 
