@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.operators import folds, intervals, rules, sequences
+from tidemark.operators import align, folds, intervals, maintain, rules, sequences
 from tidemark.plans import catalog
 from tidemark.sources import readers, writers
 
@@ -76,14 +76,72 @@ def test_frame_merge_compares_whole_texts(spark, tmp_path):
     assert rows(got, "conv_id", "s", "text") == [(1, 0, turns[0][2]), (1, 333_333, turns[1][2]), (2, 0, turns[3][2])]
 
 
-def test_alignment_is_increasing():
+def slow_alignment(sim, match, output, skip_a, skip_b, band):
+    """The alignment cell by cell, as its rule says."""
+    import numpy as np
+
+    n, m = sim.shape
+    best = {(0, 0): (np.float32(0), 0)}
+    for i in range(1, n + 1):
+        best[i, 0] = (best[i - 1, 0][0] - np.float32(skip_a), 1)
+    for j in range(1, m + 1):
+        best[0, j] = (best[0, j - 1][0] - np.float32(skip_b), 2)
+    value = lambda i, j: best.get((i, j), (np.float32(-1e9), 0))[0]
+    for i in range(1, n + 1):
+        centre = int((i - 1) * (m / n))
+        for j in range(max(1, centre - band), min(m, centre + band) + 1):
+            now = (value(i - 1, j) - np.float32(skip_a), 1)
+            for new in ((value(i, j - 1) - np.float32(skip_b), 2), (value(i - 1, j - 1) + (sim[i - 1, j - 1] - np.float32(match)), 3)):
+                now = new if new[0] > now[0] else now
+            best[i, j] = now
+    out, i, j = [], n, m
+    while i or j:
+        move = best.get((i, j), (0, 0))[1]
+        if move == 3 and sim[i - 1, j - 1] >= output:
+            out.append((i - 1, j - 1))
+        i, j = (i - 1, j - 1) if move == 3 else (i, j - 1) if move == 2 and j else (i - 1, j)
+        if i < 0:
+            break
+    return out[::-1]
+
+
+def test_alignment_equals_the_rule_cell_by_cell():
     import numpy as np
 
     rnd = np.random.RandomState(0)
-    sim = rnd.rand(12, 15).astype(np.float32)
-    path = folds.monotonic_path(sim, 0.3, 0.015, 0.01, 20)
-    assert path and all(a < c and b < d for (a, b), (c, d) in zip(path, path[1:], strict=False))
-    assert folds.monotonic_path(np.eye(4, dtype=np.float32), 0.5, 0.015, 0.01, 20) == [(i, i) for i in range(4)]
+    for n, m, band in [(12, 15, 20), (15, 12, 3), (1, 40, 4), (7, 1, 2), *[(rnd.randint(1, 14), rnd.randint(1, 14), rnd.randint(1, 8)) for _ in range(60)]]:
+        sim = rnd.rand(n, m).astype(np.float32)
+        got = align.monotonic_path(sim, 0.46, 0.5, 0.015, 0.01, band)
+        assert [(i, j) for i, j, _ in got] == slow_alignment(sim, 0.46, np.float32(0.5), 0.015, 0.01, band)
+        assert all(x >= 0.5 for *_, x in got)
+    assert [x[:2] for x in align.monotonic_path(np.eye(4, dtype=np.float32), 0.5, 0.5, 0.015, 0.01, 20)] == [(i, i) for i in range(4)]
+
+
+def test_group_alignment_is_the_best_of_all(spark):
+    """Against all ways to cut both sides into pairs of groups and skips."""
+    import functools
+
+    import numpy as np
+
+    rnd = np.random.RandomState(4)
+    for n, m in ((4, 5), (5, 3), (1, 4)):
+        scores = {(p, q): np.where(rnd.rand(n - p + 1, m - q + 1) < 0.4, np.nan, rnd.rand(n - p + 1, m - q + 1)) for p in range(1, min(3, n) + 1) for q in range(1, min(3, m) + 1)}
+
+        @functools.cache
+        def most(i, j, scores=scores):
+            ways = [0.0] if not i and not j else []
+            ways += [most(i - 1, j) - 0.08] if i else []
+            ways += [most(i, j - 1) - 0.05] if j else []
+            ways += [most(i - p, j - q) + x[i - p, j - q] - 0.6 for (p, q), x in scores.items() if i >= p and j >= q and not np.isnan(x[i - p, j - q])]
+            return max(ways)
+
+        path = align.group_path(scores, n, m, 0.6, 0.0, 0.08, 0.05)
+        total = sum(x - 0.6 for *_, x in path) - 0.08 * (n - sum(p for _, _, p, _, _ in path)) - 0.05 * (m - sum(q for _, _, _, q, _ in path))
+        assert total == pytest.approx(most(n, m), abs=1e-5)
+        assert all(a + p <= c and b + q <= d for (a, b, p, q, _), (c, d, *_) in zip(path, path[1:], strict=False))
+    rows = [("g", side, k, 2.0 * k, 2.0 * k + 1, v) for side in "ab" for k, v in enumerate([[1.0, 0.0], [0.0, 1.0], [-1.0, 0.0]])]
+    got = align.group_align(spark.createDataFrame(rows, "g string, side string, pos long, s double, e double, vector array<double>"), ["g"]).collect()
+    assert [(r["a_pos"], r["b_pos"], r["alignment"]) for r in got] == [([k], [k], "1:1") for k in range(3)]
 
 
 def test_partition_covers_all_orders(spark, tmp_path):
@@ -122,10 +180,60 @@ def test_readers_and_writers(spark, tmp_path):
     assert sorted(rows(readers.responses(reply, "x"), "x", "decision", "confidence"), key=str) == [("none", None, None), ('so: {"decision": "keep", "confidence": 0.5}!', "keep", 0.5)]
 
 
-def test_sampling_keeps_the_ends(spark):
+def test_sampling_rounds_half_to_even(spark):
     df = spark.range(50).selectExpr("0 as g", "id")
-    got = [r["id"] for r in sequences.even_sample(df, ["g"], "id", 5).orderBy("id").collect()]
-    assert got == [0, 12, 24, 36, 49]
+    picked = lambda *a: [r["id"] for r in sequences.even_sample(df, ["g"], "id", *a).orderBy("id").collect()]
+    assert picked(5) == [0, 12, 24, 37, 49]
+    assert picked(1) == [25] and picked(1, "first") == [0] and len(picked(60)) == 50
+
+
+def test_highlights_rank_by_the_mean_of_their_windows(spark):
+    score = {0: 6.0, 1: 10.0, 2: 5.0, 3: 0.0, 4: 0.0, 5: 8.0}
+    df = spark.createDataFrame([("m", w, x) for w, x in score.items()], "m string, w long, score double")
+    assert rows(folds.highlight_top(df, ["m"], 6, 3), "rank", "first", "last", "score") == [(1, 5, 5, 8.0), (2, 0, 2, 7.0)]
+    flat = spark.createDataFrame([("m", w, 5.0 - w / 10) for w in range(8)], "m string, w long, score double")
+    assert rows(folds.highlight_top(flat, ["m"], 2, 3, stop_at_used=False), "first", "last") == [(0, 0), (1, 1)]
+
+
+def test_midpoints_fall_into_the_last_range_at_its_end(spark):
+    ranges = spark.createDataFrame([("g", "a", 0, 10), ("g", "b", 10, 20_000)], "g string, range_id string, rs long, re long")
+    cues = spark.createDataFrame([("g", i, m, m) for i, m in enumerate([-5, 0, 10, 20_000, 21_000, 21_001])], "g string, k int, s long, e long")
+    found = lambda **a: [r["range_id"] for r in intervals.assign_by_midpoint(cues, ranges, ["g"], **a).orderBy("k").collect()]
+    assert found() == ["b", "a", "b", "b", "b", "b"]
+    assert found(fallback_last=False) == [None, "a", "b", "b", "b", None]
+
+
+def test_plan_and_delta_names(spark):
+    cases = [("keep_current_match", "x", "", "keep-existing"), (" No_Match ", "x", "", "clear-existing"), ("no_match", "", "", "leave-unmatched"), ("reject_current_match", "", "y", "leave-unmatched"), ("suggest_new_match", "x", "y", "replace-with-suggested-text"),
+             ("suggest_new_match", None, "y", "fill-with-suggested-text"), ("suggest_new_match", "x", " ", "manual-review"), ("unsure", "x", "y", "manual-review"), ("later", "x", "y", "unrecognized-decision"), (None, None, None, "unrecognized-decision")]
+    df = spark.createDataFrame(cases, "d string, c string, g string, want string")
+    assert all(r["want"] == r["got"] for r in df.select("want", maintain.plan_action(F.col("d"), F.col("c"), F.col("g")).alias("got")).collect())
+    base = [(1, "matched", "a", "n"), (2, "unmatched", "", "n"), (3, "matched", "a", "n"), (4, "matched", "a", "n"), (5, "matched", "a", "n"), (6, "matched", "a", "n"), (7, "matched", "a", "n")]
+    new = [(1, "unmatched", "", "n"), (2, "matched", "b", "n"), (3, "matched", "b", "n"), (4, "low", "a", "n"), (5, "matched", "a", "m"), (6, "matched", "a", "n"), (8, "matched", "a", "n")]
+    made = [spark.createDataFrame(x, "k int, status string, text string, notes string") for x in (base, new)]
+    got = {r["k"]: (r["change"], r["changed"]) for r in maintain.delta_report(*made, ["k"], ["notes"]).collect()}
+    assert [got[k][0] for k in range(1, 9)] == ["cleared-to-unmatched", "filled-from-unmatched", "replaced-text", "status-only-change", "metadata-change", "unchanged", "missing-in-applied", "missing-in-base"]
+    assert got[5][1] == ["notes"] and got[6][1] == []
+
+
+def test_frames_keep_short_cues_and_merge_neighbours(spark):
+    frames = lambda *x: spark.createDataFrame([("m", i, t, text, 0.9) for i, (t, text) in enumerate(x)], "media string, frame long, t long, text string, conf double")
+    one = folds.merge_frames(frames((0, "hello there")), ["media"], 333_333, 0.86, 1, 600_000)
+    assert rows(one, "s", "e", "text") == [(0, 600_000, "hello there")]
+    # two cues that a longer blank run parts are joined again, as the first lasts until the second begins
+    again = folds.merge_frames(frames((0, "hello there"), (100_000, ""), (200_000, ""), (300_000, "hello there")), ["media"], 333_333, 0.86, 1, 600_000)
+    assert rows(again, "s", "e") == [(0, 900_000)]
+    # a longer text that is similar, but not nearly the same, goes on without replacing
+    kept = folds.merge_frames(frames((0, "abcdefghij"), (1, "abcdefghijkl")), ["media"], 1, 0.85, 1, 1)
+    assert rows(kept, "text") == [("abcdefghij",)]
+
+
+def test_lanes_by_pools(spark):
+    c = [(0, 0, 1), (1, 1, 1), (2, 2, 5), (3, 5, 4), (4, 12_000_000, 1), (5, 12_000_000, 6), (6, 13_000_000, 1)]
+    df = spark.createDataFrame([("m", *x) for x in c], "m string, pos long, at long, mode int")
+    got = rows(folds.allocate_lanes(df, ["m"], {"scroll": 2, "top": 1, "bottom": 1}), "pos", "pool", "lane")
+    assert got == [(0, "scroll", 0), (1, "scroll", 1), (2, "top", 0), (3, "bottom", 0), (4, "scroll", 0), (5, "scroll", 1), (6, "scroll", 0)]
+    assert folds.lane_counts(40) == {"scroll": 21, "top": 5, "bottom": 5} and folds.lane_counts(40, upper_half=True)["scroll"] == 10
 
 
 def test_streams(spark, tmp_path):

@@ -9,8 +9,8 @@ from pyspark.sql.types import DoubleType, StringType
 
 
 def normalize_text(text: Column) -> Column:
-    """Pipes to blanks, dots to one ellipsis, white space to one blank, trimmed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.translate(text, "|", " "), r"\.{3,}", "…"), r"\s+", " "))
+    """Bars to the stroke character, an ellipsis to three dots, white space to one blank, trimmed."""
+    return F.trim(F.regexp_replace(F.replace(F.replace(text, F.lit("|"), F.lit("丨")), F.lit("…"), F.lit("...")), r"(?U)\s+", " "))
 
 
 def chinese_chars(text: Column) -> Column:

@@ -1,205 +1,227 @@
-"""Ordered folds and alignments that windows can't express: grouped pandas functions.
+"""Ordered folds that windows can't express: state depends on the last row that was kept, or on a table.
 
-State depends on the last row that was kept, or on a table of two sequences; a group (a media file, a part and clip)
-is one task's work, so group keys bound the memory.
+Rows are dealt by key, sorted within tasks and folded as Arrow batches pass, so that a task holds one batch and one small
+state, never a group. Keys are cut further where the state starts anew. Only the programs over tables (highlights of one
+media file, clips of one title) take a group whole.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import text as T
+from tidemark.operators import cleaning
 
-def near_duplicate_drop(df: DataFrame, by: list[str], tolerance: int) -> DataFrame:
-    """Drops segments whose start, end and text are those of the last kept one, times within ``tolerance``."""
+By = list[str]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["s", "e", "seg_id"], kind="stable")
-        keep, last = [], None
-        for row in pdf.itertuples():
-            same = last is not None and abs(row.s - last.s) <= tolerance and abs(row.e - last.e) <= tolerance and row.text == last.text
-            keep.append(not same)
-            last = last if same else row
-        return pdf[keep]
 
-    return df.groupBy(*by).applyInPandas(run, df.schema)
+def ordered_fold(df: DataFrame, keys: By, order: By, columns: By, start: Callable[[], object], step: Callable, name: str, kind: str = "long") -> DataFrame:
+    """Adds ``name``: what ``step(state, *values of columns)`` -> (state, result) gives row after row of each key, in order."""
+    arrow = {"long": pa.int64(), "boolean": pa.bool_()}[kind]
 
+    def run(batches):
+        key, state = object(), None
+        for batch in batches:
+            at = batch.schema.names.index
+            ks = list(zip(*(batch.column(at(k)).to_pylist() for k in keys), strict=True))
+            made = []
+            for k, *values in zip(ks, *(batch.column(at(c)).to_pylist() for c in columns), strict=True):
+                if k != key:
+                    key, state = k, start()
+                state, x = step(state, *values)
+                made.append(x)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, arrow)], [*batch.schema.names, name])
 
-def pack_units(df: DataFrame, by: list[str], gap: int, span: int, chars: int) -> DataFrame:
-    """Numbers units: rows join the open unit while the gap, the span and the characters stay in bounds."""
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, f"{_ddl(df)}, {name} {kind}")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["s", "e", "seg_id"], kind="stable").copy()
-        units, unit, first, last, size = [], -1, 0, 0, 0
-        for row in pdf.itertuples():
-            n = len(row.text or "")
-            if unit < 0 or row.s - last > gap or row.e - first > span or size + n > chars:
-                unit, first, size = unit + 1, row.s, 0
-            last, size = row.e, size + n
-            units.append(unit)
-        pdf["unit"] = np.array(units, np.int64)
-        return pdf
 
-    return df.groupBy(*by).applyInPandas(run, f"{_ddl(df)}, unit long")
+def _pieces(df: DataFrame, by: By, order: By, fresh: Column) -> DataFrame:
+    """Adds ``_piece``: stretches of a group that begin where ``fresh`` holds."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    return df.withColumn("_fresh", F.coalesce(fresh, F.lit(True)).cast("int")).withColumn("_piece", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_fresh")
 
 
-def pack_requests(df: DataFrame, by: list[str], max_rows: int, budget: int) -> DataFrame:
-    """Numbers requests: rows in order, at most ``max_rows`` and ``budget`` characters each; larger rows stand alone."""
+def near_duplicate_drop(df: DataFrame, by: By, tolerance: int) -> DataFrame:
+    """Drops segments whose start, end and text are those of the last kept one, times within ``tolerance``; ordered by
+    start, end and text. A start further than that from the row before begins a piece of its own."""
+    order = ["s", "e", "text", "seg_id"]
+    rows = _pieces(df, by, order, F.col("s") - F.lag("s").over(Window.partitionBy(*by).orderBy(*order)) > tolerance)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", kind="stable").copy()
-        out, request, rows, size = [], -1, 0, 0
-        for n in pdf["size"]:
-            if request < 0 or rows >= max_rows or size + n > budget:
-                request, rows, size = request + 1, 0, 0
-            rows, size = rows + 1, size + n
-            out.append(request)
-        pdf["request"] = np.array(out, np.int64)
-        return pdf
+    def step(last, s, e, text):
+        same = last is not None and abs(s - last[0]) <= tolerance and abs(e - last[1]) <= tolerance and text == last[2]
+        return (last, False) if same else ((s, e, text), True)
 
-    return df.groupBy(*by).applyInPandas(run, f"{_ddl(df)}, request long")
+    kept = ordered_fold(rows, [*by, "_piece"], order, ["s", "e", "text"], lambda: None, step, "_keep", "boolean")
+    return kept.where("_keep").select(df.columns)
 
 
-def allocate_lanes(df: DataFrame, by: list[str], lanes: int, hold: int) -> DataFrame:
-    """The first lane that is free at a comment's time, else the one that is free earliest; ``hold``: time a lane is taken."""
+def pack_units(df: DataFrame, by: By, gap: int, span: int, chars: int, cut_gap: int | None = None) -> DataFrame:
+    """Numbers units: rows join the open unit while the gap, the span and the characters stay in bounds; with ``cut_gap``
+    also the gap on the cut timeline (cut_s, cut_e). A gap that is too large begins a piece of its own."""
+    order = ["s", "e", "seg_id"]
+    w = Window.partitionBy(*by).orderBy(*order)
+    apart = F.col("s") - F.lag("e").over(w) > gap
+    if cut_gap is not None:
+        apart = apart | (F.col("cut_s") - F.lag("cut_e").over(w) > cut_gap)
+    rows = _pieces(df, by, order, apart).withColumn("_size", F.coalesce(F.length("text"), F.lit(0)))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "pos"], kind="stable").copy()
-        free, out = [0] * lanes, []
-        for at in pdf["at"]:
-            lane = next((i for i, t in enumerate(free) if t <= at), None)
-            lane = min(range(lanes), key=lambda i: (free[i], i)) if lane is None else lane
-            free[lane] = max(free[lane], at) + hold
-            out.append(lane)
-        pdf["lane"] = np.array(out, np.int64)
-        return pdf
+    def step(state, s, e, n):
+        unit, first, size = state
+        if unit < 0 or e - first > span or size + n > chars:
+            unit, first, size = unit + 1, s, 0
+        return (unit, first, size + n), unit
+
+    made = ordered_fold(rows, [*by, "_piece"], order, ["s", "e", "_size"], lambda: (-1, 0, 0), step, "_unit")
+    number = F.dense_rank().over(Window.partitionBy(*by).orderBy("_piece", "_unit")) - 1
+    return made.withColumn("unit", number.cast("long")).select(*df.columns, "unit")
+
+
+def pack_requests(df: DataFrame, by: By, max_rows: int, budget: int, base: int = 0, each: int = 0) -> DataFrame:
+    """Numbers requests: rows (pos, size) in order, at most ``max_rows`` and ``budget`` characters each; larger rows stand
+    alone. ``base`` and ``each``: what a serialised request and each of its rows add to the sizes."""
+
+    def step(state, n):
+        request, rows, size = state
+        if request < 0 or rows >= max_rows or size + n + each > budget:
+            request, rows, size = request + 1, 0, base
+        return (request, rows + 1, size + n + each), request
+
+    return ordered_fold(df, by, ["pos"], ["size"], lambda: (-1, 0, base), step, "request")
+
+
+#: How long a comment holds its lane, in microseconds, and the pool that its mode takes (fixed values).
+SCROLL, FIXED = 12_000_000, 4_200_000
+POOL_OF_MODE = {4: "bottom", 5: "top"}
 
-    return df.groupBy(*by).applyInPandas(run, f"{_ddl(df)}, lane long")
 
+def lane_counts(font_size: int, upper_half: bool = False, embedded: bool = False, height: int = 1080) -> dict[str, int]:
+    """Lanes of each pool by the height that is left for comments."""
+    line = max(font_size + 6, 18)
+    reserved = max(font_size * 2 + 40, 140) if embedded else 48
+    bottom = max(36 + line * 4, height // 2 if upper_half else height - reserved)
+    scroll = max(8, max(line * 4, bottom - 36) // line)
+    fixed = max(4, min(10, scroll // 4))
+    return {"scroll": scroll, "top": fixed, "bottom": fixed}
 
-def merge_frames(df: DataFrame, by: list[str], interval: int, similarity: float, max_gap: int, min_duration: int) -> DataFrame:
-    """Cues from recognised frames: similar texts go on, up to ``max_gap`` blank frames are bridged, short cues go."""
+
+def allocate_lanes(df: DataFrame, by: By, lanes: dict[str, int], scroll: int = SCROLL, fixed: int = FIXED) -> DataFrame:
+    """Adds pool and lane: of its mode's pool the first lane that is free at a comment's time, else the one free earliest.
+
+    A comment that starts when all lanes of its pool are free again begins a piece of its own.
+    """
+    pool = F.coalesce(*(F.when(F.col("mode") == m, F.lit(p)) for m, p in POOL_OF_MODE.items()), F.lit("scroll"))
+    rows = df.withColumn("pool", pool).withColumn("_hold", F.when(F.col("pool") == "scroll", F.lit(scroll)).otherwise(F.lit(fixed)))
+    rows = rows.withColumn("_lanes", F.coalesce(*(F.when(F.col("pool") == p, F.lit(n)) for p, n in lanes.items())))
+    w = Window.partitionBy(*by, "pool").orderBy("at", "pos")
+    rows = _pieces(rows, [*by, "pool"], ["at", "pos"], F.col("at") - F.lag("at").over(w) >= F.col("_hold"))
+
+    def step(free, at, hold, n):
+        free = free or [at] * n
+        lane = next((i for i, t in enumerate(free) if t <= at), None)
+        lane = min(range(n), key=free.__getitem__) if lane is None else lane
+        free[lane] = at + hold
+        return free, lane
+
+    made = ordered_fold(rows, [*by, "pool", "_piece"], ["at", "pos"], ["at", "_hold", "_lanes"], list, step, "lane")
+    return made.select(*df.columns, "pool", "lane")
+
+
+def merge_frames(df: DataFrame, by: By, interval: int, similarity: float, max_gap: int, min_duration: int) -> DataFrame:
+    """Cues from recognised frames (frame, t, text, conf): similar texts go on, up to ``max_gap`` blank frames are bridged.
+
+    A longer text replaces the cue's only if it is nearly the same (.92). Cues last ``min_duration`` at least, and
+    neighbours within a frame that are similar become one. A longer run of blank frames begins a piece of its own.
+    """
+    rows = df.withColumn("text", T.normalize_text(F.coalesce("text", F.lit(""))))
+    blank = F.col("text") == ""
+    w = Window.partitionBy(*by).orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_run", F.sum(F.when(blank, 0).otherwise(1)).over(w)).withColumn("_blank", F.when(blank, F.row_number().over(Window.partitionBy(*by, "_run", blank).orderBy("frame"))).otherwise(0))
+    rows = rows.withColumn("_piece", F.sum(F.when(F.col("_blank") == max_gap + 1, 1).otherwise(0)).over(w)).where(~blank)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import difflib
-
-        cues, now, blanks = [], None, 0
-        for row in pdf.sort_values("frame").itertuples():
-            text = (row.text or "").strip()
-            if not text:
-                blanks += 1
-                if now and blanks > max_gap:
-                    cues.append(now)
-                    now = None
-                continue
-            if now and difflib.SequenceMatcher(None, now["text"], text).ratio() >= similarity:
-                now["e"], now["n"], now["sum"] = row.t + interval, now["n"] + 1, now["sum"] + row.conf
-                if len(text) > len(now["text"]):
-                    now["text"] = text
+        pdf = pdf.sort_values("frame", kind="stable")
+        cues: list[list] = []  # start, last, text, sum, count
+        for t, text, conf in zip(pdf["t"], pdf["text"], pdf["conf"], strict=True):
+            like = cleaning.similarity(cues[-1][2], text) if cues else 0.0
+            if cues and like >= similarity:
+                now = cues[-1]
+                now[1], now[3], now[4] = t, now[3] + conf, now[4] + 1
+                if len(text) > len(now[2]) and like >= 0.92:
+                    now[2] = text
             else:
-                if now:
-                    cues.append(now)
-                now = {"s": row.t, "e": row.t + interval, "text": text, "n": 1, "sum": row.conf}
-            blanks = 0
-        cues += [now] if now else []
-        keys = {k: pdf[k].iloc[0] for k in by}
-        rows = [keys | {"s": c["s"], "e": c["e"], "text": c["text"], "conf": c["sum"] / c["n"]} for c in cues if c["e"] - c["s"] >= min_duration]
-        return pd.DataFrame(rows, columns=[*by, "s", "e", "text", "conf"])
+                cues.append([t, t, text, conf, 1])
+        keys = [pdf[k].iloc[0] for k in by]
+        return pd.DataFrame([[*keys, s, max(s + min_duration, last + interval), text, total / n] for s, last, text, total, n in cues], columns=[*by, "s", "e", "text", "conf"])
 
     kinds = dict(df.dtypes)
-    return df.groupBy(*by).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in by) + ", s long, e long, text string, conf double")
+    cues = rows.groupBy(*by, "_piece").applyInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in by) + ", s long, e long, text string, conf double")
+    return cleaning.merge_adjacent(cues, by, similarity, interval)
 
 
-def highlight_top(df: DataFrame, by: list[str], top_n: int, max_windows: int, neighbour: float = 0.5, stop_at_used: bool = True) -> DataFrame:
-    """Greedy highlights from window scores (w, score): the best windows grow over neighbours of at least half
-    their score; the search ends at the first window that is used already, as long as ``stop_at_used``."""
+def highlight_top(df: DataFrame, by: By, top_n: int, max_windows: int, neighbour: float = 0.5, stop_at_used: bool = True) -> DataFrame:
+    """Greedy highlights from the scores of all windows (w, score): the best windows grow over unused neighbours of at
+    least half their score, unless they get longer than ``max_windows``.
+
+    The search ends at the first window that is used already as long as ``stop_at_used``; otherwise such windows are
+    passed over. Highlights are ranked by the mean score of their windows, rounded to one digit, then as found.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        score = dict(zip(pdf["w"], pdf["score"], strict=True))
-        used, found = set(), []
-        for w in sorted(score, key=lambda x: (-score[x], x))[:top_n]:
+        score = dict(zip(pdf["w"].tolist(), pdf["score"].tolist(), strict=True))
+        used: set[int] = set()
+        found: list[tuple[float, int, int]] = []
+        for w in sorted(score, key=lambda x: (-score[x], x)):
+            if len(found) >= top_n or w in used and stop_at_used:
+                break
             if w in used:
-                if stop_at_used:
-                    break
                 continue
-            lo = hi = w
-            while lo - 1 in score and lo - 1 not in used and score[lo - 1] >= neighbour * score[w]:
-                lo -= 1
-            while hi + 1 in score and hi + 1 not in used and score[hi + 1] >= neighbour * score[w]:
-                hi += 1
-            if hi - lo + 1 > max_windows:
-                lo = hi = w
+            ends = []
+            for by_one in (-1, 1):
+                at = w
+                while at + by_one in score and at + by_one not in used and score[at + by_one] >= neighbour * score[w]:
+                    at += by_one
+                ends.append(at)
+            lo, hi = ends if ends[1] - ends[0] < max_windows else (w, w)
             used.update(range(lo, hi + 1))
-            found.append((score[w], lo, hi))
-        found.sort(key=lambda x: (-x[0], x[1]))
-        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in by}, "rank": i + 1, "first": a, "last": b, "score": s} for i, (s, a, b) in enumerate(found)], columns=[*by, "rank", "first", "last", "score"])
+            found.append((round(float(np.mean([score[x] for x in range(lo, hi + 1)])), 1), lo, hi))
+        found.sort(key=lambda x: -x[0])
+        keys = [pdf[k].iloc[0] for k in by]
+        return pd.DataFrame([[*keys, i + 1, lo, hi, s] for i, (s, lo, hi) in enumerate(found)], columns=[*by, "rank", "first", "last", "score"])
 
     kinds = dict(df.dtypes)
-    return df.groupBy(*by).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in by) + ", rank long, first long, last long, score double")
-
-
-def monotonic_path(sim: np.ndarray, match: float, skip_a: float, skip_b: float, band: int) -> list[tuple[int, int]]:
-    """Pairs of the best increasing alignment inside a band around the diagonal; on ties skips come before matches."""
-    n, m = sim.shape
-    score = np.full((n + 1, m + 1), -np.inf, np.float32)
-    back = np.zeros((n + 1, m + 1), np.int8)
-    score[0, :] = -skip_b * np.arange(m + 1)
-    score[:, 0] = -skip_a * np.arange(n + 1)
-    back[0, 1:], back[1:, 0] = 2, 1
-    for i in range(1, n + 1):
-        centre = int((i - 1) * m / n)
-        for j in range(max(1, centre - band), min(m, centre + band) + 1):
-            best, how = score[i - 1, j] - np.float32(skip_a), 1
-            if score[i, j - 1] - np.float32(skip_b) > best:
-                best, how = score[i, j - 1] - np.float32(skip_b), 2
-            if sim[i - 1, j - 1] >= match and score[i - 1, j - 1] + sim[i - 1, j - 1] > best:
-                best, how = score[i - 1, j - 1] + sim[i - 1, j - 1], 3
-            score[i, j], back[i, j] = best, how
-    i, j, out = n, m, []
-    while i > 0 and j > 0:
-        how = back[i, j] or 1
-        if how == 3:
-            out.append((i - 1, j - 1))
-        i, j = i - (how != 2), j - (how != 1)
-    return out[::-1]
-
-
-def monotonic_align(pairs: DataFrame, by: list[str], match: float = 0.46, skip_a: float = 0.015, skip_b: float = 0.010, band_ratio: float = 0.22, band_min: int = 180) -> DataFrame:
-    """Aligns two sequences of unit vectors per group; rows: side ('a' or 'b'), pos, vector."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = (pdf[pdf.side == x].sort_values("pos") for x in "ab")
-        keys = {k: pdf[k].iloc[0] for k in by}
-        if a.empty or b.empty:
-            return pd.DataFrame(columns=[*by, "a_pos", "b_pos", "score"])
-        sim = np.stack(a.vector).astype(np.float32) @ np.stack(b.vector).astype(np.float32).T
-        longest = max(sim.shape)
-        path = monotonic_path(sim, match, skip_a, skip_b, int(max(min(band_min, longest), band_ratio * longest)))
-        return pd.DataFrame([{**keys, "a_pos": a.pos.iloc[i], "b_pos": b.pos.iloc[j], "score": float(sim[i, j])} for i, j in path], columns=[*by, "a_pos", "b_pos", "score"])
-
-    kinds = dict(pairs.dtypes)
-    return pairs.groupBy(*by).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in by) + ", a_pos long, b_pos long, score double")
+    return df.groupBy(*by).applyInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in by) + ", rank long, first long, last long, score double")
 
 
-def partition_clips(clips: DataFrame, parts: int, weight: float) -> DataFrame:
-    """Contiguous assignment of ordered clips to ``parts`` parts of even length with the least squared error.
+def partition_clips(clips: DataFrame, parts: int, weight: float = 1.0, semantic: float = 0.0) -> DataFrame:
+    """Contiguous assignment of a title's clips (pos, dur) to ``parts`` ordered parts of least cost, the earliest cut on ties.
 
-    One row a clip of one title: a title is one group.
+    A part costs ``weight`` times its squared relative error of duration, less ``semantic`` times the mean score of its
+    clips for it. Columns of arrays, the same in all rows of a title, if there are any: ``targets`` (duration of each
+    part, else even shares), and ``fits`` (a clip's score for each part). One row a clip; a title is one group, its
+    table has clips times parts entries.
     """
+    has_fits, has_targets = "fits" in clips.columns, "targets" in clips.columns
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos").copy()
         d = np.concatenate(([0.0], np.cumsum(pdf["dur"])))
         n, k = len(pdf), min(parts, len(pdf))
-        want = d[-1] / k
+        want = np.asarray(pdf["targets"].iloc[0], float)[:k] if has_targets else np.full(k, d[-1] / k)
+        fit = np.vstack((np.zeros(k), np.cumsum([list(x)[:k] for x in pdf["fits"]], axis=0))) if has_fits else np.zeros((n + 1, k))
         cost = np.full((k + 1, n + 1), np.inf)
         cut = np.zeros((k + 1, n + 1), int)
         cost[0, 0] = 0
         for p in range(1, k + 1):
+            target = max(want[p - 1], 1.0) if has_targets else want[p - 1]
             for j in range(p, n + 1):
-                c = cost[p - 1, p - 1 : j] + weight * ((d[j] - d[p - 1 : j]) / want - 1) ** 2
+                i = np.arange(p - 1, j)
+                c = cost[p - 1, i] + weight * ((d[j] - d[i] - want[p - 1]) / target) ** 2 - semantic * (fit[j, p - 1] - fit[i, p - 1]) / (j - i)
                 cut[p, j] = p - 1 + int(c.argmin())
                 cost[p, j] = c.min()
         part, j = np.zeros(n, np.int64), n

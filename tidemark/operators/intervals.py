@@ -96,14 +96,59 @@ def point_to_cut(points: DataFrame, cuts: DataFrame, by: By, at: str) -> DataFra
     return rows.withColumn("cut_at", cut).drop("_t", "_k", "_c", "_in")
 
 
-def assign_by_midpoint(cues: DataFrame, ranges: DataFrame, by: By) -> DataFrame:
-    """The range (half-open, ordered, disjoint) in which each cue's midpoint falls, by an as-of window; else null."""
+def assign_by_midpoint(cues: DataFrame, ranges: DataFrame, by: By, tail: int = 1_000, fallback_last: bool = True) -> DataFrame:
+    """The range (half-open, ordered, disjoint) in which each cue's midpoint falls, by an as-of window.
+
+    The last range of a group holds its end too, and ``tail`` more. What falls in none gets the last range, or null
+    without ``fallback_last``.
+    """
     mid = F.expr("(s + e) div 2")
-    marks = ranges.select(*by, F.col("rs").alias("_t"), F.lit(0).alias("_k"), F.struct("range_id", "re").alias("_r"))
+    order = Window.partitionBy(*by).orderBy("rs", "range_id")
+    last = F.lead("rs").over(order).isNull().alias("last")
+    marks = ranges.select(*by, F.col("rs").alias("_t"), F.lit(0).alias("_k"), F.struct("range_id", "re", last).alias("_r"))
     rows = cues.withColumn("_t", mid).withColumn("_k", F.lit(1))
     w = Window.partitionBy(*by).orderBy("_t", "_k").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.unionByName(marks, allowMissingColumns=True).withColumn("_in", F.last("_r", ignorenulls=True).over(w)).where("_k = 1")
-    return rows.withColumn("range_id", F.when(F.col("_t") < F.col("_in.re"), F.col("_in.range_id"))).drop("_t", "_k", "_r", "_in")
+    whole = Window.partitionBy(*by)
+    final = F.max(F.when(F.col("_r.last"), F.col("_r.range_id"))).over(whole)
+    rows = rows.unionByName(marks, allowMissingColumns=True).withColumn("_in", F.last("_r", ignorenulls=True).over(w)).withColumn("_final", final).where("_k = 1")
+    inside = (F.col("_t") < F.col("_in.re")) | (F.col("_in.last") & (F.col("_t") <= F.col("_in.re") + tail))
+    found = F.when(inside, F.col("_in.range_id"))
+    return rows.withColumn("range_id", F.coalesce(found, "_final") if fallback_last else found).drop("_t", "_k", "_r", "_in", "_final")
+
+
+def cut_to_point(points: DataFrame, cuts: DataFrame, by: By, at: str) -> DataFrame:
+    """Points of the cut timeline on the original one: in the kept interval that holds them, or clamped to the nearest end."""
+    marks = cuts.select(*by, F.col("cut_start").alias("_t"), F.lit(0).alias("_k"), F.struct("s", "e", "cut_start").alias("_c"))
+    rows = points.withColumn("_t", F.col(at)).withColumn("_k", F.lit(1))
+    w = Window.partitionBy(*by).orderBy("_t", "_k")
+    rows = rows.unionByName(marks, allowMissingColumns=True).withColumn("_in", F.last("_c", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("_first", F.first("_c", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))).where("_k = 1")
+    inside = F.least(F.col("_in.s") + F.col(at) - F.col("_in.cut_start"), F.col("_in.e"))
+    return rows.withColumn("original_at", F.coalesce(inside, F.col("_first.s"))).drop("_t", "_k", "_c", "_in", "_first")
+
+
+def highlight_scores(cuts: DataFrame, volumes: DataFrame, marks: DataFrame, totals: DataFrame, by: By, width: int) -> DataFrame:
+    """Scene and volume shares (0 to 1) of every window of each media file that has a cut at all, and whether it is marked.
+
+    cuts: t; volumes: t, level; marks: w; totals: total. Scenes count per second of the window, against the file's most;
+    volume is the mean of the window's levels between the file's least and largest, the least where there is none.
+    """
+    spine = totals.where("total > 0").withColumn("w", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(total - 1) div {width}"))))
+    n = cuts.groupBy(*by, F.expr(f"t div {width}").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    heard = volumes.where(F.col("level") > float("-inf")).groupBy(*by, F.expr(f"t div {width}").alias("w")).agg(F.avg("level").alias("v"), F.min("level").alias("lo"), F.max("level").alias("hi"))
+    rows = spine.join(n, [*by, "w"], "left").join(heard, [*by, "w"], "left").join(marks.select(*by, "w").distinct().withColumn("marked", F.lit(True)), [*by, "w"], "left")
+    g = Window.partitionBy(*by)
+    length = F.least(F.col("total") - F.col("w") * width, F.lit(width)) / 1_000_000
+    rows = rows.withColumn("_d", F.coalesce("n", F.lit(0)) / F.greatest(length, F.lit(0.01))).withColumn("_m", F.max("_d").over(g)).where("_m > 0")
+    lo, hi = F.coalesce(F.min("lo").over(g), F.lit(-60.0)), F.coalesce(F.max("hi").over(g), F.lit(0.0))
+    rows = rows.withColumn("scene", F.col("_d") / F.col("_m")).withColumn("volume", (F.coalesce("v", lo) - lo) / F.greatest(hi - lo, F.lit(0.01)))
+    return rows.select(*by, "w", "scene", "volume", F.coalesce("marked", F.lit(False)).alias("marked"))
+
+
+def overlap_exists(a: DataFrame, b: DataFrame, by: By, width: int, flank: int = 0) -> DataFrame:
+    """Rows of ``a`` (s, e and unique ``a_id``) that overlap any interval of ``b`` (s2, e2) widened by ``flank``."""
+    wide = b.select(*by, (F.col("s2") - flank).alias("s2"), (F.col("e2") + flank).alias("e2"))
+    return a.join(overlap_join(a, wide, by, width).select("a_id").distinct(), "a_id", "left_semi")
 
 
 def overlap_or_nearest(a: DataFrame, b: DataFrame, by: By, max_offset: int, width: int) -> DataFrame:

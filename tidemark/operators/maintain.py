@@ -18,15 +18,25 @@ def patch_merge(base: DataFrame, patches: DataFrame, key: str, value: str, order
     return rows.withColumn(value, F.when(F.col("decision") == "revised", F.col("_new")).otherwise(F.col(value))).withColumn("status", F.coalesce("decision", F.lit("baseline"))).drop("_new", "decision")
 
 
+#: Decisions of a review or a model (fixed values).
+DECISIONS = ("keep_current_match", "reject_current_match", "suggest_new_match", "no_match", "unsure")
+
+
 def plan_action(decision: Column, current: Column, suggestion: Column) -> Column:
-    has, offered = F.coalesce(current, F.lit("")) != "", F.coalesce(suggestion, F.lit("")) != ""
-    return F.when((decision == "replace") & offered & has, "replace").when((decision == "replace") & offered, "fill").when((decision == "clear") & has, "clear").when(decision == "keep", "keep").otherwise("skip")
+    """What a decision means for a row: doubt, or a suggestion without a text, goes to a person; unknown ones are named so."""
+    d = F.lower(F.trim(F.coalesce(decision, F.lit(""))))
+    has, offered = F.trim(F.coalesce(current, F.lit(""))) != "", F.trim(F.coalesce(suggestion, F.lit(""))) != ""
+    return (
+        F.when(d == "keep_current_match", "keep-existing").when(d.isin("reject_current_match", "no_match") & has, "clear-existing").when(d.isin("reject_current_match", "no_match"), "leave-unmatched")
+        .when((d == "suggest_new_match") & offered & has, "replace-with-suggested-text").when((d == "suggest_new_match") & offered, "fill-with-suggested-text")
+        .when(d.isin("suggest_new_match", "unsure"), "manual-review").otherwise("unrecognized-decision")
+    )
 
 
 def apply_plan(base: DataFrame, plan: DataFrame, key: str, value: str) -> DataFrame:
     """The base with each key's plan action applied to ``value``; plan: key, action, suggestion."""
     rows = base.join(plan.select(key, "action", "suggestion"), key, "left")
-    new = F.when(F.col("action") == "clear", F.lit(None)).when(F.col("action").isin("replace", "fill"), F.col("suggestion")).otherwise(F.col(value))
+    new = F.when(F.col("action") == "clear-existing", F.lit(None)).when(F.col("action").isin("replace-with-suggested-text", "fill-with-suggested-text"), F.trim("suggestion")).otherwise(F.col(value))
     return rows.withColumn(value, new).withColumn("action", F.coalesce("action", F.lit("none"))).drop("suggestion")
 
 
@@ -39,12 +49,25 @@ def overlay_merge(base: DataFrame, overlays: DataFrame, key: str, least: float)
     return rows.withColumn("origin", F.when(take, F.concat(F.lit("overlay-"), F.col("rule").cast("string"))).when(F.col("match").isNotNull(), "base").otherwise("none")).withColumn("match", F.coalesce("match", "_match")).drop("_match", "rule")
 
 
-def delta_report(base: DataFrame, applied: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Change of each key: missing-in-base, missing-in-applied, filled, cleared, changed or unchanged."""
-    a, b = base.select(*keys, F.col(value).alias("before"), F.lit(True).alias("_a")), applied.select(*keys, F.col(value).alias("after"), F.lit(True).alias("_b"))
-    x, y = F.coalesce("before", F.lit("")), F.coalesce("after", F.lit(""))
-    kind = F.when(F.col("_a").isNull(), "missing-in-base").when(F.col("_b").isNull(), "missing-in-applied").when(x == y, "unchanged").when(x == "", "filled").when(y == "", "cleared").otherwise("changed")
-    return a.join(b, keys, "full_outer").withColumn("change", kind).drop("_a", "_b")
+def delta_report(base: DataFrame, applied: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """Change of each key between two tables with status, text and further ``fields``, null like ''.
+
+    missing-in-base, missing-in-applied, unchanged, or by the first rule that holds: cleared-to-unmatched,
+    filled-from-unmatched, replaced-text, status-only-change, metadata-change. ``changed`` lists the fields that differ.
+    """
+    names = list(dict.fromkeys(["status", "text", *fields]))
+    a = base.select(*keys, *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"base_{c}") for c in names), F.lit(True).alias("_a"))
+    b = applied.select(*keys, *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"new_{c}") for c in names), F.lit(True).alias("_b"))
+    rows = a.join(b, keys, "full_outer").fillna("", [f"{side}_{c}" for side in ("base", "new") for c in names])
+    differs = {c: F.col(f"base_{c}") != F.col(f"new_{c}") for c in names}
+    rows = rows.withColumn("changed", F.when(F.col("_a") & F.col("_b"), F.array_compact(F.array(*(F.when(d, c) for c, d in differs.items())))).otherwise(F.array().cast("array<string>")))
+    was, now, old, new = F.col("base_status"), F.col("new_status"), F.col("base_text"), F.col("new_text")
+    kind = (
+        F.when(F.col("_a").isNull(), "missing-in-base").when(F.col("_b").isNull(), "missing-in-applied").when(F.size("changed") == 0, "unchanged")
+        .when((was != "unmatched") & (now == "unmatched"), "cleared-to-unmatched").when((was == "unmatched") & (now != "unmatched") & (new != ""), "filled-from-unmatched")
+        .when((old != new) & (old != "") & (new != ""), "replaced-text").when(was != now, "status-only-change").otherwise("metadata-change")
+    )
+    return rows.withColumn("change", kind).drop("_a", "_b")
 
 
 def verify_snapshot(expected: DataFrame, actual: DataFrame, key: str, digest: str) -> DataFrame:
@@ -64,12 +87,14 @@ def ingest_status(requests: DataFrame, responses: DataFrame, key: str) -> DataFr
     """Each key's state: ok, invalid (unknown decision), missing (no response) or unrequested."""
     r = responses.select(key, "decision", F.lit(True).alias("_b"))
     rows = requests.select(key, F.lit(True).alias("_a")).join(r, key, "full_outer")
-    state = F.when(F.col("_a").isNull(), "unrequested").when(F.col("_b").isNull(), "missing").when(F.coalesce("decision", F.lit("")).isin("keep", "clear", "replace"), "ok").otherwise("invalid")
+    state = F.when(F.col("_a").isNull(), "unrequested").when(F.col("_b").isNull(), "missing").when(F.coalesce("decision", F.lit("")).isin(*DECISIONS), "ok").otherwise("invalid")
     return rows.withColumn("state", state).drop("_a", "_b")
 
 
 def retry_reason(decision: Column, suggestion: Column, confidence: Column, threshold: float) -> Column:
-    return F.when(~F.coalesce(decision, F.lit("")).isin("keep", "clear", "replace", "unsure"), "invalid").when(decision == "unsure", "unsure").when((decision == "replace") & (F.coalesce(suggestion, F.lit("")) == ""), "missing-suggestion").when(confidence < threshold, "low-confidence").otherwise("none")
+    known = F.coalesce(decision, F.lit("")).isin(*DECISIONS)
+    bare = (decision == "suggest_new_match") & (F.trim(F.coalesce(suggestion, F.lit(""))) == "")
+    return F.when(~known, "invalid").when(decision == "unsure", "unsure").when(bare, "missing-suggestion").when(confidence < threshold, "low-confidence").otherwise("none")
 
 
 def queue_states(tasks: DataFrame, by: str, order: str) -> DataFrame:

@@ -38,13 +38,73 @@ def head_middle_tail(df: DataFrame, by: By, order: str, k: int) -> DataFrame:
     return rows.withColumn("part", part).where("part is not null").drop("_p", "_n")
 
 
-def even_sample(df: DataFrame, by: By, order: str, n: int) -> DataFrame:
-    """``n`` rows of each group at even distances, first and last included; all rows of smaller groups."""
+def even_sample(df: DataFrame, by: By, order: str, n: int, single: str = "middle") -> DataFrame:
+    """``n`` rows of each group at even distances, rounded half to even, first and last included; all rows of smaller
+    groups. For one row: the ``middle`` or the ``first``."""
     w = Window.partitionBy(*by).orderBy(order)
     rows = df.withColumn("_p", F.row_number().over(w) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
-    # row p is picked if some i has i * (n - 1) div (k - 1) = p, for k picks of n rows
-    i = F.expr(f"(_p * {n - 1} + _n - 2) div (_n - 1)")
-    return rows.where((F.col("_n") <= n) | (F.expr(f"(({n - 1} * _p + _n - 2) div (_n - 1)) * (_n - 1) div {n - 1}") == F.col("_p")) & (i <= n - 1)).drop("_p", "_n")
+    if n == 1:
+        picked = F.col("_p") == (F.floor(F.col("_n") / 2) if single == "middle" else F.lit(0))
+    else:
+        picked = F.exists(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.bround(i * (F.col("_n") - 1) / (n - 1)) == F.col("_p"))
+    return rows.where((F.col("_n") <= n) | picked).drop("_p", "_n")
+
+
+def neighbours(df: DataFrame, by: By, order: str, value: str, before: int, after: int) -> DataFrame:
+    """Adds previous_values and following_values: the values of the rows around, nearest last and first."""
+    w = Window.partitionBy(*by).orderBy(order)
+    return df.withColumn("previous_values", F.collect_list(value).over(w.rowsBetween(-before, -1))).withColumn("following_values", F.collect_list(value).over(w.rowsBetween(1, after)))
+
+
+def first_wins(df: DataFrame, key: By, order: list) -> DataFrame:
+    """The first row of each key by ``order``, which must be unique."""
+    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_r = 1").drop("_r")
+
+
+def cover_times(totals: DataFrame, n: int, lo: float = 0.1, hi: float = 0.9) -> DataFrame:
+    """``n`` times of each row's ``total``, evenly spaced from ``lo`` to ``hi`` of it; the middle for one."""
+    share = F.lit((lo + hi) / 2) if n == 1 else lo + (hi - lo) * F.col("k") / (n - 1)
+    return totals.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("at", F.floor(F.col("total") * share).cast("long"))
+
+
+def index_slice(df: DataFrame, by: By, order: list, first: int, last: int) -> DataFrame:
+    """Rows ``first`` to ``last`` of each group, counted from 1, that last; ``index`` is their place."""
+    rows = df.withColumn("index", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
+    return rows.where(F.col("index").between(first, last) & (F.col("e") > F.col("s")))
+
+
+def joined_fragments(df: DataFrame, by: By, order: str, text: str, separator: str = " ") -> DataFrame:
+    """One text a group: fragments in order, without those that the one before holds; one that holds it replaces it."""
+    bare = lambda x: F.regexp_replace(x, r"[\s,.!?;:'，。！？：；]", "")
+    rows = F.transform(F.sort_array(F.collect_list(F.struct(order, text))), lambda x: x[text])
+
+    def add(out, x):
+        last = F.element_at(out, -1)
+        inside, around = F.contains(bare(last), bare(x)), F.contains(bare(x), bare(last))
+        replaced = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(x))
+        return F.when(bare(x) == "", out).when(F.size(out) == 0, F.array(x)).when(inside, out).when(around, replaced).otherwise(F.concat(out, F.array(x)))
+
+    made = df.groupBy(*by).agg(rows.alias("_t"))
+    return made.select(*by, F.array_join(F.aggregate("_t", F.array().cast("array<string>"), add), separator).alias(text))
+
+
+def signature(df: DataFrame, by: By, order: str, text: str, k: int = 15, most: int = 900) -> DataFrame:
+    """The distinct texts of a group's first, middle and last ``k`` rows, in order, joined and cut to ``most`` characters."""
+    rows = head_middle_tail(df, by, order, k)
+    texts = F.array_distinct(F.filter(F.transform(F.sort_array(F.collect_list(F.struct(order, text))), lambda x: x[text]), lambda x: F.trim(x) != ""))
+    return rows.groupBy(*by).agg(F.substring(F.array_join(texts, " "), 1, most).alias("signature"))
+
+
+def sampled_stats(df: DataFrame, by: By, order: str, value: str, step: int) -> DataFrame:
+    """Population mean and deviation of every ``step``-th value of each group, from the first on."""
+    rows = df.withColumn("_p", F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1).where(F.col("_p") % step == 0)
+    return rows.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation"), F.count(F.lit(1)).alias("samples"))
+
+
+def representative(df: DataFrame, by: By, value: str, order: str) -> DataFrame:
+    """The row of each group whose value is nearest to the median, the first by ``order`` on ties."""
+    rows = df.withColumn("median", F.median(value).over(Window.partitionBy(*by)))
+    return first_wins(rows, by, [F.abs(F.col(value) - F.col("median")), order])
 
 
 def batch_no(df: DataFrame, by: By, order: list[str], k: int) -> DataFrame:
@@ -101,7 +161,8 @@ def runner_up_gap(df: DataFrame, by: By, score: str, order: list) -> DataFrame:
 
 
 def weighted_median(df: DataFrame, by: By, x: str, weight: str) -> DataFrame:
-    """The first x at which the running weight reaches half of the total."""
+    """The first x at which the running weight reaches half of the total; weights are 1e-6 at least."""
+    df = df.withColumn(weight, F.greatest(F.col(weight), F.lit(0 if dict(df.dtypes)[weight] in ("int", "bigint") else 1e-6)))
     w = Window.partitionBy(*by).orderBy(x).rangeBetween(Window.unboundedPreceding, 0)
     rows = df.withColumn("_c", F.sum(weight).over(w)).withColumn("_t", F.sum(weight).over(Window.partitionBy(*by)))
     return rows.where(2 * F.col("_c") >= F.col("_t")).groupBy(*by).agg(F.min(x).alias("weighted_median"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.operators import folds, intervals, maintain, rules, sequences
+from tidemark.operators import align, folds, intervals, maintain, rules, sequences
 
 SEC = 1_000_000
 QUERIES: dict = {}
@@ -147,7 +147,11 @@ def point_to_cut(t):
     return intervals.point_to_cut(points, cuts(t), ["grp"], "t0").select("seg_id", "t0", F.coalesce("cut_at", F.lit(-1)).alias("cut_at"))
 
 
-@query(f"with {REL}, rg as (select grp, seg_id as range_id, s as rs, lead(s) over (partition by grp order by s, seg_id) as re from rel where text = 'signup') select r.seg_id, coalesce(g.range_id, -1) as range_id from rel r left join rg g on r.grp = g.grp and (r.s + r.e) // 2 >= rs and (r.s + r.e) // 2 < coalesce(re, rs + 86400000000) where r.text <> 'signup'")
+@query(
+    f"""with {REL}, rg as (select grp, seg_id as range_id, s as rs, lead(s) over (partition by grp order by s, seg_id) as nx from rel where text = 'signup'), fin as (select grp, range_id as final from rg where nx is null)
+    select r.seg_id, coalesce(g.range_id, f.final, -1) as range_id from rel r left join rg g on r.grp = g.grp and (r.s + r.e) // 2 >= rs and case when nx is null then (r.s + r.e) // 2 <= rs + 86400000000 + 1000 else (r.s + r.e) // 2 < nx end
+    left join fin f on r.grp = f.grp where r.text <> 'signup'"""
+)
 def assign_by_midpoint(t):
     w = Window.partitionBy("grp").orderBy("s", "seg_id")
     ranges = t.relative("signup").select("grp", F.col("seg_id").alias("range_id"), F.col("s").alias("rs"), F.coalesce(F.lead("s").over(w), F.col("s") + 86400 * SEC).alias("re"))
@@ -215,22 +219,20 @@ def scene_dedupe(t):
 
 
 def scores(t):
-    density = t.relative("click").groupBy("grp", F.expr(f"s div {W10}").alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    volume = t.relative("purchase").groupBy("grp", F.expr(f"s div {W10}").alias("w")).agg(F.max("cents").alias("v"))
-    rows = density.join(volume, ["grp", "w"], "left").join(intervals.mark_windows(t.relative("error", "signup"), ["grp"], W10).withColumn("dark", F.lit(1)), ["grp", "w"], "left")
-    g = Window.partitionBy("grp")
-    lo, hi = F.min("v").over(g), F.max("v").over(g)
-    rows = rows.withColumn("a", F.col("n") * 10000 / F.max("n").over(g)).withColumn("b", F.when(hi > lo, (F.col("v") - lo) * 10000 / (hi - lo)))
-    points = F.floor(F.col("a")).cast("long") * 40 + F.coalesce(F.floor("b").cast("long"), F.lit(0)) * 35
-    return rows.select("grp", "w", F.when(F.col("dark") == 1, F.floor(points * 3 / 4)).otherwise(points).cast("long").alias("points"))
+    clicks, levels = t.relative("click").select("grp", F.col("s").alias("t")), t.relative("purchase").select("grp", F.col("s").alias("t"), F.col("cents").alias("level"))
+    rows = intervals.highlight_scores(clicks, levels, intervals.mark_windows(t.relative("error", "signup"), ["grp"], W10), t.totals(), ["grp"], W10)
+    points = F.floor(F.col("scene") * 10000).cast("long") * 40 + F.floor(F.col("volume") * 10000).cast("long") * 35
+    return rows.select("grp", "w", F.when(F.col("marked"), F.floor(points * 3 / 4)).otherwise(points).cast("long").alias("points"))
 
 
 @query(
-    f"""with {REL}, d as (select grp, s // {W10} as w, count(*) as n from rel where text = 'click' group by 1, 2), v as (select grp, s // {W10} as w, max(cents) as v from rel where text = 'purchase' group by 1, 2),
-    k as (select distinct grp, unnest(range(s // {W10}, e // {W10} + 1)) as w, 1 as dark from rel where text in ('error', 'signup')),
-    r as (select d.grp, d.w, d.n, v.v, k.dark, max(d.n) over (partition by d.grp) as mn, min(v.v) over (partition by d.grp) as lo, max(v.v) over (partition by d.grp) as hi from d left join v on d.grp = v.grp and d.w = v.w left join k on d.grp = k.grp and d.w = k.w),
-    p as (select grp, w, dark, floor(n * 10000.0::double / mn)::bigint * 40 + coalesce(case when hi > lo then floor((v - lo) * 10000.0::double / (hi - lo))::bigint end, 0) * 35 as points from r)
-    select grp, w, case when dark = 1 then points * 3 // 4 else points end as points from p"""
+    f"""with {REL}, sp as (select grp, total, unnest(range(0, (total - 1) // {W10} + 1)) as w from totals where total > 0),
+    d as (select grp, s // {W10} as w, count(*) as n from rel where text = 'click' group by 1, 2), v as (select grp, s // {W10} as w, avg(cents) as v, min(cents) as lo, max(cents) as hi from rel where text = 'purchase' group by 1, 2),
+    k as (select distinct grp, unnest(range(s // {W10}, e // {W10} + 1)) as w, true as dark from rel where text in ('error', 'signup')),
+    r as (select sp.grp, sp.w, coalesce(n, 0) / greatest(least(total - sp.w * {W10}, {W10}) / 1000000.0::double, 0.01::double) as d, v.v, v.lo, v.hi, coalesce(dark, false) as dark from sp left join d on sp.grp = d.grp and sp.w = d.w left join v on sp.grp = v.grp and sp.w = v.w left join k on sp.grp = k.grp and sp.w = k.w),
+    q as (select *, max(d) over (partition by grp) as m, coalesce(min(lo) over (partition by grp), -60)::double as l, coalesce(max(hi) over (partition by grp), 0)::double as h from r),
+    p as (select grp, w, dark, floor(d / m * 10000)::bigint * 40 + floor((coalesce(v, l) - l) / greatest(h - l, 0.01::double) * 10000)::bigint * 35 as points from q where m > 0)
+    select grp, w, case when dark then points * 3 // 4 else points end as points from p"""
 )
 def highlight_window_score(t):
     return scores(t)
@@ -238,7 +240,7 @@ def highlight_window_score(t):
 
 @query()
 def highlight_topn(t):
-    return folds.highlight_top(scores(t).select("grp", "w", (F.col("points") / 750000.0).alias("score")), ["grp"], 6, 3)
+    return folds.highlight_top(scores(t).select("grp", "w", (F.col("points") / 10000.0).alias("score")), ["grp"], 6, 3)
 
 
 @query(
@@ -259,10 +261,10 @@ def chunk_plan(t):
     return intervals.chunk_plan(t.totals(), ["grp"], CH, OV)
 
 
-@query(f"{PLAN} select r.seg_id, coalesce(p.k, -1) as k from rel r left join plan p on r.grp = p.grp and (r.s + r.e) // 2 >= core_start and (r.s + r.e) // 2 < core_end")
+@query(f"{PLAN} select r.seg_id, coalesce(p.k, -1) as k from rel r left join plan p on r.grp = p.grp and (r.s + r.e) // 2 >= core_start and ((r.s + r.e) // 2 < core_end or (core_end = p.total and (r.s + r.e) // 2 <= core_end + 1000))")
 def chunk_ownership(t):
     plan = intervals.chunk_plan(t.totals(), ["grp"], CH, OV).select("grp", F.col("k").alias("range_id"), F.col("core_start").alias("rs"), F.col("core_end").alias("re"))
-    return intervals.assign_by_midpoint(t.relative(), plan, ["grp"]).select("seg_id", F.coalesce("range_id", F.lit(-1).cast("long")).alias("k"))
+    return intervals.assign_by_midpoint(t.relative(), plan, ["grp"], fallback_last=False).select("seg_id", F.coalesce("range_id", F.lit(-1).cast("long")).alias("k"))
 
 
 @query(
@@ -310,20 +312,39 @@ def density_sample(t):
 
 @query()
 def lane_layout(t):
-    return folds.allocate_lanes(comments(t).withColumn("pos", F.col("seg_id")), ["grp"], 12, 7200 * SEC).select("seg_id", "lane")
+    return folds.allocate_lanes(comments(t).withColumn("pos", F.col("seg_id")), ["grp"], folds.lane_counts(40), 7200 * SEC, 1800 * SEC).select("seg_id", "pool", "lane")
 
 
-@query()
+ORD = f"with recursive {REL}, o as (select grp, seg_id, s, e, text, row_number() over (partition by grp order by s, e, text, seg_id) as i, row_number() over (partition by grp order by s, e, seg_id) as j from rel)"
+
+
+@query(
+    f"""{ORD}, r as (select grp, i, seg_id, true as keep, s as ls, e as le, text as lt from o where i = 1
+    union all select o.grp, o.i, o.seg_id, not (abs(o.s - ls) <= 3600000000 and abs(o.e - le) <= 3600000000 and o.text = lt), case when abs(o.s - ls) <= 3600000000 and abs(o.e - le) <= 3600000000 and o.text = lt then ls else o.s end,
+    case when abs(o.s - ls) <= 3600000000 and abs(o.e - le) <= 3600000000 and o.text = lt then le else o.e end, case when abs(o.s - ls) <= 3600000000 and abs(o.e - le) <= 3600000000 and o.text = lt then lt else o.text end from r join o on o.grp = r.grp and o.i = r.i + 1)
+    select seg_id from r where keep"""
+)
 def near_duplicate_drop(t):
     return folds.near_duplicate_drop(t.relative(), ["grp"], 3600 * SEC).select("seg_id")
 
 
-@query()
+@query(
+    f"""{ORD}, r as (select grp, j, seg_id, 0::bigint as unit, s as first, e as last, length(text) as size from o where j = 1
+    union all select grp, j, seg_id, unit + nw, case when nw = 1 then s else first end, e, case when nw = 1 then n else size + n end from (
+        select o.grp, o.j, o.seg_id, r.unit, r.first, r.size, o.s, o.e, length(o.text) as n, case when o.s - r.last > 3600000000 or o.e - r.first > 28800000000 or r.size + length(o.text) > 60 then 1 else 0 end as nw from r join o on o.grp = r.grp and o.j = r.j + 1))
+    select seg_id, unit from r"""
+)
 def unit_packing(t):
     return folds.pack_units(t.relative(), ["grp"], 3600 * SEC, 28800 * SEC, 60).select("seg_id", "unit")
 
 
-@query()
+@query(
+    """with recursive o as (select conv_id, turn as pos, length(text) as n, row_number() over (partition by conv_id order by turn) as i from conversations),
+    r as (select conv_id, pos, n, i, 0::bigint as request, 1 as k, n as size from o where i = 1
+    union all select conv_id, pos, n, i, request + nw, case when nw = 1 then 1 else k + 1 end, case when nw = 1 then n else size + n end from (
+        select o.conv_id, o.pos, o.n, o.i, r.request, r.k, r.size, case when r.k >= 4 or r.size + o.n > 1500 then 1 else 0 end as nw from r join o on o.conv_id = r.conv_id and o.i = r.i + 1))
+    select conv_id, pos, n as size, request from r"""
+)
 def request_packing(t):
     rows = t.conversations.select("conv_id", F.col("turn").alias("pos"), F.length("text").cast("long").alias("size"))
     return folds.pack_requests(rows, ["conv_id"], 4, 1500)
@@ -332,10 +353,9 @@ def request_packing(t):
 CONV = "conversations"
 
 
-@query("select conv_id, turn, substr(list_aggregate(list(substr(text, 1, 20)) over (partition by conv_id order by turn rows between 2 preceding and 1 following), 'string_agg', ' / '), 1, 60) as context from conversations")
+@query("select conv_id, turn, substr(list_aggregate(list(text) over (partition by conv_id order by turn rows between 2 preceding and 1 following), 'string_agg', ' / '), 1, 60) as context from conversations")
 def context_window(t):
-    rows = t.conversations.withColumn("short", F.substring("text", 1, 20))
-    return sequences.context_text(rows, ["conv_id"], "turn", "short", 2, 1, 60).select("conv_id", "turn", "context")
+    return sequences.context_text(t.conversations, ["conv_id"], "turn", "text", 2, 1, 60).select("conv_id", "turn", "context")
 
 
 POS = "with p as (select conv_id, turn, row_number() over (partition by conv_id order by turn) - 1 as p, count(*) over (partition by conv_id) as n from conversations)"
@@ -351,7 +371,7 @@ def head_mid_tail(t):
     return sequences.head_middle_tail(t.conversations, ["conv_id"], "turn", 1).select("conv_id", "turn", "part")
 
 
-@query(f"{POS} select conv_id, turn from p where n <= 3 or exists (select 1 from (select unnest([0, 1, 2]) as i) where i * (n - 1) // 2 = p)")
+@query(f"{POS} select conv_id, turn from p where n <= 3 or exists (select 1 from (select unnest([0, 1, 2]) as i) where round_even(i * (n - 1) / 2.0, 0) = p)")
 def even_sample(t):
     return sequences.even_sample(t.conversations, ["conv_id"], "turn", 3).select("conv_id", "turn")
 
@@ -434,7 +454,7 @@ def weighted_median(t):
 @query()
 def monotonic_align(t):
     v = t.embeddings.select("label", F.when(F.col("vec_id") % 2 == 0, "a").otherwise("b").alias("side"), F.col("vec_id").alias("pos"), F.col("embedding").alias("vector"))
-    return folds.monotonic_align(v, ["label"], match=0.1)
+    return align.monotonic_align(v, ["label"], match=0.1, output=0.1)
 
 
 @query()
@@ -475,18 +495,22 @@ def shortlist_gap(t):
     return sequences.runner_up_gap(rows, ["o_custkey"], "c", [F.col("c").desc(), "o_orderkey"]).select("o_custkey", "o_orderkey", F.coalesce("gap", F.lit(-1)).alias("gap"))
 
 
-DEC = "case o_orderkey % 6 when 0 then 'keep' when 1 then 'replace' when 2 then 'clear' when 3 then 'unsure' when 4 then 'replace' else 'bogus' end"
+DEC = "case o_orderkey % 7 when 0 then 'keep_current_match' when 1 then 'suggest_new_match' when 2 then 'reject_current_match' when 3 then 'unsure' when 4 then 'suggest_new_match' when 5 then 'no_match' else 'bogus' end"
 CUR, SUG = "case when o_orderkey % 4 = 0 then '' else o_orderstatus end", "case when o_orderkey % 5 = 0 then null else o_orderpriority end"
 
 
-@query(f"with x as (select o_orderkey, {DEC} as d, {CUR} as c, {SUG} as g from orders), y as (select *, case when d = 'replace' and g is not null and c <> '' then 'replace' when d = 'replace' and g is not null then 'fill' when d = 'clear' and c <> '' then 'clear' when d = 'keep' then 'keep' else 'skip' end as action from x) select o_orderkey, action, case when action = 'clear' then null when action in ('replace', 'fill') then g else c end as current from y")
+@query(
+    f"""with x as (select o_orderkey, {DEC} as d, {CUR} as c, {SUG} as g from orders), y as (select *, case when d = 'keep_current_match' then 'keep-existing' when d in ('reject_current_match', 'no_match') then case when c <> '' then 'clear-existing' else 'leave-unmatched' end
+    when d = 'suggest_new_match' then case when g is null then 'manual-review' when c <> '' then 'replace-with-suggested-text' else 'fill-with-suggested-text' end when d = 'unsure' then 'manual-review' else 'unrecognized-decision' end as action from x)
+    select o_orderkey, action, case when action = 'clear-existing' then null when action in ('replace-with-suggested-text', 'fill-with-suggested-text') then g else c end as current from y"""
+)
 def merge_plan(t):
     rows = t.orders.select("o_orderkey", F.expr(DEC).alias("decision"), F.expr(CUR).alias("current"), F.expr(SUG).alias("suggestion"))
     plan = rows.select("o_orderkey", maintain.plan_action(F.col("decision"), F.col("current"), F.col("suggestion")).alias("action"), "suggestion")
     return maintain.apply_plan(rows.select("o_orderkey", "current"), plan, "o_orderkey", "current")
 
 
-@query(f"with x as (select o_orderkey, {DEC} as d, {SUG} as g, o_orderkey % 100 as conf from orders) select o_orderkey, case when d not in ('keep', 'clear', 'replace', 'unsure') then 'invalid' when d = 'unsure' then 'unsure' when d = 'replace' and g is null then 'missing-suggestion' when conf < 60 then 'low-confidence' else 'none' end as reason from x")
+@query(f"with x as (select o_orderkey, {DEC} as d, {SUG} as g, o_orderkey % 100 as conf from orders) select o_orderkey, case when d = 'bogus' then 'invalid' when d = 'unsure' then 'unsure' when d = 'suggest_new_match' and g is null then 'missing-suggestion' when conf < 60 then 'low-confidence' else 'none' end as reason from x")
 def retry_reason(t):
     return t.orders.select("o_orderkey", maintain.retry_reason(F.expr(DEC), F.expr(SUG), F.col("o_orderkey") % 100, 60).alias("reason"))
 
@@ -496,7 +520,7 @@ def superseded(t):
     return sequences.superseded(t.orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_orderkey").select("o_orderkey", "replaced")
 
 
-@query(f"with q as (select o_orderkey from orders where o_orderkey % 3 <> 0), r as (select o_orderkey, {DEC} as d from orders where o_orderkey % 4 <> 0) select coalesce(q.o_orderkey, r.o_orderkey) as o_orderkey, case when q.o_orderkey is null then 'unrequested' when r.o_orderkey is null then 'missing' when d in ('keep', 'clear', 'replace') then 'ok' else 'invalid' end as state from q full join r on q.o_orderkey = r.o_orderkey")
+@query(f"with q as (select o_orderkey from orders where o_orderkey % 3 <> 0), r as (select o_orderkey, {DEC} as d from orders where o_orderkey % 4 <> 0) select coalesce(q.o_orderkey, r.o_orderkey) as o_orderkey, case when q.o_orderkey is null then 'unrequested' when r.o_orderkey is null then 'missing' when d <> 'bogus' then 'ok' else 'invalid' end as state from q full join r on q.o_orderkey = r.o_orderkey")
 def ingest_status(t):
     q, r = t.orders.where("o_orderkey % 3 <> 0").select("o_orderkey"), t.orders.where("o_orderkey % 4 <> 0").select("o_orderkey", F.expr(DEC).alias("decision"))
     return maintain.ingest_status(q, r, "o_orderkey").select("o_orderkey", "state")
@@ -518,16 +542,21 @@ def overlay_merge(t):
     return maintain.overlay_merge(base, overlays, "o_orderkey", 100000).select("o_orderkey", "match", "origin")
 
 
-BA = "select o_orderkey, nullif(o_orderstatus, 'P') as v from orders where o_orderkey % 11 <> 0"
-AP = "select o_orderkey, case when o_orderkey % 4 = 0 then 'P' when o_orderkey % 9 = 0 then null else nullif(o_orderstatus, 'P') end as v from orders where o_orderkey % 13 <> 0"
-DELTA = f"with b as ({BA}), a as ({AP}), d as (select coalesce(b.o_orderkey, a.o_orderkey) as o_orderkey, b.v as before, a.v as after, case when b.o_orderkey is null then 'missing-in-base' when a.o_orderkey is null then 'missing-in-applied' when coalesce(b.v, '') = coalesce(a.v, '') then 'unchanged' when coalesce(b.v, '') = '' then 'filled' when coalesce(a.v, '') = '' then 'cleared' else 'changed' end as change from b full join a on b.o_orderkey = a.o_orderkey)"
+def _version(table_filter: str, status: str, text: str) -> str:
+    return f"select o_orderkey, {status} as status, {text} as text from orders where {table_filter}"
+
+
+BASE_OF = ("case when o_orderstatus = 'P' then 'unmatched' when o_orderstatus = 'O' then 'matched-low' else 'matched-high' end", "case when o_orderstatus = 'P' then '' else o_orderpriority end")
+NEW_OF = ("case when o_orderkey % 4 = 0 then 'unmatched' when o_orderkey % 9 = 0 then 'matched-high' when o_orderstatus = 'P' then 'unmatched' when o_orderstatus = 'O' then 'matched-low' else 'matched-high' end", "case when o_orderkey % 4 = 0 then '' when o_orderkey % 15 = 0 then 'X' when o_orderkey % 9 = 0 then o_orderpriority when o_orderstatus = 'P' then '' else o_orderpriority end")
+DELTA = f"""with b as ({_version('o_orderkey % 11 <> 0', *BASE_OF)}), a as ({_version('o_orderkey % 13 <> 0', *NEW_OF)}),
+    d as (select coalesce(b.o_orderkey, a.o_orderkey) as o_orderkey, coalesce(b.status, '') as base_status, coalesce(a.status, '') as new_status, coalesce(b.text, '') as base_text, coalesce(a.text, '') as new_text,
+    case when b.o_orderkey is null then 'missing-in-base' when a.o_orderkey is null then 'missing-in-applied' when b.status = a.status and b.text = a.text then 'unchanged' when b.status <> 'unmatched' and a.status = 'unmatched' then 'cleared-to-unmatched'
+    when b.status = 'unmatched' and a.status <> 'unmatched' and a.text <> '' then 'filled-from-unmatched' when b.text <> a.text and b.text <> '' and a.text <> '' then 'replaced-text' when b.status <> a.status then 'status-only-change' else 'metadata-change' end as change from b full join a on b.o_orderkey = a.o_orderkey)"""
 
 
 def deltas(t):
-    o = t.orders
-    base = o.where("o_orderkey % 11 <> 0").select("o_orderkey", F.nullif("o_orderstatus", F.lit("P")).alias("v"))
-    new = F.when(F.col("o_orderkey") % 4 == 0, "P").when(F.col("o_orderkey") % 9 == 0, F.lit(None)).otherwise(F.nullif("o_orderstatus", F.lit("P")))
-    return maintain.delta_report(base, o.where("o_orderkey % 13 <> 0").select("o_orderkey", new.alias("v")), ["o_orderkey"], "v")
+    made = lambda of, c: t.orders.where(c).select("o_orderkey", F.expr(of[0]).alias("status"), F.expr(of[1]).alias("text"))
+    return maintain.delta_report(made(BASE_OF, "o_orderkey % 11 <> 0"), made(NEW_OF, "o_orderkey % 13 <> 0"), ["o_orderkey"], []).drop("changed")
 
 
 @query(f"{DELTA} select * from d")
@@ -535,9 +564,9 @@ def delta_report(t):
     return deltas(t)
 
 
-@query(f"{DELTA} select coalesce(before, '') as before, coalesce(after, '') as after, change, count(*) as n from d group by 1, 2, 3")
+@query(f"{DELTA} select base_status, new_status, change, count(*) as n from d group by 1, 2, 3")
 def status_transitions(t):
-    return deltas(t).groupBy(F.coalesce("before", F.lit("")).alias("before"), F.coalesce("after", F.lit("")).alias("after"), "change").agg(F.count(F.lit(1)).alias("n"))
+    return deltas(t).groupBy("base_status", "new_status", "change").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("with e as (select doc_id, sha256(text) as d from documents where doc_id % 7 <> 0), a as (select doc_id, sha256(case when doc_id % 5 = 0 then text || '!' else text end) as d from documents where doc_id % 9 <> 0) select coalesce(e.doc_id, a.doc_id) as doc_id, case when a.doc_id is null then 'missing' when e.doc_id is null then 'unexpected' when e.d = a.d then 'ok' else 'mismatch' end as state from e full join a on e.doc_id = a.doc_id")
@@ -548,15 +577,17 @@ def snapshot_verify(t):
     return maintain.verify_snapshot(e, a, "doc_id", "d").select("doc_id", "state")
 
 
-@query("select coalesce(o_orderpriority, 'ALL') as part, count(*) as n, count(*) filter (o_orderstatus = 'F') as matched, count(*) filter (o_orderstatus = 'F') * 10000 // count(*) as ratio_bp from orders group by rollup (o_orderpriority)")
+@query("select case when grouping(o_orderpriority) = 1 then 'ALL' else coalesce(o_orderpriority, '') end as part, count(*) as n, count(*) filter (o_orderstatus = 'F') as matched, count(*) filter (o_orderstatus = 'F') * 10000 // count(*) as ratio_bp from orders group by rollup (o_orderpriority)")
 def status_rollup(t):
-    out = t.orders.rollup("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("matched"))
-    return out.select(F.coalesce("o_orderpriority", F.lit("ALL")).alias("part"), "n", "matched", F.expr("matched * 10000 div n").alias("ratio_bp"))
+    out = t.orders.rollup("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("matched"), F.grouping("o_orderpriority").alias("g"))
+    return out.select(F.when(F.col("g") == 1, "ALL").otherwise(F.coalesce("o_orderpriority", F.lit(""))).alias("part"), "n", "matched", F.expr("matched * 10000 div n").alias("ratio_bp"))
 
 
-@query("select coalesce(o_orderpriority, 'ALL') as part, coalesce(o_orderstatus, 'ALL') as status, count(*) as n from orders group by cube (o_orderpriority, o_orderstatus)")
+@query("select case when grouping(o_orderpriority) = 1 then 'ALL' else coalesce(o_orderpriority, '') end as part, case when grouping(o_orderstatus) = 1 then 'ALL' else coalesce(o_orderstatus, '') end as status, count(*) as n from orders group by cube (o_orderpriority, o_orderstatus)")
 def part_status_cube(t):
-    return t.orders.cube("o_orderpriority", "o_orderstatus").agg(F.count(F.lit(1)).alias("n")).select(F.coalesce("o_orderpriority", F.lit("ALL")).alias("part"), F.coalesce("o_orderstatus", F.lit("ALL")).alias("status"), "n")
+    named = lambda c: F.when(F.grouping(c) == 1, "ALL").otherwise(F.coalesce(c, F.lit("")))
+    out = t.orders.cube("o_orderpriority", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"), named("o_orderpriority").alias("part"), named("o_orderstatus").alias("status"))
+    return out.select("part", "status", "n")
 
 
 CHK = "o_orderkey % 10 <> 0 as input_exists, o_orderkey % 7 = 0 as output_valid, o_orderkey % 11 <> 0 as space_ok, o_orderkey % 13 <> 0 as probe_ok, o_orderkey % 17 <> 0 as run_ok, o_orderkey % 97 = 0 as cancelled"
