@@ -192,7 +192,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     right = right.select("*", F.col("block").alias("j"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("i")).drop("block", "blocks")
     once = F.col("bucket") == F.array_min(F.array_intersect("bands_a", "bands_b"))
     enough = (100 + percent) * F.least("shared_a", "shared_b") >= percent * (F.col("n_a") + F.col("n_b"))
-    rest = left.join(right, ["bucket", "i", "j"]).where((F.col("component_a") != F.col("component_b")) & enough & _may_link("a", "b", percent) & once)
+    rest = left.join(right, ["bucket", "i", "j"]).where((F.col("component_a") != F.col("component_b")) & ((F.col("i") != F.col("j")) | (F.col("node_a") < F.col("node_b"))) & enough & _may_link("a", "b", percent) & once)
     rest = rest.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
     more = stored(confirmed(stored(rest.join(star, ["a", "b"], "left_anti")), sets, percent))
     final = first if more.isEmpty() else components(linked.unionByName(more))
