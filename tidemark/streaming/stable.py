@@ -1,4 +1,4 @@
-"""Stateful streams over keyed snapshots."""
+"""Stateful streams over keyed snapshots. A key's rows of one micro-batch are put in order together."""
 
 from __future__ import annotations
 
@@ -18,14 +18,13 @@ def stable_files(events: DataFrame, attempts: int = 6) -> DataFrame:
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         size, mtime, tries, done = state.get if state.exists else (-1, -1, 0, False)
         out = []
-        for pdf in frames:
-            for row in pdf.sort_values("seen").itertuples():
-                if done or tries >= attempts:
-                    continue
-                if (row.size, row.mtime) == (size, mtime):
-                    done = True
-                    out.append((key[0], int(row.size), int(row.seen)))
-                size, mtime, tries = int(row.size), int(row.mtime), tries + 1
+        for row in pd.concat(list(frames)).sort_values("seen", kind="stable").itertuples():
+            if done or tries >= attempts:
+                continue
+            if (row.size, row.mtime) == (size, mtime):
+                done = True
+                out.append((key[0], int(row.size), int(row.seen)))
+            size, mtime, tries = int(row.size), int(row.mtime), tries + 1
         state.update((size, mtime, tries, done))
         yield pd.DataFrame(out, columns=["path", "size", "stable_at"])
 
@@ -38,13 +37,12 @@ def paired_intervals(log: DataFrame) -> DataFrame:
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         started = state.get[0] if state.exists else None
         out = []
-        for pdf in frames:
-            for row in pdf.sort_values("seq").itertuples():
-                if row.kind == "start":
-                    started = int(row.t)
-                else:
-                    out.append((key[0], max(started if started is not None else int(row.t - row.dur), 0), int(row.t)))
-                    started = None
+        for row in pd.concat(list(frames)).sort_values("seq", kind="stable").itertuples():
+            if row.kind == "start":
+                started = int(row.t)
+            else:
+                out.append((key[0], max(started if started is not None else int(row.t - row.dur), 0), int(row.t)))
+                started = None
         state.update((started,))
         yield pd.DataFrame(out, columns=["media", "s", "e"])
 
