@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, fingerprint, language, minhash, mixing, pii, quality, suffix, toxicity, warc
+from tidemark.llm import bpe, clusters, fim, fingerprint, language, minhash, mixing, oracle, pieces, pii, quality, suffix, toxicity, warc
 from tidemark.llm.common import documents
 
 TOKENIZER = {"path": public_tokenizers.path("byte_bpe_50k.json"), "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 #: Target weights of the mixing query: domains by the source's number, then languages; sources alike.
 DOMAINS, LANGS = {"d0": 0.5, "d1": 0.3, "d2": 0.2}, {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
 #: The weight of each domain or language that the target weights don't list, the empty one included.
@@ -90,6 +91,23 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "domain", "lang", "source", "epoch", "n_tokens")
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = clusters.clustered(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return rows.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", clusters.digest("centroid").alias("centroid_sha256"))
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fim.transformed(documents(spark, sf_dir))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("form"), F.col("output")), 256).alias("restored_sha256")
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
+    rows = pieces.encoded(documents(spark, sf_dir), PIECES)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -97,7 +115,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_dedup, op2_bpe, op3_pii, op4_quality, op5_minhash, op6_toxicity, op7_warc, op8_fingerprint, op9_language, op10_mixing, pipeline)
+    f.__name__: f for f in (op1_suffix_dedup, op2_bpe, op3_pii, op4_quality, op5_minhash, op6_toxicity, op7_warc, op8_fingerprint, op9_language, op10_mixing, op11_clusters, op12_fim, op13_pieces, pipeline)
 }
 
 _QUALITY = r"""
@@ -122,5 +140,7 @@ from c"""
 
 ORACLE_SQL: dict[str, str] = {
     "op4_quality": _QUALITY,
+    "op11_clusters": oracle.clusters(),
+    "op12_fim": oracle.FIM,
     "op7_warc": f"select page_id, record_type, record_id, refers_to, target_uri, source_digest, title, coalesce(text_sha256, '') as text_sha256, coalesce(text_bytes, -1) as text_bytes, case when record_type = 'metadata' then n_links else -1 end as n_links from ({warc.derivatives_sql()})",
 }
