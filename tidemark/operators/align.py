@@ -1,7 +1,7 @@
 """Matching of two ordered sequences of cues with vectors: alignments, retrieval, candidate spans, staged and forced matches.
 
-The dynamic programs run as grouped pandas functions, one part or window a group, with numpy along the diagonals of the
-table; all ranking, retrieval, bounds and filling are windows and joins. Vectors are given; none are made here.
+Monotonic alignments run in tiles (``tiles.py``), group alignments as grouped pandas functions, one window a group, with
+numpy along the diagonals of the table; all ranking, retrieval, bounds and filling are windows and joins. Vectors are given; none are made here.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructType
 
+from tidemark.functions.cues import clamp
+from tidemark.operators import tiles
 from tidemark.operators.folds import ordered_fold
 
 By = list[str]
@@ -28,42 +30,19 @@ def _diagonals(n: int, m: int):
 
 
 def monotonic_path(sim: np.ndarray, match: float, output: float, skip_a: float, skip_b: float, band: int) -> list[tuple[int, int, float]]:
-    """(i, j, similarity) of the best increasing alignment inside a band around the diagonal.
+    """(i, j, similarity) of the best increasing alignment inside a band around the diagonal, the whole table as one tile.
 
-    A pair counts its similarity less ``match``; skipped rows and columns cost their penalties. On equal sums skipping a
-    row comes before skipping a column, and that before a pair. Pairs below ``output`` are walked over but not returned.
-    Cells outside the band can't be entered; a walk that ends up there goes up. Sums are 32-bit floats.
+    A pair counts its similarity less ``match``; skipped rows and columns cost their penalties. Pairs below ``output``
+    are walked over but not returned. For ties see ``tiles.fill``.
     """
     n, m = sim.shape
-    sim = sim.astype(np.float32)
-    best = np.full((n + 1, m + 1), _NONE, np.float32)
-    move = np.zeros((n + 1, m + 1), np.int8)
-    best[0] = np.cumsum(np.concatenate(([0], np.full(m, -skip_b))), dtype=np.float32)
-    best[:, 0] = np.cumsum(np.concatenate(([0], np.full(n, -skip_a))), dtype=np.float32)
-    move[0, 1:], move[1:, 0] = 2, 1
-    centre = (np.arange(n + 1) - 1) * (m / max(n, 1))
-    centre = centre.astype(np.int64)
-    for i, j in _diagonals(n, m):
-        inside = (j >= centre[i] - band) & (j <= centre[i] + band)
-        i, j = i[inside], j[inside]
-        up, left = best[i - 1, j] - np.float32(skip_a), best[i, j - 1] - np.float32(skip_b)
-        pair = best[i - 1, j - 1] + (sim[i - 1, j - 1] - np.float32(match))
-        value, how = np.where(left > up, left, up), np.where(left > up, 2, 1)
-        best[i, j], move[i, j] = np.where(pair > value, pair, value), np.where(pair > value, 3, how)
-    found = []
-    i, j = n, m
-    while i > 0 or j > 0:
-        how = move[i, j]
-        if how == 3:
-            if sim[i - 1, j - 1] >= np.float32(output):
-                found.append((i - 1, j - 1, float(sim[i - 1, j - 1])))
-            i, j = i - 1, j - 1
-        elif how == 2 and j > 0:
-            j -= 1
-        elif i > 0:
-            i -= 1
-        else:
-            break
+    path = tiles.Path(match, output, skip_a, skip_b)
+    move = tiles.fill(sim, 0, 0, n, m, band, path, tiles._edge(skip_b, m), tiles._edge(skip_a, n)[1:])[1]
+    found, i, j = [], n, m
+    while i > 0 and j > 0:
+        if move[i, j] == 3 and np.float32(sim[i - 1, j - 1]) >= np.float32(output):
+            found.append((i - 1, j - 1, float(np.float32(sim[i - 1, j - 1]))))
+        i, j = i - (move[i, j] != 2), j - (move[i, j] >= 2)
     return found[::-1]
 
 
@@ -85,30 +64,16 @@ def _sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
     return tuple(pdf[pdf.side == x].sort_values("pos", kind="stable") for x in "ab")
 
 
-def _progress(rows: pd.DataFrame, start: float, end: float, least: float) -> np.ndarray:
-    return ((rows.s + rows.e).to_numpy() / 2 - start) / max(end - start, least)
-
-
 def monotonic_align(rows: DataFrame, by: By, match: float = 0.46, output: float = 0.50, skip_a: float = 0.015, skip_b: float = 0.010, band_ratio: float = 0.22, band_min: int = 180, progress_weight: float = 0.0, width: float = 0.35) -> DataFrame:
-    """Aligns both sides of each group; rows: side ('a' or 'b'), pos, vector, and s and e if progress has a weight.
+    """Aligns both sides of each group, in tiles; rows: side ('a' or 'b'), pos, vector, and s and e if progress has a weight.
 
     The similarity is the vectors' product, plus the progress in both spans by its weight. Result: a_pos, b_pos, score.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = _sides(pdf)
-        columns = [*by, "a_pos", "b_pos", "score"]
-        if a.empty or b.empty:
-            return pd.DataFrame(columns=columns)
-        sim = np.stack(a.vector).astype(np.float32) @ np.stack(b.vector).astype(np.float32).T
-        if progress_weight:
-            spans = [np.clip(_progress(x, x.s.min(), x.e.max(), 1.0), 0, 1) for x in (a, b)]
-            sim = sim + np.float32(progress_weight) * progress_matrix(*spans, width).astype(np.float32)
-        m = sim.shape[1]
-        path = monotonic_path(sim, match, output, skip_a, skip_b, int(max(min(band_min, m), band_ratio * m)))
-        return pd.DataFrame([[*(pdf[k].iloc[0] for k in by), a.pos.iloc[i], b.pos.iloc[j], x] for i, j, x in path], columns=columns)
-
-    return rows.groupBy(*by).applyInPandas(run, _schema(rows, by, "a_pos long, b_pos long, score double"))
+    if progress_weight:
+        w = Window.partitionBy(*by, "side")
+        start = F.min("s").over(w)
+        rows = rows.withColumn("progress", clamp(((F.col("s") + F.col("e")) / 2 - start) / F.greatest(F.max("e").over(w) - start, F.lit(1.0)), 0.0, 1.0))
+    return tiles.aligned(rows, by, tiles.Blend(progress=progress_weight, width=width), tiles.Path(match, output, skip_a, skip_b, band_ratio, band_min))
 
 
 def group_scores(a: pd.DataFrame, b: pd.DataFrame, p: int, q: int, least: float = 0.50) -> np.ndarray:
@@ -174,9 +139,13 @@ def group_path(scores: dict[tuple[int, int], np.ndarray], n: int, m: int, match:
     return found[::-1]
 
 
-def group_align(rows: DataFrame, by: By, max_a: int = 3, max_b: int = 3, match: float = 0.60, output: float = 0.68, skip_a: float = 0.08, skip_b: float = 0.05, least: float = 0.50) -> DataFrame:
+def group_align(rows: DataFrame, by: By, max_a: int = 3, max_b: int = 3, match: float = 0.60, output: float = 0.68, skip_a: float = 0.08, skip_b: float = 0.05, least: float = 0.50, speakers: bool = False) -> DataFrame:
     """Aligns groups of up to ``max_a`` and ``max_b`` neighbours; rows: side, pos, s, e (seconds), vector. Result:
-    a_pos and b_pos as arrays, alignment ('2:1') and score."""
+    a_pos and b_pos as arrays, alignment ('2:1') and score.
+
+    ``speakers``: groups whose speakers differ don't match. The columns are then ``names``, all that a cue of a names, and
+    ``name``, what a cue of b begins with; of a group of b its first cue's counts.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = _sides(pdf)
@@ -185,6 +154,10 @@ def group_align(rows: DataFrame, by: By, max_a: int = 3, max_b: int = 3, match:
         if not n or not m:
             return pd.DataFrame(columns=columns)
         scores = {(p, q): group_scores(a, b, p, q, least) for p in range(1, min(max_a, n) + 1) for q in range(1, min(max_b, m) + 1)}
+        if speakers:
+            names = [list(x) if x is not None else [] for x in a["names"]]
+            for (p, q), found in scores.items():
+                found[tiles._strangers([sum(names[i : i + p], []) for i in range(n - p + 1)], b["name"].tolist()[: m - q + 1])] = np.nan
         path = group_path(scores, n, m, match, output, skip_a, skip_b)
         return pd.DataFrame([[*(pdf[k].iloc[0] for k in by), a.pos.iloc[i : i + p].tolist(), b.pos.iloc[j : j + q].tolist(), f"{p}:{q}", x] for i, j, p, q, x in path], columns=columns)
 
