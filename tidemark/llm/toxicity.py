@@ -2,14 +2,16 @@
 
 1. A character trigram model is counted over all given texts (its table has at most 28 ** 3 entries).
 2. Words that look disguised - digits or signs among letters, letters drawn out or spaced out - become lattices: each
-   character may be itself, a letter it resembles, or nothing; in long words and in letters spaced out, a new word may
-   begin at any letter. A Viterbi search finds the likeliest plain words, whatever the length.
+   character may be itself, a letter it resembles, or nothing; a new word may begin at any letter, at a cost. A
+   Viterbi search finds the likeliest plain words, by the same rule at every length.
 3. Words and word beginnings of the restored text get weights: the log odds of labelled documents that have them.
    The weights of a text's five heaviest words are summed and turned into a probability by logistic regression.
 
 Nulls and edge cases: a null or blank text has no words and gets the score of weight 0. Labels that are null are left
 out; a document with several label rows counts as often. Without labels of both kinds every score is 0. Repeated rows are
-scored alike, extra columns pass through.
+scored alike, extra columns pass through. A very long text is a block of its own and is decoded whole. Ties: of equally
+likely decodings the last in alphabetical order counts, of a text's equal weights any (their sum is the same). Empty tables
+give no trigrams, no weights and no rows.
 """
 
 from __future__ import annotations
@@ -31,8 +33,10 @@ LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 SEPARATORS = ".-_*~'`^"
 #: Costs, in nats, of a letter for a look-alike, of dropping a separator, of dropping a repeated letter, of a new word.
 SWAP, DROP, SHRINK, BREAK = 0.4, 0.2, 0.3, 1.0
-#: LONGEST: bytes beyond which a disguised word can be several words.
-LONGEST, SPACED, HEAVIEST = 40, 4, 5
+#: Letters in a row that count as spaced out; words of a text that count.
+SPACED, HEAVIEST = 4, 5
+#: Characters of decoded words that a worker keeps; a limit of memory only.
+KEPT = 4_000_000
 BEGINNINGS = (4, 5, 6)
 _SYMBOLS = 28  # blank, a-z, any other letter
 
@@ -84,7 +88,8 @@ class Restorer:
         bi = n.sum(0) + 2 * uni / uni.sum()
         tri = n + 4 * bi / bi.sum(1, keepdims=True)
         self.logs = np.log(tri / tri.sum(2, keepdims=True)).tolist()
-        self.kept: dict[tuple[str, bool], str] = {}
+        self.kept: dict[str, str] = {}
+        self.size = 0
 
     def options(self, word: str, i: int) -> list[tuple[str, float]]:
         c = word[i]
@@ -94,10 +99,10 @@ class Restorer:
         found = [(x, SWAP) for x in LOOKALIKES.get(c, "")]
         return found + [("", DROP if c in SEPARATORS else 3.0)]
 
-    def restore(self, word: str, several: bool = False) -> str:
-        """The likeliest plain word; ``several``: words, with blanks between them."""
-        if (word, several) in self.kept:
-            return self.kept[word, several]
+    def restore(self, word: str) -> str:
+        """The likeliest plain words, with blanks between them."""
+        if word in self.kept:
+            return self.kept[word]
         logs = self.logs
         states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}  # score, and (what came before, letters)
         for i in range(len(word)):
@@ -108,7 +113,7 @@ class Restorer:
                     if x:
                         r = ord(x) - 96 if "a" <= x <= "z" else 27
                         made = [((q, r), (score - cost + logs[p][q][r], (out, x)))]
-                        if several and q:
+                        if q:
                             made.append(((0, r), (score - cost - BREAK + logs[p][q][0] + logs[0][0][r], (out, " " + x))))
                     else:
                         made = [((p, q), (score - cost - 1.5, out))]
@@ -119,10 +124,11 @@ class Restorer:
         ends = [(score + logs[p][q][0], out) for (p, q), (score, out) in states.items()]
         most = max(score for score, _ in ends)
         best = max(_spelt(out) for score, out in ends if score == most)
-        if len(word) <= LONGEST:
-            if len(self.kept) > 200_000:
-                self.kept.clear()
-            self.kept[word, several] = best
+        self.size += len(word)
+        if self.size > KEPT:
+            self.kept.clear()
+            self.size = len(word)
+        self.kept[word] = best
         return best
 
 
@@ -164,11 +170,11 @@ def features(data: np.ndarray, offsets: np.ndarray, restorer: Restorer) -> tuple
     rows, found = [row[~disguised]], [_hashes(prefix, first[~disguised], last[~disguised])]
     extra: list[tuple[int, str]] = []
 
-    def restored(r: int, raw: np.ndarray, several: bool) -> None:
-        extra.extend((r, x) for x in restorer.restore(raw.tobytes().decode("utf-8", "replace"), several).split(" "))
+    def restored(r: int, raw: np.ndarray) -> None:
+        extra.extend((r, x) for x in restorer.restore(raw.tobytes().decode("utf-8", "replace")).split(" "))
 
     for k in np.flatnonzero(disguised):
-        restored(row[k], low[p[k] : q[k]], q[k] - p[k] > LONGEST)
+        restored(row[k], low[p[k] : q[k]])
     single = q - p == 1
     if single.any():  # letters spaced out
         at = np.concatenate((first, alone))
@@ -183,7 +189,7 @@ def features(data: np.ndarray, offsets: np.ndarray, restorer: Restorer) -> tuple
             inner = a + np.flatnonzero(solid[a:b])
             run = at[inner[0] : inner[-1] + 1]
             if len(run) >= SPACED:
-                restored(row[a], low[run], True)
+                restored(row[a], low[run])
     extra = [(r, x) for r, x in extra if x]
     if extra:
         joined = np.frombuffer("".join(x for _, x in extra).encode(), np.uint8)
