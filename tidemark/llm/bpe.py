@@ -17,7 +17,7 @@ by document; a seeded sample tells which, and sets only where rows go. Memory is
 texts of 256 KB; a longer text is encoded alone. Decoding maps the ids to bytes.
 
 A null text counts as empty: no tokens, empty decoded text. Repeated rows get equal results. An empty table gives an
-empty one. Ids must be numbers. Extra columns are ignored.
+empty one. Ids are of any type. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,12 +36,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from tidemark.llm import textops as T
-from tidemark.llm.common import stored, utf8_rows
+from tidemark.llm.common import stored, task_count, utf8_rows
 
 #: A chunk ends where the low bits of the hash of the last WINDOW bytes are all 0: every 2 ** BITS bytes or so.
 WINDOW, BITS, LEAST, MOST = 32, 10, 256, 8192
 CACHE = 8_000
-#: Bytes of text to a task, and of the sample that looks for hashes with more than that.
+#: Bytes of text to a task (fewer where there are more cores than such tasks), and of the sample that looks for hot hashes.
 TASK_BYTES, SAMPLE_BYTES = 32 << 20, 64 << 20
 #: Characters that a joint's new encoding reaches to each side at first.
 REACH = 24
@@ -279,21 +279,22 @@ def _least_chunks(texts: pa.Array) -> pa.Array:
 
 
 def gathered(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) dealt to tasks of about TASK_BYTES so that rows which share chunks meet."""
+    """``docs`` (doc_id, text) dealt to tasks of about TASK_BYTES (see ``task_count``) so that rows which share chunks meet."""
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     total = docs.agg(F.sum(size)).first()[0] or 0
-    tasks = max(1, -(-total // TASK_BYTES))
+    tasks = task_count(docs.sparkSession, total, TASK_BYTES)
+    fair = max(1, total // tasks)
     share = min(1.0, SAMPLE_BYTES / max(1, total))
     some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(share * 1_000_000)).select(_least_chunks("text").alias("least"), size.alias("size"))
-    hot = some.groupBy("least").agg((F.sum("size") / (share * TASK_BYTES)).cast("int").alias("spread")).where("spread > 0")
-    hot = F.broadcast(stored(hot))  # at most a row for each TASK_BYTES of the table
+    hot = some.groupBy("least").agg((F.sum("size") / (share * fair)).cast("int").alias("spread")).where("spread > 0")
+    hot = F.broadcast(stored(hot))  # a row for each task's share of bytes, so no more than there are tasks
     dealt = docs.withColumn("least", _least_chunks("text")).join(hot, "least", "left")
     salt = F.when(F.col("spread").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), 2 * F.col("spread")))
     return dealt.withColumn("salt", salt).repartition(tasks, "least", "salt").select("doc_id", "text")
 
 
 def coded(docs: DataFrame, tokenizer: dict, schema: str, row: Callable) -> DataFrame:
-    """``row(doc_id, text, ids, decoded)`` for each row of ``docs`` (doc_id, text); ``tokenizer``: what Codec takes."""
+    """doc_id and ``row(text, ids, decoded)`` for each row of ``docs`` (doc_id, text); ``tokenizer``: what Codec takes."""
 
     def run(batches):
         codec = _codec(tokenizer)
@@ -302,23 +303,23 @@ def coded(docs: DataFrame, tokenizer: dict, schema: str, row: Callable) -> DataF
                 part = batch.slice(lo, hi - lo)
                 texts = [x or "" for x in part.column(1).to_pylist()]
                 ids = codec.encode(texts)
-                rows = [row(*x) for x in zip(part.column(0).to_pylist(), texts, ids, codec.decode(ids), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                rows = [row(*x) for x in zip(texts, ids, codec.decode(ids), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names)
 
-    names = [f.split()[0] for f in schema.split(", ")]
+    names = ["doc_id", *(f.split()[0] for f in schema.split(", "))]
     types = [ARROW[f.split()[1]] for f in schema.split(", ")]
-    return gathered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, schema)
+    return gathered(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {schema}")
 
 
 def digests(docs: DataFrame, tokenizer: dict) -> DataFrame:
     """doc_id, n_tokens and the SHA-256 of the ids and of the decoded text."""
 
-    def row(key, text, ids, decoded):
-        return key, len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+    def row(text, ids, decoded):
+        return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
-    return coded(docs, tokenizer, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", row)
+    return coded(docs, tokenizer, "n_tokens long, ids_sha256 string, decoded_sha256 string", row)
 
 
 def encoded(docs: DataFrame, tokenizer: dict) -> DataFrame:
     """doc_id, the ids themselves, and whether they decode to the text again."""
-    return coded(docs, tokenizer, "doc_id long, ids array<int>, exact boolean", lambda key, text, ids, decoded: (key, ids.astype(np.int32), decoded == text))
+    return coded(docs, tokenizer, "ids array<int>, exact boolean", lambda text, ids, decoded: (ids.astype(np.int32), decoded == text))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.storage import shared_dir, spent, stored
+
+__all__ = ["BLOCK_BYTES", "blocks", "documents", "let", "shared_dir", "spent", "stored", "task_count", "utf8_rows"]
+
 #: Bytes of text that one numpy pass works on; longer single texts form a block of their own.
 BLOCK_BYTES = 1 << 20
 
@@ -20,40 +22,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; on one machine (local master) a folder of its own if unset.
-
-    On a cluster a folder of the driver's machine would be another one on each executor, so there the setting is needed.
-    """
-    context = spark.sparkContext
-    found = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        context.setCheckpointDir(found)
-    return found
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back: short lineage, safe from lost executors.
+def task_count(spark: SparkSession, size: int, task_bytes: int, most: int = 50_000) -> int:
+    """Tasks for ``size`` bytes: one for each ``task_bytes``, but no fewer than there are cores, and ``most`` at most.
 
-    All tables of an application lie in one folder named by its id, to be deleted when it has ended; those of rounds
-    that are over go at once (``spent``).
+    A shuffle's blocks grow with the square of its tasks, so beyond ``most`` tasks grow instead; they stream their rows.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    made = spark.read.schema(df.schema).parquet(path)
-    made._tidemark_path = path
-    return made
-
-
-def spent(*tables: DataFrame) -> None:
-    """Deletes tables made by ``stored`` that nothing will read again."""
-    for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._tidemark_path)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    return max(1, min(most, max(spark.sparkContext.defaultParallelism, -(-size // task_bytes))))
 
 
 def let(value: Column, body) -> Column:
