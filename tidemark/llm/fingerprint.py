@@ -16,12 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import let, stored
+from tidemark.llm.common import let, stored, task_count
 
 BINS, BITS, SIZE = 128, 4, 5
 _SHIFT = 64 - 7
-#: Bytes of text that a cell of neighbouring ids, and a task, should have at most.
-CELL_BYTES = 16 << 20
+#: Bytes of text that a task, and a cell of neighbouring ids, should have at most; beyond CELLS of them cells grow instead.
+CELL_BYTES, CELLS = 16 << 20, 50_000
 
 
 def shingles(text: Column) -> Column:
@@ -70,21 +70,21 @@ def _placed(rows: DataFrame, cut: DataFrame) -> DataFrame:
     """``rows`` (key, h, cell, ...) with the cells that ``cut`` names cut evenly between their ends."""
     wide = lambda c: F.col(c).cast("decimal(20,0)")
     part = F.floor((F.when(F.col("by_h"), wide("h")).otherwise(wide("key")) - wide("lo")) / F.col("step"))
-    rows = rows.join(F.broadcast(cut), "cell", "left")  # a row for each cell of more than CELL_BYTES
+    rows = rows.join(F.broadcast(cut), "cell", "left")  # a row for each cell that is too large: CELLS or so at most
     return rows.withColumn("cell", F.when(F.col("step").isNotNull(), F.concat_ws("/", "cell", part.cast("string"))).otherwise(F.col("cell"))).drop("by_h", "lo", "step")
 
 
-def _cuts(ids: DataFrame) -> list[DataFrame]:
-    """How to cut the range of (key, h) into cells of at most CELL_BYTES: level by level, each cell that is larger is
+def _cuts(ids: DataFrame, most: int) -> list[DataFrame]:
+    """How to cut the range of (key, h) into cells of at most ``most`` bytes: level by level, each cell that is larger is
     cut evenly between its own least and greatest key, or hash where all keys are equal. So neither gaps nor outliers
     nor repeated ids gather rows, and levels are few. A cell is a stretch of the order; only equal rows can't be cut."""
     levels: list[DataFrame] = []
     now = ids.withColumn("cell", F.lit(""))
     while True:
         ends = now.groupBy("cell").agg(F.sum("size").alias("size"), *(f(c).alias(n) for c, lo, hi in (("key", "a", "b"), ("h", "c", "d")) for f, n in ((F.min, lo), (F.max, hi))))
-        ends = ends.where((F.col("size") > CELL_BYTES) & ((F.col("a") < F.col("b")) | (F.col("c") < F.col("d"))))
+        ends = ends.where((F.col("size") > most) & ((F.col("a") < F.col("b")) | (F.col("c") < F.col("d"))))
         span = F.when(F.col("a") < F.col("b"), F.col("b").cast("decimal(20,0)") - F.col("a").cast("decimal(20,0)")).otherwise(F.col("d").cast("decimal(20,0)") - F.col("c").cast("decimal(20,0)"))
-        parts = 2 * F.ceil(F.col("size") / CELL_BYTES)
+        parts = 2 * F.ceil(F.col("size") / most)
         cut = stored(ends.select("cell", (F.col("a") == F.col("b")).alias("by_h"), F.when(F.col("a") < F.col("b"), F.col("a")).otherwise(F.col("c")).alias("lo"), (F.floor(span / parts) + 1).cast("decimal(20,0)").alias("step")))
         if cut.isEmpty():
             return levels
@@ -98,8 +98,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("h", F.xxhash64("text"))
     ids = stored(rows.select("key", "h", F.octet_length("text").cast("long").alias("size")))
-    levels = _cuts(ids)
-    tasks = max(1, (ids.agg(F.sum("size")).first()[0] or 0) // CELL_BYTES)
+    total = ids.agg(F.sum("size")).first()[0] or 0
+    tasks = task_count(docs.sparkSession, total, CELL_BYTES, CELLS)
+    levels = _cuts(ids, max(1, total // tasks))
 
     def placed(df: DataFrame) -> DataFrame:
         df = df.withColumn("cell", F.lit(""))
@@ -108,7 +109,7 @@ def with_next(docs: DataFrame) -> DataFrame:
         return df
 
     tops = stored(placed(ids.select("key", "h")).groupBy("cell").agg(F.max(F.struct("key", "h")).alias("top")))
-    down = Window.orderBy(F.col("top").desc())  # one row a cell
+    down = Window.orderBy(F.col("top").desc())  # one row a cell: a few times CELLS at most, whatever the input
     after = tops.select("cell", F.coalesce(F.lead("top").over(down), F.max("top").over(Window.partitionBy(F.lit(1)))).alias("top"))
     heads = rows.select("key", "h", "text").join(F.broadcast(tops.select("top.key", "top.h")), ["key", "h"])  # one pair of numbers a cell
     heads = heads.groupBy("key", "h").agg(F.first("text").alias("text")).select(F.struct("key", "h").alias("top"), "text")
