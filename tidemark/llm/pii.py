@@ -3,6 +3,7 @@
 1. Four base patterns give the seeds: e-mail addresses, IP addresses, card and phone numbers, checked by value.
 2. Looser candidates of each kind (obfuscated addresses, numbers without a plus, card numbers that fail the check, ...)
    and the seeds stand behind lexical patterns: the word before them, and the two words before them.
+   Texts are searched once; what is found is stored in a narrow table of spans, on which all else works.
 3. On the graph of patterns and instances, a pattern's confidence is the mean score of the instances behind it, for
    one kind, and an instance's score is the chance that one of its patterns is right; seeds have score 1. Instances
    whose score is high count as seeds of the next round's patterns, so that a context which only unseen identifiers
@@ -11,7 +12,7 @@
 
 Positions are code points, end exclusive. Null texts count as empty. Repeated rows get equal results. A pattern never
 reaches over the text's start. An empty table gives an empty one; very long texts are searched whole. Equal scores need no
-order: patterns and instances are judged by thresholds. Ids must be numbers in ``report``. Extra columns, of any name, pass through ``redacted`` and are ignored by ``report``.
+order: patterns and instances are judged by thresholds. Ids are of any type. Extra columns, of any name, pass through ``redacted`` and are ignored by ``report``.
 """
 
 from __future__ import annotations
@@ -39,7 +40,8 @@ LOOSE = {
     "phone": r"(?<![0-9+])\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,14}(?![0-9])",
 }
 LOOSE_GUARD = {"email": lambda t: t.rlike(r"(?:[(\[]|\x20)(?:dot|at)(?:[)\]]|\x20)"), "ip": lambda t: t.rlike(r"(?:[0-9A-Fa-f]{1,4}:){7}"), "card": lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){12}"), "phone": lambda t: t.rlike(r"[0-9](?:[\x20().-]{0,2}[0-9]){6}")}
-CONTEXT, ROUNDS = 40, 3
+#: Characters before a span in which its two words are looked for first, in turn; where they may begin earlier, all before it.
+CONTEXTS, ROUNDS = (40, 400), 3
 #: What a pattern needs to be believed: confidence, and different seeds behind it.
 SURE, SEEDS = 0.7, 10
 
@@ -106,19 +108,42 @@ def loose(text: Column) -> Column:
     return F.concat(*(found(text, k, LOOSE[k], LOOSE_GUARD[k], LOOSE_VALID[k], False) for k in KINDS))
 
 
-def _candidates(seeded: DataFrame) -> DataFrame:
-    """doc_id, digest, start, end, rank, value, seed, patterns: seeds and looser candidates that don't overlap a seed, with what stands before."""
+def _patterns(text: Column, start: Column) -> Column:
+    """The patterns of what stands behind ``start`` characters: the word before it, and the two words before it, whole."""
+
+    def words(most: int | None) -> Column:
+        before = F.substring(text, F.lit(1), start) if most is None else F.substring(text, F.greatest(start - most + 1, F.lit(1)), F.least(start, F.lit(most)))
+        return F.regexp_extract_all(F.lower(before), F.lit(r"[^\x20\t-\r]+"), F.lit(0))
+
+    def made(found: Column) -> Column:
+        last, none = F.element_at(found, -1), F.array().cast("array<string>")
+        return F.when(F.size(found) > 1, F.array(last, F.concat_ws(" ", F.element_at(found, -2), last))).when(F.size(found) == 1, F.array(last)).otherwise(none)
+
+    def within(most: int, further: Column) -> Column:  # of three words the last two are whole, wherever the first was cut
+        return let(words(most), lambda found: F.when((F.size(found) > 2) | (start <= most), made(found)).otherwise(further))
+
+    out = made(words(None))
+    for most in reversed(CONTEXTS):
+        out = within(most, out)
+    return out
+
+
+def _with_candidates(seeded: DataFrame) -> DataFrame:
+    """``seeded`` with ``seen``: seeds and looser candidates that don't overlap a seed, each with its patterns."""
     text = F.coalesce("text", F.lit(""))
-    rows = seeded.select("doc_id", F.xxhash64("text").alias("digest"), "text", "base", loose(text).alias("loose")).where("size(base) + size(loose) > 0")
-    free = F.filter("loose", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    rows = rows.select("doc_id", "digest", "text", F.explode(F.concat("base", free)).alias("span"))
-    before = F.substring(F.col("text"), F.greatest(F.col("span.start") - CONTEXT + 1, F.lit(1)), F.least(F.col("span.start"), F.lit(CONTEXT)))
-    words = F.regexp_extract_all(F.lower(before), F.lit(r"[^\x20\t-\r]+"), F.lit(0))
-    rows = rows.select("doc_id", "digest", "span", words.alias("words")).select("doc_id", "digest", "span.*", "words")
-    last = F.element_at("words", -1)
-    none = F.array().cast("array<string>")
-    patterns = F.when(F.size("words") > 1, F.array(last, F.concat_ws(" ", F.element_at("words", -2), last))).when(F.size("words") == 1, F.array(last)).otherwise(none)
-    return rows.select("doc_id", "digest", "start", "end", "rank", "value", "seed", patterns.alias("patterns"))
+    rows = seeded.withColumn("seen", loose(text))
+    rows = rows.withColumn("seen", F.concat("base", F.filter("seen", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))))
+    parts = lambda s: [s[c].alias(c) for c in ("start", "end", "rank", "value", "seed")]
+    return rows.withColumn("seen", F.transform("seen", lambda s: F.struct(*parts(s), _patterns(F.col("text"), s["start"]).alias("patterns"))))
+
+
+def _exploded(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", "digest", F.explode("seen").alias("span")).select("doc_id", "digest", "span.*")
+
+
+def _candidates(seeded: DataFrame) -> DataFrame:
+    """doc_id, digest, start, end, rank, value, seed, patterns of all candidates."""
+    return _exploded(_with_candidates(seeded).withColumn("digest", F.xxhash64("text")))
 
 
 def confident_patterns(candidates: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -139,23 +164,23 @@ def confident_patterns(candidates: DataFrame, rounds: int = ROUNDS) -> DataFrame
     return confidence.where(F.col("confidence") >= SURE).select("pattern", "rank")
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``base`` and ``extra``: seed spans, and spans that the believed patterns add.
+def with_spans(docs: DataFrame, texts: bool = True) -> DataFrame:
+    """``docs`` with ``base`` and ``extra``: seed spans, and spans that the believed patterns add; without ``text`` if not ``texts``.
 
-    Only rows that have a looser candidate can gain a span, so only they are joined and moved; the others stay where they are.
+    Every text is searched once, and what was found is stored (with the text, if it is wanted). Only rows that have a
+    looser candidate can gain a span, so only they are joined and moved; the others stay where they are.
     """
-    seeded = with_seeds(docs)
-    candidates = stored(_candidates(seeded))
+    searched = _with_candidates(with_seeds(docs)).withColumn("digest", F.xxhash64("text"))
+    searched = stored(searched if texts else searched.drop("text"))
+    candidates = _exploded(searched)
     believed = confident_patterns(candidates)
     unseen = candidates.where("not seed").select("doc_id", "digest", F.struct("start", "end", "rank", "value", "seed").alias("span"), F.explode("patterns").alias("pattern"), "rank")
     new = unseen.join(believed, ["pattern", "rank"], "left_semi").groupBy("doc_id", "digest").agg(F.collect_set("span").alias("new"))
     new = new.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "new")
-    may = F.size(loose(F.coalesce("text", F.lit("")))) > 0
-    some = with_seeds(docs.where(may)).withColumn("_own", F.xxhash64("text"))
-    some = some.join(new, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest")), "left")
-    none = F.array().cast(_SPAN)
-    some = some.withColumn("extra", F.sort_array(F.coalesce("new", none))).drop("_own", "_id", "_digest", "new")
-    return some.unionByName(with_seeds(docs.where(~may)).withColumn("extra", none))
+    may, none = F.size("seen") > F.size("base"), F.array().cast(_SPAN)
+    some = searched.where(may).join(new, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
+    some = some.withColumn("extra", F.sort_array(F.coalesce("new", none))).drop("_id", "_digest", "new")
+    return some.unionByName(searched.where(~may).withColumn("extra", none)).drop("seen", "digest")
 
 
 def _text(spans: Column) -> Column:
@@ -170,7 +195,7 @@ def _by_place(spans: Column) -> Column:
 
 def report(docs: DataFrame) -> DataFrame:
     """Counts of the base kinds, a digest of the base spans and all spans, for each row of ``docs`` (doc_id, text)."""
-    rows = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    rows = with_spans(docs.select("doc_id", "text"), texts=False)
 
     def count(kind: str) -> Column:
         return F.size(F.filter("base", lambda s: s["rank"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
