@@ -17,7 +17,8 @@ With 5 rows and 32 bands a pair of similarity 0.85 shares no bucket with probabi
 Nulls and edge cases: an empty table gives an empty one; very long texts form blocks of their own, and their sets must fit
 a task's memory. A null or blank text has the empty set, is linked with nothing and is kept; a text with fewer
 than five words has one shingle, the whole sequence. Rows with a null id are kept and never linked. Rows that repeat
-an id count as one node: what links one of them links all. Extra columns are ignored.
+an id count as one node: what links one of them links all. Ties: of equally common members the one with the smallest id
+is the centre, and a component is named by its smallest id. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -141,11 +142,25 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (estimate(F.col(f"sig_{a}"), F.col(f"sig_{b}")) >= percent / 100 - MARGIN)
 
 
+def _with_sets(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
+    """``pairs`` with the shingle set of their ``side``. A text with more than BLOCK partners is dealt to a task for each
+    BLOCK of them, and its set copied so often only; other sets aren't copied at all."""
+    other = "a" if side == "b" else "b"
+    own = sets.select(F.col("doc_id").alias(side), F.col("shingles").alias(f"set_{side}"))
+    hubs = stored(pairs.groupBy(side).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")).where("parts > 1"))
+    if hubs.isEmpty():
+        return pairs.join(own, side)
+    few = pairs.join(hubs, side, "left_anti").join(own, side)
+    part = F.pmod(F.xxhash64(other), F.col("parts")).cast("int")
+    copies = own.join(hubs, side).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    many = pairs.join(hubs, side).withColumn("part", part).drop("parts").join(copies, [side, "part"]).drop("part")
+    return few.unionByName(many)
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets have 100 * intersection >= percent * union."""
-    a, b = (sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
     both = F.size(F.array_intersect("set_a", "set_b"))
-    found = pairs.select("a", "b").join(b, "b").join(a, "a")
+    found = _with_sets(_with_sets(pairs.select("a", "b"), sets, "b"), sets, "a")
     return found.where(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)).select("a", "b").distinct()
 
 
@@ -198,7 +213,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     final = first if more.isEmpty() else components(linked.unionByName(more))
 
     by_class = classes.join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    out = sketch.join(by_class, "digest", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+    full = F.col("n_shingles") > 0  # empty sets have all one digest, and no links
+    out = sketch.where(full).join(by_class, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
+    out = out.unionByName(sketch.where(~full).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
