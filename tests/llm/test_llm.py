@@ -252,6 +252,60 @@ def test_toxicity_decodes_any_length_in_any_company():
     assert found("3 1 0 4", "hello!!", "a | b")[0] == set() and found("hello!!")[0] == found("hello")[0]
 
 
+def test_toxicity_reads_the_same_letters_alike_at_every_length(spark):
+    """A disguised word is read as its parts are, however long the whole is."""
+    counts = toxicity.trigram_counts(spark.createDataFrame([(" ".join(["you", "worthless", "garbage", "and", "stupid", "idiot", "window", "garden"] * 50),)], "text string"))
+    restorer = toxicity.Restorer(counts)
+    part = "w0rthl3ss-garb4ge.and.st-u-p-i-d.idi0t"
+    words = restorer.restore(part).split(" ")
+    assert words == ["worthless", "garbage", "and", "stupid", "idiot"]
+    for k in (2, 3, 40):
+        assert restorer.restore(".".join([part] * k)).split(" ") == words * k
+
+
+def test_contexts_are_whole_words(spark):
+    long = "reach" * 30
+    docs = spark.createDataFrame([(1, f"{long} at a@b.example.com"), (2, f"x {'y' * 39} at a@b.example.com"), (3, "a@b.example.com"), (4, f"{'z' * 900} {'w' * 500} a@b.example.com"), (5, "one two three a@b.example.com")], "doc_id long, text string")
+    got = {r["doc_id"]: r["patterns"] for r in pii._candidates(pii.with_seeds(docs)).collect()}
+    assert got == {1: ["at", f"{long} at"], 2: ["at", "y" * 39 + " at"], 3: [], 4: ["w" * 500, "z" * 900 + " " + "w" * 500], 5: ["three", "two three"]}
+
+
+def test_string_ids(spark):
+    docs = spark.createDataFrame([("a", "mail me at a@b.example.com today"), ("b", None)], "doc_id string, text string")
+    assert {r["doc_id"] for r in bpe.digests(docs, TOKENIZER).collect()} == {"a", "b"}
+    assert ids(pii.report(docs).collect())["a"]["n_email"] == 1
+
+
+def test_hubs_meet_their_members_in_parts(spark, monkeypatch):
+    """A text that most others are near to: its set is dealt to several tasks, and no pair is lost."""
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(0, " ".join(base))] + [(i, " ".join([*base[:-1], f"own{i}"])) for i in range(1, 30)] + [(i, "") for i in range(100, 140)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = ids(minhash.near_duplicates(docs, percent=85).collect())
+    assert all(got[i]["component_id"] == 0 for i in range(30)) and all(got[i]["component_id"] == i and got[i]["kept"] for i in range(100, 140))
+    sets = docs.where("doc_id < 30").mapInArrow(minhash._set_rows, minhash.SETS)
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 30)] + [(1, 2)], "a long, b long")
+    assert {tuple(r) for r in minhash.confirmed(pairs, sets, 85).collect()} == {(0, i) for i in range(1, 30)} | {(1, 2)}
+
+
+def test_warc_sql_keeps_page_headers(spark):
+    import duckdb
+
+    from tidemark.llm import oracle, queries
+
+    html = ["<head x><title>T</title></head\n><body><header class='a'><h1>Top</h1>by me</header>Body", "<scripted>One</scripted><script>no</script >", " a &amp;lt; b&nbsp; c <br/> \n\n x ", None, "<script>unclosed <a href=x>"]
+    pages = spark.createDataFrame([(i, "u", x) for i, x in enumerate(html)], "page_id long, url string, html string")
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas())
+    want = sorted(map(str, con.execute("select page_id, record_type, record_id, refers_to, target_uri, source_digest, title, text_sha256, text_bytes, n_links from (" + oracle.WARC + ")").fetchall()))
+    import tempfile
+
+    folder = tempfile.mkdtemp()
+    pages.write.parquet(f"{folder}/pages.parquet")
+    assert sorted(str(tuple(r)) for r in queries.op7_warc(spark, folder).collect()) == want
+
+
 def test_toxicity_without_labels(spark, empty):
     model = toxicity.fitted(empty, spark.createDataFrame([], "doc_id long, toxic int"))
     assert spark.createDataFrame([("some words",)], "text string").select(toxicity.score(model)).first()[0] < 0.5

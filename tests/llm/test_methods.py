@@ -30,6 +30,9 @@ def test_viterbi_equals_enumeration():
     def score(ways):
         total, p, q = 0.0, 0, 0
         for x, cost in ways:
+            if x.startswith(" "):  # a new word, which only comes after a letter
+                total = total + restorer.logs[p][q][0] - toxicity.BREAK if q else -math.inf
+                p, q, x = 0, 0, x[1:]
             if x:
                 total, p, q = total - cost + restorer.logs[p][q][code(x)], q, code(x)
             else:
@@ -38,6 +41,7 @@ def test_viterbi_equals_enumeration():
 
     for word in ("st0p", "b@d", "5.a.d", "aaab", "l1fe", "no-w", "h3ll0", "$1ck"):
         options = [restorer.options(word, i) for i in range(len(word))]
+        options = [found + [(" " + x, cost) for x, cost in found if x] for found in options]
         every = [(score(ways), "".join(x for x, _ in ways)) for ways in itertools.product(*options)]
         assert restorer.restore(word) in {w for s, w in every if math.isclose(s, max(every)[0], rel_tol=1e-9)}
 

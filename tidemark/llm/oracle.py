@@ -2,6 +2,24 @@
 
 from __future__ import annotations
 
+WARC = r"""
+with p as (select page_id, coalesce(url, '') as uri, coalesce(html, '') as html from pages),
+a as (select *, regexp_replace(html, '<!--(?s:.*?)-->', '', 'g') as x from p),
+b as (select *, regexp_replace(x, '<[sS][cC][rR][iI][pP][tT]([\t\n\v\f\r /][^>]*)?>(?s:.*?)</[sS][cC][rR][iI][pP][tT]([\t\n\v\f\r /][^>]*)?>', '', 'g') as y from a),
+c as (select *, regexp_replace(y, '<[sS][tT][yY][lL][eE]([\t\n\v\f\r /][^>]*)?>(?s:.*?)</[sS][tT][yY][lL][eE]([\t\n\v\f\r /][^>]*)?>', '', 'g') as z from b),
+d as (select *, regexp_replace(z, '<[hH][eE][aA][dD]([\t\n\v\f\r /][^>]*)?>(?s:.*?)</[hH][eE][aA][dD]([\t\n\v\f\r /][^>]*)?>', '', 'g') as body from c),
+e as (select *, regexp_replace(body, '<([bB][rR]|/([pP]|[dD][iI][vV]|[lL][iI]|[hH][1-6]|[tT][rR]|[tT][iI][tT][lL][eE]|[aA][rR][tT][iI][cC][lL][eE]|[nN][aA][vV]|[uU][lL]))[^>]*>', chr(10), 'g') as broken from d),
+f as (select *, replace(replace(replace(replace(replace(replace(regexp_replace(broken, '<[^>]*>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') as plain from e),
+g as (select *, trim(regexp_replace(regexp_replace(plain, '[ \t\r\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10)) as text, md5('response|' || coalesce(page_id::varchar, '') || '|' || uri) as h from f),
+r as (select *, '<urn:uuid:' || regexp_replace(h, '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\1-\2-\3-\4-\5') || '>' as refers_to from g),
+k as (select *, md5(record_type || '|' || refers_to) as own from r, (values ('metadata'), ('conversion')) v(record_type))
+select page_id, record_type, '<urn:uuid:' || regexp_replace(own, '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\1-\2-\3-\4-\5') || '>' as record_id, refers_to, uri as target_uri,
+       'sha256:' || sha256(html) as source_digest, regexp_extract(html, '<[tT][iI][tT][lL][eE][^>]*>([^<]*)', 1) as title,
+       case record_type when 'conversion' then sha256(text) else '' end as text_sha256,
+       case record_type when 'conversion' then strlen(text) else -1 end::bigint as text_bytes,
+       case record_type when 'metadata' then len(regexp_extract_all(html, '<[aA][\t\n\v\f\r ]')) else -1 end::bigint as n_links
+from k"""
+
 FIM = r"""
 with d as (select doc_id, coalesce(text, '') as t, sha256('7:' || coalesce(doc_id::varchar, '')) as h from documents),
 l as (select doc_id, t, h, regexp_extract_all(t, '[^\n]*\n|[^\n]+') as lines from d),

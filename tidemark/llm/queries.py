@@ -142,5 +142,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_quality": _QUALITY,
     "op11_clusters": oracle.clusters(),
     "op12_fim": oracle.FIM,
-    "op7_warc": f"select page_id, record_type, record_id, refers_to, target_uri, source_digest, title, coalesce(text_sha256, '') as text_sha256, coalesce(text_bytes, -1) as text_bytes, case when record_type = 'metadata' then n_links else -1 end as n_links from ({warc.derivatives_sql()})",
+    "op7_warc": oracle.WARC,
 }

@@ -9,7 +9,8 @@ Both refer to the response (WARC-Refers-To), repeat its target and date, and car
 blocks have digests and lengths. Ids are made from the response's id and the record type, so runs repeat exactly.
 
 Nulls and edge cases: a null url is '', a null payload empty: it gives an empty conversion block. Null page ids count as
-'' in ids. Repeated rows give repeated records. Extra columns are ignored.
+'' in ids. Repeated rows give repeated records, so ties need no order. A very long payload is one row's work and stays in it. An
+element that isn't closed keeps its text; only its tags go. Empty tables give empty ones. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,8 +37,6 @@ STEPS = (
     (r"^[ \n]+", ""),
     (r"[ \n]+$", ""),
 )
-#: The SQL's steps. It takes <header> for <head> and differs from STEPS on pages that have one.
-SQL_STEPS = (STEPS[0], *((rf"(?is)<{name}[^>]*>.*?</{name}[^>]*>", "") for name in GONE), *STEPS[4:])
 DATE = "2024-01-01T00:00:00Z"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 
@@ -87,29 +86,3 @@ def serialised(records: DataFrame) -> DataFrame:
     lines = F.concat(F.lit("WARC/1.1\r\n"), *(F.concat(F.lit(f"{name}: "), F.col(c).cast("string"), F.lit("\r\n")) for name, c in head))
     return records.select("page_id", "record_type", F.concat(lines, F.lit("\r\n"), "block", F.lit("\r\n\r\n")).alias("record"))
 
-
-def _sql_text(column: str) -> str:
-    out = column
-    for pattern, new in SQL_STEPS:
-        quoted = pattern.replace("'", "''")
-        fresh = "chr(10)" if new == "\n" else "'" + new.replace("'", "''") + "'"
-        out = f"regexp_replace({out}, '{quoted}', {fresh}, 'g')"
-    return out
-
-
-def derivatives_sql() -> str:
-    """DuckDB SQL of the query's rows (the metadata block itself aside)."""
-    uuid = "'<urn:uuid:' || substr(h,1,8) || '-' || substr(h,9,4) || '-' || substr(h,13,4) || '-' || substr(h,17,4) || '-' || substr(h,21,12) || '>'"
-    return f"""
-    with source as (select page_id, coalesce(url, '') as target_uri, coalesce(html, '') as payload from pages),
-    ids as (select *, md5('response|' || coalesce(page_id::varchar, '') || '|' || target_uri) as h from source),
-    named as (select page_id, target_uri, payload, {uuid} as refers_to from ids),
-    texts as (select *, {_sql_text('payload')} as text from named),
-    made as (select page_id, target_uri, payload, refers_to, text, unnest(['metadata', 'conversion']) as record_type from texts),
-    keyed as (select *, md5(record_type || '|' || refers_to) as h from made)
-    select page_id, record_type, {uuid} as record_id, refers_to, target_uri, 'sha256:' || sha256(payload) as source_digest,
-           regexp_extract(payload, '(?is)<title[^>]*>([^<]*)', 1) as title,
-           case when record_type = 'conversion' then sha256(text) end as text_sha256,
-           case when record_type = 'conversion' then strlen(text)::bigint end as text_bytes,
-           len(regexp_extract_all(payload, '(?i)<a\\s'))::bigint as n_links
-    from keyed"""
