@@ -3,8 +3,9 @@
 1. Every text becomes its set of distinct 5-word shingles (hashed to 64 bits). Texts with equal sets form one class.
 2. Each class gets ``ROWS * BANDS`` minima. Bands of whole minima give candidate buckets; of each minimum the low
    ``BITS`` bits are kept, packed into longs, and estimate similarity by bit counts, corrected for chance agreement.
-3. Round one compares each bucket member with one only: the member whose minima are the most common, so likely the
-   original. So a bucket whose members already hang together costs one pair a member.
+3. Round one compares a text with the centres of its buckets only: the members whose minima are the most common, so
+   likely the originals. The most common of them comes first; where that links both a text and another centre, the two
+   needn't be compared. So a group whose members hang together costs about one pair a member.
 4. Round two compares the members of a bucket that round one left in different components; those with too many shingles
    that no other such text has can be linked with nothing and go first, so texts of one template, which share minima but
    are not alike, aren't compared. A bucket is dealt in blocks of ``BLOCK`` members, each pair of blocks on its own, so
@@ -181,12 +182,26 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     popular = hits.groupBy("node").agg(F.sum("crowd").alias("popularity"))
     sets = stored(docs.join(popular.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_set_rows, SETS))
 
-    # round one: each member of a bucket against the one whose minima are the most common, likely the original
+    # round one: each text against the one centre of its buckets whose minima are the most common, likely the original
     ranked = stored(hits.join(popular, "node").select("bucket", "node", F.struct("popularity", (-F.col("node")).alias("first")).alias("rank")))
-    centres = ranked.groupBy("bucket").agg((-F.max("rank")["first"]).alias("centre"))
-    star = ranked.join(centres, "bucket").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-    star = stored(star.join(b, "b").join(a, "a").where(_may_link("a", "b", percent)).select("a", "b"))
+    centres = ranked.groupBy("bucket").agg(F.max("rank").alias("top")).withColumn("centre", -F.col("top")["first"])
+    met = stored(ranked.join(centres, "bucket").where("node <> centre").select("node", "centre", "top").distinct())
+    ends = F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        return stored(pairs.join(b, "b").join(a, "a").where(_may_link("a", "b", percent)).select("a", "b"))
+
+    choice = stored(met.groupBy("node").agg(F.max_by("centre", "top").alias("centre")).select("node", "centre", *ends))
+    star = alike(choice.select("a", "b").distinct())
     linked = stored(confirmed(star, sets, percent))
+    # then against the centres of its other buckets, unless both hang on the same one already
+    own = choice.join(linked, ["a", "b"], "left_semi")
+    labels = [own.select(F.col("node").alias(c), F.col("centre").alias(f"label_{c}")) for c in ("node", "centre")]
+    others = met.select("node", "centre").join(choice.select("node", "centre"), ["node", "centre"], "left_anti").join(labels[0], "node", "left").join(labels[1], "centre", "left")
+    others = others.where(F.coalesce("label_node", "node") != F.coalesce("label_centre", "centre")).select(*ends).distinct()
+    second = alike(others.join(star, ["a", "b"], "left_anti"))
+    star = star.unionByName(second)
+    linked = linked.unionByName(stored(confirmed(second, sets, percent)))
     first = components(linked)
 
     # round two: what the first left apart in a bucket
