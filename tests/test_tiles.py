@@ -45,7 +45,7 @@ def dense(rows, blend):
                 if y[8] <= most and x[8] >= least:
                     s -= penalty
                     break
-            out[i, j] = round(s, 6)
+            out[i, j] = round(s, 9)
     return out
 
 

@@ -17,6 +17,7 @@ from pyspark.sql.types import DoubleType, LongType, StructType
 from tidemark.functions.cues import clamp
 from tidemark.operators import tiles
 from tidemark.operators.folds import ordered_fold
+from tidemark.storage import spent, stored
 
 By = list[str]
 _NONE = np.float32(-1e9)
@@ -318,24 +319,40 @@ def fill_tail(a: DataFrame, b: DataFrame, by: By, score: float, origin: str) ->
     return pairs.select(*by, "a_pos", "b_pos", F.lit(score).alias("score"), F.lit(origin).alias("origin"))
 
 
+def exclusive(pairs: DataFrame, by: By) -> DataFrame:
+    """Of pairs (by, a_pos, b_pos, score) those that share no row: by score, then a_pos, then b_pos, the best first.
+
+    Every free row of both sides proposes to its best partner; pairs that are best for both are taken, all pairs that
+    share a row with them go, and the losers propose again. A round takes every pair that no better one touches, so it gives what
+    taking one after the other gives, in few rounds; each takes at least the best pair of every group. Rounds work on
+    stored tables and on partial aggregates. Repeated pairs count once.
+    """
+    best = F.max(F.struct("score", (-F.col("a_pos")).alias("x"), (-F.col("b_pos")).alias("y"))).alias("_best")
+    waiting, taken = stored(pairs.select(*by, "a_pos", "b_pos", "score").distinct()), None
+    while not waiting.isEmpty():
+        of = lambda side: waiting.groupBy(*by, side).agg(best).select(*by, (-F.col("_best.x")).alias("a_pos"), (-F.col("_best.y")).alias("b_pos"), F.col("_best.score").alias("score"))  # noqa: B023, E731
+        both = stored(of("a_pos").join(of("b_pos"), [*by, "a_pos", "b_pos", "score"], "left_semi"))
+        rest = waiting.join(both.select(*by, "a_pos"), [*by, "a_pos"], "left_anti").join(both.select(*by, "b_pos"), [*by, "b_pos"], "left_anti")
+        rest = stored(rest.select(waiting.columns))
+        spent(waiting)
+        waiting, taken = rest, both if taken is None else taken.unionByName(both)
+    return waiting if taken is None else taken
+
+
 Stage = tuple[str, Callable[[DataFrame, DataFrame], DataFrame]]
 
 
 def staged(a: DataFrame, b: DataFrame, by: By, reserved: DataFrame, stages: list[Stage]) -> DataFrame:
     """Pairs (a_pos, b_pos, score, origin): the reserved ones, then what each stage finds among the rows still free.
 
-    A stage takes the free rows of both sides and gives pairs (by, a_pos, b_pos, score); of pairs that share a row the
-    higher score stays. Rows are free until a pair has them, so stages can't take each other's.
+    A stage takes the free rows of both sides and gives pairs (by, a_pos, b_pos, score); of these ``exclusive`` ones stay.
+    Rows are free until a pair has them, so stages can't take each other's. For the five stages of a part see ``matching``.
     """
-    found = reserved.select(*by, "a_pos", "b_pos", "score", F.lit("reserved").alias("origin"))
+    found = stored(reserved.select(*by, "a_pos", "b_pos", "score", F.lit("reserved").alias("origin")))
     for name, stage in stages:
         free_a = a.join(found.select(*by, F.col("a_pos").alias("pos")), [*by, "pos"], "left_anti")
         free_b = b.join(found.select(*by, F.col("b_pos").alias("pos")), [*by, "pos"], "left_anti")
-        pairs = stage(free_a, free_b).select(*by, "a_pos", "b_pos", "score")
-        for side in ("a_pos", "b_pos"):
-            w = Window.partitionBy(*by, side).orderBy(F.col("score").desc(), "a_pos", "b_pos")
-            pairs = pairs.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
-        found = found.unionByName(pairs.withColumn("origin", F.lit(name)))
+        found = stored(found.unionByName(exclusive(stage(free_a, free_b), by).withColumn("origin", F.lit(name))))
     return found
 
 

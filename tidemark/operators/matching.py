@@ -62,17 +62,21 @@ def _latin(text: Column) -> Column:
     return F.regexp_count(normalize_text(text), F.lit("[A-Za-z0-9]"))
 
 
-def features(a: DataFrame, b: DataFrame, by: By, blend: tiles.Blend, around: tuple[int, int], names: dict[str, str], span: str | None = None) -> DataFrame:
+Span = tuple[str, str] | None
+
+
+def features(a: DataFrame, b: DataFrame, by: By, blend: tiles.Blend, around: tuple[int, int], names: dict[str, str], span: Span = None) -> DataFrame:
     """Both sides' cues with the columns that ``blend`` needs.
 
     A context is the direction of the summed vectors of the cues around. Progress of a runs from its first start to its
-    last end, or from 0 to the column ``span``; that of b from 0 to its last end; both at least a second.
+    last end, or between the columns of ``span``; that of b from 0 to its last end; both over a second at least.
     """
     out = []
     for side, rows, radius in (("a", a, around[0]), ("b", b, around[1])):
         whole, order = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("pos")
-        start = F.min("s").over(whole) if side == "a" and span is None else F.lit(0.0)
-        end = F.col(span) if side == "a" and span else F.max("e").over(whole)
+        start, end = F.lit(0.0), F.max("e").over(whole)
+        if side == "a":
+            start, end = (F.col(span[0]), F.col(span[1])) if span else (F.min("s").over(whole), end)
         text = F.col("text")
         made = {
             "context": direction(F.collect_list("vector").over(order.rowsBetween(-radius, radius))) if blend.context else None,
@@ -110,16 +114,20 @@ def _add(found: DataFrame, more: DataFrame) -> DataFrame:
     return stored(found.unionByName(more.select(found.columns)))
 
 
-def _pairs(a: DataFrame, b: DataFrame, keys: By, scope: Scope, names: dict[str, str], status: str, span: str | None) -> DataFrame:
+def _clip(keys: By) -> list[str]:
+    return [] if "clip" in keys else ["clip"]
+
+
+def _pairs(a: DataFrame, b: DataFrame, keys: By, scope: Scope, names: dict[str, str], status: str, span: Span) -> DataFrame:
     """Single matches of each scope, graded by ``status``: 'graded', 'estimated', or what is given."""
     pairs = tiles.aligned(features(a, b, keys, scope.blend, scope.around, names, span), keys, scope.blend, scope.path).withColumn("score", F.round("score", 4))
     rows = pairs.join(a.select(*keys, F.col("pos").alias("a_pos"), F.col("text").alias("_a")), [*keys, "a_pos"])
-    rows = rows.join(b.select(*keys, F.col("pos").alias("b_pos"), F.col("text").alias("_b"), "clip", "confidence"), [*keys, "b_pos"])
+    rows = rows.join(b.select(*keys, F.col("pos").alias("b_pos"), F.col("text").alias("_b"), "confidence", *_clip(keys)), [*keys, "b_pos"])
     if scope.gated:
         rows = rows.where(C.speakers_compatible(F.col("_a"), F.col("_b"), names))
     how = {"graded": graded(F.col("score"), F.col("confidence")), "estimated": estimated(F.col("score"))}.get(status, F.lit(status))
     rows = rows.withColumn("status", how).where("status <> 'unmatched'")
-    return rows.withColumn("b_pos", F.array("b_pos")).withColumn("group", F.array("a_pos")).withColumn("origin", F.lit(scope.origin)).withColumn("note", F.lit(f"matched-{scope.origin}"))
+    return rows.withColumn("b_pos", F.array("b_pos")).withColumn("group", F.array("a_pos")).withColumn("origin", F.lit(scope.origin))
 
 
 def _grouped(a: DataFrame, b: DataFrame, keys: By, how: Groups, names: dict[str, str]) -> DataFrame:
@@ -131,15 +139,15 @@ def _grouped(a: DataFrame, b: DataFrame, keys: By, how: Groups, names: dict[str,
     found = found.withColumn("score", F.round("score", 4)).withColumnsRenamed({"a_pos": "group", "b_pos": "bs"})
     one = estimated(F.col("score")) if how.graded else F.lit("matched-medium")
     found = found.withColumn("status", F.when(F.size("group") > 1, "merged-n1").when(F.size("bs") > 1, "merged-1n").otherwise(one))
-    members = found.select(*keys, "group", F.explode("bs").alias("pos")).join(b.select(*keys, "pos", "clip", "confidence"), [*keys, "pos"])
-    members = members.groupBy(*keys, "group").agg(F.round(F.avg("confidence"), 4).alias("confidence"), F.min_by("clip", "pos").alias("clip"))
+    members = found.select(*keys, "group", F.explode("bs").alias("pos")).join(b.select(*keys, "pos", "confidence", *_clip(keys)), [*keys, "pos"])
+    members = members.groupBy(*keys, "group").agg(F.round(F.avg("confidence"), 4).alias("confidence"), *(F.min_by(c, "pos").alias(c) for c in _clip(keys)))
     found = found.join(members, [*keys, "group"]).withColumnRenamed("bs", "b_pos").withColumn("a_pos", F.explode("group"))
-    return found.withColumn("origin", F.lit(how.origin)).withColumn("note", F.concat(F.lit(how.note), "alignment"))
+    return found.withColumn("origin", F.lit(how.origin)).withColumn("note", F.concat(F.lit(how.note), "alignment", F.lit("" if how.graded else f"-{how.origin}")))
 
 
-def match_scopes(found: DataFrame, a: DataFrame, b: DataFrame, by: By, keys: By, scope: Scope, groups: Groups | None, names: dict[str, str], status: str = "graded", span: str | None = None) -> DataFrame:
+def match_scopes(found: DataFrame, a: DataFrame, b: DataFrame, by: By, keys: By, scope: Scope, groups: Groups | None, names: dict[str, str], status: str = "graded", span: Span = None, note: str | None = None) -> DataFrame:
     """``found`` and what is matched of the free cues of a and b scope by scope (``keys``): singly, then the rest in groups."""
-    more = stored(_pairs(free_a(a, found, by), free_b(b, found, by), keys, scope, names, status, span))
+    more = stored(_pairs(free_a(a, found, by), free_b(b, found, by), keys, scope, names, status, span).withColumn("note", F.lit(note or f"auto-matched-{scope.origin}")))
     found = _add(found, more)
     spent(more)
     if groups:
@@ -235,8 +243,8 @@ def rebuilt(a: DataFrame, b: DataFrame, clips: DataFrame, reviewed: DataFrame, b
         scoped = lambda rows, side: rows.join(windows.where(F.col("side") == side).select(*by, "pos", "window"), [*by, "pos"])
         found = match_scopes(found, scoped(own, "a"), scoped(others, "b"), by, [*by, "window"], *stages.window, stages.names)
     if stages.fallback:
-        spans = a.groupBy(*by).agg(F.max("e").alias("span"))
-        found = match_scopes(found, own.join(spans, by), others, by, by, stages.fallback, None, stages.names, "matched-low", "span")
+        spans = a.groupBy(*by).agg(F.lit(0.0).alias("from"), F.max("e").alias("to"))
+        found = match_scopes(found, own.join(spans, by), others, by, by, stages.fallback, None, stages.names, "matched-low", ("from", "to"), "fallback-progress-alignment-on-full-part-sequence")
     rows = with_matches(a, b, found, by)
     return gates.gate_matches(rows, inline=True).drop("gate_reasons") if stages.gate else rows
 

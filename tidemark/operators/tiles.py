@@ -70,7 +70,7 @@ def _vectors(column: pa.Array) -> np.ndarray:
 
 
 def similarity(a: pa.StructArray, b: pa.StructArray, blend: Blend) -> np.ndarray:
-    """The blended similarity of each row of one block with each of another, rounded to six digits, so that the same
+    """The blended similarity of each row of one block with each of another, rounded to nine digits, so that the same
     pair has the same value in whatever block it lies."""
     out = np.zeros((len(a), len(b)))
     for name, weight in (("vector", blend.base), ("context", blend.context)):
@@ -90,7 +90,7 @@ def similarity(a: pa.StructArray, b: pa.StructArray, blend: Blend) -> np.ndarray
             hit = open_ & (column(a, "chars") >= least)[:, None] & (column(b, "chars") <= most)[None, :]
             out -= penalty * hit
             open_ &= ~hit
-    return np.round(out, 6)
+    return np.round(out, 9)
 
 
 def _strangers(names: list[list[str] | None], name: list[str | None]) -> np.ndarray:
