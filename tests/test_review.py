@@ -184,7 +184,7 @@ def test_names_and_titles(spark):
     q = spark.createDataFrame([("k", "some show", "some show season 2")], "k string, title_form string, keyword_form string")
     c = spark.createDataFrame([("k", 1, "Some Show 中配", "some show", "", 12), ("k", 2, "Some Show", "some show", "", 3), ("k", 3, "Other", "other show", "", 60)], "k string, season_id long, title string, title_form string, original_form string, episodes int")
     assert tuple(N.best_titles(q, c, "k").first()) == ("k", 2, "Some Show", 321)
-    entries = spark.createDataFrame([("e1", ["some"]), ("e2", ["some show"])], "entry string, aliases array<string>")
+    entries = spark.createDataFrame([("e1", 0, ["some"], ""), ("e2", 1, ["some show"], "")], "entry string, pos int, titles array<string>, keyword string")
     assert N.local_mapping(q, entries, "k").first()["entry"] == "e2"
     eps = spark.createDataFrame([(9, 0, 0, 1, 11, 101, "第1话", "", ""), (9, 1, 0, 2, 12, 102, "第2话", "Finale", ""), (9, 2, 1, 3, 13, 103, "SP", "", "")], "season_id long, pos int, section int, number int, cid long, episode_id long, show_title string, long_title string, share_copy string")
     over = spark.createDataFrame([("c", 3, 77, None, None), ("d", 4, None, None, "finale"), ("f", 5, None, 101, None)], "k string, episode int, cid long, episode_id long, title_contains string")

@@ -19,6 +19,10 @@ SEASONS = (r"(?i)\bS(\d{1,2})(?=\b|E\d)", r"(?i)\bSeason\s*(\d{1,2})\b", r"(?i)\
 RELEASE_WORDS = "1080p|2160p|720p|x264|x265|hevc|aac|flac|webrip|web-dl|baha|bilibili|nf|amzn|cr|at-x|10bit|8bit"
 #: What dubbed editions are called.
 DUBBED = ("中配", "国语")
+# Marks of subtitle tracks (fixed values).
+CHINESE = ("zh", "chi", "zho", "中文", "中日", "cn")
+SIMPLIFIED, TRADITIONAL = ("chs", "简体", "简中", "sc", "gb"), ("cht", "繁體", "繁体", "tc", "big5")
+ASIDE = ("sign", "song", "karaoke")
 
 
 def _number(text: Column, pattern: str, group: int = 1) -> Column:
@@ -84,17 +88,36 @@ def best_titles(queries: DataFrame, candidates: DataFrame, key: str) -> DataFram
     return pairs.withColumn("_r", first).where("_r = 1").select(key, "season_id", "title", "score")
 
 
+def _grams(text: Column, size: int) -> Column:
+    """The runs of ``size`` characters of a text, each once."""
+    return F.when(F.length(text) >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, F.lit(size)))))
+
+
 def local_mapping(queries: DataFrame, entries: DataFrame, key: str) -> DataFrame:
-    """The local entry (entry, aliases) that a query's title equals or holds, the one with the longest alias; others have none.
+    """queries with ``entry``: the local entry with the most points, the first by pos on ties, null without any.
 
-    Entries are a small table that people keep; aliases meet titles by their words, so there is no join of all with all.
+    300 for a title that equals the query's, 220 for an equal keyword, 180 if one title holds the other, inside words
+    too. Blank titles and keywords give nothing. queries: key, title_form; entries: entry, pos, titles (array, the entry's
+    name among them), keyword, all in comparable form. A text that holds another has its first three characters (or all of a
+    shorter one) among its own runs of characters, so titles meet by such runs, in both directions; there is no join of
+    all with all, and a run that many entries have only costs comparisons.
     """
-    aliases = entries.select("entry", F.explode("aliases").alias("alias")).where("alias <> ''").withColumn("word", F.element_at(F.split("alias", " "), 1))
-    words = queries.select(key, "title_form", F.explode(F.array_distinct(F.split("title_form", " "))).alias("word"))
-    whole = lambda t: F.concat(F.lit(" "), t, F.lit(" "))
-    hits = words.join(aliases, "word").where(F.contains(whole(F.col("title_form")), whole(F.col("alias"))))
-    best = hits.groupBy(key).agg(F.max(F.struct(F.when(F.col("alias") == F.col("title_form"), 1).otherwise(0).alias("equal"), F.length("alias").alias("length"), "entry")).alias("b"))
-    return queries.join(best.select(key, F.col("b.entry").alias("entry")), key, "left")
+    titles = entries.select("entry", "pos", F.explode("titles").alias("title")).where("trim(title) <> ''")
+    asked = queries.select(F.col("title_form").alias("form")).where("form is not null").distinct()
+    hits = []
+    for size in (1, 2, 3):
+        whole = (lambda t: F.length(t) >= 3) if size == 3 else (lambda t, size=size: F.length(t) == size)
+        for inner, outer, a, b in ((titles, asked, "title", "form"), (asked, titles, "form", "title")):
+            heads = inner.where(whole(F.col(a))).withColumn("gram", F.substring(a, 1, size))
+            pairs = heads.join(outer.withColumn("gram", F.explode(_grams(F.col(b), size))), "gram").where(F.contains(b, F.col(a)))
+            hits.append(pairs.select("form", "entry", "pos", F.when(F.col("title") == F.col("form"), 300).otherwise(180).alias("points")))
+    hits.append(asked.join(entries.where("trim(keyword) <> ''").select(F.col("keyword").alias("form"), "entry", "pos"), "form").withColumn("points", F.lit(220)))
+    first = titles.agg(F.min(F.struct("pos", "entry")).alias("x")).where("x is not null").select(F.lit("").alias("form"), "x.entry", "x.pos", F.lit(180).alias("points"))  # every title holds an empty one
+    every = first
+    for one in hits:
+        every = every.unionByName(one)
+    best = every.groupBy("form").agg(F.max(F.struct("points", (-F.col("pos")).alias("rank"), "entry")).alias("b")).select(F.col("form").alias("title_form"), F.col("b.entry").alias("entry"))
+    return queries.join(best, "title_form", "left").select(*queries.columns, "entry")
 
 
 def episode_of(queries: DataFrame, episodes: DataFrame, overrides: DataFrame, key: str) -> DataFrame:
@@ -118,8 +141,15 @@ def episode_of(queries: DataFrame, episodes: DataFrame, overrides: DataFrame, ke
     return queries.join(found, key, "left").select(*queries.columns, F.col("b.cid").alias("cid"), F.coalesce(F.get(names, F.col("b.rule")), F.lit("not-found")).alias("rule"))
 
 
-def track_points(language: Column, title: Column, codec: Column, is_default: Column) -> Column:
-    """Points of a subtitle track: simplified Chinese before other Chinese, text before pictures, default before others."""
-    both = F.lower(F.concat_ws(" ", language, title))
-    simplified, chinese = both.rlike("chs|sc\\b|简|zh-hans"), both.rlike("chi|zho|zh|中|cht|tc\\b|繁")
-    return F.when(simplified, 100).when(chinese, 60).otherwise(0) + F.when(codec.isin("ass", "ssa", "subrip", "srt"), 20).otherwise(0) + F.when(F.coalesce(is_default, F.lit(False)), 5).otherwise(0)
+def track_points(track: Column, preference: str = "") -> Column:
+    """Points of a subtitle track (struct of language, title, codec, sample, is_default, is_text): the default 40, text 30
+    and pictures 15, Chinese 35, a sample of text 20, what is preferred ('chs', 'cht' 60 by its marks, 'default' 50),
+    signs, songs and karaoke 30 less. Marks are looked for in title, language, codec and sample, in any case."""
+    known = lambda c: F.coalesce(track[c], F.lit(""))
+    text = F.lower(F.concat_ws(" ", known("title"), known("language"), known("codec"), known("sample")))
+    has = lambda marks: text.rlike("|".join(marks))
+    points = lambda condition, n: F.when(condition, n).otherwise(0)
+    default = F.coalesce(track["is_default"], F.lit(False))
+    wanted = {"chs": (has(SIMPLIFIED), 60), "cht": (has(TRADITIONAL), 60), "default": (default, 50)}.get(preference, (F.lit(False), 0))
+    total = points(default, 40) + F.when(F.coalesce(track["is_text"], F.lit(False)), 30).otherwise(15) + points(has(CHINESE), 35) + points(F.trim(known("sample")) != "", 20)
+    return total + points(*wanted) - points(has(ASIDE), 30)

@@ -198,37 +198,79 @@ def highlight_top(df: DataFrame, by: By, top_n: int, max_windows: int, neighbour
     return df.groupBy(*by).applyInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in by) + ", rank long, first long, last long, score double")
 
 
-def partition_clips(clips: DataFrame, parts: int, weight: float = 1.0, semantic: float = 0.0) -> DataFrame:
+def cheapest_cuts(before: np.ndarray, ends: np.ndarray, target: float, scale: float, weight: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each end j the least ``before[i] + weight * ((ends[j] - ends[i] - target) / scale) ** 2`` over i < j, and its first i.
+
+    The squares make the best cut move forward only as the end does, so ends are taken in halves: the middle one's cut
+    bounds those on both sides. All middles of a level are tried at once; a level costs the ends' number, and there are
+    log n levels.
+    """
+    n = len(ends) - 1
+    best, cut = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
+    low, high, first, last = (np.array([x]) for x in (1, n, 0, n - 1))  # stretches of ends, and of their cuts
+    while len(low):
+        middle = (low + high) // 2
+        stop = np.minimum(last, middle - 1)
+        sizes = stop - first + 1
+        starts = np.cumsum(sizes) - sizes
+        i = np.arange(sizes.sum()) - np.repeat(starts - first, sizes)
+        cost = before[i] + weight * ((np.repeat(ends[middle], sizes) - ends[i] - target) / scale) ** 2
+        least = np.minimum.reduceat(cost, starts)
+        hits = np.flatnonzero(cost == np.repeat(least, sizes))
+        found = i[hits[np.searchsorted(hits, starts)]]
+        best[middle], cut[middle] = least, found
+        left, right = low < middle, middle < high
+        low, high, first, last = (np.concatenate(x) for x in ((low[left], middle[right] + 1), (middle[left] - 1, high[right]), (first[left], found[right]), (found[left], last[right])))
+    return best, cut
+
+
+def _every_cut(before: np.ndarray, ends: np.ndarray, fits: np.ndarray, target: float, scale: float, weight: float, semantic: float) -> tuple[np.ndarray, np.ndarray]:
+    """The same with the mean of the clips' scores taken off; their means keep no order, so every cut is tried."""
+    n = len(ends) - 1
+    best, cut = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
+    for j in range(1, n + 1):
+        i = np.arange(j)
+        c = before[i] + weight * ((ends[j] - ends[i] - target) / scale) ** 2 - semantic * (fits[j] - fits[i]) / (j - i)
+        cut[j] = int(c.argmin())
+        best[j] = c[cut[j]]
+    return best, cut
+
+
+def partition_clips(clips: DataFrame, parts: int, weight: float = 1.0, semantic: float = 0.0, strict: bool = False) -> DataFrame:
     """Contiguous assignment of a title's clips (pos, dur) to ``parts`` ordered parts of least cost, the earliest cut on ties.
 
-    A part costs ``weight`` times its squared relative error of duration, less ``semantic`` times the mean score of its
-    clips for it. Columns of arrays, the same in all rows of a title, if there are any: ``targets`` (duration of each
-    part, else even shares), and ``fits`` (a clip's score for each part). One row a clip; a title is one group, its
-    table has clips times parts entries.
+    A part costs ``weight`` times its squared relative error of duration (a target under 1 counts as 1 in what the error is
+    divided by), less ``semantic`` times the mean score of its clips for it. Columns of arrays, the same in all rows of a
+    title, if there are any: ``targets`` (duration of each part, else even shares), and ``fits`` (a clip's score for each
+    part). One row a clip. Fewer clips than parts use as many parts as there are clips; with ``strict`` they can't be dealt, and their part is null.
+
+    Without scores n clips cost n log n for each part (``cheapest_cuts``) and a title's cuts are all that is held.
     """
-    has_fits, has_targets = "fits" in clips.columns, "targets" in clips.columns
+    has_fits, has_targets = "fits" in clips.columns and bool(semantic), "targets" in clips.columns
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos").copy()
-        d = np.concatenate(([0.0], np.cumsum(pdf["dur"])))
+        ends = np.concatenate(([0.0], np.cumsum(pdf["dur"])))
         n, k = len(pdf), min(parts, len(pdf))
-        want = np.asarray(pdf["targets"].iloc[0], float)[:k] if has_targets else np.full(k, d[-1] / k)
-        fit = np.vstack((np.zeros(k), np.cumsum([list(x)[:k] for x in pdf["fits"]], axis=0))) if has_fits else np.zeros((n + 1, k))
-        cost = np.full((k + 1, n + 1), np.inf)
-        cut = np.zeros((k + 1, n + 1), int)
-        cost[0, 0] = 0
-        for p in range(1, k + 1):
-            target = max(want[p - 1], 1.0) if has_targets else want[p - 1]
-            for j in range(p, n + 1):
-                i = np.arange(p - 1, j)
-                c = cost[p - 1, i] + weight * ((d[j] - d[i] - want[p - 1]) / target) ** 2 - semantic * (fit[j, p - 1] - fit[i, p - 1]) / (j - i)
-                cut[p, j] = p - 1 + int(c.argmin())
-                cost[p, j] = c.min()
+        if strict and n < parts:
+            pdf["part"] = pd.array([None] * n, "Int64")
+            return pdf
+        want = np.asarray(pdf["targets"].iloc[0], float)[:k] if has_targets else np.full(k, ends[-1] / k)
+        fits = np.vstack((np.zeros(k), np.cumsum([list(x)[:k] for x in pdf["fits"]], axis=0))) if has_fits else None
+        before = np.concatenate(([0.0], np.full(n, np.inf)))
+        cuts = []
+        for p in range(k):
+            scale = max(want[p], 1.0)
+            # the part takes a clip at least, and leaves one for each before it: ends from p + 1, cuts from p
+            own = before[p:], ends[p:]
+            best, cut = _every_cut(*own, fits[p:, p], want[p], scale, weight, semantic) if has_fits else cheapest_cuts(*own, want[p], scale, weight)
+            before = np.concatenate((np.full(p, np.inf), best))
+            cuts.append(np.concatenate((np.zeros(p, np.int64), cut + p)))
         part, j = np.zeros(n, np.int64), n
-        for p in range(k, 0, -1):
-            part[cut[p, j] : j] = p
-            j = cut[p, j]
-        pdf["part"] = part
+        for p in range(k - 1, -1, -1):
+            part[cuts[p][j] : j] = p + 1
+            j = cuts[p][j]
+        pdf["part"] = pd.array(part, "Int64")
         return pdf
 
     return clips.groupBy("title").applyInPandas(run, f"{_ddl(clips)}, part long")

@@ -15,13 +15,14 @@ def ingest(requests: DataFrame, replies: DataFrame) -> DataFrame:
     reason, raw_text.
 
     requests: custom_id, row_id ('' if the request is one row); replies: custom_id, raw_text, parsed (``logs.replies``).
-    state: ok, missing-custom-id, custom-id-not-found, unparseable-response-json, group-row-id-not-found:<id>,
-    group-row-missing:<id> (a row that a grouped reply leaves out) or missing-response.
+    state: ok, missing-custom-id, custom-id-not-found, unparseable-response-json, request-meta-not-found (a plain reply to
+    a request of several rows), group-row-id-not-found:<id>, group-row-missing:<id> (a row that a grouped reply leaves
+    out) or missing-response.
     """
     asked = requests.select("custom_id", F.coalesce("row_id", F.lit("")).alias("row_id"))
-    known = asked.groupBy("custom_id").agg(F.max("row_id").alias("_one"))
+    known = asked.groupBy("custom_id").agg(F.max("row_id").alias("_one"), F.count(F.lit(1)).alias("_rows"))
     rows = replies.join(known, "custom_id", "left")
-    simple = F.when(F.col("custom_id") == "", "missing-custom-id").when(F.col("_one").isNull(), "custom-id-not-found").when(F.col("parsed").isNull(), "unparseable-response-json").when(F.col("parsed.rows").isNull(), "ok")
+    simple = F.when(F.col("custom_id") == "", "missing-custom-id").when(F.col("_one").isNull(), "custom-id-not-found").when(F.col("parsed").isNull(), "unparseable-response-json").when(F.col("parsed.rows").isNull(), F.when(F.col("_rows") == 1, "ok").otherwise("request-meta-not-found"))
     rows = rows.withColumn("state", simple)
     fields = lambda x: [F.coalesce(F.col(f"{x}.{c}"), F.lit("")).alias(n) for c, n in (("decision", "decision"), ("confidence", "confidence"), ("suggested_chinese_text", "suggestion"), ("reason", "reason"))]
     whole = rows.where("state is not null").select("custom_id", F.when(F.col("state") == "ok", F.col("_one")).otherwise(F.lit("")).alias("row_id"), "state", *fields("parsed"), "raw_text")

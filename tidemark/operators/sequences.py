@@ -162,7 +162,7 @@ def runner_up_gap(df: DataFrame, by: By, score: str, order: list) -> DataFrame:
 
 def weighted_median(df: DataFrame, by: By, x: str, weight: str) -> DataFrame:
     """The first x at which the running weight reaches half of the total; weights are 1e-6 at least."""
-    df = df.withColumn(weight, F.greatest(F.col(weight), F.lit(0 if dict(df.dtypes)[weight] in ("int", "bigint") else 1e-6)))
+    df = df.withColumn(weight, F.greatest(F.col(weight).cast("double"), F.lit(1e-6)))
     w = Window.partitionBy(*by).orderBy(x).rangeBetween(Window.unboundedPreceding, 0)
     rows = df.withColumn("_c", F.sum(weight).over(w)).withColumn("_t", F.sum(weight).over(Window.partitionBy(*by)))
     return rows.where(2 * F.col("_c") >= F.col("_t")).groupBy(*by).agg(F.min(x).alias("weighted_median"))

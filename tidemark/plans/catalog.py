@@ -412,10 +412,21 @@ def seed_expansion(t):
     return intervals.overlap_join(points, seeds, ["grp"], 86400 * SEC).select("seg_id").distinct()
 
 
-@query("with p as (select *, case when p_name like '%red%' then 30 else 0 end + case when p_type = 'ECONOMY' then 20 else 0 end + case when p_size < 10 then 10 else 0 end as points from part) select p_brand, p_partkey, points from (select *, row_number() over (partition by p_brand order by points desc, p_partkey) as r from p) where r = 1")
+TRACK = "p_name as title, case p_partkey % 5 when 0 then 'chi' when 1 then 'zh-CN' when 2 then 'eng' else null end as language, p_brand as codec, case when p_size > 25 then p_type else ' ' end as sample, p_partkey % 3 = 0 as is_default, p_size % 2 = 0 as is_text"
+
+
+@query(
+    f"""with x as (select p_partkey, p_brand, {TRACK} from part), y as (select *, lower(concat_ws(' ', coalesce(title, ''), coalesce(language, ''), coalesce(codec, ''), coalesce(sample, ''))) as all_text from x),
+    p as (select *, case when is_default then 40 else 0 end + case when is_text then 30 else 15 end + case when all_text like '%zh%' or all_text like '%chi%' or all_text like '%zho%' or all_text like '%中文%' or all_text like '%中日%' or all_text like '%cn%' then 35 else 0 end
+    + case when trim(coalesce(sample, '')) <> '' then 20 else 0 end + case when all_text like '%chs%' or all_text like '%简体%' or all_text like '%简中%' or all_text like '%sc%' or all_text like '%gb%' then 60 else 0 end
+    - case when all_text like '%sign%' or all_text like '%song%' or all_text like '%karaoke%' then 30 else 0 end as points from y)
+    select p_brand, p_partkey, points from (select *, row_number() over (partition by p_brand order by points desc, p_partkey) as r from p) where r = 1"""
+)
 def track_pick(t):
-    points = rules.additive((F.contains("p_name", F.lit("red")), 30.0), (F.col("p_type") == "ECONOMY", 20.0), (F.col("p_size") < 10, 10.0)).cast("int")
-    return sequences.top_k(t.part.withColumn("points", points), ["p_brand"], [F.col("points").desc(), "p_partkey"], 1).select("p_brand", "p_partkey", "points")
+    from tidemark.functions import names
+
+    track = F.struct(*(F.expr(x) for x in TRACK.split(", ")))
+    return sequences.top_k(t.part.withColumn("points", names.track_points(track, "chs")), ["p_brand"], [F.col("points").desc(), "p_partkey"], 1).select("p_brand", "p_partkey", "points")
 
 
 @query("select p_partkey, greatest(1.0 - levenshtein(p_name, p_type)::double / greatest(length(p_name), length(p_type)), 0.0) >= 0.25 as close, levenshtein(p_name, p_type)::bigint as distance from part")
@@ -599,7 +610,7 @@ def queue_states(t):
     return maintain.queue_states(tasks, "o_custkey", "o_orderkey").select("o_orderkey", "state")
 
 
-@query(f"with {CUES}, {merged_sql('cues')} select grp, string_agg('between(t,' || s || ',' || e || ')', '+' order by s) as expression from merged group by grp")
+@query(f"with {CUES}, {merged_sql('cues')} select grp, string_agg('between(t,' || regexp_replace(printf('%d.%03d', (s + 500) // 1000000, (s + 500) // 1000 % 1000), '[.]?0+$', '') || ',' || regexp_replace(printf('%d.%03d', (e + 500) // 1000000, (e + 500) // 1000 % 1000), '[.]?0+$', '') || ')', '+' order by s) as expression from merged group by grp")
 def keep_expression(t):
     from tidemark.sources.writers import keep_expression as made
 

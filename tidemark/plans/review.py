@@ -452,7 +452,7 @@ def clipped_text(t):
     return t.documents.select("doc_id", C.clipped(F.col("text"), 60).alias("clipped"))
 
 
-@query("select p_partkey, trim(regexp_replace(replace(replace(p_name || '  | x…', '|', '丨'), '…', '...'), '\\s+', ' ', 'g')) as t, trim(split_part(p_comment_of, '：', 1)) as speaker from (select p_partkey, p_name, case when p_partkey % 2 = 0 then p_brand || '：' || p_name else p_brand || ':' || p_name end as p_comment_of from part) where p_partkey % 2 = 0")
+@query("select p_partkey, trim(regexp_replace(replace(replace(p_name || '  | x…', '|', '丨'), '…', '...'), '\\s+', ' ', 'g')) as t, trim(split_part(p_comment_of, '：', 1)) as speaker from (select p_partkey, p_name, p_brand || '：' || p_name as p_comment_of from part)")
 def normal_text(t):
-    rows = t.part.where("p_partkey % 2 = 0").withColumn("c", F.concat("p_brand", F.lit("："), "p_name"))
+    rows = t.part.withColumn("c", F.concat("p_brand", F.lit("："), "p_name"))
     return rows.select("p_partkey", T.normalize_text(F.concat("p_name", F.lit("  | x…"))).alias("t"), T.speaker(F.col("c")).alias("speaker"))

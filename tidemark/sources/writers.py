@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
@@ -20,8 +20,15 @@ def srt(cues: DataFrame, by: list[str], text: str = "text") -> DataFrame:
     return _listed(cues.withColumn("_n", n).withColumn("_block", block), by, "_n", "_block", "\n\n", "srt")
 
 
+def seconds(us: str) -> Column:
+    """Microseconds as seconds, rounded to three decimals, without zeros at the end."""
+    ms = F.floor((F.col(us) + 500) / 1000)
+    return F.rtrim(F.rtrim(F.format_string("%d.%03d", F.floor(ms / 1000), ms % 1000), F.lit("0")), F.lit("."))
+
+
 def keep_expression(merged: DataFrame, by: list[str]) -> DataFrame:
-    line = F.concat(F.lit("between(t,"), F.col("s").cast("string"), F.lit(","), F.col("e").cast("string"), F.lit(")"))
+    """The kept stretches (s, e in microseconds) as one expression over the time in seconds."""
+    line = F.concat(F.lit("between(t,"), seconds("s"), F.lit(","), seconds("e"), F.lit(")"))
     return _listed(merged.withColumn("_line", line), by, "s", "_line", "+", "expression")
 
 
