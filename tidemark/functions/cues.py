@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import normalize_text
+from tidemark.functions.text import let, normalize_text
 
 # Letters, signs and words that the rules name.
 CJK = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2EBEF}]"
@@ -101,8 +101,8 @@ def repeated_phrase(text: Column) -> Column:
 def explicit_speaker(text: Column) -> Column:
     t = normalize_text(text)
     before = lambda sign: F.trim(F.substring_index(t, sign, 1))
-    wide, narrow = before("："), before(":")
-    return F.when(F.contains(t, F.lit("：")), F.length(wide).between(1, 12)).when(F.contains(t, F.lit(":")), F.length(narrow).between(1, 30) & narrow.rlike(r"^\p{L}")).otherwise(F.lit(False))
+    narrow = let(before(":"), lambda x: F.length(x).between(1, 30) & x.rlike(r"^\p{L}"))
+    return F.when(F.contains(text, F.lit("：")), F.length(before("：")).between(1, 12)).when(F.contains(text, F.lit(":")), narrow).otherwise(F.lit(False))
 
 
 def chinese_speaker(text: Column) -> Column:
@@ -143,22 +143,26 @@ def prepared_chinese(text: Column, allow_gameplay: bool = False) -> Column:
     """What of a Chinese cue is compared: no speaker, no dots at the ends; short prompts give nothing."""
     t = F.regexp_replace(normalize_text(text), r"^[^：:\s]{1,8}[：:]\s*", "")
     t = F.btrim(F.replace(F.replace(t, F.lit("·"), F.lit("")), F.lit("..."), F.lit(" ")), F.lit(ENDS))
-    return t if allow_gameplay else F.when(t.rlike(PROMPT_WORDS) & (F.length(t) <= 8), "").otherwise(t)
+    return t if allow_gameplay else let(t, lambda x: F.when(x.rlike(PROMPT_WORDS) & (F.length(x) <= 8), "").otherwise(x))
 
 
 def prepared_chinese_sequence(text: Column) -> Column:
     """The stricter form for sequences: place names go, and so do texts that are only sounds."""
     t = F.regexp_replace(F.regexp_replace(normalize_text(text), ZH_PLACE, ""), r"^[^：:\s]{1,10}[：:]\s*", "")
     t = F.btrim(F.replace(F.replace(t, F.lit("·"), F.lit("")), F.lit("..."), F.lit(" ")), F.lit(ENDS))
-    sound = t.rlike(ZH_SOUNDS) & (t.rlike(IN_BRACKETS) | (F.length(t) <= 8))
-    return F.when(sound | (t.rlike(PROMPT_WORDS) & (F.length(t) <= 8)), "").otherwise(t)
+    sound = lambda t: t.rlike(ZH_SOUNDS) & (t.rlike(IN_BRACKETS) | (F.length(t) <= 8))
+    return let(t, lambda t: F.when(sound(t) | (t.rlike(PROMPT_WORDS) & (F.length(t) <= 8)), "").otherwise(t))
 
 
 def _from_speaker(t: Column, marks: str) -> Column:
     """A text without what an interface put before its first speaker."""
-    at = F.regexp_instr(t, F.lit(EN_SPEAKER + r"\s"))
-    before = F.btrim(F.substring(t, F.lit(1), at - 1), F.lit(" -|"))
-    return F.when((at > 1) & (before != "") & ((F.upper(before) == before) | F.lower(before).rlike(marks)), F.trim(F.substring(t, at, F.length(t)))).otherwise(t)
+
+    def after(at: Column) -> Column:
+        before = F.btrim(F.substring(t, F.lit(1), at - 1), F.lit(" -|"))
+        named = let(before, lambda b: (b != "") & ((F.upper(b) == b) | F.lower(b).rlike(marks)))
+        return F.when((at > 1) & named, F.trim(F.substring(t, at, F.length(t)))).otherwise(t)
+
+    return let(F.regexp_instr(t, F.lit(EN_SPEAKER + r"\s")), after)
 
 
 def _shouted(t: Column) -> Column:
@@ -168,16 +172,16 @@ def _shouted(t: Column) -> Column:
 
 def prepared_english(text: Column) -> Column:
     """What of an English cue is compared: from its speaker on; labels in capitals give nothing."""
-    t = _from_speaker(F.trim(F.regexp_replace(F.replace(normalize_text(text), F.lit("[speech]"), F.lit("")), r"\s+", " ")), "task")
-    return F.when(_shouted(t), "").otherwise(t)
+    plain = F.trim(F.regexp_replace(F.replace(normalize_text(text), F.lit("[speech]"), F.lit("")), r"\s+", " "))
+    return let(let(plain, lambda t: _from_speaker(t, "task")), lambda t: F.when(_shouted(t), "").otherwise(t))
 
 
 def prepared_english_sequence(text: Column) -> Column:
     """The stricter form for sequences: the speaker goes too, and texts that are only sounds give nothing."""
     bare = lambda t: F.regexp_replace(F.regexp_replace(t, EN_UI, ""), "^" + EN_SPEAKER + r"\s*", "")
-    t = F.trim(bare(_from_speaker(bare(F.trim(F.replace(normalize_text(text), F.lit("[speech]"), F.lit("")))), "task|collect")))
-    sound = t.rlike(EN_SOUNDS) & (t.rlike(IN_BRACKETS) | (word_count(t) <= 3))
-    return F.when(sound | _shouted(t), "").otherwise(t)
+    sound = lambda t: t.rlike(EN_SOUNDS) & (t.rlike(IN_BRACKETS) | (word_count(t) <= 3))
+    spoken = let(bare(F.trim(F.replace(normalize_text(text), F.lit("[speech]"), F.lit("")))), lambda t: _from_speaker(t, "task|collect"))
+    return let(F.trim(bare(spoken)), lambda t: F.when(sound(t) | _shouted(t), "").otherwise(t))
 
 
 def keep_cue(text: Column, confidence: Column, duration: Column, min_length: int = 2, min_confidence: float | None = None, language: str = "ch") -> Column:

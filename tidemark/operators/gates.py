@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import cues as C
+from tidemark.functions.text import let
 from tidemark.operators.rules import reasons
 
 
@@ -19,30 +20,33 @@ def gate_reasons(inline: bool = False) -> Column:
     ``inline``: the rules while matches are made, which let short but sure ones pass and know one reason more.
     """
     en, zh, origin, score = _c("english_text"), _c("chinese_text"), _c("match_origin"), F.coalesce("match_score", F.lit(0.0))
-    meaning = C.prepared_english(en)
-    words = C.word_count(F.when(meaning != "", meaning).otherwise(en))
-    cjk = C.cjk_count(zh)
-    lacks_speaker = C.explicit_speaker(en) & ~C.explicit_speaker(zh)
-    spoken = C.explicit_speaker(zh)
-    no_short = no_missing = no_group = F.lit(False)
-    group = origin == "group-anchor-window-v1"
-    extra = []
-    if inline:
-        group = F.startswith(origin, F.lit("group-"))
-        no_short, no_missing = spoken & (score >= 0.75), (score >= 0.76) & (cjk >= 4)
-        no_group = (spoken & C.question(en) & C.question(zh)) | ((score >= 0.74) & C.stage_direction(en) & C.stage_direction(zh) & spoken)
-        extra = [("clip-local-speaker-mismatch", F.startswith(origin, F.lit("group-clip-")) & lacks_speaker & (words >= 2) & (score < 0.74))]
-    found = reasons(
-        ("no-cjk", cjk == 0),
-        ("ascii-noise", C.ascii_alpha_count(zh) >= 3),
-        ("repeated-ocr-fragment", C.repeated_phrase(zh)),
-        ("empty-semantic-after-clean", (C.prepared_chinese(zh) == "") & (words >= 2)),
-        ("too-short-for-english-length", (cjk <= 2) & (words >= 2) & ~no_short),
-        ("speaker-missing-on-short-zh", lacks_speaker & (cjk <= 4) & (words >= 2) & ~no_missing),
-        ("short-group-match", group & (cjk <= 4) & (words >= 2) & (score < 0.75) & ~no_group),
-        *extra,
-    )
-    return F.when(origin.isin("none", "reviewed-master"), F.array().cast("array<string>")).otherwise(found)
+    facts = F.struct(
+        let(C.prepared_english(en), lambda meaning: C.word_count(F.when(meaning != "", meaning).otherwise(en))).alias("words"),
+        C.cjk_count(zh).alias("cjk"), C.explicit_speaker(zh).alias("spoken"), (C.explicit_speaker(en) & ~C.explicit_speaker(zh)).alias("lacks"),
+    )
+
+    def found(x: Column) -> Column:
+        words, cjk, spoken, lacks_speaker = x["words"], x["cjk"], x["spoken"], x["lacks"]
+        no_short = no_missing = no_group = F.lit(False)
+        group = origin == "group-anchor-window-v1"
+        extra = []
+        if inline:
+            group = F.startswith(origin, F.lit("group-"))
+            no_short, no_missing = spoken & (score >= 0.75), (score >= 0.76) & (cjk >= 4)
+            no_group = (spoken & C.question(en) & C.question(zh)) | ((score >= 0.74) & C.stage_direction(en) & C.stage_direction(zh) & spoken)
+            extra = [("clip-local-speaker-mismatch", F.startswith(origin, F.lit("group-clip-")) & lacks_speaker & (words >= 2) & (score < 0.74))]
+        return reasons(
+            ("no-cjk", cjk == 0),
+            ("ascii-noise", C.ascii_alpha_count(zh) >= 3),
+            ("repeated-ocr-fragment", C.repeated_phrase(zh)),
+            ("empty-semantic-after-clean", (words >= 2) & (C.prepared_chinese(zh) == "")),
+            ("too-short-for-english-length", (cjk <= 2) & (words >= 2) & ~no_short),
+            ("speaker-missing-on-short-zh", lacks_speaker & (cjk <= 4) & (words >= 2) & ~no_missing),
+            ("short-group-match", group & (cjk <= 4) & (words >= 2) & (score < 0.75) & ~no_group),
+            *extra,
+        )
+
+    return F.when(origin.isin("none", "reviewed-master"), F.array().cast("array<string>")).otherwise(let(facts, found))
 
 
 def gate_matches(rows: DataFrame, inline: bool = False) -> DataFrame:
