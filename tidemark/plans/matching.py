@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import align, forced, matching, tiles
+from tidemark.operators import align, forced, matching, tiles, trials
 from tidemark.plans.catalog import CUES, query
 
 BLEND = tiles.Blend(0.76, 0.24, 0.28, 0.16, 0.06, 0.04, forced.SHORT)
@@ -109,3 +109,39 @@ def forced_fill(t):
     a, b = cues(t)
     found = matching.reserved(reviewed(a, b), a, ["part"])
     return forced.forced(a, b, clips(a), found, ["part"], forced.Passes(names=NAMES, tail=(3, 0.5, 0.18)))
+
+
+def _clip_order(b: DataFrame) -> DataFrame:
+    return b.withColumn("ord", F.regexp_extract("clip", "([0-9]+)$", 1).cast("int"))
+
+
+_B = f"with {_SIDES}, b as (select grp as part, pos, ss as s, se as e, 'clip' || (pos // 12) as clip, pos // 12 as ord from r3 where side = 'b')"
+
+
+@query(f"{_B}, d as (select part, clip, ord, arg_max(e, pos) - arg_min(s, pos) as length from b group by all), w as (select *, coalesce(sum(length) over (partition by part order by ord rows between unbounded preceding and 1 preceding), 0) as ws from d) select part, clip, round(ws * 1000)::bigint as window_start, round((ws + length) * 1000)::bigint as window_end from w")
+def trial_windows(t):
+    rows = trials.end_to_end(_clip_order(cues(t)[1]), ["part"])
+    ms = lambda c, name: F.round(F.col(c) * 1000).cast("long").alias(name)
+    return rows.select("part", "clip", ms("ws", "window_start"), ms("we", "window_end"))
+
+
+@query(
+    f"""{_B}, p as (select *, row_number() over (partition by part, clip order by s, e) as i, max(e) over (partition by part, clip order by s, e rows between unbounded preceding and 1 preceding) as before from b),
+    r as (select *, sum(case when before is null or s > before + 3600 then 1 else 0 end) over (partition by part, clip order by s, e rows unbounded preceding) as run from p),
+    w as (select part, clip, min(s) as ws, max(e) as we from r group by part, clip, run), a as (select grp as part, pos, ss as s from r3 where side = 'a'),
+    h as (select distinct part, clip, pos from w join a using (part) where a.s between ws - 300 and we + 300)
+    select part, clip, count(*) as cues, sum(pos)::bigint as pos_sum from h group by part, clip"""
+)
+def anchor_window_cues(t):
+    a, b = cues(t)
+    windows = trials.around_anchors(b.select("part", "clip", "s", "e"), ["part"], 3600.0)
+    near = trials.in_windows(a, windows, ["part"], 300.0, 36_000.0)
+    return near.groupBy("part", "clip").agg(F.count(F.lit(1)).alias("cues"), F.sum("pos").alias("pos_sum"))
+
+
+@query()
+def trial_results(t):
+    a, b = cues(t)
+    windows = trials.around_anchors(b.select("part", "clip", "s", "e"), ["part"], 3600.0)
+    found = trials.trial_align(a, b, windows, ["part"], 300.0, 0.7, width=36_000.0)
+    return trials.reconciled(trials.deduped(found, ["part"]), ["part"])
