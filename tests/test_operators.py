@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import align, folds, intervals, maintain, rules, sequences
-from tidemark.plans import catalog, matching, review, shortlist  # noqa: F401  (the others add their queries)
+from tidemark.plans import catalog, keyed, matching, review, shortlist  # noqa: F401  (the others add their queries)
 from tidemark.sources import readers, writers
 
 SEC = 1_000_000
