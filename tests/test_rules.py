@@ -125,3 +125,20 @@ def test_a_long_title_is_cut_in_time():
 def test_cuts_of_a_pandas_frame_keep_other_columns(spark):
     rows = spark.createDataFrame(pd.DataFrame({"title": [1, 1], "pos": [2, 1], "dur": [3.0, 4.0], "name": ["x", "y"]}))
     assert sorted((r.pos, r.name, r.part) for r in folds.partition_clips(rows, 2).collect()) == [(1, "y", 1), (2, "x", 2)]
+
+
+def test_filters_snapshots_and_seasons(spark):
+    from tidemark.operators import maintain
+    from tidemark.sources import readers
+
+    both = "[0:a:0]aselect='between(t,9,10)';[0:v:0]select='between(t,1.5,2)+between(t, 3 , 4)',setpts=N"
+    texts = spark.createDataFrame([(1, both), (2, "aselect='between(t,9,10)'")], "k int, f string")
+    assert [(r.k, r.s, r.e) for r in readers.between_ranges(texts, "f").orderBy("k", "pos").collect()] == [(1, 1_500_000, 2_000_000), (1, 3_000_000, 4_000_000), (2, 9_000_000, 10_000_000)]
+    old = spark.createDataFrame([("a", "x", 1), ("b", "y", 2), ("c", "z", 3), ("d", "w", 4)], "k string, h string, n int")
+    new = spark.createDataFrame([("a", "x", 1), ("b", "y", 9), ("c", "q", 3), ("e", "w", 4)], "k string, h string, n int")
+    assert {r.k: r.state for r in maintain.verify_snapshot(old, new, "k", "h", "n").collect()} == {"a": "ok", "b": "mismatch", "c": "mismatch", "d": "missing", "e": "unexpected"}
+    assert {r.k: r.state for r in maintain.verify_snapshot(old, new, "k", "h").collect()}["b"] == "ok"
+    season = {"code": 0, "result": {"season_id": 5, "title": "T", "episodes": [{"id": 7, "cid": 1, "title": "12 "}, {"ep_id": 8, "title": "SP"}], "section": [{}, {"episodes": [{"id": 9, "cid": 2, "title": None}]}]}}
+    docs = spark.createDataFrame([(1, json.dumps(season)), (2, '{"code": -1, "result": {"episodes": [{"id": 1}]}}'), (3, "broken"), (4, '{"code": 0}')], "k int, value string")
+    got = [(r.k, r.season_id, r.season_title, r.section, r.episode_id, r.number, r.cid) for r in logs.season_episodes(docs, ["k"]).orderBy("pos").collect()]
+    assert got == [(1, 5, "T", 0, 7, 12, 1), (1, 5, "T", 0, 8, None, None), (1, 5, "T", 2, 9, None, 2)]

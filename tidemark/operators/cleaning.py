@@ -25,6 +25,17 @@ def similarity(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, a, b).ratio() if a and b else float(a == b)
 
 
+def reaches(a: str, b: str, threshold: float) -> bool:
+    """Whether the similarity is at least ``threshold``; lengths and common characters, which bound it, are tried first."""
+    if not a or not b:
+        return float(a == b) >= threshold
+    total = len(a) + len(b)
+    if 2.0 * min(len(a), len(b)) / total < threshold:
+        return False
+    matcher = difflib.SequenceMatcher(None, a, b)
+    return matcher.quick_ratio() >= threshold and matcher.ratio() >= threshold
+
+
 def _many_parts(text: str) -> bool:
     return sum(map(text.count, "：:")) >= 2 or sum(map(text.count, "。！?？")) >= 2
 
@@ -35,7 +46,7 @@ def alike(left: str, right: str, threshold: float) -> bool:
         return True
     if left in right or right in left:
         return not _many_parts(left if len(left) >= len(right) else right)
-    return similarity(left, right) >= threshold
+    return reaches(left, right, threshold)
 
 
 def merge_pairs(df: DataFrame, by: By, threshold: float = 0.72, gap: int = 600_000) -> DataFrame:
@@ -143,7 +154,7 @@ def merge_adjacent(df: DataFrame, by: By, threshold: float, interval: int) -> Da
         kept: list[dict] = []
         for row in pdf.sort_values(["s", "e"], kind="stable").to_dict("records"):
             last = kept[-1] if kept else None
-            if last and row["s"] - last["e"] <= interval and similarity(last["text"], row["text"]) >= threshold:
+            if last and row["s"] - last["e"] <= interval and reaches(last["text"], row["text"], threshold):
                 last.update(e=max(last["e"], row["e"]), conf=max(last["conf"], row["conf"]), text=last["text"] if len(last["text"]) >= len(row["text"]) else row["text"])
             else:
                 kept.append(row)

@@ -70,9 +70,14 @@ def delta_report(base: DataFrame, applied: DataFrame, keys: list[str], fields: l
     return rows.withColumn("change", kind).drop("_a", "_b")
 
 
-def verify_snapshot(expected: DataFrame, actual: DataFrame, key: str, digest: str) -> DataFrame:
-    e, a = expected.select(key, F.col(digest).alias("_e")), actual.select(key, F.col(digest).alias("_a"))
-    state = F.when(F.col("_a").isNull(), "missing").when(F.col("_e").isNull(), "unexpected").when(F.col("_e") == F.col("_a"), "ok").otherwise("mismatch")
+def verify_snapshot(expected: DataFrame, actual: DataFrame, key: str, digest: str, size: str | None = None) -> DataFrame:
+    """Each key's state: ok, missing (no such artifact now), unexpected, or mismatch in its digest or, if it is given, its size."""
+    fields = [digest, *([size] if size else [])]
+    e, a = (df.select(key, F.struct(*fields).alias(name)) for df, name in ((expected, "_e"), (actual, "_a")))
+    same = F.lit(True)
+    for c in fields:
+        same = same & F.col(f"_e.{c}").eqNullSafe(F.col(f"_a.{c}"))
+    state = F.when(F.col("_a").isNull(), "missing").when(F.col("_e").isNull(), "unexpected").when(same, "ok").otherwise("mismatch")
     return e.join(a, key, "full_outer").withColumn("state", state).drop("_e", "_a")
 
 

@@ -445,9 +445,9 @@ def text_metrics(t):
     return t.documents.select("doc_id", F.length(d).cast("long").alias("chars"), T.latin_ratio_bp(d).alias("latin_bp"), F.regexp_count(d, F.lit("[0-9]")).cast("long").alias("digits"))
 
 
-@query("select doc_id, nullif(trim(regexp_extract(text, '^([^:]{1,20}):', 1)), '') as speaker from documents")
+@query("select doc_id, nullif(trim(regexp_extract(text, '^([^:：]{1,20})[:：]', 1)), '') as speaker from documents")
 def speaker_extract(t):
-    return t.documents.select("doc_id", F.nullif(F.trim(F.regexp_extract("text", "^([^:]{1,20}):", 1)), F.lit("")).alias("speaker"))
+    return t.documents.select("doc_id", T.speaker(F.col("text")).alias("speaker"))
 
 
 @query("with q as (select vec_id as q_id, embedding as v from embeddings where vec_id % 20 = 0), p as (select q_id, vec_id as c_id, round(list_sum(list_transform(list_zip(q.v, c.embedding), lambda x: x[1]::double * x[2]::double)), 6) as score from q, embeddings c) select q_id, c_id, rank from (select *, row_number() over (partition by q_id order by score desc, c_id) as rank from p) where rank <= 10")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import cues as C
 from tidemark.functions import names
 from tidemark.functions import text as T
-from tidemark.operators import cleaning, records, rounds, rules
+from tidemark.operators import cleaning, likeness, records, rounds, rules
 from tidemark.plans.catalog import CUES, DEC, REL, SUG, query
 from tidemark.sources import logs, writers
 from tidemark.storage import shared_dir
@@ -287,6 +287,23 @@ def settings_defaults(t):
     return records.with_defaults(rows, {"nation": (7, lambda c: c.between(1, 20)), "name": ("none", lambda c: F.length(c) > 3), "added": ("fresh", lambda c: c.isNotNull())})
 
 
+@query("select o_custkey, case when o_orderkey = 0 then -1 else o_orderkey end as episode_id, case when o_orderkey % 3 = 0 then 0 else o_orderkey % 3 end::int as section, case when o_orderkey % 5 = 0 then -1 else o_linenumber end::int as number, o_orderkey + 1 as cid from (select *, row_number() over (partition by o_custkey order by o_orderkey) as o_linenumber from orders) where o_custkey % 8 <> 0")
+def season_documents(t):
+    e = "struct(o_orderkey as id, o_orderkey + 1 as cid, concat(case when o_orderkey % 5 = 0 then 'SP' else '' end, row_number() over (partition by o_custkey order by o_orderkey), ' ') as title) as e"
+    rows = t.orders.selectExpr("o_custkey", "o_orderkey % 3 as k", e)
+    some = lambda k: F.sort_array(F.collect_list(F.when(F.col("k") == k, F.col("e"))))
+    season = F.struct(F.first("o_custkey").alias("season_id"), some(0).alias("episodes"), F.array(F.struct(some(1).alias("episodes")), F.struct(some(2).alias("episodes"))).alias("section"))
+    docs = rows.groupBy("o_custkey").agg(season.alias("result")).select("o_custkey", F.to_json(F.struct(F.when(F.col("o_custkey") % 8 == 0, -404).otherwise(0).alias("code"), "result")).alias("value"))
+    return logs.season_episodes(docs, ["o_custkey"]).select("o_custkey", "episode_id", "section", "number", "cid").fillna(-1, ["episode_id", "number"])
+
+
+@query()
+def like_parts(t):
+    """Parts of like descriptions: pairs of different texts."""
+    rows = t.part.select(F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"))
+    return likeness.similar_texts(rows, rows, 0.95).where("text_a < text_b")
+
+
 _STATES = "case o_orderkey % 9 when 0 then 'Failed' when 1 then 'Skipped' else 'Success' end"
 
 

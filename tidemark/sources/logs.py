@@ -143,6 +143,26 @@ def search_results(texts: DataFrame, by: By, column: str = "value") -> DataFrame
     return rows.select(*by, "pos", F.when(F.col("x.season_id") > 0, F.col("x.season_id")).otherwise(F.col("x.media_id")).alias("season_id"), plain(F.col("x.title")).alias("title"), plain(F.col("x.org_title")).alias("original_title"), F.coalesce("x.ep_size", F.lit(0)).alias("episodes"))
 
 
+_EPISODE = "struct<id: long, ep_id: long, cid: long, title: string, long_title: string, show_title: string, share_copy: string>"
+
+
+def season_episodes(texts: DataFrame, by: By, column: str = "value") -> DataFrame:
+    """Episodes of season documents whose code is 0: section 0 the main ones, then those of each further section, in order.
+
+    Columns: by, season_id, season_title, section, pos (in the document), episode_id (the first of two names), number
+    (the whole number that a title begins with, else null), cid, and the titles. Documents without episodes give nothing.
+    """
+    season = f"season_id: long, title: string, season_title: string, episodes: array<{_EPISODE}>, section: array<struct<episodes: array<{_EPISODE}>>>"
+    rows = texts.select(*by, F.from_json(column, f"code int, result struct<{season}>").alias("a")).where("a.code = 0")
+    none = F.array().cast(f"array<{_EPISODE}>")
+    parts = F.concat(F.array(F.coalesce("a.result.episodes", none)), F.coalesce(F.transform("a.result.section", lambda s: F.coalesce(s["episodes"], none)), F.array().cast(f"array<array<{_EPISODE}>>")))
+    listed = F.flatten(F.transform(parts, lambda xs, i: F.transform(xs, lambda x: F.struct(i.alias("section"), x.alias("x")))))
+    rows = rows.select(*by, F.col("a.result.season_id").alias("season_id"), F.coalesce("a.result.season_title", "a.result.title", F.lit("")).alias("season_title"), F.posexplode(listed).alias("pos", "e"))
+    text = lambda c: F.coalesce(F.col(f"e.x.{c}"), F.lit("")).alias(c)
+    number = F.regexp_extract(F.trim(F.coalesce("e.x.title", F.lit(""))), "^([0-9]+)", 1).try_cast("int")
+    return rows.select(*by, "season_id", "season_title", F.col("e.section").alias("section"), "pos", F.coalesce(F.when(F.col("e.x.id") > 0, F.col("e.x.id")), "e.x.ep_id").alias("episode_id"), number.alias("number"), F.col("e.x.cid").alias("cid"), text("title"), text("long_title"), text("show_title"), text("share_copy"))
+
+
 def reply_text(column: str = "value") -> Column:
     """The text of a model's reply, whichever envelope it came in: itself, a content, an output list or a choice."""
     got = lambda path: F.get_json_object(column, path)

@@ -51,8 +51,10 @@ def silence_log(lines: DataFrame, by: list[str], order: str, line: str = "value"
 
 
 def between_ranges(text: DataFrame, column: str) -> DataFrame:
-    """All between(t,a,b) of a filter expression, in order."""
-    find = lambda i: F.regexp_extract_all(column, F.lit(r"between\(t\s*,\s*([0-9.]+)\s*,\s*([0-9.]+)\)"), F.lit(i))
+    """All between(t,a,b) of a filter expression, in order: of the video's select clause if there is one, else of all."""
+    video = F.regexp_extract(column, r"(?s)\[0:v:0\]select='([^']*)'", 1)
+    source = F.when(video != "", video).otherwise(F.col(column))
+    find = lambda i: F.regexp_extract_all(source, F.lit(r"between\(t\s*,\s*([0-9.]+)\s*,\s*([0-9.]+)\)"), F.lit(i))
     return text.select("*", F.posexplode(F.arrays_zip(find(1).alias("a"), find(2).alias("b"))).alias("pos", "between_range")).select("*", _us(F.col("between_range.a").cast("double")).alias("s"), _us(F.col("between_range.b").cast("double")).alias("e")).drop("between_range")
 
 
