@@ -276,16 +276,42 @@ def partition_clips(clips: DataFrame, parts: int, weight: float = 1.0, semantic:
     return clips.groupBy("title").applyInPandas(run, f"{_ddl(clips)}, part long")
 
 
+#: Vectors of a block; two blocks meet in one matrix product.
+VECTORS = 2048
+
+
+def _blocks(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Blocks of about VECTORS rows (key, vector), dealt by a hash of the key, each as one array."""
+    parts = max(1, -(-df.count() // VECTORS))
+    rows = df.select(F.struct(F.col(key).alias("id"), "vector").alias("x"), F.pmod(F.xxhash64(key), F.lit(parts)).alias("_b"))
+    return rows.groupBy("_b").agg(F.collect_list("x").alias(name)).drop("_b")
+
+
 def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """The ``k`` nearest of ``corpus`` (c_id, vector) for each of ``queries`` (q_id, vector); unit vectors.
 
-    A stated query set meets all rows of the corpus. Sums run in the JVM, and the rank limit is pushed below the
-    shuffle (WindowGroupLimit), so that a task sends only its best ``k`` rows of each query.
+    A stated query set meets all rows of the corpus, block by block: a task multiplies two blocks and sends on the best
+    ``k`` of each query only, rounded scores first, then smaller ids. Ids are numbers.
     """
-    dot = F.round(F.aggregate(F.zip_with("qv", "cv", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x), 6)
-    pairs = queries.select("q_id", F.col("vector").alias("qv")).join(corpus.select("c_id", F.col("vector").alias("cv")), F.lit(True)).select("q_id", "c_id", dot.alias("score"))
+
+    def nearest(batches):
+        for batch in batches:
+            for q, c in zip(*batch.columns, strict=True):
+                one, two = q.values, c.values
+                vectors = [x.field("vector").flatten().to_numpy().astype(np.float64).reshape(len(x), -1) for x in (one, two)]
+                ids = two.field("id").to_numpy()
+                order = np.argsort(ids, kind="stable")
+                score = np.round(vectors[0] @ vectors[1][order].T, 6)
+                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                row = np.repeat(np.arange(len(one)), best.shape[1])
+                yield pa.RecordBatch.from_arrays([one.field("id").take(pa.array(row)), pa.array(ids[order][best.ravel()]), pa.array(score[row, best.ravel()])], ["q_id", "c_id", "score"])
+
+    kinds = dict(queries.dtypes)["q_id"], dict(corpus.dtypes)["c_id"]
+    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = _blocks(queries, "q_id", "q").join(_blocks(corpus, "c_id", "c").repartition(tasks), F.lit(True))  # blocks are dealt before they meet
+    found = pairs.mapInArrow(nearest, f"q_id {kinds[0]}, c_id {kinds[1]}, score double")
     w = Window.partitionBy("q_id").orderBy(F.col("score").desc(), "c_id")
-    return pairs.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
 def _ddl(df: DataFrame) -> str:
