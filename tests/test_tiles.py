@@ -113,3 +113,43 @@ def test_long_sequences_spread_and_nothing_comes_of_nothing(spark):
     assert sorted(map(tuple, got.collect())) == [(i, i, 1.0) for i in range(16)]
     assert tiles.aligned(rows.where("side = 'a'"), [], tiles.Blend(), tiles.Path()).count() == 0
     assert tiles.aligned(rows.limit(0), [], tiles.Blend(), tiles.Path()).count() == 0
+
+
+def group_cues(seed, n, m):
+    gen, rnd = np.random.default_rng(seed), random.Random(seed)
+    base = [x / np.linalg.norm(x) for x in gen.normal(size=(max(n, m), 5))]
+    out = []
+    for side, k in (("a", n), ("b", m)):
+        for i in range(k):
+            v = base[i * max(n, m) // k] + 0.25 * gen.normal(size=5)
+            out.append((side, 5 * i, 1.5 * i, 1.5 * i + 1, (v / np.linalg.norm(v)).tolist(), rnd.sample(NAMES, rnd.randint(0, 1)) if side == "a" else None, rnd.choice([None, None, *NAMES]) if side == "b" else None))
+    return out
+
+
+@pytest.mark.parametrize(("largest", "speakers"), [((3, 3), False), ((2, 3), True)])
+def test_groups_in_tiles_equal_the_whole_table(spark, largest, speakers):
+    import pandas as pd
+
+    from tidemark.operators import align
+
+    groups = {1: group_cues(1, 13, 11), 2: group_cues(2, 4, 12), 3: group_cues(3, 9, 2), 4: group_cues(4, 1, 1), None: group_cues(5, 8, 8), 6: group_cues(6, 3, 0)}
+    rows = spark.createDataFrame([(k, *r) for k, rs in groups.items() for r in rs], "k int, side string, pos long, s double, e double, vector array<double>, names array<string>, name string").repartition(3)
+    how = tiles.Grouping(largest, 0.45, 0.5, 0.05, 0.04, 0.3, speakers)
+    want = {}
+    for k, rs in groups.items():
+        a, b = (pd.DataFrame([r for r in rs if r[0] == x], columns=["side", "pos", "s", "e", "vector", "names", "name"]) for x in "ab")
+        if len(a) and len(b):
+            scores = {(p, q): align.group_scores(a, b, p, q, 0.3) for p, q in how.sizes(len(a), len(b))}
+            for (p, q), found in scores.items():
+                for i, j in np.ndindex(*found.shape):
+                    own, other = [x for xs in a.names[i : i + p] for x in xs], b.name[j]
+                    if speakers and own and other and not any(x.startswith(other) or other.startswith(x) for x in own):
+                        found[i, j] = np.nan
+            want[k] = sorted((a.pos[i : i + p].tolist(), b.pos[j : j + q].tolist(), f"{p}:{q}", s) for i, j, p, q, s in align.group_path(scores, len(a), len(b), 0.45, 0.5, 0.05, 0.04))
+    for tile in (4, 512):
+        got = {}
+        for r in tiles.grouped(rows, ["k"], how, tile).collect():
+            got.setdefault(r.k, []).append((r.a_pos, r.b_pos, r.alignment, r.score))
+        assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}, tile
+    assert speakers or {x[2] for v in want.values() for x in v} > {"1:1"}
+    assert tiles.grouped(rows.where("side = 'a'"), ["k"], how).count() == 0

@@ -1,7 +1,6 @@
 """Matching of two ordered sequences of cues with vectors: alignments, retrieval, candidate spans, staged and forced matches.
 
-Monotonic alignments run in tiles (``tiles.py``), group alignments as grouped pandas functions, one window a group, with
-numpy along the diagonals of the table; all ranking, retrieval, bounds and filling are windows and joins. Vectors are given; none are made here.
+Monotonic and group alignments run in tiles (``tiles.py``); all ranking, retrieval, bounds and filling are windows and joins. Vectors are given; none are made here.
 """
 
 from __future__ import annotations
@@ -20,14 +19,6 @@ from tidemark.operators.folds import ordered_fold
 from tidemark.storage import spent, stored
 
 By = list[str]
-_NONE = np.float32(-1e9)
-
-
-def _diagonals(n: int, m: int):
-    """Cells (i, j) of an (n + 1) x (m + 1) table, from 1 on, one anti-diagonal after the other."""
-    for d in range(2, n + m + 1):
-        i = np.arange(max(1, d - m), min(n, d - 1) + 1)
-        yield i, d - i
 
 
 def monotonic_path(sim: np.ndarray, match: float, output: float, skip_a: float, skip_b: float, band: int) -> list[tuple[int, int, float]]:
@@ -61,10 +52,6 @@ def progress_matrix(a: np.ndarray, b: np.ndarray, width: float) -> np.ndarray:
     return np.clip(1 - np.abs(a[:, None] - b[None, :]) / width, 0, 1)
 
 
-def _sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
-    return tuple(pdf[pdf.side == x].sort_values("pos", kind="stable") for x in "ab")
-
-
 def monotonic_align(rows: DataFrame, by: By, match: float = 0.46, output: float = 0.50, skip_a: float = 0.015, skip_b: float = 0.010, band_ratio: float = 0.22, band_min: int = 180, progress_weight: float = 0.0, width: float = 0.35) -> DataFrame:
     """Aligns both sides of each group, in tiles; rows: side ('a' or 'b'), pos, vector, and s and e if progress has a weight.
 
@@ -78,62 +65,22 @@ def monotonic_align(rows: DataFrame, by: By, match: float = 0.46, output: float
 
 
 def group_scores(a: pd.DataFrame, b: pd.DataFrame, p: int, q: int, least: float = 0.50) -> np.ndarray:
-    """Scores of all groups of ``p`` cues from a with ``q`` from b, by first positions; NaN where they don't match.
-
-    A group's vector is the direction of its cues' sum. Meaning counts .76, progress .16, durations .08, less .02 for
-    each cue that one group has more. Times are in seconds.
-    """
-
-    def grouped(x: pd.DataFrame, k: int) -> tuple[np.ndarray, ...]:
-        v, s, e = np.stack(x.vector).astype(float), x.s.to_numpy(float), x.e.to_numpy(float)
-        total = np.cumsum(np.vstack((np.zeros(v.shape[1]), v)), axis=0)
-        start, end = s[: len(x) - k + 1], e[k - 1 :]
-        return _unit(total[k:] - total[:-k]), ((start + end) / 2 - s[0]) / max(e[-1] - s[0], 1e-6), np.maximum(end - start, 0.25)
-
-    (u, x, dx), (v, y, dy) = grouped(a, p), grouped(b, q)
-    meaning = u @ v.T
-    score = 0.76 * meaning + 0.16 * progress_matrix(x, y, 0.26) + 0.08 * np.minimum.outer(dx, dy) / np.maximum.outer(dx, dy) - 0.02 * abs(p - q)
-    return np.where(meaning >= least, score, np.nan)
+    """``tiles.group_scores`` of two whole sequences (vector, s, e)."""
+    one, two = ((np.stack(x.vector).astype(float), x.s.to_numpy(float), x.e.to_numpy(float)) for x in (a, b))
+    return tiles.group_scores(one, two, p, q, least, (one[1][0], one[2][-1], two[1][0], two[2][-1]))
 
 
 def group_path(scores: dict[tuple[int, int], np.ndarray], n: int, m: int, match: float, output: float, skip_a: float, skip_b: float) -> list[tuple[int, int, int, int, float]]:
-    """(i, j, p, q, score) of the best alignment by groups; on equal sums larger groups of a, then of b, then skips last."""
-    best = np.full((n + 1, m + 1), _NONE, np.float32)
-    how = np.full((n + 1, m + 1), -1, np.int8)
-    best[0] = np.cumsum(np.concatenate(([0], np.full(m, -skip_b))), dtype=np.float32)
-    best[:, 0] = np.cumsum(np.concatenate(([0], np.full(n, -skip_a))), dtype=np.float32)
-    sizes = sorted(scores, reverse=True)
-    up_, left_ = len(sizes), len(sizes) + 1
-    how[1:, 0], how[0, 1:] = up_, left_
-    for i, j in _diagonals(n, m):
-        value, move = np.full(len(i), _NONE, np.float32), np.full(len(i), -1, np.int8)
-
-        def offer(at: np.ndarray, new: np.ndarray, code: int, value=value, move=move) -> None:
-            better = np.zeros(len(value), bool)
-            better[at] = new > value[at]
-            value[better], move[better] = new[better[at]], code
-
-        for code, (p, q) in enumerate(sizes):
-            at = np.flatnonzero((i >= p) & (j >= q))
-            if len(at):
-                x = scores[p, q][i[at] - p, j[at] - q]
-                ok = ~np.isnan(x)
-                at, x = at[ok], x[ok]
-                offer(at, (best[i[at] - p, j[at] - q] + (x - match)).astype(np.float32), code)
-        every = np.arange(len(i))
-        offer(every, best[i - 1, j] - np.float32(skip_a), up_)
-        offer(every, best[i, j - 1] - np.float32(skip_b), left_)
-        best[i, j], how[i, j] = value, move
-    found = []
+    """(i, j, p, q, score) of the best alignment by groups, the whole table as one tile; on equal sums larger groups of a, then of b, then skips last."""
+    how = tiles.Grouping(match=match, output=output, skip_a=skip_a, skip_b=skip_b)
+    move = tiles.fill_groups(scores, (n, m), (1, 1), tiles.whole_border(n, m, how), how)[1]
+    sizes, found = sorted(scores, reverse=True), []
     i, j = n, m
-    while i > 0 or j > 0:
-        code = how[i, j]
-        if code == up_:
-            i -= 1
-        elif code == left_:
-            j -= 1
+    while i > 0 and j > 0:
+        if move[i, j] >= len(sizes):
+            i, j = i - (move[i, j] == len(sizes)), j - (move[i, j] > len(sizes))
         else:
-            p, q = sizes[code]
+            p, q = sizes[move[i, j]]
             i, j = i - p, j - q
             if scores[p, q][i, j] >= output:
                 found.append((i, j, p, q, float(scores[p, q][i, j])))
@@ -141,28 +88,13 @@ def group_path(scores: dict[tuple[int, int], np.ndarray], n: int, m: int, match:
 
 
 def group_align(rows: DataFrame, by: By, max_a: int = 3, max_b: int = 3, match: float = 0.60, output: float = 0.68, skip_a: float = 0.08, skip_b: float = 0.05, least: float = 0.50, speakers: bool = False) -> DataFrame:
-    """Aligns groups of up to ``max_a`` and ``max_b`` neighbours; rows: side, pos, s, e (seconds), vector. Result:
+    """Aligns groups of up to ``max_a`` and ``max_b`` neighbours, in tiles; rows: side, pos, s, e (seconds), vector. Result:
     a_pos and b_pos as arrays, alignment ('2:1') and score.
 
     ``speakers``: groups whose speakers differ don't match. The columns are then ``names``, all that a cue of a names, and
     ``name``, what a cue of b begins with; of a group of b its first cue's counts.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = _sides(pdf)
-        columns = [*by, "a_pos", "b_pos", "alignment", "score"]
-        n, m = len(a), len(b)
-        if not n or not m:
-            return pd.DataFrame(columns=columns)
-        scores = {(p, q): group_scores(a, b, p, q, least) for p in range(1, min(max_a, n) + 1) for q in range(1, min(max_b, m) + 1)}
-        if speakers:
-            names = [list(x) if x is not None else [] for x in a["names"]]
-            for (p, q), found in scores.items():
-                found[tiles._strangers([sum(names[i : i + p], []) for i in range(n - p + 1)], b["name"].tolist()[: m - q + 1])] = np.nan
-        path = group_path(scores, n, m, match, output, skip_a, skip_b)
-        return pd.DataFrame([[*(pdf[k].iloc[0] for k in by), a.pos.iloc[i : i + p].tolist(), b.pos.iloc[j : j + q].tolist(), f"{p}:{q}", x] for i, j, p, q, x in path], columns=columns)
-
-    return rows.groupBy(*by).applyInPandas(run, _schema(rows, by, "a_pos array<long>, b_pos array<long>, alignment string, score double"))
+    return tiles.grouped(rows, by, tiles.Grouping((max_a, max_b), match, output, skip_a, skip_b, least, speakers))
 
 
 @F.pandas_udf(StructType().add("first", LongType()).add("last", LongType()).add("score", DoubleType()))

@@ -138,12 +138,16 @@ def fill(sim: np.ndarray, i0: int, j0: int, n: int, m: int, band: int, path: Pat
     return best, move
 
 
-def _packed(rows: DataFrame, by: By, columns: list[str], tile: int) -> DataFrame:
-    """``scope``, side, block, and the block's rows in order; a block has at most ``tile`` rows."""
+def _packed(rows: DataFrame, by: By, columns: list[str], tile: int, halo: dict[str, int] | None = None) -> DataFrame:
+    """``scope``, side, block, and the block's rows in order; a block has at most ``tile`` rows, and before them as many of
+    the block before as ``halo`` says for its side."""
     scope = F.to_json(F.struct(*by)) if by else F.lit("{}")
     order = Window.partitionBy("scope", "side").orderBy("pos")
     rows = rows.select(scope.alias("scope"), "side", F.col("pos").cast("long").alias("pos"), *columns)
     rows = rows.withColumn("at", F.row_number().over(order) - 1).withColumn("block", F.floor(F.col("at") / tile).cast("int"))
+    if halo:
+        late = F.col("at") % tile >= tile - F.when(F.col("side") == "a", halo["a"]).otherwise(halo["b"])
+        rows = rows.withColumn("block", F.explode(F.when(late, F.array("block", F.col("block") + 1)).otherwise(F.array("block"))))
     return rows.groupBy("scope", "side", "block").agg(F.sort_array(F.collect_list(F.struct("at", "pos", *columns))).alias("rows"))
 
 
@@ -297,3 +301,195 @@ def blended(rows: DataFrame, by: By, blend: Blend, path: Path, tile: int = TILE)
             yield pa.RecordBatch.from_arrays([pa.array([row["scope"].as_py()] * len(i), pa.string()), a.field("pos").take(pa.array(i)), b.field("pos").take(pa.array(j)), pa.array(sim[i, j])], ["scope", "a_pos", "b_pos", "score"])
 
     return _keys(_dealt(tiles, "ti", "tj").mapInArrow(cells, "scope string, a_pos long, b_pos long, score double"), by, dict(rows.dtypes))
+
+
+@dataclass(frozen=True)
+class Grouping:
+    """Groups of up to ``largest`` (of a, of b) neighbours that match as one; thresholds and costs as in ``Path``, the
+    least product of vectors, and whether groups of different speakers are kept apart."""
+
+    largest: tuple[int, int] = (3, 3)
+    match: float = 0.60
+    output: float = 0.68
+    skip_a: float = 0.08
+    skip_b: float = 0.05
+    least: float = 0.50
+    speakers: bool = False
+
+    def sizes(self, n: int, m: int) -> list[tuple[int, int]]:
+        """All sizes, the largest first: so they come first on equal sums."""
+        return sorted(((p, q) for p in range(1, min(self.largest[0], n) + 1) for q in range(1, min(self.largest[1], m) + 1)), reverse=True)
+
+
+Cues = tuple[np.ndarray, np.ndarray, np.ndarray]  # vectors, starts, ends
+
+
+def group_scores(a: Cues, b: Cues, p: int, q: int, least: float, spans: tuple[float, float, float, float]) -> np.ndarray:
+    """Scores of all groups of ``p`` cues from a with ``q`` from b, by first positions; NaN where they don't match.
+
+    A group's vector is the direction of its cues' sum. Meaning counts .76, progress in ``spans`` (first start and last
+    end of a, then of b) .16, durations .08, less .02 for each cue that one group has more. Times are in seconds. Sums
+    are rounded to nine digits, so that a group has the same score in whatever tile it lies.
+    """
+
+    def grouped(x: Cues, k: int, lo: float, hi: float) -> tuple[np.ndarray, ...]:
+        v, s, e = x
+        total = sum(v[i : len(v) - k + 1 + i] for i in range(k))
+        start, end = s[: len(s) - k + 1], e[k - 1 :]
+        return total / np.maximum(np.linalg.norm(total, axis=-1, keepdims=True), 1e-12), ((start + end) / 2 - lo) / max(hi - lo, 1e-6), np.maximum(end - start, 0.25)
+
+    (u, x, dx), (v, y, dy) = grouped(a, p, *spans[:2]), grouped(b, q, *spans[2:])
+    meaning = np.round(u @ v.T, 9)
+    near = np.clip(1 - np.abs(x[:, None] - y[None, :]) / 0.26, 0, 1)
+    score = 0.76 * meaning + 0.16 * near + 0.08 * np.minimum.outer(dx, dy) / np.maximum.outer(dx, dy) - 0.02 * abs(p - q)
+    return np.where(meaning >= least, np.round(score, 9), np.nan)
+
+
+def fill_groups(scores: dict[tuple[int, int], np.ndarray], shape: tuple[int, int], before: tuple[int, int], border: np.ndarray, how: Grouping) -> tuple[np.ndarray, np.ndarray]:
+    """(sums, moves) of a tile of ``shape`` cells, the ``before`` rows and columns of ``border`` included.
+
+    ``scores``: of groups by the places of their first cues, counted from the first cue that the tile's groups can begin
+    with. Moves are places in the order of sizes, then a skip in a, then in b; an earlier one stays on equal sums.
+    """
+    (p, q), (x, y) = shape, before
+    best = border.copy()
+    move = np.full(best.shape, -1, np.int8)
+    sizes = sorted(scores, reverse=True)
+    for d in range(2, p + q + 1):
+        i = np.arange(max(1, d - q), min(p, d - 1) + 1) + x - 1
+        j = d - (i - x + 1) + y - 1
+        value, code = np.full(len(i), NONE, np.float32), np.full(len(i), -1, np.int8)
+
+        def offer(at: np.ndarray, new: np.ndarray, name: int, value=value, code=code) -> None:
+            better = np.zeros(len(value), bool)
+            better[at] = new > value[at]
+            value[better], code[better] = new[better[at]], name
+
+        for name, (a, b) in enumerate(sizes):
+            at = np.flatnonzero((i >= a) & (j >= b))
+            found = scores[a, b][i[at] - a, j[at] - b] if len(at) else np.empty(0)
+            at, found = at[~np.isnan(found)], found[~np.isnan(found)]
+            if len(at):
+                offer(at, (best[i[at] - a, j[at] - b] + (found - how.match)).astype(np.float32), name)
+        every = np.arange(len(i))
+        offer(every, best[i - 1, j] - np.float32(how.skip_a), len(sizes))
+        offer(every, best[i, j - 1] - np.float32(how.skip_b), len(sizes) + 1)
+        best[i, j], move[i, j] = value, code
+    return best, move
+
+
+def whole_border(n: int, m: int, how: Grouping) -> np.ndarray:
+    """The border of a table that is one tile."""
+    best = np.full((n + 1, m + 1), NONE, np.float32)
+    best[0], best[:, 0] = _edge(how.skip_b, m), _edge(how.skip_a, n)
+    return best
+
+
+def _group_tile(row: dict, tile: int, how: Grouping):
+    """A tile's cues (with those before it that its groups can begin with), scores, sums, moves, and where its table begins."""
+    a, b = row["rows_a"].values, row["rows_b"].values
+    i0, j0 = row["ti"].as_py() * tile, row["tj"].as_py() * tile
+    x, y = i0 - a.field("at")[0].as_py(), j0 - b.field("at")[0].as_py()  # cues of the blocks before
+    spans = tuple(row[c].as_py() for c in ("a0", "a1", "b0", "b1"))
+    side = lambda rows: (_vectors(rows.field("vector")), rows.field("s").to_numpy().astype(float), rows.field("e").to_numpy().astype(float))
+    one, two = side(a), side(b)
+    sizes = how.sizes(len(a), len(b))
+    scores = {(p, q): group_scores(one, two, p, q, how.least, spans) for p, q in sizes}
+    if how.speakers:
+        names, name = [v or [] for v in a.field("names").to_pylist()], b.field("name").to_pylist()
+        for p, q in sizes:
+            scores[p, q][_strangers([sum(names[i : i + p], []) for i in range(len(a) - p + 1)], name[: len(b) - q + 1])] = np.nan
+    border = np.full((len(a) + 1, len(b) + 1), NONE, np.float32)  # row 0 stands before the first cue held
+    if i0 == 0:
+        border[0, :] = _edge(how.skip_b, j0 + len(b) - y)[j0 - y :]
+    elif row["top"].is_valid:
+        border[: x + 1, y + 1 :] = np.array(row["top"].as_py(), np.float32)[-(x + 1) :]
+    if j0 == 0:
+        border[:, 0] = _edge(how.skip_a, i0 + len(a) - x)[i0 - x :]
+    elif row["side"].is_valid:
+        border[x + 1 :, : y + 1] = np.array(row["side"].as_py(), np.float32)[:, -(y + 1) :]
+    if i0 and j0 and row["corner"].is_valid:
+        border[: x + 1, : y + 1] = np.array(row["corner"].as_py(), np.float32)[-(x + 1) :, -(y + 1) :]
+    elif i0 == 0 and j0:
+        border[0, : y + 1] = _edge(how.skip_b, j0)[j0 - y :]
+    elif j0 == 0 and i0:
+        border[: x + 1, 0] = _edge(how.skip_a, i0)[i0 - x :]
+    best, move = fill_groups(scores, (len(a) - x, len(b) - y), (x + 1, y + 1), border, how)
+    return a, b, x, y, scores, best, move
+
+
+def grouped(rows: DataFrame, by: By, how: Grouping, tile: int = TILE) -> DataFrame:
+    """The best increasing alignment of groups of neighbours: by, a_pos, b_pos (arrays), alignment ('2:1') and score.
+
+    rows: side, pos, s, e (seconds), vector, and names and name if speakers count. Tiles are those of ``aligned``, without a
+    band; a tile holds as many cues and sums of the tiles before it as a group can reach back, and leaves as many.
+    """
+    reach = how.largest
+    columns = ["s", "e", "vector", *(["names", "name"] if how.speakers else [])]
+    blocks = stored(_packed(rows, by, columns, tile, {"a": reach[0] - 1, "b": reach[1] - 1}))
+    own = F.filter("rows", lambda x: F.floor(x["at"] / tile) == F.col("block"))
+    ends = blocks.where(F.size(own) > 0).groupBy("scope", "side").agg(F.sum(F.size(own)).alias("n"), F.min_by(own[0]["s"], "block").alias("first"), F.max_by(F.element_at(own, -1)["e"], "block").alias("last"))
+    side = lambda x, n: ends.where(F.col("side") == x).select("scope", F.col("n").alias(n), F.col("first").cast("double").alias(f"{x}0"), F.col("last").cast("double").alias(f"{x}1"))
+    scopes = stored(side("a", "n").join(side("b", "m"), "scope"))
+    last = lambda c: F.floor((F.col(c) - 1) / tile).cast("int")
+    longest = scopes.agg(F.max(last("n") + last("m"))).first()[0]
+    kinds = dict(rows.dtypes)
+    shape = "a_pos array<long>, b_pos array<long>, alignment string, score double"
+    if longest is None:
+        return _keys(scopes.select("scope", F.array().cast("array<long>").alias("a_pos"), F.array().cast("array<long>").alias("b_pos"), F.lit("").alias("alignment"), F.lit(0.0).alias("score")), by, kinds)
+    floats = pa.list_(pa.list_(pa.float32()))
+    borders: dict[int, DataFrame] = {}
+
+    def bordered(tiles: DataFrame, diagonal: int) -> DataFrame:
+        for name, back, di, dj, part in (("top", 1, 1, 0, "bottom"), ("side", 1, 0, 1, "right"), ("corner", 2, 1, 1, "edge")):
+            if diagonal - back in borders:
+                near = borders[diagonal - back].select("scope", (F.col("ti") + di).alias("ti"), (F.col("tj") + dj).alias("tj"), F.col(part).alias(name))
+                tiles = tiles.join(near, ["scope", "ti", "tj"], "left")
+            else:
+                tiles = tiles.withColumn(name, F.lit(None).cast("array<array<float>>"))
+        return tiles
+
+    def forth(batches):
+        for row in _each(batches):
+            _, _, x, y, _, best, _ = _group_tile(row, tile, how)
+            bottom, right = best[-reach[0] :, y + 1 :], best[x + 1 :, -reach[1] :]
+            values = [[row[c].as_py()] for c in ("scope", "ti", "tj")] + [[list(v)] for v in (bottom, right, best[-reach[0] :, -reach[1] :])]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.string(), pa.int32(), pa.int32(), floats, floats, floats), strict=True)], ["scope", "ti", "tj", "bottom", "right", "edge"])
+
+    for diagonal in range(longest):
+        now = scopes.withColumn("ti", F.explode(F.sequence(F.lit(0), last("n")))).withColumn("tj", F.lit(diagonal) - F.col("ti"))
+        now = now.where(F.col("tj").between(F.lit(0), last("m")) & ((F.col("ti") < last("n")) | (F.col("tj") < last("m"))))
+        borders[diagonal] = stored(_dealt(bordered(_sides(now, blocks), diagonal), "ti", "tj").mapInArrow(forth, "scope string, ti int, tj int, bottom array<array<float>>, right array<array<float>>, edge array<array<float>>"))
+
+    def back(batches):
+        for row in _each(batches):
+            a, b, x, y, scores, _, move = _group_tile(row, tile, how)
+            sizes = sorted(scores, reverse=True)
+            i0, j0 = row["ti"].as_py() * tile, row["tj"].as_py() * tile
+            i, j = row["i"].as_py() - i0 + x, row["j"].as_py() - j0 + y
+            found = []
+            while i > x and j > y:
+                code = move[i, j]
+                if code == len(sizes):
+                    i -= 1
+                elif code == len(sizes) + 1:
+                    j -= 1
+                else:
+                    p, q = sizes[code]
+                    i, j = i - p, j - q
+                    if scores[p, q][i, j] >= how.output:
+                        found.append({"a_pos": a.field("pos")[i : i + p].to_pylist(), "b_pos": b.field("pos")[j : j + q].to_pylist(), "alignment": f"{p}:{q}", "score": float(scores[p, q][i, j])})
+            kind = pa.list_(pa.struct([("a_pos", pa.list_(pa.int64())), ("b_pos", pa.list_(pa.int64())), ("alignment", pa.string()), ("score", pa.float64())]))
+            yield pa.RecordBatch.from_arrays([pa.array([row["scope"].as_py()]), pa.array([i - x + i0], pa.int64()), pa.array([j - y + j0], pa.int64()), pa.array([found], kind)], ["scope", "i", "j", "pairs"])
+
+    ways, steps = scopes.select("scope", F.col("n").alias("i"), F.col("m").alias("j")), None
+    for diagonal in range(longest, -1, -1):
+        at = ways.where("i > 0 and j > 0").withColumn("ti", last("i")).withColumn("tj", last("j"))
+        here = bordered(_sides(at.where(F.col("ti") + F.col("tj") == diagonal).join(scopes, "scope"), blocks), diagonal)
+        done = stored(_dealt(here, "ti", "tj").mapInArrow(back, f"scope string, i long, j long, pairs array<struct<{', '.join(f.replace(' ', ': ', 1) for f in shape.split(', '))}>>"))
+        steps = done if steps is None else steps.unionByName(done)
+        if diagonal:
+            ways = stored(at.where(F.col("ti") + F.col("tj") != diagonal).select("scope", "i", "j").unionByName(done.select("scope", "i", "j")))
+        if diagonal in borders:
+            spent(borders.pop(diagonal))
+    return _keys(steps.select("scope", F.inline("pairs")), by, kinds)
