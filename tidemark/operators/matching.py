@@ -107,7 +107,8 @@ def free_a(a: DataFrame, found: DataFrame, by: By) -> DataFrame:
 
 
 def free_b(b: DataFrame, found: DataFrame, by: By) -> DataFrame:
-    return b.join(found.select(*by, F.explode("b_pos").alias("pos")), [*by, "pos"], "left_anti")
+    """Cues of b that no match holds; a match that names no clip holds none."""
+    return b.join(found.where("clip is not null").select(*by, F.explode("b_pos").alias("pos")), [*by, "pos"], "left_anti")
 
 
 def _add(found: DataFrame, more: DataFrame) -> DataFrame:
