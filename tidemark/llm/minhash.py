@@ -151,11 +151,11 @@ def _with_sets(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
     hubs = stored(pairs.groupBy(side).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")).where("parts > 1"))
     if hubs.isEmpty():
         return pairs.join(own, side)
-    few = pairs.join(hubs, side, "left_anti").join(own, side)
-    part = F.pmod(F.xxhash64(other), F.col("parts")).cast("int")
-    copies = own.join(hubs, side).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    many = pairs.join(hubs, side).withColumn("part", part).drop("parts").join(copies, [side, "part"]).drop("part")
-    return few.unionByName(many)
+    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(other), F.col("parts"))).cast("int")
+    dealt = pairs.join(hubs, side, "left").withColumn("part", part).drop("parts")
+    once = own.join(hubs, side, "left_anti").withColumn("part", F.lit(0))
+    copies = own.join(hubs, side, "left").where("parts is not null").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return dealt.join(once.unionByName(copies), [side, "part"]).drop("part")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
