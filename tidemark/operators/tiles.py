@@ -262,7 +262,7 @@ def aligned(rows: DataFrame, by: By, blend: Blend, path: Path, tile: int = TILE)
                     if how == 3 and small[i - 1, j - 1] >= np.float32(path.output):
                         found.append((a.field("pos")[i - 1].as_py(), b.field("pos")[j - 1].as_py(), float(sim[i - 1, j - 1])))
                     i, j = i - (how != 2), j - (how >= 2)
-            pairs = pa.array([[{"a_pos": x, "b_pos": y, "score": z} for x, y, z in found]], pa.list_(pa.struct([("a_pos", pa.int64()), ("b_pos", pa.int64()), ("score", pa.float64())])))
+            pairs = pa.array([[{"a_pos": x, "b_pos": y, "score": z} for x, y, z in reversed(found)]], pa.list_(pa.struct([("a_pos", pa.int64()), ("b_pos", pa.int64()), ("score", pa.float64())])))
             yield pa.RecordBatch.from_arrays([pa.array([row["scope"].as_py()]), pa.array([i + i0], pa.int64()), pa.array([j + j0], pa.int64()), pairs], ["scope", "i", "j", "pairs"])
 
     ways = scopes.select("scope", F.col("n").alias("i"), F.col("m").alias("j"))
@@ -480,7 +480,7 @@ def grouped(rows: DataFrame, by: By, how: Grouping, tile: int = TILE) -> DataFra
                     if scores[p, q][i, j] >= how.output:
                         found.append({"a_pos": a.field("pos")[i : i + p].to_pylist(), "b_pos": b.field("pos")[j : j + q].to_pylist(), "alignment": f"{p}:{q}", "score": float(scores[p, q][i, j])})
             kind = pa.list_(pa.struct([("a_pos", pa.list_(pa.int64())), ("b_pos", pa.list_(pa.int64())), ("alignment", pa.string()), ("score", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([pa.array([row["scope"].as_py()]), pa.array([i - x + i0], pa.int64()), pa.array([j - y + j0], pa.int64()), pa.array([found], kind)], ["scope", "i", "j", "pairs"])
+            yield pa.RecordBatch.from_arrays([pa.array([row["scope"].as_py()]), pa.array([i - x + i0], pa.int64()), pa.array([j - y + j0], pa.int64()), pa.array([found[::-1]], kind)], ["scope", "i", "j", "pairs"])
 
     ways, steps = scopes.select("scope", F.col("n").alias("i"), F.col("m").alias("j")), None
     for diagonal in range(longest, -1, -1):

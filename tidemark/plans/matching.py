@@ -62,9 +62,9 @@ _BLEND = f"""with {_SIDES},
     a as (select *, sqrt(c0 * c0 + c1 * c1 + c2 * c2 + c3 * c3) as cl, cents % 3 = 0 as named, 7 + length(text) + length(cents::varchar) + case when cents % 3 = 0 then 3 else 0 end as chars from a0),
     b as (select *, sqrt(c0 * c0 + c1 * c1 + c2 * c2 + c3 * c3) as cl, case cents % 4 when 0 then '安' when 1 then '波' end as name, length(cents::varchar) + case when cents % 4 < 2 then 1 else 0 end as chars from b0_)
     select a.grp as part, a.pos as a_pos, b.pos as b_pos,
-        round(1e6 * (0.76 * (a.v0 * b.v0 + a.v1 * b.v1 + a.v2 * b.v2 + a.v3 * b.v3) + 0.24 * (a.c0 * b.c0 + a.c1 * b.c1 + a.c2 * b.c2 + a.c3 * b.c3) / (a.cl * b.cl)
+        round(1e9 * (0.76 * (a.v0 * b.v0 + a.v1 * b.v1 + a.v2 * b.v2 + a.v3 * b.v3) + 0.24 * (a.c0 * b.c0 + a.c1 * b.c1 + a.c2 * b.c2 + a.c3 * b.c3) / (a.cl * b.cl)
         + 0.28 * greatest(0, least(1, 1 - abs(a.p - b.p) / 0.16)) - case when a.named and b.name = '波' then 0.06 else 0 end - case when a.named and b.name is null then 0.04 else 0 end
-        - case when b.chars <= 1 and a.chars >= 6 then 0.08 when b.chars <= 2 and a.chars >= 10 then 0.05 else 0 end))::bigint as score_millionths
+        - case when b.chars <= 1 and a.chars >= 6 then 0.08 when b.chars <= 2 and a.chars >= 10 then 0.05 else 0 end))::bigint as score_billionths
     from a join b on a.grp = b.grp and abs(b.pos + 1 - floor(a.pos * (b.n / a.n))) <= floor(greatest(least(6, b.n), 0.05 * b.n))"""
 
 
@@ -72,7 +72,7 @@ _BLEND = f"""with {_SIDES},
 def blended_similarity(t):
     a, b = cues(t)
     rows = matching.features(a, b, ["part"], BLEND, (2, 1), NAMES)
-    return tiles.blended(rows, ["part"], BLEND, PATH).select("part", "a_pos", "b_pos", F.round(F.col("score") * 1e6).cast("long").alias("score_millionths"))
+    return tiles.blended(rows, ["part"], BLEND, PATH).select("part", "a_pos", "b_pos", F.round(F.col("score") * 1e9).cast("long").alias("score_billionths"))
 
 
 @query()
