@@ -8,13 +8,13 @@ from tidemark.operators import cleaning, likeness
 
 def words(seed, n):
     rnd = random.Random(seed)
-    base = ["笃：等会儿吧。", "笃： 母亲催我呢", "the quick brown fox", "hello there general", "a", "aa", "aaab", "中文字幕在这里出现了"]
+    base = ["小梅：再等一会儿。", "小梅： 父亲在叫我呢", "the quick brown fox", "hello there general", "a", "aa", "aaab", "中文字幕在这里出现了"]
     out = [None, "", *base]
     for _ in range(n):
         t = list(rnd.choice(base))
         for _ in range(rnd.randint(0, 4)):
             k = rnd.randrange(len(t) + 1)
-            t[k : k + rnd.randint(0, 1)] = rnd.choice(["x", "。", "a", "笃", ""])
+            t[k : k + rnd.randint(0, 1)] = rnd.choice(["x", "。", "a", "梅", ""])
         out.append("".join(t))
     return out
 

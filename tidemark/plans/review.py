@@ -15,8 +15,14 @@ from tidemark.operators import align, cleaning, gates, intervals, maintain, reco
 from tidemark.plans.catalog import CUES, CUTS, REL, SEC, cuts, query
 from tidemark.sources import exports, logs
 
-ZH = ("村民：快进屋里去。", "查看：按住", "笃：（呼吸起伏）", "（笑）", "青木城 阿姐：等会儿吧。", "哈哈哈哈哈哈", "好", "abc de f", "", "斋藤匪徒：让它瞎蹦！这边？", "翻滚", "笃：母亲催我呢。 阿姐：走吧。")
-EN = ("Atsu: Time to get their attention.", "OPEN SPYGLASS", "YOTEI RIVER Atsu: Wait here", "(grunts)", "Task done Atsu: Go on now?", "Villager: (laughs) Run", "[speech] We should leave", "No", "", "A B: What is it?")
+ZH = (
+    "老板：快把门关上。", "查看：按住", "小梅：（呼吸起伏）", "（笑）", "望海城 小梅：再等一会儿吧。", "嘿嘿嘿嘿嘿嘿", "行", "abc de f", "", "山贼甲：别让它跑了！那边？", "翻滚", "小梅：父亲在叫我。 老板：去吧。",
+    "三日之后我们在渡口见", "按住 查看", "船夫：今天风大…", "ab中文cd", "？？", "攻击", "雨一直下雨一直下雨一直下", "黑松寨 守卫：站住！",
+)
+EN = (
+    "Mira: Keep the lamp burning.", "OPEN LANTERN", "HARBOR GATE Mira: Stay close", "(grunts)", "Task done Mira: Shall we go?", "Baker: (laughs) Eat", "[speech] The river has risen", "No", "", "A B: Who is it?",
+    "Three days from now, at the ferry", "Mira:", "Collect wood Mira: Over there", "WAIT", "they never came back...", "Old man: (sobs) Leave me", "why would I?",
+)
 
 
 def _list(items: tuple[str, ...]) -> str:

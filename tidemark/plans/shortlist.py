@@ -10,7 +10,7 @@ from tidemark.plans.review import CASES, cases
 
 MODES = ("manual-replacement", "manual-override", "anchor-fallback", "auto", "manual-accepted-compression", "manual-text-cleanup", "auto")
 #: The speakers of the English case texts.
-SPEAKERS = {"atsu": "笃", "villager": "村民"}
+SPEAKERS = {"mira": "小梅", "baker": "老板"}
 
 
 @query(
@@ -42,7 +42,7 @@ def review_rounds(t):
     return rows.withColumn("round", shortlist.review_round(F.col("action")))
 
 
-_JUDGED = f"""with {CASES}, c as (select id, zh, id % 5 as clip, id // 15 as block, id % 8 as ne, id % 6 as nz, (id % 31) / 50.0::double as sc, case en when 'Atsu: Time to get their attention.' then ['笃'] when 'Villager: (laughs) Run' then ['村民'] else []::varchar[] end as es,
+_JUDGED = f"""with {CASES}, c as (select id, zh, id % 5 as clip, id // 15 as block, id % 8 as ne, id % 6 as nz, (id % 31) / 50.0::double as sc, case when en in ('Mira: Keep the lamp burning.', 'Mira:') then ['小梅'] when en = 'Baker: (laughs) Eat' then ['老板'] else []::varchar[] end as es,
     list_distinct(regexp_extract_all(zh, '([^：:\\s]{{1,12}})[：:]', 1)) as zs from cases),
     r as (select *, row_number() over (partition by clip, block order by sc desc, id) as r, sc - lead(sc) over (partition by clip, block order by sc desc, id) as gap from c),
     j as (select *, case when ne <= 3 and nz <= 3 and sc >= 0.58 then 'high' when ne <= 6 and nz <= 4 and sc >= 0.54 then 'medium' end as priority, len(list_intersect(es, zs)) as shared from r where r = 1),
