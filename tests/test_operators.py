@@ -264,3 +264,25 @@ def test_query_equals_sql(spark, name):
     a = sorted((tidy(r[c] for c in columns) for r in got.collect()), key=repr)
     b = sorted(map(tidy, want.select(*(f'"{c}"' for c in columns)).fetchall()), key=repr)
     assert a == b
+
+
+def test_empty_cues_stay_intervals_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    starts = {0: 100, 60: 0, 120: 40, 130: 0, 600: 200, 900: 0}  # seconds: hundredths of the value, so seconds of length
+    events = [(100 * u + i, pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=s), u, "purchase", v / 100, "") for u in range(3) for i, (s, v) in enumerate(starts.items()) if u or v]
+    path = str(tmp_path / "events.parquet")
+    spark.createDataFrame(pd.DataFrame(events, columns=["event_id", "ts", "user_id", "event_type", "value", "props"])).coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"create view events as select * replace (ts::timestamp as ts) from '{path}/*.parquet'")
+    for name in ("interval_merge_touch", "interval_merge_gap", "interval_complement", "coverage_report", "cut_timeline", "point_to_cut", "cut_to_point", "keep_expression", "range_to_cut"):
+        got = catalog.QUERIES[name](spark, str(tmp_path))
+        want = con.execute(f"select {', '.join(got.columns)} from ({catalog.SQL[name]})").fetchall()
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want), name
+
+
+def test_a_point_where_an_empty_interval_begins_too(spark):
+    kept = spark.createDataFrame([("g", 0, 100), ("g", 200, 200), ("g", 400, 440)], "g string, s long, e long")
+    points = spark.createDataFrame([("g", 120)], "g string, t long")
+    at = lambda **how: intervals.cut_to_point(points, intervals.annotate_cut(kept, ["g"]), ["g"], "t", **how).first()["original_at"]
+    assert (at(), at(empty_holds=True)) == (420, 200)

@@ -116,15 +116,18 @@ def assign_by_midpoint(cues: DataFrame, ranges: DataFrame, by: By, tail: int = 1
     return rows.withColumn("range_id", F.coalesce(found, "_final") if fallback_last else found).drop("_t", "_k", "_r", "_in", "_final")
 
 
-def cut_to_point(points: DataFrame, cuts: DataFrame, by: By, at: str) -> DataFrame:
-    """Points of the cut timeline on the original one: in the kept interval that holds them, or clamped to the nearest end."""
+def cut_to_point(points: DataFrame, cuts: DataFrame, by: By, at: str, empty_holds: bool = False) -> DataFrame:
+    """Points of the cut timeline on the original one: in the kept interval that holds them, or clamped to the nearest end.
+
+    An empty interval begins on the cut timeline where the next one does: of the two the later holds the point, or with
+    ``empty_holds`` the earlier."""
     marks = cuts.select(*by, F.col("cut_start").alias("_t"), F.lit(0).alias("_k"), F.struct("s", "e", "cut_start").alias("_c"))
     rows = points.withColumn("_t", F.col(at)).withColumn("_k", F.lit(1))
-    w = Window.partitionBy(*by).orderBy("_t", "_k")
+    w = Window.partitionBy(*by).orderBy("_t", "_k", F.col("_c.s").desc() if empty_holds else F.col("_c.s"))
     rows = rows.unionByName(marks, allowMissingColumns=True).withColumn("_in", F.last("_c", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("_first", F.first("_c", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))).where("_k = 1")
+    rows = rows.withColumn("_first", F.min("_c.s").over(w.rowsBetween(0, Window.unboundedFollowing))).where("_k = 1")
     inside = F.least(F.col("_in.s") + F.col(at) - F.col("_in.cut_start"), F.col("_in.e"))
-    return rows.withColumn("original_at", F.coalesce(inside, F.col("_first.s"))).drop("_t", "_k", "_c", "_in", "_first")
+    return rows.withColumn("original_at", F.coalesce(inside, F.col("_first"))).drop("_t", "_k", "_c", "_in", "_first")
 
 
 def highlight_scores(cuts: DataFrame, volumes: DataFrame, marks: DataFrame, totals: DataFrame, by: By, width: int) -> DataFrame:
