@@ -296,3 +296,13 @@ def test_exclusive_pairs_equal_one_after_the_other(spark):
             want.append((k, i, j, s))
     assert sorted((r.k, r.a_pos, r.b_pos, r.score) for r in got) == sorted(want)
     assert align.exclusive(spark.createDataFrame([], "k string, a_pos long, b_pos long, score double"), ["k"]).count() == 0
+
+
+def test_tables_that_grow_are_never_broadcast(spark):
+    a, b = (spark.createDataFrame([("p", 0, "x", [0])], "part string, pos long, clip string, b_pos array<long>") for _ in range(2))
+    found = spark.createDataFrame([("p", 0, "x", [0])], "part string, a_pos long, clip string, b_pos array<long>")
+    blocks = spark.createDataFrame([("{}", "a", 0, [1]), ("{}", "b", 0, [2])], "scope string, side string, block int, rows array<int>")
+    made = [matching.free_a(a, found, ["part"]), matching.free_b(b, found, ["part"]), tiles._sides(blocks.selectExpr("scope", "block as ti", "block as tj"), blocks)]
+    for df in made:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan

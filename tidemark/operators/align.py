@@ -16,7 +16,7 @@ from pyspark.sql.types import DoubleType, LongType, StructType
 from tidemark.functions.cues import clamp
 from tidemark.operators import tiles
 from tidemark.operators.folds import ordered_fold
-from tidemark.storage import spent, stored
+from tidemark.storage import large, spent, stored
 
 By = list[str]
 
@@ -263,8 +263,8 @@ def exclusive(pairs: DataFrame, by: By) -> DataFrame:
     waiting, taken = stored(pairs.select(*by, "a_pos", "b_pos", "score").distinct()), None
     while not waiting.isEmpty():
         of = lambda side: waiting.groupBy(*by, side).agg(best).select(*by, (-F.col("_best.x")).alias("a_pos"), (-F.col("_best.y")).alias("b_pos"), F.col("_best.score").alias("score"))  # noqa: B023, E731
-        both = stored(of("a_pos").join(of("b_pos"), [*by, "a_pos", "b_pos", "score"], "left_semi"))
-        rest = waiting.join(both.select(*by, "a_pos"), [*by, "a_pos"], "left_anti").join(both.select(*by, "b_pos"), [*by, "b_pos"], "left_anti")
+        both = stored(of("a_pos").join(large(of("b_pos")), [*by, "a_pos", "b_pos", "score"], "left_semi"))
+        rest = waiting.join(large(both.select(*by, "a_pos")), [*by, "a_pos"], "left_anti").join(large(both.select(*by, "b_pos")), [*by, "b_pos"], "left_anti")
         rest = stored(rest.select(waiting.columns))
         spent(waiting)
         waiting, taken = rest, both if taken is None else taken.unionByName(both)

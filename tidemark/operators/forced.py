@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import normalize_text
 from tidemark.operators import matching, tiles
 from tidemark.operators.matching import By, Groups, Scope, free_a, free_b
-from tidemark.storage import spent, stored
+from tidemark.storage import large, spent, stored
 
 SHORT = ((1, 6, 0.08), (2, 10, 0.05))
 MARGIN = 12
@@ -67,10 +67,10 @@ def placed(a: DataFrame, b: DataFrame, found: DataFrame, by: By, keys: By) -> Da
     """a with ``matched`` and ``ends``: first and last place of its partners in its clip, null without partners."""
     partners = found.select(*by, F.col("a_pos").alias("pos"), F.explode_outer("b_pos").alias("_b"))
     spots = b.select(*by, F.col("pos").alias("_b"), F.col("clip").alias("_clip"), F.col("at").alias("_at"))
-    partners = partners.join(spots, [*by, "_b"], "left").join(a.select(*keys, "pos"), [*by, "pos"])
+    partners = partners.join(large(spots), [*by, "_b"], "left").join(large(a.select(*keys, "pos")), [*by, "pos"])
     inside = F.when(F.col("_clip") == F.col("clip"), F.col("_at"))
     ends = partners.groupBy(*keys, "pos").agg(F.lit(True).alias("matched"), F.when(F.count("_b") > 0, F.struct(F.min(inside).alias("lo"), F.max(inside).alias("hi"))).alias("ends"))
-    return a.join(ends, [*keys, "pos"], "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
+    return a.join(large(ends), [*keys, "pos"], "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
 
 
 def open_runs(rows: DataFrame, sizes: DataFrame, keys: By, pad: int) -> DataFrame:
@@ -84,7 +84,7 @@ def open_runs(rows: DataFrame, sizes: DataFrame, keys: By, pad: int) -> DataFram
     runs = rows.where(~F.col("matched")).groupBy(*keys, "_run").agg(
         F.min("at").alias("first"), F.max("at").alias("last"), F.first("total").alias("n"), F.min_by("_before", "at").alias("before"), F.min_by("_after", "at").alias("after"), F.min_by("_near", "at").alias("sure")
     )
-    runs = runs.drop("_run").join(sizes, keys)
+    runs = runs.drop("_run").join(large(sizes), keys)
     share = lambda x: F.bround(x / F.col("n") * F.col("m")).cast("int")
     lo = F.coalesce(F.col("before.hi") + 1, F.greatest(F.lit(0), share(F.col("first")) - pad))
     hi = F.coalesce(F.col("after.lo") - 1, F.least(F.col("m") - 1, share(F.col("last") + 1) + pad))
@@ -105,11 +105,11 @@ def in_waves(found: DataFrame, a: DataFrame, b: DataFrame, by: By, keys: By, pad
     waiting = stored(runs().select(*keys, "first", "last"))
     w = Window.partitionBy(*keys).orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
     while not waiting.isEmpty():
-        now = runs().join(waiting, [*keys, "first", "last"], "left_semi").withColumn("_far", F.max(F.greatest("hi", "lo")).over(w))
+        now = runs().join(large(waiting), [*keys, "first", "last"], "left_semi").withColumn("_far", F.max(F.greatest("hi", "lo")).over(w))
         ready = stored(now.where(F.col("_far").isNull() | (F.col("sure") & (F.col("lo") > F.col("_far")) & (F.col("hi") >= F.col("lo")))).drop("_far"))
         found = step(found, ready)
         # a run that fell out of ``wanted`` meanwhile is over too, so only those that are still there wait on
-        rest = stored(now.join(ready, [*keys, "first"], "left_anti").select(*keys, "first", "last"))
+        rest = stored(now.join(large(ready), [*keys, "first"], "left_anti").select(*keys, "first", "last"))
         spent(waiting, ready)
         waiting = rest
     spent(waiting)
@@ -118,8 +118,8 @@ def in_waves(found: DataFrame, a: DataFrame, b: DataFrame, by: By, keys: By, pad
 
 def members(runs: DataFrame, a: DataFrame, b: DataFrame, found: DataFrame, by: By, keys: By) -> tuple[DataFrame, DataFrame]:
     """The open cues of a and the free cues of b of each run, with ``run`` and their rank in it from 0."""
-    mine = runs.select(*keys, F.col("first").alias("run"), F.explode(F.sequence("first", "last")).alias("at")).join(a, [*keys, "at"])
-    theirs = runs.where("lo <= hi").select(*keys, F.col("first").alias("run"), F.explode(F.sequence("lo", "hi")).alias("at")).join(b, [*keys, "at"])
+    mine = runs.select(*keys, F.col("first").alias("run"), F.explode(F.sequence("first", "last")).alias("at")).join(large(a), [*keys, "at"])
+    theirs = runs.where("lo <= hi").select(*keys, F.col("first").alias("run"), F.explode(F.sequence("lo", "hi")).alias("at")).join(large(b), [*keys, "at"])
     ranked = lambda rows: rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "run").orderBy("at")) - 1)
     return ranked(free_a(mine, found, by)), ranked(free_b(theirs, found, by))
 
@@ -127,15 +127,15 @@ def members(runs: DataFrame, a: DataFrame, b: DataFrame, found: DataFrame, by: B
 def in_chunks(mine: DataFrame, theirs: DataFrame, keys: By, size: int) -> tuple[DataFrame, DataFrame]:
     """Both sides of runs with ``chunk``: pieces of ``size`` cues of a, each with the proportional stretch of b and MARGIN
     cues more at both ends; a run of at most ``size``, or with one cue of b, is one piece."""
-    counts = mine.groupBy(*keys, "run").agg(F.count(F.lit(1)).alias("_n")).join(theirs.groupBy(*keys, "run").agg(F.count(F.lit(1)).alias("_m")), [*keys, "run"])
+    counts = mine.groupBy(*keys, "run").agg(F.count(F.lit(1)).alias("_n")).join(large(theirs.groupBy(*keys, "run").agg(F.count(F.lit(1)).alias("_m"))), [*keys, "run"])
     whole = (F.col("_n") <= size) | (F.col("_m") <= 1)
-    mine = mine.join(counts, [*keys, "run"]).withColumn("chunk", F.when(whole, 0).otherwise(F.floor(F.col("rank") / size)).cast("int"))
+    mine = mine.join(large(counts), [*keys, "run"]).withColumn("chunk", F.when(whole, 0).otherwise(F.floor(F.col("rank") / size)).cast("int"))
     pieces = counts.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.when(whole, 0).otherwise(F.floor((F.col("_n") - 1) / size)).cast("int"))))
     share = lambda x: F.bround(x / F.col("_n") * F.col("_m")).cast("int")
     lo = F.when(whole, 0).otherwise(F.greatest(F.lit(0), share(F.col("chunk") * size) - MARGIN))
     hi = F.when(whole, F.col("_m")).otherwise(F.least(F.col("_m"), share(F.least(F.col("_n"), (F.col("chunk") + 1) * size)) + MARGIN))
     pieces = pieces.withColumn("_lo", lo).withColumn("_hi", hi).where("_lo < _hi")
-    theirs = pieces.select(*keys, "run", "chunk", F.explode(F.sequence(F.col("_lo"), F.col("_hi") - 1)).alias("rank")).join(theirs, [*keys, "run", "rank"])
+    theirs = pieces.select(*keys, "run", "chunk", F.explode(F.sequence(F.col("_lo"), F.col("_hi") - 1)).alias("rank")).join(large(theirs), [*keys, "run", "rank"])
     return mine.drop("_n", "_m"), theirs.select(*keys, "run", "chunk", *(c for c in theirs.columns if c not in (*keys, "run", "chunk")))
 
 
@@ -159,12 +159,12 @@ def by_chunks(found: DataFrame, mine: DataFrame, theirs: DataFrame, by: By, keys
 
 def window_pass(found: DataFrame, a: DataFrame, b: DataFrame, by: By, keys: By, scope: Scope, size: int, names: dict[str, str]) -> DataFrame:
     """What lies between the matches of a clip, matched anew; windows share no cue."""
-    own = placed(a, b, found, by, keys).join(found.select(*by, F.col("a_pos").alias("pos"), F.col("clip").alias("_own")), [*by, "pos"], "left")
+    own = placed(a, b, found, by, keys).join(large(found.select(*by, F.col("a_pos").alias("pos"), F.col("clip").alias("_own"))), [*by, "pos"], "left")
     anchors = own.where((F.col("_own") == F.col("clip")) & F.col("ends.lo").isNotNull()).select(*keys, F.col("at").alias("a_first"), F.col("at").alias("a_last"), F.col("ends.lo").alias("b_first"), F.col("ends.hi").alias("b_last"))
     every = a.select(*keys, F.lit("a").alias("side"), F.col("at").alias("pos")).unionByName(b.select(*keys, F.lit("b").alias("side"), F.col("at").alias("pos")))
     windows = stored(matching.between(anchors, every, keys))
     ranked = lambda rows: rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "run").orderBy("at")) - 1)
-    inside = lambda rows, side: rows.join(windows.where(F.col("side") == side).select(*keys, F.col("pos").alias("at"), F.col("window").alias("run")), [*keys, "at"])
+    inside = lambda rows, side: rows.join(large(windows.where(F.col("side") == side).select(*keys, F.col("pos").alias("at"), F.col("window").alias("run"))), [*keys, "at"])
     found = by_chunks(found, ranked(free_a(inside(a, "a"), found, by)), ranked(free_b(inside(b, "b"), found, by)), by, keys, scope, size, names)
     spent(windows)
     return found
@@ -178,7 +178,7 @@ def _forced(pairs: DataFrame, by: By, score: float, origin: str, note: str, clip
 def micro_step(found: DataFrame, runs: DataFrame, a: DataFrame, b: DataFrame, by: By, keys: By, score: float) -> DataFrame:
     """The open cues of small runs with the free cues of their stretch, in order."""
     mine, theirs = members(runs, a, b, found, by, keys)
-    pairs = mine.select(*keys, "run", "rank", F.col("pos").alias("a_pos")).join(theirs.select(*keys, "run", "rank", F.col("pos").alias("b_pos"), "confidence"), [*keys, "run", "rank"])
+    pairs = mine.select(*keys, "run", "rank", F.col("pos").alias("a_pos")).join(large(theirs.select(*keys, "run", "rank", F.col("pos").alias("b_pos"), "confidence")), [*keys, "run", "rank"])
     return matching._add(found, _forced(pairs, by, score, "forced-micro-gap-v1", "forced-micro-gap-sequential-fill", F.col("clip")))
 
 
@@ -187,12 +187,12 @@ def tail_fill(found: DataFrame, a: DataFrame, b: DataFrame, by: By, keys: By, li
     least, ratio, score = limits
     ranked = lambda rows: rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("pos")) - 1)
     mine, theirs = ranked(free_a(a, found, by)), ranked(free_b(b, found, by))
-    counts = mine.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).join(theirs.groupBy(*keys).agg(F.count(F.lit(1)).alias("m")), keys)
+    counts = mine.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).join(large(theirs.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"))), keys)
     counts = counts.where((F.col("n") >= least) & (F.col("m") / F.col("n") >= ratio)).withColumn("k", F.least("n", "m"))
     spots = counts.withColumn("i", F.explode(F.sequence(F.lit(0), (F.col("k") - 1).cast("int"))))
     spaced = lambda total: F.when(F.col(total) == F.col("k"), F.col("i")).when(F.col("k") == 1, 0).otherwise(F.bround(F.col("i") * (F.col(total) - 1) / (F.col("k") - 1))).cast("int")
-    pairs = spots.select(*keys, spaced("n").alias("rank"), spaced("m").alias("to")).join(mine.select(*keys, "rank", F.col("pos").alias("a_pos")), [*keys, "rank"])
-    pairs = pairs.drop("rank").withColumnRenamed("to", "rank").join(theirs.select(*keys, "rank", F.col("pos").alias("b_pos"), "confidence", F.col("clip").alias("_clip")), [*keys, "rank"])
+    pairs = spots.select(*keys, spaced("n").alias("rank"), spaced("m").alias("to")).join(large(mine.select(*keys, "rank", F.col("pos").alias("a_pos"))), [*keys, "rank"])
+    pairs = pairs.drop("rank").withColumnRenamed("to", "rank").join(large(theirs.select(*keys, "rank", F.col("pos").alias("b_pos"), "confidence", F.col("clip").alias("_clip"))), [*keys, "rank"])
     return matching._add(found, _forced(pairs, by, score, origin, note, F.col("_clip")))
 
 
@@ -232,5 +232,5 @@ def forced(a: DataFrame, b: DataFrame, clips: DataFrame, found: DataFrame, by: B
     found = tail_fill(found, a, b, by, keys, passes.tail, "forced-tail-fill-v1", "forced-tail-fill-progressive")
     if passes.part:
         spans = a.groupBy(*by).agg(F.lit(0.0).alias("from"), F.max("e").alias("to"))
-        found = matching.match_scopes(found, spoken(a.join(spans, by)), spoken(b), by, by, passes.part, None, passes.names, "estimated", ("from", "to"), f"forced-english-first-{passes.part.origin}")
+        found = matching.match_scopes(found, spoken(a.join(large(spans), by)), spoken(b), by, by, passes.part, None, passes.names, "estimated", ("from", "to"), f"forced-english-first-{passes.part.origin}")
     return tail_fill(found, a, b, by, by, passes.part_tail, "forced-part-tail-fill-v1", "forced-part-tail-fill-progressive")

@@ -20,7 +20,7 @@ from tidemark.functions import cues as C
 from tidemark.functions.text import normalize_text
 from tidemark.operators import align, gates, tiles
 from tidemark.operators.sequences import joined_fragments
-from tidemark.storage import spent, stored
+from tidemark.storage import large, spent, stored
 
 By = list[str]
 MATCH = "a_pos long, status string, origin string, score double, confidence double, clip string, b_pos array<bigint>, `group` array<bigint>, note string"
@@ -103,12 +103,12 @@ def estimated(score: Column) -> Column:
 
 
 def free_a(a: DataFrame, found: DataFrame, by: By) -> DataFrame:
-    return a.join(found.select(*by, F.col("a_pos").alias("pos")), [*by, "pos"], "left_anti")
+    return a.join(large(found.select(*by, F.col("a_pos").alias("pos"))), [*by, "pos"], "left_anti")
 
 
 def free_b(b: DataFrame, found: DataFrame, by: By) -> DataFrame:
     """Cues of b that no match holds; a match that names no clip holds none."""
-    return b.join(found.where("clip is not null").select(*by, F.explode("b_pos").alias("pos")), [*by, "pos"], "left_anti")
+    return b.join(large(found.where("clip is not null").select(*by, F.explode("b_pos").alias("pos"))), [*by, "pos"], "left_anti")
 
 
 def _add(found: DataFrame, more: DataFrame) -> DataFrame:
@@ -122,8 +122,8 @@ def _clip(keys: By) -> list[str]:
 def _pairs(a: DataFrame, b: DataFrame, keys: By, scope: Scope, names: dict[str, str], status: str, span: Span) -> DataFrame:
     """Single matches of each scope, graded by ``status``: 'graded', 'estimated', or what is given."""
     pairs = tiles.aligned(features(a, b, keys, scope.blend, scope.around, names, span), keys, scope.blend, scope.path).withColumn("score", F.round("score", 4))
-    rows = pairs.join(a.select(*keys, F.col("pos").alias("a_pos"), F.col("text").alias("_a")), [*keys, "a_pos"])
-    rows = rows.join(b.select(*keys, F.col("pos").alias("b_pos"), F.col("text").alias("_b"), "confidence", *_clip(keys)), [*keys, "b_pos"])
+    rows = pairs.join(large(a.select(*keys, F.col("pos").alias("a_pos"), F.col("text").alias("_a"))), [*keys, "a_pos"])
+    rows = rows.join(large(b.select(*keys, F.col("pos").alias("b_pos"), F.col("text").alias("_b"), "confidence", *_clip(keys))), [*keys, "b_pos"])
     if scope.gated:
         rows = rows.where(C.speakers_compatible(F.col("_a"), F.col("_b"), names))
     how = {"graded": graded(F.col("score"), F.col("confidence")), "estimated": estimated(F.col("score"))}.get(status, F.lit(status))
@@ -140,9 +140,9 @@ def _grouped(a: DataFrame, b: DataFrame, keys: By, how: Groups, names: dict[str,
     found = found.withColumn("score", F.round("score", 4)).withColumnsRenamed({"a_pos": "group", "b_pos": "bs"})
     one = estimated(F.col("score")) if how.graded else F.lit("matched-medium")
     found = found.withColumn("status", F.when(F.size("group") > 1, "merged-n1").when(F.size("bs") > 1, "merged-1n").otherwise(one))
-    members = found.select(*keys, "group", F.explode("bs").alias("pos")).join(b.select(*keys, "pos", "confidence", *_clip(keys)), [*keys, "pos"])
+    members = found.select(*keys, "group", F.explode("bs").alias("pos")).join(large(b.select(*keys, "pos", "confidence", *_clip(keys))), [*keys, "pos"])
     members = members.groupBy(*keys, "group").agg(F.round(F.avg("confidence"), 4).alias("confidence"), *(F.min_by(c, "pos").alias(c) for c in _clip(keys)))
-    found = found.join(members, [*keys, "group"]).withColumnRenamed("bs", "b_pos").withColumn("a_pos", F.explode("group"))
+    found = found.join(large(members), [*keys, "group"]).withColumnRenamed("bs", "b_pos").withColumn("a_pos", F.explode("group"))
     return found.withColumn("origin", F.lit(how.origin)).withColumn("note", F.concat(F.lit(how.note), "alignment", F.lit("" if how.graded else f"-{how.origin}")))
 
 
@@ -165,7 +165,7 @@ def reserved(reviewed: DataFrame, a: DataFrame, by: By) -> DataFrame:
     """
     rows = reviewed.select("*", F.explode("group").alias("a_pos"))
     last = Window.partitionBy(*by, "a_pos").orderBy(F.col("ord").desc())
-    rows = rows.withColumn("_r", F.row_number().over(last)).where("_r = 1").join(a.select(*by, F.col("pos").alias("a_pos")), [*by, "a_pos"], "left_semi")
+    rows = rows.withColumn("_r", F.row_number().over(last)).where("_r = 1").join(large(a.select(*by, F.col("pos").alias("a_pos"))), [*by, "a_pos"], "left_semi")
     return rows.select(*by, "a_pos", "status", F.lit("reviewed-master").alias("origin"), "score", F.lit(1.0).alias("confidence"), F.nullif("clip", F.lit("")).alias("clip"), "b_pos", "group", F.lit("locked-from-reviewed").alias("note"))
 
 
@@ -177,7 +177,7 @@ def in_clips(a: DataFrame, clips: DataFrame, by: By) -> DataFrame:
     mid = (F.col("s") + F.col("e")) / 2
     some = marks.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("ord", "start", "end", "_last", "clip"))).alias("_clips"), F.max_by("clip", "ord").alias("_final"))  # a part's clips: one row
     hit = F.filter("_clips", lambda c: (mid >= c["start"]) & ((mid < c["end"]) | (c["_last"] & (mid <= c["end"] + 0.001))))
-    return a.join(some, by).withColumn("clip", F.coalesce(F.get(hit, F.lit(0))["clip"], F.col("_final"))).drop("_clips", "_final")
+    return a.join(large(some), by).withColumn("clip", F.coalesce(F.get(hit, F.lit(0))["clip"], F.col("_final"))).drop("_clips", "_final")
 
 
 def between(anchors: DataFrame, rows: DataFrame, by: By) -> DataFrame:
@@ -234,18 +234,18 @@ def rebuilt(a: DataFrame, b: DataFrame, clips: DataFrame, reviewed: DataFrame, b
     """
     found = stored(reserved(reviewed, a, by))
     locked = reviewed.where(F.coalesce("clip", F.lit("")) != "").select(*by, F.explode("b_pos").alias("pos"))
-    own, others = meaningful(a, b.join(locked, [*by, "pos"], "left_anti"))
+    own, others = meaningful(a, b.join(large(locked), [*by, "pos"], "left_anti"))
     if stages.clip:
         found = match_scopes(found, in_clips(own, clips, by), others, by, [*by, "clip"], *stages.clip, stages.names)
     if stages.window:
         every = a.select(*by, F.lit("a").alias("side"), "pos").unionByName(b.select(*by, F.lit("b").alias("side"), "pos"))
         spans = reviewed.where("size(group) > 0 and size(b_pos) > 0").select(*by, *(f(c).alias(n) for c, x in (("group", "a"), ("b_pos", "b")) for f, n in ((F.array_min, f"{x}_first"), (F.array_max, f"{x}_last"))))
         windows = stored(between(spans if stages.anchored else spans.limit(0), every, by))
-        scoped = lambda rows, side: rows.join(windows.where(F.col("side") == side).select(*by, "pos", "window"), [*by, "pos"])
+        scoped = lambda rows, side: rows.join(large(windows.where(F.col("side") == side).select(*by, "pos", "window")), [*by, "pos"])
         found = match_scopes(found, scoped(own, "a"), scoped(others, "b"), by, [*by, "window"], *stages.window, stages.names)
     if stages.fallback:
         spans = a.groupBy(*by).agg(F.lit(0.0).alias("from"), F.max("e").alias("to"))
-        found = match_scopes(found, own.join(spans, by), others, by, by, stages.fallback, None, stages.names, "matched-low", ("from", "to"), "fallback-progress-alignment-on-full-part-sequence")
+        found = match_scopes(found, own.join(large(spans), by), others, by, by, stages.fallback, None, stages.names, "matched-low", ("from", "to"), "fallback-progress-alignment-on-full-part-sequence")
     rows = with_matches(a, b, found, by)
     return gates.gate_matches(rows, inline=True).drop("gate_reasons") if stages.gate else rows
 
@@ -253,10 +253,10 @@ def rebuilt(a: DataFrame, b: DataFrame, clips: DataFrame, reviewed: DataFrame, b
 def with_matches(a: DataFrame, b: DataFrame, found: DataFrame, by: By) -> DataFrame:
     """Every cue of a as an aligned row: by, pos, s, e, english_text, status, match_origin, match_score,
     chinese_confidence, source_clip, chinese_text (the matched cues' texts, joined), chinese_cue_ids, group, notes."""
-    texts = found.select(*by, "a_pos", F.posexplode("b_pos").alias("_k", "pos")).join(b.select(*by, "pos", "text"), [*by, "pos"])
+    texts = found.select(*by, "a_pos", F.posexplode("b_pos").alias("_k", "pos")).join(large(b.select(*by, "pos", "text")), [*by, "pos"])
     texts = joined_fragments(texts, [*by, "a_pos"], "_k", "text").withColumnRenamed("text", "chinese_text")
-    got = found.join(texts, [*by, "a_pos"], "left").withColumnRenamed("a_pos", "pos")
-    rows = a.select(*by, "pos", "s", "e", F.col("text").alias("english_text")).join(got, [*by, "pos"], "left")
+    got = found.join(large(texts), [*by, "a_pos"], "left").withColumnRenamed("a_pos", "pos")
+    rows = a.select(*by, "pos", "s", "e", F.col("text").alias("english_text")).join(large(got), [*by, "pos"], "left")
     return rows.select(
         *by, "pos", "s", "e", "english_text", F.coalesce("status", F.lit("unmatched")).alias("status"), F.coalesce("origin", F.lit("none")).alias("match_origin"), F.col("score").alias("match_score"),
         F.col("confidence").alias("chinese_confidence"), F.col("clip").alias("source_clip"), F.coalesce("chinese_text", F.lit("")).alias("chinese_text"),

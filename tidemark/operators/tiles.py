@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.storage import spent, stored
+from tidemark.storage import large, spent, stored
 
 By = list[str]
 TILE = 512
@@ -171,7 +171,7 @@ def _crossed(scopes: DataFrame, tile: int) -> DataFrame:
 def _sides(tiles: DataFrame, blocks: DataFrame) -> DataFrame:
     """Tiles with the rows of both their blocks."""
     for side, key in (("a", "ti"), ("b", "tj")):
-        tiles = tiles.join(blocks.where(F.col("side") == side).select("scope", F.col("block").alias(key), F.col("rows").alias(f"rows_{side}")), ["scope", key])
+        tiles = tiles.join(large(blocks.where(F.col("side") == side).select("scope", F.col("block").alias(key), F.col("rows").alias(f"rows_{side}"))), ["scope", key])
     return tiles
 
 
@@ -181,7 +181,7 @@ def _bordered(tiles: DataFrame, before: dict[int, DataFrame], diagonal: int) ->
         value = F.element_at(part, -1) if name == "corner" else F.col(part)
         if diagonal - back in before:
             near = before[diagonal - back].select("scope", (F.col("ti") + di).alias("ti"), (F.col("tj") + dj).alias("tj"), value.alias(name))
-            tiles = tiles.join(near, ["scope", "ti", "tj"], "left")
+            tiles = tiles.join(large(near), ["scope", "ti", "tj"], "left")
         else:
             tiles = tiles.withColumn(name, F.lit(None).cast("float" if name == "corner" else "array<float>"))
     return tiles
@@ -270,8 +270,8 @@ def aligned(rows: DataFrame, by: By, blend: Blend, path: Path, tile: int = TILE)
     at = lambda c: F.floor((F.col(c) - 1) / tile).cast("int")
     for diagonal in range(longest, -1, -1):
         placed = ways.where("i > 0 and j > 0").withColumn("ti", at("i")).withColumn("tj", at("j"))
-        here = placed.where(F.col("ti") + F.col("tj") == diagonal).join(scopes, "scope")
-        here = here.join(crossed.select("scope", "ti", "tj", F.lit(True).alias("crossed")), ["scope", "ti", "tj"], "left").withColumn("crossed", F.coalesce("crossed", F.lit(False)))
+        here = placed.where(F.col("ti") + F.col("tj") == diagonal).join(large(scopes), "scope")
+        here = here.join(large(crossed.select("scope", "ti", "tj", F.lit(True).alias("crossed"))), ["scope", "ti", "tj"], "left").withColumn("crossed", F.coalesce("crossed", F.lit(False)))
         here = _bordered(_sides(here, blocks), borders, diagonal)
         steps.append(stored(_dealt(here, "ti", "tj").mapInArrow(back, "scope string, i long, j long, pairs array<struct<a_pos: long, b_pos: long, score: double>>")))
         if diagonal:
@@ -430,7 +430,7 @@ def grouped(rows: DataFrame, by: By, how: Grouping, tile: int = TILE) -> DataFra
     own = F.filter("rows", lambda x: F.floor(x["at"] / tile) == F.col("block"))
     ends = blocks.where(F.size(own) > 0).groupBy("scope", "side").agg(F.sum(F.size(own)).alias("n"), F.min_by(own[0]["s"], "block").alias("first"), F.max_by(F.element_at(own, -1)["e"], "block").alias("last"))
     side = lambda x, n: ends.where(F.col("side") == x).select("scope", F.col("n").alias(n), F.col("first").cast("double").alias(f"{x}0"), F.col("last").cast("double").alias(f"{x}1"))
-    scopes = stored(side("a", "n").join(side("b", "m"), "scope"))
+    scopes = stored(side("a", "n").join(large(side("b", "m")), "scope"))
     last = lambda c: F.floor((F.col(c) - 1) / tile).cast("int")
     longest = scopes.agg(F.max(last("n") + last("m"))).first()[0]
     kinds = dict(rows.dtypes)
@@ -444,7 +444,7 @@ def grouped(rows: DataFrame, by: By, how: Grouping, tile: int = TILE) -> DataFra
         for name, back, di, dj, part in (("top", 1, 1, 0, "bottom"), ("side", 1, 0, 1, "right"), ("corner", 2, 1, 1, "edge")):
             if diagonal - back in borders:
                 near = borders[diagonal - back].select("scope", (F.col("ti") + di).alias("ti"), (F.col("tj") + dj).alias("tj"), F.col(part).alias(name))
-                tiles = tiles.join(near, ["scope", "ti", "tj"], "left")
+                tiles = tiles.join(large(near), ["scope", "ti", "tj"], "left")
             else:
                 tiles = tiles.withColumn(name, F.lit(None).cast("array<array<float>>"))
         return tiles
@@ -485,7 +485,7 @@ def grouped(rows: DataFrame, by: By, how: Grouping, tile: int = TILE) -> DataFra
     ways, steps = scopes.select("scope", F.col("n").alias("i"), F.col("m").alias("j")), None
     for diagonal in range(longest, -1, -1):
         at = ways.where("i > 0 and j > 0").withColumn("ti", last("i")).withColumn("tj", last("j"))
-        here = bordered(_sides(at.where(F.col("ti") + F.col("tj") == diagonal).join(scopes, "scope"), blocks), diagonal)
+        here = bordered(_sides(at.where(F.col("ti") + F.col("tj") == diagonal).join(large(scopes), "scope"), blocks), diagonal)
         done = stored(_dealt(here, "ti", "tj").mapInArrow(back, f"scope string, i long, j long, pairs array<struct<{', '.join(f.replace(' ', ': ', 1) for f in shape.split(', '))}>>"))
         steps = done if steps is None else steps.unionByName(done)
         if diagonal:

@@ -57,9 +57,9 @@ def in_windows(a: DataFrame, windows: DataFrame, by: By, flank: float, width: fl
     """
     lo, hi = F.col("ws") - flank, F.col("we") + flank
     slots = windows.withColumn("_slot", F.explode(F.sequence(F.floor(lo / width), F.floor(hi / width))))
-    hits = a.select(*by, "pos", "s").withColumn("_slot", F.floor(F.col("s") / width)).join(slots.select(*by, "clip", "_slot", lo.alias("_lo"), hi.alias("_hi")), [*by, "_slot"])
+    hits = a.select(*by, "pos", "s").withColumn("_slot", F.floor(F.col("s") / width)).join(large(slots.select(*by, "clip", "_slot", lo.alias("_lo"), hi.alias("_hi"))), [*by, "_slot"])
     hits = hits.where((F.col("s") >= F.col("_lo")) & (F.col("s") <= F.col("_hi"))).select(*by, "clip", "pos").distinct()
-    return a.join(hits, [*by, "pos"])
+    return a.join(large(hits), [*by, "pos"])
 
 
 def trial_align(a: DataFrame, b: DataFrame, windows: DataFrame, by: By, flank: float = 12.0, least: float = 0.0, largest: int = 3, match: float = 0.60, output: float = 0.68, skip_a: float = 0.08, skip_b: float = 0.05, width: float = 600.0) -> DataFrame:
@@ -71,16 +71,16 @@ def trial_align(a: DataFrame, b: DataFrame, windows: DataFrame, by: By, flank: f
     near = in_windows(a, windows, by, flank, width)
     side = lambda rows, x: rows.select(*by, "clip", F.lit(x).alias("side"), "pos", "s", "e", "vector")
     found = align.group_align(side(near, "a").unionByName(side(b.where(F.col("confidence") >= least), "b")), [*by, "clip"], largest, largest, match, output, skip_a, skip_b)
-    times = found.select(*by, "clip", "a_pos", F.explode("a_pos").alias("pos")).join(a.select(*by, "pos", "s", "e"), [*by, "pos"])
+    times = found.select(*by, "clip", "a_pos", F.explode("a_pos").alias("pos")).join(large(a.select(*by, "pos", "s", "e")), [*by, "pos"])
     times = times.groupBy(*by, "clip", "a_pos").agg(F.min("s").alias("s"), F.max("e").alias("e"))
-    return found.join(times, [*by, "clip", "a_pos"]).withColumn("score", F.round("score", 4))
+    return found.join(large(times), [*by, "clip", "a_pos"]).withColumn("score", F.round("score", 4))
 
 
 def summary(windows: DataFrame, near: DataFrame, found: DataFrame, by: By) -> DataFrame:
     """A row for each clip with windows: their number, first start and last end, cues in them, results, their mean score."""
     key = [*by, "clip"]
     out = windows.groupBy(*key).agg(F.count(F.lit(1)).alias("windows"), F.round(F.min("ws"), 3).alias("window_start"), F.round(F.max("we"), 3).alias("window_end"))
-    out = out.join(near.groupBy(*key).agg(F.count(F.lit(1)).alias("cues")), key, "left").join(found.groupBy(*key).agg(F.count(F.lit(1)).alias("results"), F.round(F.avg("score"), 4).alias("mean_score")), key, "left")
+    out = out.join(large(near.groupBy(*key).agg(F.count(F.lit(1)).alias("cues"))), key, "left").join(large(found.groupBy(*key).agg(F.count(F.lit(1)).alias("results"), F.round(F.avg("score"), 4).alias("mean_score"))), key, "left")
     return out.fillna(0, ["cues", "results"])
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import align, forced, matching, tiles, trials
 from tidemark.plans.catalog import CUES, query
+from tidemark.storage import large
 
 BLEND = tiles.Blend(0.76, 0.24, 0.28, 0.16, 0.06, 0.04, forced.SHORT)
 PATH = tiles.Path(0.80, 0.85, 0.01, 0.01, 0.05, 6)
@@ -45,7 +46,7 @@ def clips(a: DataFrame) -> DataFrame:
 
 def reviewed(a: DataFrame, b: DataFrame) -> DataFrame:
     """Every tenth cue of a is reviewed, with the cue of b at its place."""
-    pairs = a.where("pos % 10 = 4").select("part", "pos").join(b.select("part", "pos", "clip"), ["part", "pos"])
+    pairs = a.where("pos % 10 = 4").select("part", "pos").join(large(b.select("part", "pos", "clip")), ["part", "pos"])
     return pairs.select("part", F.col("pos").alias("ord"), F.array("pos").alias("group"), F.array("pos").alias("b_pos"), F.lit("matched-high").alias("status"), F.lit(0.9).alias("score"), "clip")
 
 

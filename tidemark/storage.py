@@ -42,3 +42,11 @@ def spent(*tables: DataFrame) -> None:
     for df in tables:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._tidemark_path)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def large(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is shuffled and merged, so never sent whole to the driver and to all executors.
+
+    Spark guesses from files and shuffles, which are compressed: what it takes for 10 MB can be hundreds as a hash table.
+    """
+    return df.hint("merge")
