@@ -286,3 +286,16 @@ def test_a_point_where_an_empty_interval_begins_too(spark):
     points = spark.createDataFrame([("g", 120)], "g string, t long")
     at = lambda **how: intervals.cut_to_point(points, intervals.annotate_cut(kept, ["g"]), ["g"], "t", **how).first()["original_at"]
     assert (at(), at(empty_holds=True)) == (420, 200)
+
+
+def test_nearest_vectors_hold_the_scores_of_few_queries(spark):
+    import numpy as np
+
+    assert folds.QUERIES * folds.VECTORS * 8 <= 4 << 20  # a piece's scores
+    n = 2 * folds.QUERIES + 7
+    x = np.random.RandomState(5).randn(n, 4)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    got = folds.cosine_topk(df.withColumnRenamed("id", "q_id"), df.withColumnRenamed("id", "c_id"), 3)
+    want = [(i, int(c), r + 1) for i, s in enumerate(np.round(x @ x.T, 6)) for r, c in enumerate(np.argsort(-s, kind="stable")[:3])]
+    assert rows(got, "q_id", "c_id", "rank") == sorted(want, key=lambda t: (t[0], t[1]))

@@ -278,6 +278,8 @@ def partition_clips(clips: DataFrame, parts: int, weight: float = 1.0, semantic:
 
 #: Vectors of a block; two blocks meet in one matrix product.
 VECTORS = 2048
+#: Queries whose scores against a block are held at once.
+QUERIES = 128
 
 
 def _blocks(df: DataFrame, key: str, name: str) -> DataFrame:
@@ -301,10 +303,12 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
                 vectors = [x.field("vector").flatten().to_numpy().astype(np.float64).reshape(len(x), -1) for x in (one, two)]
                 ids = two.field("id").to_numpy()
                 order = np.argsort(ids, kind="stable")
-                score = np.round(vectors[0] @ vectors[1][order].T, 6)
-                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                row = np.repeat(np.arange(len(one)), best.shape[1])
-                yield pa.RecordBatch.from_arrays([one.field("id").take(pa.array(row)), pa.array(ids[order][best.ravel()]), pa.array(score[row, best.ravel()])], ["q_id", "c_id", "score"])
+                sorted_ids, others = ids[order], vectors[1][order].T
+                for lo in range(0, len(one), QUERIES):
+                    score = np.round(vectors[0][lo : lo + QUERIES] @ others, 6)
+                    best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                    row = np.repeat(np.arange(len(score)), best.shape[1])
+                    yield pa.RecordBatch.from_arrays([one.field("id").take(pa.array(row + lo)), pa.array(sorted_ids[best.ravel()]), pa.array(score[row, best.ravel()])], ["q_id", "c_id", "score"])
 
     kinds = dict(queries.dtypes)["q_id"], dict(corpus.dtypes)["c_id"]
     tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
