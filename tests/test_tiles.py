@@ -153,3 +153,15 @@ def test_groups_in_tiles_equal_the_whole_table(spark, largest, speakers):
         assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}, tile
     assert speakers or {x[2] for v in want.values() for x in v} > {"1:1"}
     assert tiles.grouped(rows.where("side = 'a'"), ["k"], how).count() == 0
+
+
+def test_similarities_are_summed_and_rounded_as_in_sql():
+    import pyarrow as pa
+
+    block = lambda rows: pa.array([{"vector": list(map(float, r))} for r in rows], pa.struct([("vector", pa.list_(pa.float64()))]))
+    half = 0.8498691185
+    assert half * 1e9 % 1 == 0.5
+    assert tiles.similarity(block([[half], [-half]]), block([[1]]), tiles.Blend()).tolist() == [[0.849869119], [-0.849869119]]  # halves go away from zero
+    x, y = np.random.RandomState(3).rand(2, 300, 4)
+    want = [[((a[0] * b[0] + a[1] * b[1]) + a[2] * b[2]) + a[3] * b[3] for b in y.tolist()] for a in x.tolist()]
+    assert tiles._products(x, y).tolist() == want  # to the last bit

@@ -51,11 +51,13 @@ class Groups:
     graded: bool = False  # pairs of one and one are graded by their score
 
 
-def direction(vectors: Column) -> Column:
-    """The direction of the sum of an array of vectors."""
-    total = F.aggregate(F.slice(vectors, 2, F.size(vectors)), F.transform(vectors[0], lambda x: x.cast("double")), lambda t, v: F.zip_with(t, v, lambda x, y: x + y))
-    length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda t, x: t + x * x))
-    return F.element_at(F.transform(F.array(total), lambda v: F.transform(v, lambda x: x / F.greatest(length(v), F.lit(1e-12)))), 1)
+def summed(vectors: Column) -> Column:
+    """The sum of an array of vectors."""
+    return F.aggregate(F.slice(vectors, 2, F.size(vectors)), F.transform(vectors[0], lambda x: x.cast("double")), lambda t, v: F.zip_with(t, v, lambda x, y: x + y))
+
+
+def length(vector: Column) -> Column:
+    return F.greatest(F.sqrt(F.aggregate(vector, F.lit(0.0), lambda t, x: t + x * x)), F.lit(1e-12))
 
 
 def _latin(text: Column) -> Column:
@@ -68,7 +70,7 @@ Span = tuple[str, str] | None
 def features(a: DataFrame, b: DataFrame, by: By, blend: tiles.Blend, around: tuple[int, int], names: dict[str, str], span: Span = None) -> DataFrame:
     """Both sides' cues with the columns that ``blend`` needs.
 
-    A context is the direction of the summed vectors of the cues around. Progress of a runs from its first start to its
+    A context is the sum of the vectors of the cues around, whose direction counts. Progress of a runs from its first start to its
     last end, or between the columns of ``span``; that of b from 0 to its last end; both over a second at least.
     """
     out = []
@@ -78,8 +80,11 @@ def features(a: DataFrame, b: DataFrame, by: By, blend: tiles.Blend, around: tup
         if side == "a":
             start, end = (F.col(span[0]), F.col(span[1])) if span else (F.min("s").over(whole), end)
         text = F.col("text")
+        if blend.context:
+            rows = rows.withColumn("_context", summed(F.collect_list("vector").over(order.rowsBetween(-radius, radius))))
         made = {
-            "context": direction(F.collect_list("vector").over(order.rowsBetween(-radius, radius))) if blend.context else None,
+            "context": F.col("_context"),
+            "length": length(F.col("_context")),
             "progress": C.clamp(((F.col("s") + F.col("e")) / 2 - start) / F.greatest(end - start, F.lit(1.0)), 0.0, 1.0),
             "names": C.english_speakers(text, names) if side == "a" else F.lit(None).cast("array<string>"),
             "name": C.chinese_speaker(text) if side == "b" else F.lit(None).cast("string"),
