@@ -1,5 +1,7 @@
 """Values of known cases, and properties, of the operators outside the text corpus folder."""
 
+import random
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -299,3 +301,29 @@ def test_nearest_vectors_hold_the_scores_of_few_queries(spark):
     got = folds.cosine_topk(df.withColumnRenamed("id", "q_id"), df.withColumnRenamed("id", "c_id"), 3)
     want = [(i, int(c), r + 1) for i, s in enumerate(np.round(x @ x.T, 6)) for r, c in enumerate(np.argsort(-s, kind="stable")[:3])]
     assert rows(got, "q_id", "c_id", "rank") == sorted(want, key=lambda t: (t[0], t[1]))
+
+
+def test_many_titles_are_dealt_in_one_pass(spark):
+    import itertools
+
+    rnd = random.Random(8)
+    sizes = {None: 3, **{t: rnd.choice((1, 2, 3, 4, 5, 9, 23)) for t in range(60)}}
+    rows = [(t, i, float(rnd.randint(0, 6))) for t, n in sizes.items() for i in range(n)]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # titles lie in several batches, batches hold several titles
+    try:
+        got = folds.partition_clips(spark.createDataFrame(rows, "title long, pos long, dur double"), 3)
+        assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()  # no task's call for each title
+        found = {(r["title"], r["pos"]): r["part"] for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert len(found) == len(rows)
+    for t, n in sizes.items():
+        dur = [d for x, _, d in rows if x == t]
+        k = min(3, n)
+        want = sum(dur) / k
+        cost = lambda ends: sum(((sum(dur[a:b]) - want) / max(want, 1.0)) ** 2 for a, b in itertools.pairwise((0, *ends, n)))  # noqa: E731, B023
+        parts = [found[t, i] for i in range(n)]
+        assert sorted(set(parts)) == list(range(1, k + 1)) and parts == sorted(parts)
+        least = min(map(cost, itertools.combinations(range(1, n), k - 1)))
+        assert abs(cost([i for i in range(1, n) if parts[i] != parts[i - 1]]) - least) < 1e-9

@@ -7,7 +7,7 @@ media file, clips of one title) take a group whole.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -199,22 +199,27 @@ def highlight_top(df: DataFrame, by: By, top_n: int, max_windows: int, neighbour
 
 
 def cheapest_cuts(before: np.ndarray, ends: np.ndarray, target: float, scale: float, weight: float) -> tuple[np.ndarray, np.ndarray]:
-    """For each end j the least ``before[i] + weight * ((ends[j] - ends[i] - target) / scale) ** 2`` over i < j, and its first i.
+    """For each end j the least ``before[i] + weight * ((ends[j] - ends[i] - target) / scale) ** 2`` over i < j, and its first i."""
+    n = len(ends) - 1
+    same = lambda x: np.full(n + 1, x)
+    return _cheapest(before, ends, same(target), same(scale), weight, *(np.array([x]) for x in (1, n, 0, n - 1)))
+
+
+def _cheapest(before: np.ndarray, ends: np.ndarray, target: np.ndarray, scale: np.ndarray, weight: float, low: np.ndarray, high: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``cheapest_cuts`` of the stretches of ends from ``low`` to ``high`` with cuts from ``first`` to ``last``, all at once.
 
     The squares make the best cut move forward only as the end does, so ends are taken in halves: the middle one's cut
     bounds those on both sides. All middles of a level are tried at once; a level costs the ends' number, and there are
     log n levels.
     """
-    n = len(ends) - 1
-    best, cut = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
-    low, high, first, last = (np.array([x]) for x in (1, n, 0, n - 1))  # stretches of ends, and of their cuts
+    best, cut = np.full(len(ends), np.inf), np.zeros(len(ends), np.int64)
     while len(low):
         middle = (low + high) // 2
         stop = np.minimum(last, middle - 1)
         sizes = stop - first + 1
         starts = np.cumsum(sizes) - sizes
         i = np.arange(sizes.sum()) - np.repeat(starts - first, sizes)
-        cost = before[i] + weight * ((np.repeat(ends[middle], sizes) - ends[i] - target) / scale) ** 2
+        cost = before[i] + weight * ((np.repeat(ends[middle], sizes) - ends[i] - np.repeat(target[middle], sizes)) / np.repeat(scale[middle], sizes)) ** 2
         least = np.minimum.reduceat(cost, starts)
         hits = np.flatnonzero(cost == np.repeat(least, sizes))
         found = i[hits[np.searchsorted(hits, starts)]]
@@ -224,6 +229,56 @@ def cheapest_cuts(before: np.ndarray, ends: np.ndarray, target: float, scale: fl
     return best, cut
 
 
+def _whole_keys(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Batches sorted by ``key`` as tables that cut no key's rows in two: about a batch each, or a key."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        codes = batch.column(key).dictionary_encode("encode").indices.to_numpy()
+        at = int(np.flatnonzero(codes != codes[-1])[-1]) + 1 if (codes != codes[-1]).any() else 0
+        goes_on = at == 0 and held and len(pa.concat_arrays([held[-1].column(key)[-1:], batch.column(key)[:1]]).unique()) == 1
+        if held and not goes_on:
+            yield pa.Table.from_batches([*held, batch[:at]])
+            held = []
+        elif at:
+            yield pa.Table.from_batches([batch[:at]])
+        held.append(batch[at:])
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _dealt_parts(sizes: np.ndarray, dur: np.ndarray, targets: list | None, parts: int, weight: float) -> np.ndarray:
+    """The part of each clip of titles that follow each other with ``sizes`` clips; all titles' cuts are looked for at once."""
+    titles, begin = np.arange(len(sizes)), np.cumsum(sizes) - sizes
+    off = begin + titles  # a title of n clips has n + 1 ends
+    ends = np.zeros(len(dur) + len(sizes))
+    for n in np.unique(sizes):
+        some = sizes == n
+        ends[off[some][:, None] + np.arange(1, n + 1)] = np.cumsum(dur[begin[some][:, None] + np.arange(n)], axis=1)
+    if not np.isfinite(ends).all():
+        raise ValueError("clips need finite durations")
+    k = np.minimum(parts, sizes)
+    before = np.full(len(ends), np.inf)
+    before[off] = 0.0
+    cuts = []
+    for p in range(k.max()):
+        t = np.flatnonzero(k > p)
+        want = ends[off + sizes] / k if targets is None else np.array([float(x[p]) if i > p else 0.0 for x, i in zip(targets, k, strict=True)])
+        want = np.repeat(want, sizes + 1)
+        # the part takes a clip at least, and leaves one for each before it: ends from p + 1, cuts from p
+        before, cut = _cheapest(before, ends, want, np.maximum(want, 1.0), weight, off[t] + p + 1, off[t] + sizes[t], off[t] + p, off[t] + sizes[t] - 1)
+        cuts.append(cut)
+    part, j = np.zeros(len(dur), np.int64), off + sizes
+    for p in range(len(cuts) - 1, -1, -1):
+        t = np.flatnonzero(k > p)
+        i = cuts[p][j[t]]
+        n = j[t] - i
+        part[np.arange(n.sum()) + np.repeat(i - t - (np.cumsum(n) - n), n)] = p + 1
+        j[t] = i
+    return part
+
+
 def _every_cut(before: np.ndarray, ends: np.ndarray, fits: np.ndarray, target: float, scale: float, weight: float, semantic: float) -> tuple[np.ndarray, np.ndarray]:
     """The same with the mean of the clips' scores taken off; their means keep no order, so every cut is tried."""
     n = len(ends) - 1
@@ -244,10 +299,25 @@ def partition_clips(clips: DataFrame, parts: int, weight: float = 1.0, semantic:
     title, if there are any: ``targets`` (duration of each part, else even shares), and ``fits`` (a clip's score for each
     part). One row a clip. Fewer clips than parts use as many parts as there are clips; with ``strict`` they can't be dealt, and their part is null.
 
-    Without scores n clips cost n log n for each part (``cheapest_cuts``) and a title's cuts are all that is held.
+    Without scores n clips cost n log n for each part and a title's cuts are all that is held; titles are taken as they come in
+    batches, many at once (``_dealt_parts``).
     """
     has_fits, has_targets = "fits" in clips.columns and bool(semantic), "targets" in clips.columns
 
+    def titles(batches):
+        for rows in _whole_keys(batches, "title"):
+            codes = rows.column("title").combine_chunks().dictionary_encode("encode").indices.to_numpy()
+            begin = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+            sizes = np.diff(np.append(begin, len(codes)))
+            dur = rows.column("_dur").to_numpy().astype(float)
+            part = _dealt_parts(sizes, dur, rows.column("targets").take(pa.array(begin)).to_pylist() if has_targets else None, parts, weight)
+            few = np.repeat(sizes < parts, sizes) if strict else np.zeros(len(part), bool)
+            yield from rows.drop_columns(["_dur"]).append_column("part", pa.array(part, mask=few)).to_batches()
+
+    if not has_fits:
+        rows = clips.withColumn("_dur", F.col("dur").cast("double")).repartition("title").sortWithinPartitions("title", "pos")
+        return rows.mapInArrow(titles, f"{_ddl(clips)}, part long")
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos").copy()
         ends = np.concatenate(([0.0], np.cumsum(pdf["dur"])))
@@ -256,14 +326,14 @@ def partition_clips(clips: DataFrame, parts: int, weight: float = 1.0, semantic:
             pdf["part"] = pd.array([None] * n, "Int64")
             return pdf
         want = np.asarray(pdf["targets"].iloc[0], float)[:k] if has_targets else np.full(k, ends[-1] / k)
-        fits = np.vstack((np.zeros(k), np.cumsum([list(x)[:k] for x in pdf["fits"]], axis=0))) if has_fits else None
+        fits = np.vstack((np.zeros(k), np.cumsum([list(x)[:k] for x in pdf["fits"]], axis=0)))
         before = np.concatenate(([0.0], np.full(n, np.inf)))
         cuts = []
         for p in range(k):
             scale = max(want[p], 1.0)
             # the part takes a clip at least, and leaves one for each before it: ends from p + 1, cuts from p
             own = before[p:], ends[p:]
-            best, cut = _every_cut(*own, fits[p:, p], want[p], scale, weight, semantic) if has_fits else cheapest_cuts(*own, want[p], scale, weight)
+            best, cut = _every_cut(*own, fits[p:, p], want[p], scale, weight, semantic)
             before = np.concatenate((np.full(p, np.inf), best))
             cuts.append(np.concatenate((np.zeros(p, np.int64), cut + p)))
         part, j = np.zeros(n, np.int64), n
