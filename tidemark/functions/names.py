@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import nfkc
+from tidemark.functions.text import let, nfkc
 
 # How file names write episodes and seasons, in order of trust, and words that aren't part of a title.
 EPISODES = (
@@ -29,38 +29,71 @@ def _number(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit("")).try_cast("int")
 
 
+def _stripped(text: Column, patterns: tuple[str, ...]) -> Column:
+    for gone in patterns:
+        text = F.regexp_replace(text, gone, " ")
+    return text
+
+
+def _unpacked(text: Column) -> Column:
+    """A title without brackets, formats and versions, not trimmed."""
+    return _stripped(F.trim(F.translate(text, "_.", "  ")), (r"[\[(【].*?[\])】]", rf"(?i)\b(?:{RELEASE_WORDS})\b", r"(?i)\bv\d+\b"))
+
+
+def _tidy(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.btrim(text, F.lit(" -_")), r"\s+", " "))
+
+
 def cleaned_title(text: Column, keep_season: bool = False) -> Column:
     """A title without what releases put around it: brackets, formats, versions and (unless kept) the season."""
-    t = F.trim(F.translate(text, "_.", "  "))
-    t = F.regexp_replace(t, r"[\[(【].*?[\])】]", " ")
-    for gone in (rf"(?i)\b(?:{RELEASE_WORDS})\b", r"(?i)\bv\d+\b", *(() if keep_season else SEASONS)):
-        t = F.regexp_replace(t, gone, " ")
-    return F.trim(F.regexp_replace(F.btrim(t, F.lit(" -_")), r"\s+", " "))
+    return _tidy(_stripped(_unpacked(text), () if keep_season else SEASONS))
 
 
 def match_form(text: Column) -> Column:
     """Compatibility forms composed, lower case, letters and digits of any script with single blanks between."""
-    plain = F.when(text.rlike(r"^[\x00-\x7F]*$"), text).otherwise(nfkc(text))
+    ascii_ = text.rlike(r"^[\x00-\x7F]*$")
+    plain = F.when(ascii_, text).otherwise(nfkc(F.when(~ascii_, text)))  # what is ASCII isn't sent to Python
     return F.trim(F.regexp_replace(F.lower(plain), r"[^\p{L}\p{N}]+", " "))
 
 
+def named_parts(path: Column) -> Column:
+    """``file_name_parts`` without normalized_title. Each step is computed once for a row, as the next ones use it often."""
+    name = F.regexp_replace(F.element_at(F.split(path, r"[/\\]"), -1), r"\.[^.]*$", "")
+    name = F.regexp_replace(F.trim(name), r"^(?:\s*[\[【][^\]】]+[\]】]\s*)+", "")
+
+    def numbers(name: Column, places: Column) -> Column:
+        at = F.get(F.filter(places, lambda x: x > 0), F.lit(0))
+        episode = F.coalesce(*(F.when(F.get(places, F.lit(i)) > 0, _number(name, p, g)) for i, (p, g) in enumerate(EPISODES)))
+        season = F.coalesce(F.when(F.get(places, F.lit(0)) > 0, _number(name, EPISODES[0][0])), *(_number(name, p) for p in SEASONS))
+        return F.struct(F.substring(name, F.lit(1), at - 1).alias("head"), episode.alias("episode"), season.alias("season"))
+
+    def titles(x: Column) -> Column:
+        both = let(_unpacked(x["head"]), lambda t: F.struct(_tidy(_stripped(t, SEASONS)).alias("title"), _tidy(t).alias("keyword")))
+        return let(both, lambda t: made(t["title"], t["keyword"], x["season"], x["episode"]))
+
+    def made(title: Column, keyword: Column, season: Column, episode: Column) -> Column:
+        low, s = F.lower(keyword), season.cast("string")
+        told = F.contains(low, F.concat(F.lit("season "), s)) | F.contains(low, F.concat(F.lit("s"), s)) | F.contains(low, F.concat(F.lit("第"), s, F.lit("季")))
+        keyword = F.when(season.isNotNull() & ~told, F.concat_ws(" ", keyword, F.concat(F.lit("Season "), s))).otherwise(keyword)
+        return F.when((episode > 0) & (title != ""), F.struct(title.alias("raw_title"), keyword.alias("search_keyword"), season.alias("season"), episode.alias("episode")))
+
+    places = lambda n: F.array(*(F.regexp_instr(n, F.lit(p)) for p, _ in EPISODES))
+    return let(name, lambda n: let(let(places(n), lambda at: numbers(n, at)), titles))
+
+
 def file_name_parts(path: Column) -> Column:
     """Struct of raw_title, normalized_title, search_keyword, season and episode; null if no episode or title is found.
 
     Groups in brackets at the start go first. The episode is the first pattern's that occurs; the title stands before it.
+    For many rows store ``named_parts`` in a column first, since a Python function makes the normalized title.
     """
-    name = F.regexp_replace(F.element_at(F.split(path, r"[/\\]"), -1), r"\.[^.]*$", "")
-    name = F.regexp_replace(F.trim(name), r"^(?:\s*[\[【][^\]】]+[\]】]\s*)+", "")
-    at = F.coalesce(*(F.when(name.rlike(p), F.regexp_instr(name, F.lit(p))) for p, _ in EPISODES))
-    episode = F.coalesce(*(F.when(name.rlike(p), _number(name, p, g)) for p, g in EPISODES))
-    season = F.coalesce(F.when(name.rlike(EPISODES[0][0]), _number(name, EPISODES[0][0])), *(_number(name, p) for p in SEASONS))
-    head = F.substring(name, F.lit(1), at - 1)
-    title, keyword = cleaned_title(head), cleaned_title(head, keep_season=True)
-    low, s = F.lower(keyword), season.cast("string")
-    told = F.contains(low, F.concat(F.lit("season "), s)) | F.contains(low, F.concat(F.lit("s"), s)) | F.contains(low, F.concat(F.lit("第"), s, F.lit("季")))
-    keyword = F.when(season.isNotNull() & ~told, F.concat_ws(" ", keyword, F.concat(F.lit("Season "), s))).otherwise(keyword)
-    made = F.struct(title.alias("raw_title"), match_form(title).alias("normalized_title"), keyword.alias("search_keyword"), season.alias("season"), episode.alias("episode"))
-    return F.when((episode > 0) & (title != ""), made)
+    return with_form(named_parts(path))
+
+
+def with_form(x: Column) -> Column:
+    """``file_name_parts`` from ``named_parts``."""
+    made = F.struct(x["raw_title"].alias("raw_title"), match_form(x["raw_title"]).alias("normalized_title"), *(x[c].alias(c) for c in ("search_keyword", "season", "episode")))
+    return F.when(x.isNotNull(), made)
 
 
 def title_points(query: Column, candidate: Column) -> Column:

@@ -50,3 +50,11 @@ def large(df: DataFrame) -> DataFrame:
     Spark guesses from files and shuffles, which are compressed: what it takes for 10 MB can be hundreds as a hash table.
     """
     return df.hint("merge")
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` over all tasks of a shuffle, however few bytes it has.
+
+    For work on a row that costs much more than its bytes tell: by bytes alone Spark would put it into few tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
