@@ -327,3 +327,13 @@ def test_many_titles_are_dealt_in_one_pass(spark):
         assert sorted(set(parts)) == list(range(1, k + 1)) and parts == sorted(parts)
         least = min(map(cost, itertools.combinations(range(1, n), k - 1)))
         assert abs(cost([i for i in range(1, n) if parts[i] != parts[i - 1]]) - least) < 1e-9
+
+
+def test_work_in_python_is_dealt_over_all_tasks(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        for name in ("file_names", "frame_merge", "clean_cues", "partition_dp"):
+            plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+            assert "REPARTITION_BY_NUM" in plan, name  # not joined again by bytes
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")

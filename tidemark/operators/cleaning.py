@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import cues as C
 from tidemark.functions import text as T
 from tidemark.operators.intervals import islands
+from tidemark.storage import dealt
 
 By = list[str]
 _SIGNS = "。！？!?，,：:"
@@ -54,7 +55,7 @@ def merge_pairs(df: DataFrame, by: By, threshold: float = 0.72, gap: int = 600_0
 
     Pieces are cut where a cue starts more than ``gap`` after all before it have ended: nothing merges over that.
     """
-    scored = islands(df.withColumn("quality", C.cue_quality(F.col("text"), F.col("conf"), F.col("e") - F.col("s"))), by, "s", "e", gap, ("pos",))
+    scored = islands(dealt(df, *by).withColumn("quality", C.cue_quality(F.col("text"), F.col("conf"), F.col("e") - F.col("s"))), by, "s", "e", gap, ("pos",))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["s", "e", "pos"], kind="stable")
@@ -107,7 +108,7 @@ def drop_bridges(df: DataFrame, by: By, threshold: float = 0.72, longest: int =
     """
     order = Window.partitionBy(*by).orderBy("s", "e", "pos")
     short = F.col("e") - F.col("s") <= longest
-    rows = df.withColumn("_next", F.lead("text").over(order)).withColumn("_first", F.row_number().over(order) == 1).withColumn("_short", short & ~F.col("_first") & F.col("_next").isNotNull())
+    rows = dealt(df, *by).withColumn("_next", F.lead("text").over(order)).withColumn("_first", F.row_number().over(order) == 1).withColumn("_short", short & ~F.col("_first") & F.col("_next").isNotNull())
     # a piece is a kept cue and the run of cues after it that may be bridges
     rows = rows.withColumn("_piece", F.sum(F.when(F.col("_short"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
@@ -116,7 +117,7 @@ def drop_bridges(df: DataFrame, by: By, threshold: float = 0.72, longest: int =
         keep, last = [], None
         for text, follows, candidate in zip(pdf["text"], pdf["_next"], pdf["_short"], strict=True):
             bridge = candidate and last is not None and len(text) > max(len(last), len(follows))
-            bridge = bridge and (_holds(text, last) or similarity(last, text) >= threshold) and (_holds(text, follows) or similarity(follows, text) >= threshold)
+            bridge = bridge and (_holds(text, last) or reaches(last, text, threshold)) and (_holds(text, follows) or reaches(follows, text, threshold))
             keep.append(not bridge)
             last = last if bridge else text
         return pdf[keep]
@@ -148,7 +149,7 @@ def clean_cues(df: DataFrame, by: By, threshold: float = 0.72, gap: int = 600_00
 
 def merge_adjacent(df: DataFrame, by: By, threshold: float, interval: int) -> DataFrame:
     """Cues that follow the last one within a frame's ``interval`` and are similar become one: longer text, higher confidence."""
-    rows = islands(df, by, "s", "e", interval)
+    rows = islands(dealt(df, *by), by, "s", "e", interval)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         kept: list[dict] = []

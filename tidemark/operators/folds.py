@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import cleaning
+from tidemark.storage import dealt
 
 By = list[str]
 
@@ -138,7 +139,7 @@ def merge_frames(df: DataFrame, by: By, interval: int, similarity: float, max_ga
     A longer text replaces the cue's only if it is nearly the same (.92). Cues last ``min_duration`` at least, and
     neighbours within a frame that are similar become one. A longer run of blank frames begins a piece of its own.
     """
-    rows = df.withColumn("text", T.normalize_text(F.coalesce("text", F.lit(""))))
+    rows = dealt(df, *by).withColumn("text", T.normalize_text(F.coalesce("text", F.lit(""))))
     blank = F.col("text") == ""
     w = Window.partitionBy(*by).orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_run", F.sum(F.when(blank, 0).otherwise(1)).over(w)).withColumn("_blank", F.when(blank, F.row_number().over(Window.partitionBy(*by, "_run", blank).orderBy("frame"))).otherwise(0))
@@ -148,11 +149,10 @@ def merge_frames(df: DataFrame, by: By, interval: int, similarity: float, max_ga
         pdf = pdf.sort_values("frame", kind="stable")
         cues: list[list] = []  # start, last, text, sum, count
         for t, text, conf in zip(pdf["t"], pdf["text"], pdf["conf"], strict=True):
-            like = cleaning.similarity(cues[-1][2], text) if cues else 0.0
-            if cues and like >= similarity:
+            if cues and cleaning.reaches(cues[-1][2], text, similarity):
                 now = cues[-1]
                 now[1], now[3], now[4] = t, now[3] + conf, now[4] + 1
-                if len(text) > len(now[2]) and like >= 0.92:
+                if len(text) > len(now[2]) and cleaning.reaches(now[2], text, 0.92):
                     now[2] = text
             else:
                 cues.append([t, t, text, conf, 1])
@@ -315,7 +315,7 @@ def partition_clips(clips: DataFrame, parts: int, weight: float = 1.0, semantic:
             yield from rows.drop_columns(["_dur"]).append_column("part", pa.array(part, mask=few)).to_batches()
 
     if not has_fits:
-        rows = clips.withColumn("_dur", F.col("dur").cast("double")).repartition("title").sortWithinPartitions("title", "pos")
+        rows = clips.withColumn("_dur", F.col("dur").cast("double")).transform(dealt, "title").sortWithinPartitions("title", "pos")
         return rows.mapInArrow(titles, f"{_ddl(clips)}, part long")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
