@@ -337,3 +337,14 @@ def test_work_in_python_is_dealt_over_all_tasks(spark):
             assert "REPARTITION_BY_NUM" in plan, name  # not joined again by bytes
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_both_ways_to_part_names_agree(spark):
+    from tidemark.functions import names as N
+
+    paths = ["[SubsPlease] Sousou no Frieren - 03 (1080p) [A1B2C3D4].mkv", "葬送的芙莉莲 第2季 第05话.mkv", "[G][H] Some.Show S02E07.mkv", "Show 2nd Season - 11v2 [x265].mkv", "Ｓｈｏｗ　Ａ [04].mkv", "nothing here.mkv", "", None]
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "i int, p string")
+    columns = ["raw_title", "search_keyword", "season", "episode"]
+    one = {r["i"]: r["x"] and [r["x"][c] for c in columns] for r in rows.select("i", N.file_name_parts(F.col("p")).alias("x")).collect()}
+    two = {r["i"]: r["x"] and [r["x"][c] for c in columns] for r in rows.select("i", N.named_parts(F.col("p")).alias("x")).collect()}
+    assert one == two and one[3][1] == "Show 2nd Season Season 2"

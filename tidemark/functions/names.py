@@ -85,15 +85,21 @@ def file_name_parts(path: Column) -> Column:
     """Struct of raw_title, normalized_title, search_keyword, season and episode; null if no episode or title is found.
 
     Groups in brackets at the start go first. The episode is the first pattern's that occurs; the title stands before it.
-    For many rows store ``named_parts`` in a column first, since a Python function makes the normalized title.
+    One expression, which computes its steps often; for many rows take ``named_parts``, then ``match_form`` of its raw_title in a
+    select of its own (a Python function can't stand over lambda variables).
     """
-    return with_form(named_parts(path))
-
-
-def with_form(x: Column) -> Column:
-    """``file_name_parts`` from ``named_parts``."""
-    made = F.struct(x["raw_title"].alias("raw_title"), match_form(x["raw_title"]).alias("normalized_title"), *(x[c].alias(c) for c in ("search_keyword", "season", "episode")))
-    return F.when(x.isNotNull(), made)
+    name = F.regexp_replace(F.element_at(F.split(path, r"[/\\]"), -1), r"\.[^.]*$", "")
+    name = F.regexp_replace(F.trim(name), r"^(?:\s*[\[【][^\]】]+[\]】]\s*)+", "")
+    at = F.coalesce(*(F.when(name.rlike(p), F.regexp_instr(name, F.lit(p))) for p, _ in EPISODES))
+    episode = F.coalesce(*(F.when(name.rlike(p), _number(name, p, g)) for p, g in EPISODES))
+    season = F.coalesce(F.when(name.rlike(EPISODES[0][0]), _number(name, EPISODES[0][0])), *(_number(name, p) for p in SEASONS))
+    head = F.substring(name, F.lit(1), at - 1)
+    title, keyword = cleaned_title(head), cleaned_title(head, keep_season=True)
+    low, s = F.lower(keyword), season.cast("string")
+    told = F.contains(low, F.concat(F.lit("season "), s)) | F.contains(low, F.concat(F.lit("s"), s)) | F.contains(low, F.concat(F.lit("第"), s, F.lit("季")))
+    keyword = F.when(season.isNotNull() & ~told, F.concat_ws(" ", keyword, F.concat(F.lit("Season "), s))).otherwise(keyword)
+    made = F.struct(title.alias("raw_title"), match_form(title).alias("normalized_title"), keyword.alias("search_keyword"), season.alias("season"), episode.alias("episode"))
+    return F.when((episode > 0) & (title != ""), made)
 
 
 def title_points(query: Column, candidate: Column) -> Column:
