@@ -36,7 +36,10 @@ def _count(text: Column, pattern: str) -> Column:
 
 
 def _share(text: Column, pattern: str) -> Column:
-    bare = _bare(text)
+    return _share_of(_bare(text), pattern)
+
+
+def _share_of(bare: Column, pattern: str) -> Column:
     return F.when(F.length(bare) == 0, F.lit(0.0)).otherwise(_count(bare, pattern) / F.length(bare))
 
 
@@ -67,10 +70,19 @@ def word_count(text: Column) -> Column:
 
 
 def looks_like_subtitle(text: Column, language: str = "ch") -> Column:
-    t = normalize_text(text)
+    return _reads(normalize_text(text), _bare(text), language)
+
+
+def _reads(t: Column, bare: Column, language: str = "ch") -> Column:
+    """``looks_like_subtitle`` of a normalised text, and the same without blanks."""
     if language == "en":
-        return (F.length(_bare(text)) >= 3) & t.rlike("[A-Za-z]") & (latin_ratio(text) >= 0.45)
-    return (F.length(t) >= 2) & t.rlike(r"[\x{3400}-\x{9FFF}\x{FF01}-\x{FF5E}]") & (chinese_ratio(text) >= 0.45)
+        return (F.length(bare) >= 3) & t.rlike("[A-Za-z]") & (_share_of(bare, LATIN_OR_SIGN) >= 0.45)
+    return (F.length(t) >= 2) & t.rlike(r"[\x{3400}-\x{9FFF}\x{FF01}-\x{FF5E}]") & (_share_of(bare, CJK_OR_SIGN) >= 0.45)
+
+
+def _normalised(text: Column, body) -> Column:
+    """``body(t, bare)`` of a text normalised once, and the same without blanks."""
+    return let(normalize_text(text), lambda t: let(F.replace(t, F.lit(" "), F.lit("")), lambda bare: body(t, bare)))
 
 
 def gameplay_prompt(text: Column) -> Column:
@@ -186,29 +198,35 @@ def prepared_english_sequence(text: Column) -> Column:
 
 def keep_cue(text: Column, confidence: Column, duration: Column, min_length: int = 2, min_confidence: float | None = None, language: str = "ch") -> Column:
     """Whether a recognised cue is worth keeping; ``duration`` in microseconds."""
-    t, bare = normalize_text(text), _bare(text)
+    return _normalised(text, lambda t, bare: _keep(t, bare, confidence, duration, min_length, min_confidence, language))
+
+
+def _keep(t: Column, bare: Column, confidence: Column, duration: Column, min_length: int, min_confidence: float | None, language: str) -> Column:
     n, brief = F.length(bare), duration <= 1_050_000
     unsure = F.lit(False) if min_confidence is None else confidence < min_confidence
     if language == "en":
         label = ~F.contains(t, F.lit(":")) & (word_count(t) <= 5) & (F.upper(t) == t) & t.rlike(ALL_CAPS)
-        bad = label | (unsure & brief & (n <= 18)) | (~looks_like_subtitle(t, "en") & (latin_ratio(t) < 0.35)) | ((n <= 2) & ~bare.rlike(r"\p{L}"))
+        bad = label | (unsure & brief & (n <= 18)) | (~_reads(t, bare, "en") & (_share_of(bare, LATIN_OR_SIGN) < 0.35)) | ((n <= 2) & ~bare.rlike(r"\p{L}"))
     else:
-        weak = (brief & (n <= 24)) | (n <= 4) | ~looks_like_subtitle(t) | ((n <= 8) & ~t.rlike("[。！?？：:]"))
-        bad = (unsure & weak) | gameplay_prompt(t) | (~looks_like_subtitle(t) & (chinese_ratio(t) < 0.35)) | (bare.rlike("[：:]$") & (n <= 10)) | ((n <= 3) & (chinese_ratio(t) < 0.8))
+        weak = (brief & (n <= 24)) | (n <= 4) | ~_reads(t, bare) | ((n <= 8) & ~t.rlike("[。！?？：:]"))
+        bad = (unsure & weak) | gameplay_prompt(t) | (~_reads(t, bare) & (_share_of(bare, CJK_OR_SIGN) < 0.35)) | (bare.rlike("[：:]$") & (n <= 10)) | ((n <= 3) & (_share_of(bare, CJK_OR_SIGN) < 0.8))
     return (n >= min_length) & ~bad
 
 
 def cue_quality(text: Column, confidence: Column, duration: Column) -> Column:
     """How good a reading of a cue is: length, duration, script, confidence and what it ends with."""
-    t, bare = normalize_text(text), _bare(text)
-    zh, latin = chinese_ratio(t), latin_ratio(t)
+    return _normalised(text, lambda t, bare: _quality(t, bare, confidence, duration))
+
+
+def _quality(t: Column, bare: Column, confidence: Column, duration: Column) -> Column:
+    zh, latin = _share_of(bare, CJK_OR_SIGN), _share_of(bare, LATIN_OR_SIGN)
     english = latin > zh
     points = lambda c, x: F.when(c, F.lit(x)).otherwise(F.lit(0.0))
     paired = (_count(t, "（") == _count(t, "）")) & F.contains(t, F.lit("（")) | ((_count(t, r"\(") == _count(t, r"\)")) & F.contains(t, F.lit("(")))
     colon = F.length(t) - F.regexp_instr(F.reverse(t), F.lit("[：:]"))  # position of the last one from 0, or the length
     late = t.rlike("[：:]") & (colon > F.floor(F.length(t) * 0.6))
     score = F.least(F.lit(1.0), F.length(bare) / 16.0) + F.least(F.lit(1.0), F.greatest(duration, F.lit(0)) / 2_500_000.0) + F.when(english, latin).otherwise(zh)
-    score = score + F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence)) * 0.75 + points(F.when(english, looks_like_subtitle(t, "en")).otherwise(looks_like_subtitle(t)), 0.8)
+    score = score + F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence)) * 0.75 + points(F.when(english, _reads(t, bare, "en")).otherwise(_reads(t, bare)), 0.8)
     return score + points(bare.rlike("[。！？)）]$"), 0.2) + points(paired, 0.15) - points(bare.rlike("[：:，,·]$"), 0.35) - points(late, 0.4)
 
 

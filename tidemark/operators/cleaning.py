@@ -106,23 +106,21 @@ def drop_bridges(df: DataFrame, by: By, threshold: float = 0.72, longest: int =
     The first and the last cue of a group stay. Cues longer than ``longest`` always stay and so do their followers'
     states: pieces end after one that no neighbour can change, so a group is dealt out in stretches of short cues.
     """
+    from tidemark.operators.folds import ordered_fold  # which imports this module
+
     order = Window.partitionBy(*by).orderBy("s", "e", "pos")
     short = F.col("e") - F.col("s") <= longest
     rows = dealt(df, *by).withColumn("_next", F.lead("text").over(order)).withColumn("_first", F.row_number().over(order) == 1).withColumn("_short", short & ~F.col("_first") & F.col("_next").isNotNull())
     # a piece is a kept cue and the run of cues after it that may be bridges
     rows = rows.withColumn("_piece", F.sum(F.when(F.col("_short"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["s", "e", "pos"], kind="stable")
-        keep, last = [], None
-        for text, follows, candidate in zip(pdf["text"], pdf["_next"], pdf["_short"], strict=True):
-            bridge = candidate and last is not None and len(text) > max(len(last), len(follows))
-            bridge = bridge and (_holds(text, last) or reaches(last, text, threshold)) and (_holds(text, follows) or reaches(follows, text, threshold))
-            keep.append(not bridge)
-            last = last if bridge else text
-        return pdf[keep]
+    def step(last, text, follows, candidate):
+        bridge = candidate and last is not None and len(text) > max(len(last), len(follows))
+        bridge = bridge and (_holds(text, last) or reaches(last, text, threshold)) and (_holds(text, follows) or reaches(follows, text, threshold))
+        return (last, False) if bridge else (text, True)
 
-    return rows.groupBy(*by, "_piece").applyInPandas(run, rows.schema).drop("_next", "_first", "_short", "_piece")
+    kept = ordered_fold(rows, [*by, "_piece"], ["s", "e", "pos"], ["text", "_next", "_short"], lambda: None, step, "_keep", "boolean")
+    return kept.where("_keep").select(df.columns)
 
 
 def collapse_clusters(df: DataFrame, by: By, least: int = 4, span: int = 6_000_000, reach: int = 500_000) -> DataFrame:
@@ -141,7 +139,7 @@ def collapse_clusters(df: DataFrame, by: By, least: int = 4, span: int = 6_000_0
 
 def clean_cues(df: DataFrame, by: By, threshold: float = 0.72, gap: int = 600_000, min_length: int = 2, min_confidence: float | None = None, language: str = "ch") -> DataFrame:
     """The whole chain on (by..., pos, s, e, text, conf); cues are numbered anew from 1 in ``index``."""
-    kept = df.where(C.keep_cue(F.col("text"), F.col("conf"), F.greatest(F.col("e") - F.col("s"), F.lit(0)), min_length, min_confidence, language))
+    kept = dealt(df, *by).where(C.keep_cue(F.col("text"), F.col("conf"), F.greatest(F.col("e") - F.col("s"), F.lit(0)), min_length, min_confidence, language))
     kept = kept.withColumn("text", T.normalize_text(F.col("text"))).withColumn("e", F.greatest("e", "s"))
     out = collapse_clusters(drop_bridges(merge_pairs(kept, by, threshold, gap), by, threshold), by)
     return out.withColumn("index", F.row_number().over(Window.partitionBy(*by).orderBy("s", "e", "pos")).cast("long"))

@@ -39,7 +39,7 @@ def ordered_fold(df: DataFrame, keys: By, order: By, columns: By, start: Callabl
                 made.append(x)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, arrow)], [*batch.schema.names, name])
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, f"{_ddl(df)}, {name} {kind}")
+    return dealt(df, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, f"{_ddl(df)}, {name} {kind}")
 
 
 def _pieces(df: DataFrame, by: By, order: By, fresh: Column) -> DataFrame:
