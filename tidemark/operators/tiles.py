@@ -10,11 +10,12 @@ diagonal has tiles, and rounds grow with the longest sequence's blocks. Sequence
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import as_strided
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -22,7 +23,10 @@ from pyspark.sql.types import StructType
 from tidemark.storage import large, spent, stored
 
 By = list[str]
-TILE = 512
+#: Rows of a block: where each cell becomes a row, in ``aligned``, and in ``grouped``, which holds a table for each size of groups.
+TILE, WIDE, GROUPS = 512, 2048, 1024
+#: Cells of the small tables that are filled together, and of scores made at once.
+TOGETHER, STRIP = 1 << 19, 1 << 18
 NONE = np.float32(-1e9)
 
 
@@ -136,6 +140,13 @@ def _edge(cost: float, end: int) -> np.ndarray:
     return np.cumsum(np.concatenate(([0], np.full(end, -cost))), dtype=np.float32)
 
 
+def _by_diagonals(n: int, m: int, k: int, kind: type, value: float = 0) -> tuple[np.ndarray, np.ndarray]:
+    """``k`` tables of n by m cells in the order in which they are filled, [i + j, i, k], and the same cells as [i, j, k]."""
+    made = np.full((n + m - 1, n, k), value, kind)
+    d, i, x = made.strides
+    return made, as_strided(made, (n, m, k), (d + i, d, x))
+
+
 def fill(sim: np.ndarray, i0: int, j0: int, n: int, m: int, band: int, path: Path, top: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(sums, moves) of a tile whose rows begin after ``i0`` and columns after ``j0``, with a border row and column before.
 
@@ -143,22 +154,25 @@ def fill(sim: np.ndarray, i0: int, j0: int, n: int, m: int, band: int, path: Pat
     band can't be entered; a way that ends up there goes up. Sums are 32-bit floats. ``top`` holds the corner too.
     """
     p, q = sim.shape
-    sim = sim.astype(np.float32)
-    best = np.full((p + 1, q + 1), NONE, np.float32)
-    move = np.zeros((p + 1, q + 1), np.int8)
-    best[0], best[1:, 0] = top, left
+    (sums, best), (moves, move), (gains, gain) = _by_diagonals(p + 1, q + 1, 1, np.float32, NONE), _by_diagonals(p + 1, q + 1, 1, np.int8), _by_diagonals(p, q, 1, np.float32)
+    gain[..., 0] = sim
+    gains -= np.float32(path.match)
+    best[0, :, 0], best[1:, 0, 0] = top, left
     centre = (np.arange(i0, i0 + p + 1) - 1) * (m / max(n, 1))
-    centre = centre.astype(np.int64) - j0
+    at = (centre.astype(np.int64) - j0 + np.arange(p + 1))[1:]  # rises with i, so the band is a stretch of each diagonal
+    first, last = (np.searchsorted(at, np.arange(p + q + 1) + x, side) for x, side in ((-band, "left"), (band, "right")))
     for d in range(2, p + q + 1):
-        i = np.arange(max(1, d - q), min(p, d - 1) + 1)
-        j = d - i
-        inside = (j >= centre[i] - band) & (j <= centre[i] + band)
-        i, j = i[inside], j[inside]
-        up, beside = best[i - 1, j] - np.float32(path.skip_a), best[i, j - 1] - np.float32(path.skip_b)
-        pair = best[i - 1, j - 1] + (sim[i - 1, j - 1] - np.float32(path.match))
-        value, how = np.where(beside > up, beside, up), np.where(beside > up, 2, 1)
-        best[i, j], move[i, j] = np.where(pair > value, pair, value), np.where(pair > value, 3, how)
-    return best, move
+        i, j = max(1, d - q, int(first[d]) + 1), min(p, d - 1, int(last[d])) + 1
+        if i >= j:
+            continue
+        up, beside = sums[d - 1, i - 1 : j - 1, 0] - np.float32(path.skip_a), sums[d - 1, i:j, 0] - np.float32(path.skip_b)
+        pair = sums[d - 2, i - 1 : j - 1, 0] + gains[d - 2, i - 1 : j - 1, 0]
+        value, how = sums[d, i:j, 0], moves[d, i:j, 0]
+        np.maximum(up, beside, out=value)
+        np.add(beside > up, 1, out=how, casting="unsafe")
+        how[pair > value] = 3
+        np.maximum(value, pair, out=value)
+    return best[..., 0], move[..., 0]
 
 
 def _packed(rows: DataFrame, by: By, columns: list[str], tile: int, halo: dict[str, int] | None = None) -> DataFrame:
@@ -242,7 +256,28 @@ def _keys(df: DataFrame, by: By, kinds: dict[str, str]) -> DataFrame:
     return df.select(*(parsed[k].alias(k) for k in by), *(c for c in df.columns if c != "scope"))
 
 
-def aligned(rows: DataFrame, by: By, blend: Blend, path: Path, tile: int = TILE) -> DataFrame:
+def _back(scopes: DataFrame, longest: int, tile: int, borders: dict[int, DataFrame], step: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """What ``step`` leaves (scope, i, j where the way leaves a tile, pairs) of all tiles on the ways, one job for each
+    anti-diagonal. A way that leaves a tile goes on in the next anti-diagonal or in that after it."""
+    at = lambda c: F.floor((F.col(c) - 1) / tile).cast("int")
+    done: dict[int, DataFrame] = {}
+    for diagonal in range(longest, -1, -1):
+        ways = scopes.select("scope", F.col("n").alias("i"), F.col("m").alias("j"))
+        for before in (diagonal + 1, diagonal + 2):
+            if before in done:
+                ways = ways.unionByName(done[before].select("scope", "i", "j"))
+        here = ways.where("i > 0 and j > 0").withColumn("ti", at("i")).withColumn("tj", at("j")).where(F.col("ti") + F.col("tj") == diagonal)
+        done[diagonal] = stored(step(here.join(large(scopes), "scope"), diagonal))
+        if diagonal in borders:
+            spent(borders.pop(diagonal))
+    steps = list(done.values())
+    out = steps[0]
+    for more in steps[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def aligned(rows: DataFrame, by: By, blend: Blend, path: Path, tile: int = WIDE) -> DataFrame:
     """The best increasing alignment of both sides of each sequence pair: by, a_pos, b_pos, score.
 
     rows: side ('a' or 'b'), pos (unique in its side), and the columns that ``blend`` names, none of them null. A pair counts its
@@ -261,7 +296,7 @@ def aligned(rows: DataFrame, by: By, blend: Blend, path: Path, tile: int = TILE)
     def forth(batches):
         for row in _each(batches):
             _, _, _, best, _ = _tile(row, tile, blend, path)
-            values = [[row[x].as_py()] for x in ("scope", "ti", "tj")] + [[best[-1, 1:]], [best[1:, -1]]]
+            values = [[row[x].as_py()] for x in ("scope", "ti", "tj")] + [[best[-1, 1:].copy()], [best[1:, -1].copy()]]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.string(), pa.int32(), pa.int32(), pa.list_(pa.float32()), pa.list_(pa.float32())), strict=True)], ["scope", "ti", "tj", "bottom", "right"])
 
     borders: dict[int, DataFrame] = {}
@@ -288,24 +323,12 @@ def aligned(rows: DataFrame, by: By, blend: Blend, path: Path, tile: int = TILE)
             pairs = pa.array([[{"a_pos": x, "b_pos": y, "score": z} for x, y, z in reversed(found)]], pa.list_(pa.struct([("a_pos", pa.int64()), ("b_pos", pa.int64()), ("score", pa.float64())])))
             yield pa.RecordBatch.from_arrays([pa.array([row["scope"].as_py()]), pa.array([i + i0], pa.int64()), pa.array([j + j0], pa.int64()), pairs], ["scope", "i", "j", "pairs"])
 
-    ways = scopes.select("scope", F.col("n").alias("i"), F.col("m").alias("j"))
-    steps: list[DataFrame] = []
-    at = lambda c: F.floor((F.col(c) - 1) / tile).cast("int")
-    for diagonal in range(longest, -1, -1):
-        placed = ways.where("i > 0 and j > 0").withColumn("ti", at("i")).withColumn("tj", at("j"))
-        here = placed.where(F.col("ti") + F.col("tj") == diagonal).join(large(scopes), "scope")
+    def step(here: DataFrame, diagonal: int) -> DataFrame:
         here = here.join(large(crossed.select("scope", "ti", "tj", F.lit(True).alias("crossed"))), ["scope", "ti", "tj"], "left").withColumn("crossed", F.coalesce("crossed", F.lit(False)))
         here = _bordered(_sides(here, blocks), borders, diagonal)
-        steps.append(stored(_dealt(here, "ti", "tj").mapInArrow(back, "scope string, i long, j long, pairs array<struct<a_pos: long, b_pos: long, score: double>>")))
-        if diagonal:
-            rest = placed.where(F.col("ti") + F.col("tj") != diagonal).select("scope", "i", "j")
-            ways = stored(rest.unionByName(steps[-1].select("scope", "i", "j")))
-        if diagonal in borders:
-            spent(borders.pop(diagonal))
-    pairs = steps[0]
-    for step in steps[1:]:
-        pairs = pairs.unionByName(step)
-    return _keys(pairs.select("scope", F.inline("pairs")), by, kinds)
+        return _dealt(here, "ti", "tj").mapInArrow(back, "scope string, i long, j long, pairs array<struct<a_pos: long, b_pos: long, score: double>>")
+
+    return _keys(_back(scopes, longest, tile, borders, step).select("scope", F.inline("pairs")), by, kinds)
 
 
 def blended(rows: DataFrame, by: By, blend: Blend, path: Path, tile: int = TILE) -> DataFrame:
@@ -352,20 +375,61 @@ def group_scores(a: Cues, b: Cues, p: int, q: int, least: float, spans: tuple[fl
 
     A group's vector is the direction of its cues' sum. Meaning counts .76, progress in ``spans`` (first start and last
     end of a, then of b) .16, durations .08, less .02 for each cue that one group has more. Times are in seconds. Sums
-    are rounded to nine digits, so that a group has the same score in whatever tile it lies.
+    are rounded to nine digits, so that a group has the same score in whatever tile it lies. Arrays may have an axis of
+    tables before all others.
     """
 
     def grouped(x: Cues, k: int, lo: float, hi: float) -> tuple[np.ndarray, ...]:
         v, s, e = x
-        total = sum(v[i : len(v) - k + 1 + i] for i in range(k))
-        start, end = s[: len(s) - k + 1], e[k - 1 :]
-        return total / np.maximum(np.linalg.norm(total, axis=-1, keepdims=True), 1e-12), ((start + end) / 2 - lo) / max(hi - lo, 1e-6), np.maximum(end - start, 0.25)
+        n = s.shape[-1] - k + 1
+        total = sum(v[..., i : n + i, :] for i in range(k))
+        start, end = s[..., :n], e[..., k - 1 :]
+        return total / np.maximum(np.linalg.norm(total, axis=-1, keepdims=True), 1e-12), ((start + end) / 2 - lo) / np.maximum(hi - lo, 1e-6), np.maximum(end - start, 0.25)
 
     (u, x, dx), (v, y, dy) = grouped(a, p, *spans[:2]), grouped(b, q, *spans[2:])
-    meaning = np.round(u @ v.T, 9)
-    near = np.clip(1 - np.abs(x[:, None] - y[None, :]) / 0.26, 0, 1)
-    score = 0.76 * meaning + 0.16 * near + 0.08 * np.minimum.outer(dx, dy) / np.maximum.outer(dx, dy) - 0.02 * abs(p - q)
-    return np.where(meaning >= least, np.round(score, 9), np.nan)
+    meaning = u @ v.swapaxes(-1, -2)
+    np.round(meaning, 9, out=meaning)
+    near = np.abs(x[..., :, None] - y[..., None, :])
+    near /= 0.26
+    np.clip(np.subtract(1, near, out=near), 0, 1, out=near)
+    score, near = 0.76 * meaning, np.multiply(0.16, near, out=near)
+    score += near
+    np.multiply(0.08, np.minimum(dx[..., :, None], dy[..., None, :], out=near), out=near)
+    near /= np.maximum(dx[..., :, None], dy[..., None, :])
+    score += near
+    score -= 0.02 * abs(p - q)
+    np.round(score, 9, out=score)
+    score[~(meaning >= least)] = np.nan
+    return score
+
+
+def _fill_groups(gains: dict[tuple[int, int], np.ndarray], sums: np.ndarray, before: tuple[int, int], how: Grouping) -> np.ndarray:
+    """Fills ``sums`` (by diagonals, borders given) of several tables at once and returns the moves as [i, j, k].
+
+    ``gains``: of groups by the places of their first cues, by diagonals: their scores less ``how.match``, minus infinity for none.
+    """
+    x, y = before
+    n, m = sums.shape[1], sums.shape[0] + 1 - sums.shape[1]
+    moves, move = _by_diagonals(n, m, sums.shape[2], np.int8, -1)
+    sizes = sorted(gains, reverse=True)
+    for d in range(x + y, n + m - 1):
+        lo, hi = max(x, d - m + 1), min(n - 1, d - y) + 1
+        value, code = sums[d, lo:hi], moves[d, lo:hi]
+        offers = [(name, max(lo, a), min(hi, d - b + 1), a, d - a - b, gains[a, b]) for name, (a, b) in enumerate(sizes)]
+        new, better = np.empty(value.shape, np.float32), np.empty(value.shape, bool)
+        for name, i, j, a, back, gain in offers:
+            if i < j:
+                at, to = slice(i - lo, j - lo), slice(i - a, j - a)
+                np.add(sums[back, to], gain[back, to], out=new[at], casting="same_kind")
+                np.greater(new[at], value[at], out=better[at])
+                np.copyto(value[at], new[at], where=better[at])
+                np.copyto(code[at], name, where=better[at])
+        for name, near, cost in ((len(sizes), sums[d - 1, lo - 1 : hi - 1], how.skip_a), (len(sizes) + 1, sums[d - 1, lo:hi], how.skip_b)):
+            np.subtract(near, np.float32(cost), out=new)
+            np.greater(new, value, out=better)
+            np.copyto(value, new, where=better)
+            np.copyto(code, name, where=better)
+    return move
 
 
 def fill_groups(scores: dict[tuple[int, int], np.ndarray], shape: tuple[int, int], before: tuple[int, int], border: np.ndarray, how: Grouping) -> tuple[np.ndarray, np.ndarray]:
@@ -374,31 +438,13 @@ def fill_groups(scores: dict[tuple[int, int], np.ndarray], shape: tuple[int, int
     ``scores``: of groups by the places of their first cues, counted from the first cue that the tile's groups can begin
     with. Moves are places in the order of sizes, then a skip in a, then in b; an earlier one stays on equal sums.
     """
-    (p, q), (x, y) = shape, before
-    best = border.copy()
-    move = np.full(best.shape, -1, np.int8)
-    sizes = sorted(scores, reverse=True)
-    for d in range(2, p + q + 1):
-        i = np.arange(max(1, d - q), min(p, d - 1) + 1) + x - 1
-        j = d - (i - x + 1) + y - 1
-        value, code = np.full(len(i), NONE, np.float32), np.full(len(i), -1, np.int8)
-
-        def offer(at: np.ndarray, new: np.ndarray, name: int, value=value, code=code) -> None:
-            better = np.zeros(len(value), bool)
-            better[at] = new > value[at]
-            value[better], code[better] = new[better[at]], name
-
-        for name, (a, b) in enumerate(sizes):
-            at = np.flatnonzero((i >= a) & (j >= b))
-            found = scores[a, b][i[at] - a, j[at] - b] if len(at) else np.empty(0)
-            at, found = at[~np.isnan(found)], found[~np.isnan(found)]
-            if len(at):
-                offer(at, (best[i[at] - a, j[at] - b] + (found - how.match)).astype(np.float32), name)
-        every = np.arange(len(i))
-        offer(every, best[i - 1, j] - np.float32(how.skip_a), len(sizes))
-        offer(every, best[i, j - 1] - np.float32(how.skip_b), len(sizes) + 1)
-        best[i, j], move[i, j] = value, code
-    return best, move
+    sums, best = _by_diagonals(*border.shape, 1, np.float32, NONE)
+    best[..., 0] = border
+    gains = {}
+    for size, score in scores.items():
+        gains[size], gain = _by_diagonals(*score.shape, 1, np.float64)
+        gain[..., 0] = np.where(np.isnan(score), -np.inf, score - how.match)
+    return best[..., 0], _fill_groups(gains, sums, before, how)[..., 0]
 
 
 def whole_border(n: int, m: int, how: Grouping) -> np.ndarray:
@@ -408,40 +454,124 @@ def whole_border(n: int, m: int, how: Grouping) -> np.ndarray:
     return best
 
 
-def _group_tile(row: dict, tile: int, how: Grouping):
-    """A tile's cues (with those before it that its groups can begin with), scores, sums, moves, and where its table begins."""
-    a, b = row["rows_a"].values, row["rows_b"].values
+@dataclass
+class _Table:
+    """A tile's cues (with those before it that its groups can begin with, ``x`` of a and ``y`` of b), its sums, its moves, and
+    the gains of groups by size."""
+
+    row: dict
+    a: pa.StructArray
+    b: pa.StructArray
+    x: int
+    y: int
+    best: np.ndarray
+    move: np.ndarray
+    gains: dict[tuple[int, int], np.ndarray]
+
+
+def _border(best: np.ndarray, row: dict, tile: int, x: int, y: int, n: int, m: int, how: Grouping) -> None:
+    """The border of a tile of n by m cues; row 0 stands before the first cue held."""
     i0, j0 = row["ti"].as_py() * tile, row["tj"].as_py() * tile
-    x, y = i0 - a.field("at")[0].as_py(), j0 - b.field("at")[0].as_py()  # cues of the blocks before
-    spans = tuple(row[c].as_py() for c in ("a0", "a1", "b0", "b1"))
-    side = lambda rows: (_vectors(rows.field("vector")), rows.field("s").to_numpy().astype(float), rows.field("e").to_numpy().astype(float))
-    one, two = side(a), side(b)
-    sizes = how.sizes(len(a), len(b))
-    scores = {(p, q): group_scores(one, two, p, q, how.least, spans) for p, q in sizes}
-    if how.speakers:
-        names, name = [v or [] for v in a.field("names").to_pylist()], b.field("name").to_pylist()
-        for p, q in sizes:
-            scores[p, q][_strangers([sum(names[i : i + p], []) for i in range(len(a) - p + 1)], name[: len(b) - q + 1])] = np.nan
-    border = np.full((len(a) + 1, len(b) + 1), NONE, np.float32)  # row 0 stands before the first cue held
     if i0 == 0:
-        border[0, :] = _edge(how.skip_b, j0 + len(b) - y)[j0 - y :]
+        best[0, :] = _edge(how.skip_b, j0 + m - y)[j0 - y :]
     elif row["top"].is_valid:
-        border[: x + 1, y + 1 :] = np.array(row["top"].as_py(), np.float32)[-(x + 1) :]
+        best[: x + 1, y + 1 :] = np.array(row["top"].as_py(), np.float32)[-(x + 1) :]
     if j0 == 0:
-        border[:, 0] = _edge(how.skip_a, i0 + len(a) - x)[i0 - x :]
+        best[:, 0] = _edge(how.skip_a, i0 + n - x)[i0 - x :]
     elif row["side"].is_valid:
-        border[x + 1 :, : y + 1] = np.array(row["side"].as_py(), np.float32)[:, -(y + 1) :]
+        best[x + 1 :, : y + 1] = np.array(row["side"].as_py(), np.float32)[:, -(y + 1) :]
     if i0 and j0 and row["corner"].is_valid:
-        border[: x + 1, : y + 1] = np.array(row["corner"].as_py(), np.float32)[-(x + 1) :, -(y + 1) :]
+        best[: x + 1, : y + 1] = np.array(row["corner"].as_py(), np.float32)[-(x + 1) :, -(y + 1) :]
     elif i0 == 0 and j0:
-        border[0, : y + 1] = _edge(how.skip_b, j0)[j0 - y :]
+        best[0, : y + 1] = _edge(how.skip_b, j0)[j0 - y :]
     elif j0 == 0 and i0:
-        border[: x + 1, 0] = _edge(how.skip_a, i0)[i0 - x :]
-    best, move = fill_groups(scores, (len(a) - x, len(b) - y), (x + 1, y + 1), border, how)
-    return a, b, x, y, scores, best, move
+        best[: x + 1, 0] = _edge(how.skip_a, i0)[i0 - x :]
+
+
+def _stacked(rows: list[dict], tile: int, how: Grouping) -> list[_Table]:
+    """Tables of several tiles filled at once. Of more than one, all are the first of their sequences; the cells beyond the
+    shorter ones' ends are filled too, but no other cell looks there."""
+    sides = [(r["rows_a"].values, r["rows_b"].values) for r in rows]
+    n, m = (max(len(s[k]) for s in sides) for k in (0, 1))
+
+    def cues(k: int, size: int) -> Cues:
+        first = _vectors(sides[0][k].field("vector"))
+        v, s, e = np.zeros((len(rows), size, first.shape[1])), np.zeros((len(rows), size)), np.zeros((len(rows), size))
+        for i, side in enumerate(x[k] for x in sides):
+            v[i, : len(side)] = _vectors(side.field("vector")) if i else first
+            s[i, : len(side)], e[i, : len(side)] = side.field("s").to_numpy(), side.field("e").to_numpy()
+        return v, s, e
+
+    (va, sa, ea), two = cues(0, n), cues(1, m)
+    spans = tuple(np.array([[r[c].as_py()] for r in rows]) for c in ("a0", "a1", "b0", "b1"))
+    x, y = (rows[0][c].as_py() * tile - sides[0][k].field("at")[0].as_py() for k, c in ((0, "ti"), (1, "tj")))  # cues of the blocks before
+    sums, best = _by_diagonals(n + 1, m + 1, len(rows), np.float32, NONE)
+    for k, (row, (a, b)) in enumerate(zip(rows, sides, strict=True)):
+        _border(best[: len(a) + 1, : len(b) + 1, k], row, tile, x, y, len(a), len(b), how)
+    made = {}
+    for p, q in how.sizes(n, m):
+        made[p, q] = _by_diagonals(n - p + 1, m - q + 1, len(rows), np.float64)
+        step = max(1, STRIP // (len(rows) * m))
+        for i in range(0, n - p + 1, step):
+            j = i + step + p - 1
+            score = group_scores((va[:, i:j], sa[:, i:j], ea[:, i:j]), two, p, q, how.least, spans) - how.match
+            score[np.isnan(score)] = -np.inf
+            made[p, q][1][i : i + step] = np.moveaxis(score, 0, -1)
+    if how.speakers:
+        for k, (a, b) in enumerate(sides):
+            names, name = [v or [] for v in a.field("names").to_pylist()], b.field("name").to_pylist()
+            for p in {p for p, _ in made if p <= len(a)}:
+                apart = _strangers([sum(names[i : i + p], []) for i in range(len(a) - p + 1)], name)
+                for q in {q for _, q in made if q <= len(b)}:
+                    made[p, q][1][: len(a) - p + 1, : len(b) - q + 1, k][apart[:, : len(b) - q + 1]] = -np.inf
+    move = _fill_groups({size: by for size, (by, _) in made.items()}, sums, (x + 1, y + 1), how)
+    own = lambda table, k: table[: len(sides[k][0]) + 1, : len(sides[k][1]) + 1, k]
+    return [_Table(row, *sides[k], x, y, own(best, k), own(move, k), {size: gain[..., k] for size, (_, gain) in made.items()}) for k, row in enumerate(rows)]
+
+
+def _tables(batches: Iterator[pa.RecordBatch], tile: int, how: Grouping) -> Iterator[list[_Table]]:
+    """The tables of all tiles. Of a batch, short sequences of like lengths are filled together, up to ``TOGETHER`` cells."""
+    for batch in batches:
+        first, size = [], lambda r: (len(r["rows_a"]), len(r["rows_b"]))
+        for row in _each([batch]):
+            if row["ti"].as_py() or row["tj"].as_py():
+                yield _stacked([row], tile, how)
+            else:
+                first.append((*size(row), row))
+        stack, widest = [], 0
+        for n, m, row in sorted(first, key=lambda r: r[:2], reverse=True):
+            wide = max(widest, m)
+            if stack and ((len(stack) + 1) * most * (most + wide) > TOGETHER or 2 * n < most or 2 * min(m, narrow) < wide):
+                yield _stacked(stack, tile, how)
+                stack = []
+            if not stack:
+                most, wide, narrow = n, m, m
+            stack.append(row)
+            widest, narrow = wide, min(narrow, m)
+        if stack:
+            yield _stacked(stack, tile, how)
+
+
+def _way(t: _Table, how: Grouping, i: int, j: int) -> tuple[int, int, list[dict]]:
+    """Where the way from (i, j) leaves a table, and the groups on it that are returned, in order."""
+    sizes, found = sorted(t.gains, reverse=True), []
+    a, b = t.a.field("pos").to_pylist(), t.b.field("pos").to_pylist()
+    while i > t.x and j > t.y:
+        code = t.move[i, j]
+        if code == len(sizes):
+            i -= 1
+        elif code == len(sizes) + 1:
+            j -= 1
+        else:
+            p, q = sizes[code]
+            i, j = i - p, j - q
+            score = float(np.round(t.gains[p, q][i, j] + how.match, 9))
+            if score >= how.output:
+                found.append({"a_pos": a[i : i + p], "b_pos": b[j : j + q], "alignment": f"{p}:{q}", "score": score})
+    return i, j, found[::-1]
 
 
-def grouped(rows: DataFrame, by: By, how: Grouping, tile: int = TILE) -> DataFrame:
+def grouped(rows: DataFrame, by: By, how: Grouping, tile: int = GROUPS) -> DataFrame:
     """The best increasing alignment of groups of neighbours: by, a_pos, b_pos (arrays), alignment ('2:1') and score.
 
     rows: side, pos, s, e (seconds), vector, and names and name if speakers count. Tiles are those of ``aligned``, without a
@@ -473,10 +603,9 @@ def grouped(rows: DataFrame, by: By, how: Grouping, tile: int = TILE) -> DataFra
         return tiles
 
     def forth(batches):
-        for row in _each(batches):
-            _, _, x, y, _, best, _ = _group_tile(row, tile, how)
-            bottom, right = best[-reach[0] :, y + 1 :], best[x + 1 :, -reach[1] :]
-            values = [[row[c].as_py()] for c in ("scope", "ti", "tj")] + [[list(v)] for v in (bottom, right, best[-reach[0] :, -reach[1] :])]
+        for t in (t for stack in _tables(batches, tile, how) for t in stack):
+            bottom, right, edge = t.best[-reach[0] :, t.y + 1 :], t.best[t.x + 1 :, -reach[1] :], t.best[-reach[0] :, -reach[1] :]
+            values = [[t.row[c].as_py()] for c in ("scope", "ti", "tj")] + [[v.tolist()] for v in (bottom, right, edge)]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.string(), pa.int32(), pa.int32(), floats, floats, floats), strict=True)], ["scope", "ti", "tj", "bottom", "right", "edge"])
 
     for diagonal in range(longest):
@@ -485,34 +614,18 @@ def grouped(rows: DataFrame, by: By, how: Grouping, tile: int = TILE) -> DataFra
         borders[diagonal] = stored(_dealt(bordered(_sides(now, blocks), diagonal), "ti", "tj").mapInArrow(forth, "scope string, ti int, tj int, bottom array<array<float>>, right array<array<float>>, edge array<array<float>>"))
 
     def back(batches):
-        for row in _each(batches):
-            a, b, x, y, scores, _, move = _group_tile(row, tile, how)
-            sizes = sorted(scores, reverse=True)
-            i0, j0 = row["ti"].as_py() * tile, row["tj"].as_py() * tile
-            i, j = row["i"].as_py() - i0 + x, row["j"].as_py() - j0 + y
-            found = []
-            while i > x and j > y:
-                code = move[i, j]
-                if code == len(sizes):
-                    i -= 1
-                elif code == len(sizes) + 1:
-                    j -= 1
-                else:
-                    p, q = sizes[code]
-                    i, j = i - p, j - q
-                    if scores[p, q][i, j] >= how.output:
-                        found.append({"a_pos": a.field("pos")[i : i + p].to_pylist(), "b_pos": b.field("pos")[j : j + q].to_pylist(), "alignment": f"{p}:{q}", "score": float(scores[p, q][i, j])})
-            kind = pa.list_(pa.struct([("a_pos", pa.list_(pa.int64())), ("b_pos", pa.list_(pa.int64())), ("alignment", pa.string()), ("score", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([pa.array([row["scope"].as_py()]), pa.array([i - x + i0], pa.int64()), pa.array([j - y + j0], pa.int64()), pa.array([found[::-1]], kind)], ["scope", "i", "j", "pairs"])
-
-    ways, steps = scopes.select("scope", F.col("n").alias("i"), F.col("m").alias("j")), None
-    for diagonal in range(longest, -1, -1):
-        at = ways.where("i > 0 and j > 0").withColumn("ti", last("i")).withColumn("tj", last("j"))
-        here = bordered(_sides(at.where(F.col("ti") + F.col("tj") == diagonal).join(large(scopes), "scope"), blocks), diagonal)
-        done = stored(_dealt(here, "ti", "tj").mapInArrow(back, f"scope string, i long, j long, pairs array<struct<{', '.join(f.replace(' ', ': ', 1) for f in shape.split(', '))}>>"))
-        steps = done if steps is None else steps.unionByName(done)
-        if diagonal:
-            ways = stored(at.where(F.col("ti") + F.col("tj") != diagonal).select("scope", "i", "j").unionByName(done.select("scope", "i", "j")))
-        if diagonal in borders:
-            spent(borders.pop(diagonal))
+        kind = pa.list_(pa.struct([("a_pos", pa.list_(pa.int64())), ("b_pos", pa.list_(pa.int64())), ("alignment", pa.string()), ("score", pa.float64())]))
+        for stack in _tables(batches, tile, how):
+            out = []
+            for t in stack:
+                row, di, dj = t.row, t.row["ti"].as_py() * tile - t.x, t.row["tj"].as_py() * tile - t.y
+                i, j, found = _way(t, how, row["i"].as_py() - di, row["j"].as_py() - dj)
+                out.append((row["scope"].as_py(), i + di, j + dj, found))
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(map(list, zip(*out, strict=True)), (pa.string(), pa.int64(), pa.int64(), kind), strict=True)], ["scope", "i", "j", "pairs"])
+
+    def step(here: DataFrame, diagonal: int) -> DataFrame:
+        here = bordered(_sides(here, blocks), diagonal)
+        return _dealt(here, "ti", "tj").mapInArrow(back, f"scope string, i long, j long, pairs array<struct<{', '.join(f.replace(' ', ': ', 1) for f in shape.split(', '))}>>")
+
+    steps = _back(scopes, longest, tile, borders, step)
     return _keys(steps.select("scope", F.inline("pairs")), by, kinds)
