@@ -38,6 +38,17 @@ def test_the_ratio_sees_candidates_only(spark):
     assert likeness.similar_texts(a, b, 0.8).count() == 0
 
 
+def test_texts_meet_in_all_tasks_and_each_pair_once(spark, monkeypatch):
+    """Few bytes, many candidates: neither one task for all, nor a table of them that drops repeated ones."""
+    kept = []
+    monkeypatch.setattr(likeness, "stored", lambda df: kept.append(df) or df)
+    rows = spark.createDataFrame([(t,) for t in {"".join(random.Random(i).choices("abc", k=9)) for i in range(40)}], "text string")
+    likeness.similar_texts(rows, rows, 0.8)
+    assert kept[-1].rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(kept[-1].collect()) == kept[-1].distinct().count() > 40
+    assert "keys=[text_a" not in kept[-1]._jdf.queryExecution().executedPlan().toString()
+
+
 def test_overrides_of_like_texts(spark):
     rows = spark.createDataFrame([(1, "hello there"), (2, "hallo there"), (3, "something else"), (4, None), (5, "hello there")], "k int, text string")
     over = spark.createDataFrame([("hello there!", "v1"), ("hallo there!", "v2"), ("hello there!", "v0"), (None, "v3")], "text string, value string")

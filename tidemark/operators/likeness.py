@@ -13,7 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import let, sequence_similarity
-from tidemark.storage import stored
+from tidemark.storage import dealt, large, stored
+
+#: Texts that share a character are dealt to so many parts on either side, and every part meets every other in a task of its own.
+GRID = 4
 
 
 def numbered_characters(text: Column) -> Column:
@@ -32,22 +35,26 @@ def similar_texts(left: DataFrame, right: DataFrame, threshold: float, by: list[
     """
     by = by or []
     sides = [df.select(*by, "text").where("text is not null and text <> ''").distinct().withColumn("items", numbered_characters(F.col("text"))) for df in (left, right)]
-    sides = [stored(df.withColumn("n", F.size("items"))) for df in sides]
+    sides = [stored(df) for df in sides]
     uses = sides[0].select(F.explode("items").alias("item")).unionByName(sides[1].select(F.explode("items").alias("item"))).groupBy("item").agg(F.count(F.lit(1)).alias("uses"))
     share = threshold / (2 - threshold)
 
-    def heads(df: DataFrame, name: str) -> DataFrame:
-        ranked = df.select(*by, "text", "n", F.explode("items").alias("item")).join(uses, "item")
-        rows = ranked.groupBy(*by, "text").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("uses", "item"))).alias("ranked"))
-        first = F.slice("ranked", 1, F.greatest(F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1, F.lit(1)).cast("int"))
-        return rows.select(*by, F.explode(first["item"]).alias("item"), F.col("text").alias(f"text_{name}"), F.col("n").alias(f"n_{name}"))
-
-    a, b = heads(sides[0], "a"), heads(sides[1], "b")
-    pairs = a.join(b, [*by, "item"]).where(2 * F.least("n_a", "n_b") >= threshold * (F.col("n_a") + F.col("n_b")) - 1e-9).select(*by, "text_a", "text_b", "n_a", "n_b").distinct()
-    for name, df in zip("ab", sides, strict=True):
-        pairs = pairs.join(df.select(*by, F.col("text").alias(f"text_{name}"), F.col("items").alias(f"items_{name}")), [*by, f"text_{name}"])
-    pairs = pairs.where(2 * F.size(F.array_intersect("items_a", "items_b")) >= threshold * (F.col("n_a") + F.col("n_b")) - 1e-9)
-    made = stored(pairs.select(*by, "text_a", "text_b"))  # the ratio is computed once, in tasks of their own
+    def heads(df: DataFrame, name: str, other: str) -> DataFrame:
+        ranked = df.select(*by, "text", F.explode("items").alias("item")).join(uses, "item")
+        rows = ranked.groupBy(*by, "text").agg(F.sort_array(F.collect_list(F.struct("uses", "item")))["item"].alias("items"))
+        n = F.size("items")
+        head = F.slice("items", 1, F.greatest(n - F.ceil(n * share - 1e-9) + 1, F.lit(1)).cast("int"))
+        rows = rows.select(*by, F.col("text").alias(f"text_{name}"), F.col("items").alias(f"items_{name}"), head.alias(f"head_{name}"), F.pmod(F.xxhash64("text"), F.lit(GRID)).cast("int").alias(f"part_{name}"))
+        rows = rows.withColumn("item", F.explode(f"head_{name}")).withColumn(f"part_{other}", F.explode(F.sequence(F.lit(0), F.lit(GRID - 1))))
+        return large(dealt(rows, *key))
+
+    n_a, n_b = F.size("items_a"), F.size("items_b")
+    key = [*by, "item", "part_a", "part_b"]
+    near = 2 * F.least(n_a, n_b) >= threshold * (n_a + n_b) - 1e-9
+    first = F.array_intersect("head_a", "head_b")[0] == F.col("item")  # a pair counts where it meets first, so once
+    alike = 2 * F.size(F.array_intersect("items_a", "items_b")) >= threshold * (n_a + n_b) - 1e-9
+    pairs = heads(sides[0], "a", "b").join(heads(sides[1], "b", "a"), key).where(near & first & alike)
+    made = dealt(stored(pairs.select(*by, "text_a", "text_b")), "text_a", "text_b")  # the ratio is computed once, in tasks of their own
     return made.withColumn("ratio", sequence_similarity("text_a", "text_b")).where(F.col("ratio") >= threshold)
 
 
