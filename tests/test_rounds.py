@@ -80,3 +80,17 @@ def test_a_round_without_answers(spark, tmp_path, tables):
     with pytest.raises(RuntimeError):
         store.commit(2, {})
     assert rounds.current(store, base).exceptAll(base.select("segment_id", "part", "status", F.col("text"))).count() == 0
+
+
+def test_replies_are_parsed_once_a_round(spark, tmp_path):
+    """Each reply's text is found and parsed in one pass of one job, however many outcomes the ingest tells apart."""
+    from tidemark.operators import records
+    from tidemark.sources import logs
+
+    read = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda x: read.add(1) or x, "string").asNondeterministic()
+    lines = spark.createDataFrame([(f'{{"custom_id": "c{i}", "content": "{{\\"decision\\": \\"d{i}\\"}}"}}',) for i in range(8)], "value string").withColumn("value", seen("value"))
+    asked = spark.createDataFrame([(f"c{i}", f"r{i}") for i in range(9)], "custom_id string, row_id string")
+    got = sorted((r.row_id, r.state, r.decision) for r in records.ingest(asked, logs.replies(lines)).collect())
+    assert got == [(f"r{i}", "ok", f"d{i}") for i in range(8)] + [("r8", "missing-response", "")]
+    assert read.value == 8

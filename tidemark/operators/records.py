@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.storage import stored
+
 By = list[str]
 
 
@@ -23,7 +25,7 @@ def ingest(requests: DataFrame, replies: DataFrame) -> DataFrame:
     known = asked.groupBy("custom_id").agg(F.max("row_id").alias("_one"), F.count(F.lit(1)).alias("_rows"))
     rows = replies.join(known, "custom_id", "left")
     simple = F.when(F.col("custom_id") == "", "missing-custom-id").when(F.col("_one").isNull(), "custom-id-not-found").when(F.col("parsed").isNull(), "unparseable-response-json").when(F.col("parsed.rows").isNull(), F.when(F.col("_rows") == 1, "ok").otherwise("request-meta-not-found"))
-    rows = rows.withColumn("state", simple)
+    rows = stored(rows.withColumn("state", simple).select("custom_id", "raw_text", "parsed", "_one", "state"))  # read five times, parsed once
     fields = lambda x: [F.coalesce(F.col(f"{x}.{c}"), F.lit("")).alias(n) for c, n in (("decision", "decision"), ("confidence", "confidence"), ("suggested_chinese_text", "suggestion"), ("reason", "reason"))]
     whole = rows.where("state is not null").select("custom_id", F.when(F.col("state") == "ok", F.col("_one")).otherwise(F.lit("")).alias("row_id"), "state", *fields("parsed"), "raw_text")
     grouped = rows.where("state is null").select("custom_id", "raw_text", F.explode("parsed.rows").alias("x"))

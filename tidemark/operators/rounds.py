@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import maintain, records
 from tidemark.sources import logs
+from tidemark.storage import spent, stored
 
 #: The tables of a round, in the order in which they are written.
 TABLES = ("ingest", "plan", "changes", "delta", "burnin", "requests", "handoff")
@@ -99,14 +100,15 @@ def advance(store: Store, base: DataFrame, first: DataFrame, replies: DataFrame,
     ingest = store.write("ingest", records.ingest(questions, logs.replies(replies)), n)
     answers = ingest.where("state = 'ok'").groupBy(F.col("row_id").alias("segment_id")).agg(F.min_by(F.struct("decision", "suggestion", "confidence"), "raw_text").alias("x")).select("segment_id", "x.*")
     before = current(store, base, n - 1)
-    mine = before.join(answers.select("segment_id"), "segment_id", "left_semi")
-    plan = mine.join(answers, "segment_id").select("segment_id", "part", maintain.plan_action(F.col("decision"), F.col("text"), F.col("suggestion")).alias("action"), "suggestion", "decision", "confidence")
+    answered = stored(before.join(answers, "segment_id"))
+    mine = answered.select("segment_id", "part", "status", "text")
+    plan = answered.select("segment_id", "part", maintain.plan_action(F.col("decision"), F.col("text"), F.col("suggestion")).alias("action"), "suggestion", "decision", "confidence")
     plan = store.write("plan", plan, n)
     applied = maintain.apply_plan(mine, plan, "segment_id", "text")
     kinds = {"clear-existing": "unmatched", "replace-with-suggested-text": "model-text-replace", "fill-with-suggested-text": "model-text-fill"}
     status = F.coalesce(*(F.when(F.col("action") == action, name) for action, name in kinds.items()), F.col("status"))
     applied = applied.withColumn("status", status).withColumn("text", F.coalesce("text", F.lit("")))
-    delta = maintain.delta_report(mine, applied, ["segment_id", "part"], []).where("change <> 'unchanged'")
+    delta = stored(maintain.delta_report(mine, applied, ["segment_id", "part"], []).where("change <> 'unchanged'"))
     changes = store.write("changes", applied.join(delta.select("segment_id"), "segment_id", "left_semi").select("segment_id", "part", "status", "text", "action"), n)
     store.write("delta", delta.groupBy("part", "change").agg(F.count(F.lit(1)).alias("rows")), n)
     now = current(store, base, n).join(changes.select("part").distinct(), "part", "left_semi")
@@ -123,5 +125,6 @@ def advance(store: Store, base: DataFrame, first: DataFrame, replies: DataFrame,
     }
     facts = records.one_row_report({k: df.groupBy().count() for k, df in counts.items()}).select(*(F.col(f"{k}_count").alias(k) for k in counts))
     handoff = store.write("handoff", facts, n)
+    spent(answered, delta)
     store.commit(n, {k: v for k, v in handoff.first().asDict().items() if k != "round"})
     return n

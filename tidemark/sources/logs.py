@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import let
 from tidemark.operators.intervals import pair_start_end
 from tidemark.sources.readers import _us
 
@@ -179,11 +180,11 @@ REPLY = "decision string, confidence string, suggested_chinese_text string, reas
 
 def replies(lines: DataFrame, column: str = "value") -> DataFrame:
     """custom_id, raw_text and the parsed reply (null if it isn't JSON, whole or from its first to its last brace)."""
-    raw = F.trim(reply_text(column))
-    inner = F.regexp_extract(raw, r"(?s)(\{.*\})", 1)
     is_object = lambda x: F.try_parse_json(x).isNotNull() & F.startswith(F.ltrim(x), F.lit("{"))
-    body = F.when(is_object(raw), raw).when(is_object(inner), inner)
-    return lines.withColumn("custom_id", F.coalesce(F.get_json_object(column, "$.custom_id"), F.lit(""))).withColumn("raw_text", raw).withColumn("parsed", F.when(body.isNotNull(), F.from_json(body, REPLY)))
+    braced = lambda raw: let(F.regexp_extract(raw, r"(?s)(\{.*\})", 1), lambda inner: F.when(is_object(inner), inner))
+    told = let(F.trim(reply_text(column)), lambda x: F.struct(x.alias("raw_text"), F.when(is_object(x), x).otherwise(braced(x)).alias("body")))
+    rows = lines.withColumn("custom_id", F.coalesce(F.get_json_object(column, "$.custom_id"), F.lit(""))).withColumn("_told", told)
+    return rows.withColumn("raw_text", F.col("_told.raw_text")).withColumn("parsed", F.from_json("_told.body", REPLY)).drop("_told")
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
