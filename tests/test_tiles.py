@@ -165,3 +165,18 @@ def test_similarities_are_summed_and_rounded_as_in_sql():
     x, y = np.random.RandomState(3).rand(2, 300, 4)
     want = [[((a[0] * b[0] + a[1] * b[1]) + a[2] * b[2]) + a[3] * b[3] for b in y.tolist()] for a in x.tolist()]
     assert tiles._products(x, y).tolist() == want  # to the last bit
+
+
+def test_short_sequences_are_filled_together_and_a_way_back_is_one_job_a_diagonal(spark, monkeypatch):
+    import pyarrow as pa
+
+    how, filled = tiles.Grouping((2, 2)), []
+    cues = [{"at": i, "pos": i, "s": float(i), "e": i + 1.0, "vector": [1.0, float(i)]} for i in range(6)]
+    monkeypatch.setattr(tiles, "_fill_groups", lambda gains, sums, *rest, f=tiles._fill_groups: filled.append(sums.shape[2]) or f(gains, sums, *rest))
+    batch = pa.RecordBatch.from_pylist([{"scope": str(k), "rows_a": cues[: 3 + k % 4], "rows_b": cues[: 6 - k % 3], "ti": 0, "tj": 0, "a0": 0.0, "a1": 6.0, "b0": 0.0, "b1": 6.0} for k in range(60)])
+    assert sum(len(x) for x in tiles._tables(iter([batch]), 8, how)) == sum(filled) == 60 and len(filled) == 1
+    written = []
+    monkeypatch.setattr(tiles, "stored", lambda df, f=tiles.stored: written.append(1) or f(df))
+    rows = spark.createDataFrame([(s, i, float(i), i + 1.0, [1.0, float(i)]) for s in "ab" for i in range(9)], "side string, pos long, s double, e double, vector array<double>")
+    tiles.grouped(rows, [], how, 4)
+    assert len(written) == 2 + 4 + 5  # blocks and lengths, four diagonals there, five back
