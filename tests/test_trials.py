@@ -65,3 +65,11 @@ def test_trial_alignment_of_each_clip(spark):
     rows = {r.clip: r for r in trials.summary(windows, trials.in_windows(a, windows, ["part"], 3.0), found, ["part"]).collect()}
     assert rows["x"].cues == 8 and rows["x"].results == sum(k[0] == "x" for k in got) and rows["y"].windows == 1
     assert trials.trial_align(a.limit(0), b, windows, ["part"]).count() == 0
+
+
+def test_choices_are_dealt_over_all_tasks(spark):
+    """Pieces are small in bytes and slow in Python: a task each, not one for all."""
+    found = spark.createDataFrame([("p", 10.0 * i + k, 10.0 * i + k + 2, 1.0 + k) for i in range(30) for k in range(2)], "part string, s double, e double, score double")
+    got = trials.reconciled(found, ["part"])
+    assert sorted(r.s for r in got.collect()) == [10.0 * i + 1 for i in range(30)]
+    assert got.rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import align, intervals
-from tidemark.storage import large
+from tidemark.storage import dealt, large
 
 By = list[str]
 
@@ -128,4 +128,4 @@ def reconciled(found: DataFrame, by: By, weight: str = "score") -> DataFrame:
     single = F.count(F.lit(1)).over(Window.partitionBy(*by, "_piece"))
     rows = rows.withColumn("_size", single)
     alone = rows.where("_size = 1").select(columns)  # most pieces need no choice
-    return alone.unionByName(rows.where("_size > 1").groupBy(*by, "_piece").applyInPandas(choose, kinds))
+    return alone.unionByName(dealt(rows.where("_size > 1"), *by, "_piece").groupBy(*by, "_piece").applyInPandas(choose, kinds))
