@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, minhash, mixing, pii, toxicity
-from tidemark.llm.common import documents, stored
+from tidemark.llm.common import documents, small_batches, stored
 from tidemark.llm.queries import BUDGET, TOKENIZER, domain, mixing_tree
 
 #: SQL can't express a learnt score, near-duplicate components, hashed orders or BPE; the tests use brute force.
@@ -18,6 +18,7 @@ def clean_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Without labels of both kinds nothing is rejected; null and blank texts stay. Extra columns of any name pass.
     """
+    small_batches(spark)
     model = toxicity.fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.where(toxicity.score(model) < 0.5)
 
@@ -27,6 +28,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     80 per cent, the general rule for stages; the 85 of the operator's own query is its contract. Rows with a null id stay.
     """
+    small_batches(spark)
     gone = minhash.near_duplicates(docs, percent=80).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
@@ -45,6 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the token ids, and whether they decode to the text again."""
+    small_batches(spark)
     return bpe.encoded(docs, TOKENIZER)
 
 

@@ -6,10 +6,12 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, components, fingerprint, language, minhash, mixing, pii, quality, suffix, toxicity, warc
+import corpus_pipeline
+from tidemark.llm import bpe, common, components, fingerprint, language, minhash, mixing, pii, quality, suffix, toxicity, warc
 from tidemark.llm.common import shared_dir, spent, stored
 from tidemark.llm.queries import TOKENIZER
 
@@ -370,3 +372,25 @@ def test_pipeline_is_its_stages_in_order(spark):
     mixed = stored(P.mix_sources(spark, stored(pii.redacted(one)), sf))
     want = collections.Counter((r["doc_id"], tuple(r["ids"])) for r in bpe.encoded(mixed, TOKENIZER).collect())
     assert collections.Counter((r["doc_id"], tuple(r["ids"])) for r in P.run(spark, sf).collect()) == want
+
+
+def test_trigrams_do_not_reach_from_text_to_text(spark):
+    texts = ["so bad", "dog", "", "café", None, "éab", "baaa", "dog"]
+    count = lambda some: toxicity.trigram_counts(spark.createDataFrame([(x,) for x in some], "text string").coalesce(1))
+    assert (count(texts) == sum(count([x]) for x in texts)).all()
+
+
+def test_stages_pass_texts_in_small_batches(spark, tmp_path):
+    docs = spark.range(1500).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.col("id").cast("string"), F.lit(" word ")), 1000).alias("text")).coalesce(1)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").coalesce(1)
+    largest = lambda: docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").agg(F.max("n")).first()[0]
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for given, most in ((None, common.BATCH_BYTES), ("64m", common.BATCH_BYTES), ("1m", 1 << 20)):
+        if given:
+            spark.conf.set(name, given)
+        try:
+            corpus_pipeline.encode_tokens(spark, docs.limit(0), str(tmp_path))
+            assert largest() < 1.5 * most
+        finally:
+            spark.conf.unset(name)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,16 +13,27 @@ from pyspark.sql import functions as F
 
 from tidemark.storage import shared_dir, spent, stored
 
-__all__ = ["BLOCK_BYTES", "blocks", "documents", "let", "shared_dir", "spent", "stored", "task_count", "utf8_rows"]
+__all__ = ["BATCH_BYTES", "BLOCK_BYTES", "blocks", "documents", "let", "shared_dir", "small_batches", "spent", "stored", "task_count", "utf8_rows"]
 
 #: Bytes of text that one numpy pass works on; longer single texts form a block of their own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
+#: Bytes of the Arrow batches that pass between executors and Python; both hold some at once, and as much again while they grow.
+BATCH_BYTES = 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by ``BATCH_BYTES``: 10,000 whole texts are much more than a numpy pass needs."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    with_unit = re.fullmatch(r"(\d+)([kmg]?)b?", spark.conf.get(name).lower())
+    now = int(with_unit[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[with_unit[2]] if with_unit else 0
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def task_count(spark: SparkSession, size: int, task_bytes: int, most: int = 50_000) -> int:
     """Tasks for ``size`` bytes: one for each ``task_bytes``, but no fewer than there are cores, and ``most`` at most.
 

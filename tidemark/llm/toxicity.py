@@ -59,9 +59,11 @@ def trigram_counts(texts: DataFrame) -> np.ndarray:
     def count(batches):
         total = np.zeros(_SYMBOLS**3, np.int64)
         for batch in batches:
-            for _, _, data, _ in blocks(batch.column(0)):
+            for _, _, data, offsets in blocks(batch.column(0)):
                 low = T.lower_ascii(data)
-                c = _code[low[(low & 0xC0) != 0x80]]
+                lead = (low & 0xC0) != 0x80
+                texts = np.concatenate(([0], np.cumsum(lead)))[offsets[1:-1]]  # where all but the first begin
+                c = np.insert(_code[low[lead]], np.repeat(texts, 2), 0)  # no word reaches from one text into the next
                 c = np.concatenate(([0, 0], c, [0, 0]))
                 before = np.where(c[1:-1] > 0, c[:-2], 0)  # a word starts alike whatever stands before it
                 key = (before * _SYMBOLS + c[1:-1]) * _SYMBOLS + c[2:]
