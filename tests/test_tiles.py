@@ -1,6 +1,7 @@
 """Alignment in tiles and the blended similarity, against plain Python."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -180,3 +181,16 @@ def test_short_sequences_are_filled_together_and_a_way_back_is_one_job_a_diagona
     rows = spark.createDataFrame([(s, i, float(i), i + 1.0, [1.0, float(i)]) for s in "ab" for i in range(9)], "side string, pos long, s double, e double, vector array<double>")
     tiles.grouped(rows, [], how, 4)
     assert len(written) == 2 + 4 + 5  # blocks and lengths, four diagonals there, five back
+
+
+def test_rounding_makes_no_whole_copies():
+    x = np.random.RandomState(1).randn(700, 900)
+    x[0, :4] = [0.5e-9, -0.5e-9, 1.5e-9, -2.5e-9]
+    scaled = x * 1e9
+    whole = np.trunc(scaled)
+    want = np.where(np.abs(scaled - whole) == 0.5, whole + np.sign(scaled), np.rint(scaled)) / 1e9
+    tracemalloc.start()
+    got = tiles._nine_digits(x)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(got, want) and most < x.nbytes / 2

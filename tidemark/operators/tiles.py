@@ -25,8 +25,8 @@ from tidemark.storage import large, spent, stored
 By = list[str]
 #: Rows of a block: where each cell becomes a row, in ``aligned``, and in ``grouped``, which holds a table for each size of groups.
 TILE, WIDE, GROUPS = 512, 2048, 1024
-#: Cells of the small tables that are filled together, and of scores made at once.
-TOGETHER, STRIP = 1 << 19, 1 << 18
+#: Cells of the small tables that are filled together, of scores made at once, and of those rounded at once.
+TOGETHER, STRIP, ROUNDED = 1 << 19, 1 << 18, 1 << 15
 NONE = np.float32(-1e9)
 
 
@@ -88,10 +88,13 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _nine_digits(x: np.ndarray) -> np.ndarray:
-    """Rounded to nine digits, halves away from zero, as SQL rounds."""
-    x = x * 1e9
-    whole = np.trunc(x)
-    return np.where(np.abs(x - whole) == 0.5, whole + np.sign(x), np.rint(x)) / 1e9
+    """Rounds ``x`` itself to nine digits, halves away from zero, as SQL rounds; some rows at once, so that they stay in cache."""
+    step = max(1, ROUNDED // max(1, x.shape[1]))
+    for i in range(0, len(x), step):
+        part = x[i : i + step] * 1e9
+        whole = np.trunc(part)
+        x[i : i + step] = np.where(np.abs(part - whole) == 0.5, whole + np.sign(part), np.rint(part)) / 1e9
+    return x
 
 
 def similarity(a: pa.StructArray, b: pa.StructArray, blend: Blend) -> np.ndarray:
